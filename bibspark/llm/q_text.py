@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from . import quality
-from .common import table
+from pyspark.sql import functions as F
+
+from . import decontaminate, quality, secrets
+from .common import UPPER, table
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
@@ -42,5 +44,80 @@ def quality_sql(documents: str = "documents") -> str:
              NOT base_failed AND ({rules}) AS kept, n_lines, n_stop_words FROM v"""
 
 
-QUERIES = {"op5_quality_rules": op5_quality_rules}
-ORACLES = {"op5_quality_rules": quality_sql()}
+def op1_secret_scan(spark, sf_dir):
+    xs = F.col("spans")
+    of = lambda k: F.size(F.filter(xs, lambda x: x["k"] == k)).cast("long")
+    base = F.filter(xs, lambda x: x["k"] < 3)
+    return secrets.scan(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        of(0).alias("n_assign"),
+        of(1).alias("n_access"),
+        of(2).alias("n_hex"),
+        F.sha2(secrets.listed(base), 256).alias("base_sha256"),
+        secrets.listed(xs).alias("spans"),
+        F.size(F.filter(xs, lambda x: x["copied"])).cast("long").alias("n_copied"),
+        F.size(F.filter(xs, lambda x: ~x["copied"] & x["live"])).cast("long").alias("n_live_owned"),
+    )
+
+
+def _located_sql(name: str, pattern: str, k: int) -> str:
+    """Matches of one pattern with their places, from the pieces between them."""
+    p = pattern.replace("'", "''")
+    return rf"""
+      {name}0 AS (SELECT doc_id, source, lang, regexp_extract_all(t, '{p}') AS ms, string_split_regex(t, '{p}') AS gs FROM d),
+      {name}1 AS (SELECT doc_id, source, lang, unnest(ms) AS m, unnest(gs[1:len(ms)]) AS g, generate_subscripts(ms, 1) AS i FROM {name}0 WHERE len(ms) > 0),
+      {name} AS (SELECT doc_id, source, lang, {k} AS k, m, (sum(length(g)) OVER w + sum(length(m)) OVER w - length(m))::BIGINT AS s, (sum(length(g)) OVER w + sum(length(m)) OVER w)::BIGINT AS e
+                 FROM {name}1 WINDOW w AS (PARTITION BY doc_id ORDER BY i))"""
+
+
+def secret_sql() -> str:
+    assign = secrets.ASSIGN.replace("'", "''")
+    return rf"""
+      WITH d AS (SELECT doc_id, source, lang, coalesce(text, '') AS t FROM documents),
+      {_located_sql("pa", secrets.ASSIGN, 0)}, {_located_sql("pb", secrets.ACCESS, 1)}, {_located_sql("pc", secrets.HEX, 2)}, {_located_sql("pd", "[A-Za-z0-9_-]{20,}", 3)},
+      b AS (SELECT doc_id, source, lang, k, regexp_extract(m, '{assign}', 2) AS v, s, e FROM pa WHERE length(regexp_extract(m, '{assign}', 2)) >= 6
+            UNION ALL SELECT doc_id, source, lang, k, m, s, e FROM pb UNION ALL SELECT doc_id, source, lang, k, m, s, e FROM pc),
+      o AS (SELECT doc_id, source, lang, k, m AS v, s, e FROM pd WHERE regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[a-z]')
+            AND NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = pd.doc_id AND b.s < pd.e AND pd.s < b.e)),
+      c AS (SELECT *, length(v) >= 16 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AS live FROM (SELECT * FROM b UNION ALL SELECT * FROM o)),
+      f AS (SELECT v, count(DISTINCT source) AS n FROM c GROUP BY v),
+      j AS (SELECT c.*, f.n >= {secrets.WIDE} AS copied, ['assign', 'access', 'hex', 'opaque'][k + 1] || ':' || s || ':' || e AS x FROM c JOIN f USING (v)
+            WHERE k < 3 OR (f.n < {secrets.WIDE} AND live)),
+      g AS (SELECT doc_id, count(*) FILTER (k = 0) AS a, count(*) FILTER (k = 1) AS b, count(*) FILTER (k = 2) AS h, string_agg(x, ',' ORDER BY s, k) FILTER (k < 3) AS bs,
+                   string_agg(x, ',' ORDER BY s, k) AS xs, count(*) FILTER (copied) AS n_copied, count(*) FILTER (NOT copied AND live) AS n_live FROM j GROUP BY doc_id)
+      SELECT d.doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(h, 0) AS n_hex, sha256(coalesce(bs, '')) AS base_sha256, coalesce(xs, '') AS spans,
+             coalesce(n_copied, 0) AS n_copied, coalesce(n_live, 0) AS n_live_owned FROM d LEFT JOIN g USING (doc_id)"""
+
+
+def op10_decontaminate(spark, sf_dir):
+    found = decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    items = F.array_sort(F.transform(F.coalesce("items", F.array()), lambda x: x.cast("string")))
+    n_hit = decontaminate.hit_words(F.col("ranges"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
+def contamination_sql(documents: str = "documents") -> str:
+    low = f"translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}')"
+    ws = rf"regexp_extract_all({low}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return rf"""
+      WITH d AS (SELECT doc_id, {ws} AS ws FROM {documents}), b AS (SELECT item_id, {ws} AS ws FROM benchmark),
+      iw AS (SELECT DISTINCT item_id, least(len(ws), 10) AS n, array_to_string(ws[i:i + 9], ' ') AS g
+             FROM (SELECT item_id, ws, unnest(generate_series(1, greatest(len(ws) - 9, 1))) AS i FROM b WHERE len(ws) > 0)),
+      dw AS (SELECT doc_id, i, n, array_to_string(ws[i:i + n - 1], ' ') AS g
+             FROM (SELECT doc_id, ws, n, unnest(generate_series(1, len(ws) - n + 1)) AS i FROM d, (SELECT DISTINCT n FROM iw))),
+      hit AS (SELECT doc_id, i, n, item_id FROM dw JOIN iw USING (n, g)),
+      cov AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS p FROM hit) GROUP BY doc_id),
+      it AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS xs FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM hit) GROUP BY doc_id)
+      SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+             sha256(coalesce(xs, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN it USING (doc_id)"""
+
+
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op5_quality_rules": op5_quality_rules, "op10_decontaminate": op10_decontaminate}
+ORACLES = {"op1_secret_scan": secret_sql(), "op5_quality_rules": quality_sql(), "op10_decontaminate": contamination_sql()}
