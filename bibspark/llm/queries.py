@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_text
+from . import q_corpus, q_text
 
-QUERIES = {**q_text.QUERIES}
-ORACLES = {**q_text.ORACLES}
+QUERIES = {**q_text.QUERIES, **q_corpus.QUERIES}
+ORACLES = {**q_text.ORACLES, **q_corpus.ORACLES}
