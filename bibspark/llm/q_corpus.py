@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, warc
+from . import bpe, jaccard, warc
 from .common import table
 
 
@@ -16,10 +16,14 @@ def op7_byte_bpe(spark, sf_dir):
     return bpe.encode_docs(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op8_jaccard_join(spark, sf_dir):
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op9_warc_index(spark, sf_dir):
     done = warc.archive(table(spark, sf_dir, "pages"))
     return done.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "position")
 
 
-QUERIES = {"op7_byte_bpe": op7_byte_bpe, "op9_warc_index": op9_warc_index}
+QUERIES = {"op7_byte_bpe": op7_byte_bpe, "op8_jaccard_join": op8_jaccard_join, "op9_warc_index": op9_warc_index}
 ORACLES = {}
