@@ -1,8 +1,9 @@
 """Benchmark decontamination: a hash set of normalised test n-grams, broadcast, against every window of the training texts.
 
 Words are maximal runs of digits, letters and non-ASCII characters after lower-casing A-Z. An item's windows are its runs of
-`size` consecutive words; an item with fewer words, but not none, is one window. Document windows are hashed in the scan and
-looked up in the broadcast set; every hit is then verified on the words themselves, so hash collisions cannot add hits.
+`size` consecutive words; an item with fewer words, but not none, is one window. The first words of each document window, as many
+as the largest power of two in the window's length, are hashed in the scan and looked up in the broadcast set; every hit is then
+verified on all its words, so neither that prefix nor a hash collision can add hits.
 The window table goes out in blocks of at most `block_rows` rows, so a broadcast has a fixed bound however many items there are.
 
 Null or empty texts and items have no words: such documents come back clean, such items match nothing. Repeated items share
@@ -20,6 +21,7 @@ from .common import cut, lower_ascii, window_hashes
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: A word before lower-casing; counts and places of words are the same.
+RAW_SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 SIZE = 10
 BLOCK_ROWS = 500_000
@@ -30,22 +32,26 @@ def normal_words(text: Column) -> Column:
 
 
 def item_windows(items: DataFrame, size: int = SIZE, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """(len, hash, gram, items): each distinct window of the items with the ids of the items that hold it."""
+    """(len, key, hash, gram, items): each distinct window of the items with the ids of the items that hold it. `hash` is of its first `key` words."""
     w = F.col("w")
     width = F.least(F.size(w), F.lit(size))
     starts = F.explode(F.sequence(F.lit(0), F.size(w) - F.col("len")))
     split = items.select(F.col(item_id).alias("item"), normal_words(F.col(text)).alias("w")).where(F.size("w") > 0)
     grams = split.withColumn("len", width).select("item", "len", "w", starts.alias("i")).select("item", "len", F.slice("w", F.col("i") + 1, F.col("len")).alias("g"))
-    hashed = reduce(
-        lambda a, n: F.when(F.col("len") == n, F.get(window_hashes(F.transform("g", lambda x: F.xxhash64(x)), n), F.lit(0))).otherwise(a), range(1, size + 1), F.lit(None).cast("long")
-    )
-    return grams.select("item", "len", hashed.alias("hash"), F.array_join("g", " ").alias("gram")).groupBy("len", "hash", "gram").agg(F.collect_set("item").alias("items"))
+    keyed = grams.withColumn("key", reduce(lambda acc, n: F.when(F.col("len") >= n, F.lit(n)).otherwise(acc), _powers(size), F.lit(1)))
+    first = F.transform(F.slice("g", 1, F.col("key")), lambda x: F.xxhash64(x))
+    hashed = reduce(lambda acc, n: F.when(F.col("key") == n, F.get(window_hashes(first, n), F.lit(0))).otherwise(acc), _powers(size), F.lit(None).cast("long"))
+    return keyed.select("item", "len", "key", hashed.alias("hash"), F.array_join("g", " ").alias("gram")).groupBy("len", "key", "hash", "gram").agg(F.collect_set("item").alias("items"))
+
+
+def _powers(size: int) -> list[int]:
+    return [1 << i for i in range(size.bit_length())]
 
 
 def hits(docs: DataFrame, items: DataFrame, size: int = SIZE, doc_id: str = "doc_id", text: str = "text", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(doc_id, ranges, items): merged hit ranges [s, e) in words and the items found, one row per document with a hit."""
     table = cut(item_windows(items, size, text=text))
-    lengths = {r["len"]: r["n"] for r in table.groupBy("len").agg(F.count("*").alias("n")).collect()}  # `size` rows at most
+    lengths = {r["key"]: r["n"] for r in table.groupBy("key").agg(F.count("*").alias("n")).collect()}  # as many rows as powers of two up to `size`
     widths = sorted(lengths)
     blocks = max(1, -(-sum(lengths.values()) // block_rows))
     w = docs.select(F.col(doc_id).alias("doc"), normal_words(F.col(text)).alias("w"))
@@ -54,13 +60,13 @@ def hits(docs: DataFrame, items: DataFrame, size: int = SIZE, doc_id: str = "doc
     wins = h.select("doc", "w", F.concat(*[window_hashes(F.col("h"), n) for n in widths]).alias("wins")) if widths else h.select("doc", "w", F.array().cast("array<long>").alias("wins"))
     each = wins.select("doc", "w", F.posexplode("wins").alias("at", "hash"))
     first = reduce(
-        lambda a, n: F.when(F.col("len") == n, sum((F.greatest(F.size("w") - (m - 1), F.lit(0)) for m in widths if m < n), F.lit(0))).otherwise(a), widths, F.lit(0)
+        lambda a, n: F.when(F.col("key") == n, sum((F.greatest(F.size("w") - (m - 1), F.lit(0)) for m in widths if m < n), F.lit(0))).otherwise(a), widths, F.lit(0)
     )
 
     def found(block: int) -> DataFrame:
         part = table if blocks == 1 else table.where(F.pmod(F.xxhash64("hash"), F.lit(blocks)) == block)
         at = each.join(F.broadcast(part), "hash").withColumn("i", F.col("at") - first)
-        return at.where((F.col("i") >= 0) & (F.array_join(F.slice("w", F.col("i") + 1, F.col("len")), " ") == F.col("gram"))).select("doc", "i", "len", "items")
+        return at.where((F.col("i") >= 0) & (F.col("i") + F.col("len") <= F.size("w")) & (F.array_join(F.slice("w", F.col("i") + 1, F.col("len")), " ") == F.col("gram"))).select("doc", "i", "len", "items")
 
     def merge(acc: Column, x: Column) -> Column:
         last = F.element_at(acc, -1)
@@ -82,7 +88,7 @@ def hit_words(ranges: Column) -> Column:
 def report(docs: DataFrame, items: DataFrame, size: int = SIZE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_words, ranges, items) for every document."""
     found = hits(docs, items, size, doc_id, text)
-    counted = docs.select(F.col(doc_id), F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(RAW_WORD)).cast("long").alias("n_words"))
+    counted = docs.select(F.col(doc_id), F.size(F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), RAW_SEPARATORS), "")).cast("long").alias("n_words"))
     right = found.withColumnRenamed(doc_id, "_doc")
     return counted.join(right, F.col(doc_id).eqNullSafe(F.col("_doc")), "left").drop("_doc")
 
