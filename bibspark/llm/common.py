@@ -74,25 +74,29 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spans(text: Column, pattern: str) -> Column:
-    """Matches of `pattern`, leftmost and non-overlapping, as array<struct<s,e,m>> in code points.
+def spans(text: Column, pattern: str, before: int = 0) -> Column:
+    """Matches of `pattern`, leftmost and non-overlapping, as array<struct<s,e,m[,c]>> in code points.
+
+    With `before`, c is the lower-cased text since the last match, its last `before` characters at most.
 
     The pieces between matches and the matches themselves cover the text, so offsets are running sums of their lengths.
     `pattern` must not match the empty string.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    kind = "array<struct<s:int,e:int,m:string>>"
+    kind = "array<struct<s:int,e:int,m:string" + (",c:string>>" if before else ">>")
 
     def located(ms: Column) -> Column:
-        gaps = F.transform(F.split(text, pattern, -1), lambda g: F.char_length(g))
+        gap = lambda g: F.struct(F.char_length(g).alias("n"), *([F.lower(F.substring(g, -before, before)).alias("c")] if before else []))
         start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
 
         def step(acc: Column, x: Column) -> Column:
-            s = acc["at"] + x["g"]
+            s = acc["at"] + x["g"]["n"]
             e = s + F.char_length(x["m"])
-            return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m")))).alias("out"))
+            one = F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m"), *([x["g"]["c"].alias("c")] if before else []))
+            return F.struct(e.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-        pairs = F.zip_with(F.slice(gaps, 1, F.size(ms)), ms, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
+        gaps = F.transform(F.slice(F.split(text, pattern, -1), 1, F.size(ms)), gap)
+        pairs = F.zip_with(gaps, ms, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
         return F.aggregate(pairs, start, step, lambda acc: acc["out"])
 
     return let(found, lambda ms: F.when(F.size(ms) == 0, F.array().cast(kind)).otherwise(located(ms)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, quality, secrets
+from . import decontaminate, pii, quality, secrets
 from .common import UPPER, table
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -89,6 +89,21 @@ def secret_sql() -> str:
              coalesce(n_copied, 0) AS n_copied, coalesce(n_live, 0) AS n_live_owned FROM d LEFT JOIN g USING (doc_id)"""
 
 
+def op4_personal_data(spark, sf_dir):
+    xs = F.col("spans")
+    of = lambda k: F.size(F.filter(xs, lambda x: x["k"] == k)).cast("long")
+    base = F.filter(xs, lambda x: x["k"] < pii.BASE)
+    return pii.scan(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        of(0).alias("n_email"),
+        of(1).alias("n_ip"),
+        of(2).alias("n_card"),
+        of(3).alias("n_phone"),
+        F.sha2(pii.listed(base), 256).alias("base_sha256"),
+        pii.listed(xs).alias("spans"),
+    )
+
+
 def op10_decontaminate(spark, sf_dir):
     found = decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     items = F.array_sort(F.transform(F.coalesce("items", F.array()), lambda x: x.cast("string")))
@@ -119,5 +134,5 @@ def contamination_sql(documents: str = "documents") -> str:
              sha256(coalesce(xs, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN it USING (doc_id)"""
 
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op5_quality_rules": op5_quality_rules, "op10_decontaminate": op10_decontaminate}
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op4_personal_data": op4_personal_data, "op5_quality_rules": op5_quality_rules, "op10_decontaminate": op10_decontaminate}
 ORACLES = {"op1_secret_scan": secret_sql(), "op5_quality_rules": quality_sql(), "op10_decontaminate": contamination_sql()}
