@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard, substring, warc
+from . import bpe, jaccard, substring, tokenfile, warc
 from .common import table
 
 
@@ -12,6 +12,10 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_token_file(spark, sf_dir):
+    return tokenfile.round_trip(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+
+
 def op6_substring_dedup(spark, sf_dir):
     return substring.dedup(table(spark, sf_dir, "documents"))
 
@@ -29,5 +33,5 @@ def op9_warc_index(spark, sf_dir):
     return done.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "position")
 
 
-QUERIES = {"op6_substring_dedup": op6_substring_dedup, "op7_byte_bpe": op7_byte_bpe, "op8_jaccard_join": op8_jaccard_join, "op9_warc_index": op9_warc_index}
+QUERIES = {"op3_token_file": op3_token_file, "op6_substring_dedup": op6_substring_dedup, "op7_byte_bpe": op7_byte_bpe, "op8_jaccard_join": op8_jaccard_join, "op9_warc_index": op9_warc_index}
 ORACLES = {}
