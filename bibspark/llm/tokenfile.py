@@ -54,20 +54,21 @@ def class_edges(vocabulary: int, classes: int = 64) -> np.ndarray:
 
 
 class Lanes:
-    """The models of many blocks. Lanes are ordered by length, longest first, so the live ones are always the first `k`."""
+    """The models of many blocks. Lanes are ordered by length, longest first, so the live ones are always the first `k`.
 
-    LIMIT = 1 << 14
+    A guess and its confidence share one 32-bit cell. Classes lie in eight groups of eight, each with running counts.
+    """
+
+    LIMIT, GAIN = 1 << 12, 32
 
     def __init__(self, n: int, vocabulary: int):
         size = 1 << CONTEXT_BITS
         self.size, self.edges = size, class_edges(vocabulary)
-        c = len(self.edges) - 1
-        self.guess = [np.zeros(n * size, dtype=np.int32) for _ in range(2)]
-        self.trust = [np.zeros(n * size, dtype=np.int8) for _ in range(2)]
-        self.kind = np.ones((n * 32, 3), dtype=np.int64)
-        self.kind[:, 2] = 2
-        self.cum = np.tile(np.arange(c + 1, dtype=np.int64) * 8, (n, 1))
-        self.above = np.arange(c + 1)
+        self.cells = [np.zeros(n * size, dtype=np.int32) for _ in range(2)]
+        self.kind = [np.full(n * 32, c, dtype=np.int32) for c in (1, 1, 2)]
+        nine = np.arange(9, dtype=np.int32) * 4
+        self.group, self.member = np.tile(nine, (n, 1)), np.tile(nine, (n * 8, 1))
+        self.above = np.arange(9, dtype=np.int32)
         self.base = np.arange(n, dtype=np.int64) * size
         self.lane32 = np.arange(n, dtype=np.int64) * 32
         self.prev, self.prev2 = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
@@ -75,37 +76,39 @@ class Lanes:
     def look(self, k: int) -> None:
         """Find the guesses of the live lanes and the counts of their decision."""
         a, b = self.prev[:k], self.prev2[:k]
-        self.at = (self.base[:k] + ((a * 40503 + b * 30011 + (a >> 5)) & (self.size - 1)), self.base[:k] + ((a * 2654435 >> 3) & (self.size - 1)))
-        self.two, self.one = self.guess[0][self.at[0]], self.guess[1][self.at[1]]
-        self.t2, self.t1 = self.trust[0][self.at[0]], self.trust[1][self.at[1]]
+        mask = self.size - 1
+        self.at = (self.base[:k] + ((a * 40503 + b * 30011 + (a >> 5)) & mask), self.base[:k] + ((a * 2654435 >> 3) & mask))
+        cell2, cell1 = self.cells[0][self.at[0]], self.cells[1][self.at[1]]
+        self.two, self.one, self.t2, self.t1 = cell2 >> 7, cell1 >> 7, cell2 & 127, cell1 & 127
         self.same = self.two == self.one
         self.ctx = self.lane32[:k] + np.minimum(self.t2, 3) * 8 + np.minimum(self.t1, 3) * 2 + self.same
-        self.counts = self.kind[self.ctx]
+        self.counts = [c[self.ctx] for c in self.kind]
+        self.total = self.counts[0] + self.counts[1] + self.counts[2]
 
     def learn(self, k: int, ids: np.ndarray, decision: np.ndarray) -> None:
-        row = self.counts
-        row[np.arange(k), decision] += 24
-        full = row.sum(axis=1) > 4000
-        if full.any():
-            row[full] = (row[full] + 1) >> 1
-        self.kind[self.ctx] = row
-        for guess, trust, at, old, t in ((self.guess[0], self.trust[0], self.at[0], self.two, self.t2), (self.guess[1], self.trust[1], self.at[1], self.one, self.t1)):
-            right = old == ids
-            keep = right | (t > 1)
-            trust[at] = np.where(right, np.minimum(t + 1, 100), np.where(keep, t >> 1, 1))
-            guess[at] = np.where(keep, old, ids)
+        full = self.total > 4000
+        for d, (count, c) in enumerate(zip(self.kind, self.counts, strict=True)):
+            new = c + (decision == d) * np.int32(24)
+            count[self.ctx] = np.where(full, (new + 1) >> 1, new)
+        ids32 = ids.astype(np.int32)
+        for cells, at, old, t in zip(self.cells, self.at, (self.two, self.one), (self.t2, self.t1), strict=True):
+            right = old == ids32
+            stay = np.where(right, np.minimum(t + 1, 100), t >> 1)
+            cells[at] = np.where(right | (t > 1), (old << 7) | stay, (ids32 << 7) | 1)
         self.prev2[:k] = self.prev[:k]
         self.prev[:k] = ids
 
-    def learn_class(self, lanes: np.ndarray, cls: np.ndarray) -> None:
-        cum = self.cum[lanes]
-        cum += (self.above[None, :] > cls[:, None]) * 64
-        big = cum[:, -1] > self.LIMIT
-        if big.any():
+    def _count(self, table: np.ndarray, rows: np.ndarray, cum: np.ndarray, which: np.ndarray) -> None:
+        cum = cum + (self.above > which[:, None]) * np.int32(self.GAIN)
+        big = np.flatnonzero(cum[:, 8] > self.LIMIT)
+        if len(big):
             freq = np.diff(cum[big], axis=1)
-            freq -= freq >> 1
-            cum[big, 1:] = np.cumsum(freq, axis=1)
-        self.cum[lanes] = cum
+            cum[big, 1:] = np.cumsum(freq - (freq >> 1), axis=1)
+        table[rows] = cum
+
+    def learn_class(self, lanes: np.ndarray, rows: np.ndarray, cls: np.ndarray, groups_: np.ndarray, members: np.ndarray) -> None:
+        self._count(self.group, lanes, groups_, cls >> 3)
+        self._count(self.member, rows, members, cls & 7)
 
 
 _TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
@@ -113,7 +116,10 @@ _16 = np.uint64(16)
 
 
 class _Coder:
-    """64-bit carry-free range arithmetic shared by both directions; `low` and `span` of each lane."""
+    """64-bit carry-free range arithmetic shared by both directions; `low` and `span` of each lane.
+
+    A span is 2^32 at least after `settle`, so two symbols with totals of 2^13 or less may be coded before the next one.
+    """
 
     def __init__(self, n: int):
         self.low, self.span = np.zeros(n, dtype=np.uint64), np.full(n, (1 << 64) - 1, dtype=np.uint64)
@@ -121,17 +127,18 @@ class _Coder:
     def narrow(self, lanes, start: np.ndarray, width: np.ndarray, step: np.ndarray) -> None:
         self.low[lanes] += start.astype(np.uint64) * step
         self.span[lanes] = width.astype(np.uint64) * step
+
+    def settle(self, lanes) -> None:
         while True:
             low, span = self.low[lanes], self.span[lanes]
             settled = (low ^ (low + span)) < _TOP
-            tight = ~settled & (span < _BOTTOM)
-            move = settled | tight
-            if not move.any():
-                return
+            move = settled | (span < _BOTTOM)
             which = np.flatnonzero(move)
-            own = which + lanes.start if isinstance(lanes, slice) else lanes[which]
+            if not len(which):
+                return
+            own = which if isinstance(lanes, slice) else lanes[which]
             lo = low[which]
-            sp = np.where(tight[which], (~lo + np.uint64(1)) & (_BOTTOM - np.uint64(1)), span[which])
+            sp = np.where(settled[which], span[which], (~lo + np.uint64(1)) & (_BOTTOM - np.uint64(1)))
             self.shift(own, lo)
             self.low[own], self.span[own] = lo << _16, sp << _16
 
@@ -163,26 +170,32 @@ class _Reader(_Coder):
     def __init__(self, payloads: list[bytes]):
         n = len(payloads)
         super().__init__(n)
-        self.words = np.zeros((n, max(len(p) // 2 for p in payloads) + 4), dtype=np.uint64)
+        self.words = np.zeros((n, max(len(p) // 2 for p in payloads) + 4), dtype="<u2")
         for i, p in enumerate(payloads):
             self.words[i, : len(p) // 2] = np.frombuffer(p, dtype="<u2")
-        self.code_, self.at = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.int64)
+        self.seen, self.at = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.int64)
         for _ in range(4):
             self.shift(np.arange(n), None)
 
     def shift(self, own, low):
-        self.code_[own] = (self.code_[own] << _16) | self.words[own, self.at[own]]
+        self.seen[own] = (self.seen[own] << _16) | self.words[own, self.at[own]].astype(np.uint64)
         self.at[own] += 1
 
     def slot(self, lanes, total) -> tuple[np.ndarray, np.ndarray]:
-        step = self.span[lanes] // total.astype(np.uint64)
-        return np.minimum((self.code_[lanes] - self.low[lanes]) // step, (total - 1).astype(np.uint64)).astype(np.int64), step
+        total = total.astype(np.uint64)
+        step = self.span[lanes] // total
+        return np.minimum((self.seen[lanes] - self.low[lanes]) // step, total - np.uint64(1)).astype(np.int64), step
+
+
+def _decision_bounds(model: Lanes, decision: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    zero, one, two = model.counts
+    start = np.where(decision == 0, 0, np.where(decision == 1, zero, zero + one))
+    return start, np.where(decision == 0, zero, np.where(decision == 1, one, two))
 
 
-def _decision_bounds(counts: np.ndarray, decision: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    width = counts[np.arange(len(decision)), decision]
-    start = np.where(decision > 0, counts[:, 0], 0) + np.where(decision > 1, counts[:, 1], 0)
-    return start, width, counts.sum(axis=1)
+def _columns(blocks: list, sizes: np.ndarray) -> np.ndarray:
+    """How many lanes are live at each step; lanes are in order of falling size."""
+    return len(blocks) - np.searchsorted(sizes[::-1], np.arange(sizes[0]), side="right")
 
 
 def encode_blocks(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
@@ -193,22 +206,27 @@ def encode_blocks(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
     for lane, i in enumerate(order):
         ids[: len(blocks[i]), lane] = blocks[i]
     model, coder = Lanes(len(blocks), vocabulary), _Writer(len(blocks), int(sizes[0]))
-    live = len(blocks) - np.searchsorted(sizes[::-1], np.arange(sizes[0]), side="right")
-    for t in range(int(sizes[0])):
-        k = int(live[t])
+    class_of = np.searchsorted(model.edges, np.arange(vocabulary), side="right") - 1
+    for t, k in enumerate(_columns(blocks, sizes).tolist()):
         x = ids[t, :k]
         model.look(k)
-        decision = np.where(x == model.two, 0, np.where((x == model.one) & ~model.same, 1, 2))
-        coder.code(slice(0, k), *_decision_bounds(model.counts, decision))
+        decision = np.where(x == model.two, 0, np.where(x == model.one, 1, 2))
+        coder.code(slice(0, k), *_decision_bounds(model, decision), model.total)
         rest = np.flatnonzero(decision == 2)
-        if len(rest):
-            v = x[rest]
-            cls = np.searchsorted(model.edges, v, side="right") - 1
-            cum = model.cum[rest]
-            at = np.arange(len(rest))
-            coder.code(rest, cum[at, cls], cum[at, cls + 1] - cum[at, cls], cum[:, -1])
-            coder.code(rest, v - model.edges[cls], np.ones(len(rest), dtype=np.int64), model.edges[cls + 1] - model.edges[cls])
-            model.learn_class(rest, cls)
+        v = x[rest]
+        cls = class_of[v]
+        rows = rest * 8 + (cls >> 3)
+        at, groups_, members = np.arange(len(rest)), model.group[rest], model.member[rows]
+        g, m = cls >> 3, cls & 7
+        start = groups_[at, g]
+        coder.code(rest, start, groups_[at, g + 1] - start, groups_[:, 8])
+        coder.settle(slice(0, k))
+        start = members[at, m]
+        coder.code(rest, start, members[at, m + 1] - start, members[:, 8])
+        first = model.edges[cls]
+        coder.code(rest, v - first, np.ones(len(rest), dtype=np.int64), model.edges[cls + 1] - first)
+        coder.settle(rest)
+        model.learn_class(rest, rows, cls, groups_, members)
         model.learn(k, x, decision)
     done = coder.finish()
     out = [b""] * len(blocks)
@@ -222,27 +240,33 @@ def decode_blocks(payloads: list[bytes], counts: list[int], vocabulary: int) ->
     sizes = np.array([counts[i] for i in order])
     ids = np.zeros((int(sizes[0]), len(payloads)), dtype=np.int64)
     model, coder = Lanes(len(payloads), vocabulary), _Reader([payloads[i] for i in order])
-    live = len(payloads) - np.searchsorted(sizes[::-1], np.arange(sizes[0]), side="right")
-    for t in range(int(sizes[0])):
-        k = int(live[t])
+    for t, k in enumerate(_columns(payloads, sizes).tolist()):
         model.look(k)
-        c = model.counts
-        total = c.sum(axis=1)
-        slot, step = coder.slot(slice(0, k), total)
-        decision = (slot >= c[:, 0]).astype(np.int64) + (slot >= c[:, 0] + c[:, 1])
-        coder.narrow(slice(0, k), *_decision_bounds(c, decision)[:2], step)
+        slot, step = coder.slot(slice(0, k), model.total)
+        zero, one, _ = model.counts
+        decision = (slot >= zero).astype(np.int64) + (slot >= zero + one)
+        coder.narrow(slice(0, k), *_decision_bounds(model, decision), step)
         x = np.where(decision == 0, model.two, model.one).astype(np.int64)
         rest = np.flatnonzero(decision == 2)
-        if len(rest):
-            cum = model.cum[rest]
-            at = np.arange(len(rest))
-            slot, step = coder.slot(rest, cum[:, -1])
-            cls = (cum <= slot[:, None]).sum(axis=1) - 1
-            coder.narrow(rest, cum[at, cls], cum[at, cls + 1] - cum[at, cls], step)
-            slot, step = coder.slot(rest, model.edges[cls + 1] - model.edges[cls])
-            coder.narrow(rest, slot, np.ones(len(rest), dtype=np.int64), step)
-            x[rest] = model.edges[cls] + slot
-            model.learn_class(rest, cls)
+        at, groups_ = np.arange(len(rest)), model.group[rest]
+        slot, step = coder.slot(rest, groups_[:, 8])
+        g = (groups_[:, 1:] <= slot[:, None]).sum(axis=1)
+        start = groups_[at, g]
+        coder.narrow(rest, start, groups_[at, g + 1] - start, step)
+        coder.settle(slice(0, k))
+        rows = rest * 8 + g
+        members = model.member[rows]
+        slot, step = coder.slot(rest, members[:, 8])
+        m = (members[:, 1:] <= slot[:, None]).sum(axis=1)
+        start = members[at, m]
+        coder.narrow(rest, start, members[at, m + 1] - start, step)
+        cls = g * 8 + m
+        first = model.edges[cls]
+        slot, step = coder.slot(rest, model.edges[cls + 1] - first)
+        coder.narrow(rest, slot, np.ones(len(rest), dtype=np.int64), step)
+        coder.settle(rest)
+        x[rest] = first + slot
+        model.learn_class(rest, rows, cls, groups_, members)
         ids[t, :k] = x
         model.learn(k, x, decision)
     out = [np.zeros(0, dtype=np.int64)] * len(payloads)
