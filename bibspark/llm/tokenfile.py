@@ -315,7 +315,7 @@ class Tokenized:
         parts, count = [], np.ones(len(chunks), dtype=np.int64)
         for i, c in enumerate(chunks):
             stem = c.rstrip(TRAILING)
-            if stem.isalpha():
+            if stem.isalpha() and (stem.isascii() or stem.lower().isalpha()):  # lower case may end in a combining mark
                 parts.append(stem.lower() if stem.isascii() else stem)
                 if len(stem) < len(c):
                     parts.append(c[len(stem) :])
