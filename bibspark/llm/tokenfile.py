@@ -31,9 +31,11 @@ from pyspark.sql import functions as F
 from .bpe import Chunks, groups
 from .common import cut, shared_dir
 
-BLOCK = 4096
-LANES = 2048
+BLOCK = 2048
+LANES = 4096
 CONTEXT_BITS = 10
+#: Entries of the caches of chunks and of pieces.
+CACHE = 800_000
 END_ID = 1
 _MAGIC = b"CMR1"
 _HEAD = struct.Struct("<4sIqqII")  # magic, block number, ids before it in its part, part, ids, documents
@@ -304,7 +306,7 @@ class Tokenized:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.vocabulary = self.tokenizer.get_vocab_size()
-        self.chunks, self.pieces = Chunks(self.chunk_ids), Chunks(self.piece_ids)
+        self.chunks, self.pieces = Chunks(self.chunk_ids, CACHE), Chunks(self.piece_ids, CACHE)
 
     def piece_ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
