@@ -1,6 +1,6 @@
 """Registered queries over the given tables, each with the SQL that tells the same rows."""
 
-from . import bibtex, relational, text
+from . import bibtex, more, relational, text
 
-QUERIES = {**bibtex.QUERIES, **relational.QUERIES, **text.QUERIES}
-ORACLES = {**bibtex.ORACLES, **relational.ORACLES, **text.ORACLES}
+QUERIES = {**bibtex.QUERIES, **relational.QUERIES, **text.QUERIES, **more.QUERIES}
+ORACLES = {**bibtex.ORACLES, **relational.ORACLES, **text.ORACLES, **more.ORACLES}
