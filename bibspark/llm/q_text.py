@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, pii, quality, secrets
+from . import decontaminate, licenses, pii, quality, secrets
 from .common import UPPER, table
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -89,6 +89,33 @@ def secret_sql() -> str:
              coalesce(n_copied, 0) AS n_copied, coalesce(n_live, 0) AS n_live_owned FROM d LEFT JOIN g USING (doc_id)"""
 
 
+def op2_license_scan(spark, sf_dir):
+    found = F.col("found")
+    return licenses.scan(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_units",
+        F.size(found).cast("long").alias("n_matches"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform(found, lambda x: x["license"]))), ",").alias("licenses"),
+        F.array_max(F.transform(found, lambda x: x["dice"])).alias("best_dice"),
+    )
+
+
+def license_sql() -> str:
+    quoted = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+    rows = ", ".join(f"({i}, '{n}', {quoted(g)}, {lo}, {hi})" for i, (n, g, lo, hi) in enumerate(licenses.template_rows()))
+    return rf"""
+      WITH t AS (SELECT * FROM (VALUES {rows}) AS v(i, license, grams, lo, hi)),
+      p AS (SELECT doc_id, list_filter(list_concat(string_split(coalesce(text, ''), chr(10)),
+              list_filter(list_transform(string_split_regex(coalesce(text, ''), '\n[ \t\r]*\n'), lambda x: regexp_replace(x, '^\n+|\n+$', '', 'g')), lambda x: contains(x, chr(10)))),
+              lambda x: regexp_matches(x, '[\p{{L}}\p{{N}}]')) AS us FROM documents),
+      u AS (SELECT doc_id, k, list_filter(string_split_regex(lower(x), '[^\p{{L}}\p{{N}}]+'), lambda y: y <> '') AS w FROM (SELECT doc_id, unnest(us) AS x, generate_subscripts(us, 1) AS k FROM p)),
+      g AS (SELECT doc_id, k, list_distinct(list_transform(generate_series(1, len(w) - 1), lambda j: w[j] || ' ' || w[j + 1])) AS b FROM u),
+      m AS (SELECT doc_id, k, license, i, round(2 * len(list_intersect(b, grams)) / (len(b) + len(grams)), 6) AS dice FROM g JOIN t ON len(b) BETWEEN lo AND hi),
+      s AS (SELECT doc_id, license, dice FROM m WHERE dice >= {licenses.LEAST} QUALIFY row_number() OVER (PARTITION BY doc_id, k ORDER BY dice DESC, i) = 1),
+      r AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS ls, max(dice) AS d FROM s GROUP BY doc_id)
+      SELECT p.doc_id, len(us)::BIGINT AS n_units, coalesce(n, 0)::BIGINT AS n_matches, coalesce(ls, '') AS licenses, d AS best_dice FROM p LEFT JOIN r USING (doc_id)"""
+
+
 def op4_personal_data(spark, sf_dir):
     xs = F.col("spans")
     of = lambda k: F.size(F.filter(xs, lambda x: x["k"] == k)).cast("long")
@@ -134,5 +161,5 @@ def contamination_sql(documents: str = "documents") -> str:
              sha256(coalesce(xs, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN it USING (doc_id)"""
 
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op4_personal_data": op4_personal_data, "op5_quality_rules": op5_quality_rules, "op10_decontaminate": op10_decontaminate}
-ORACLES = {"op1_secret_scan": secret_sql(), "op5_quality_rules": quality_sql(), "op10_decontaminate": contamination_sql()}
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_license_scan": op2_license_scan, "op4_personal_data": op4_personal_data, "op5_quality_rules": op5_quality_rules, "op10_decontaminate": op10_decontaminate}
+ORACLES = {"op1_secret_scan": secret_sql(), "op2_license_scan": license_sql(), "op5_quality_rules": quality_sql(), "op10_decontaminate": contamination_sql()}

@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
-from bibspark.llm import bpe, decontaminate, jaccard, pii, quality, queries, secrets, substring, tokenfile, warc
+from bibspark.llm import bpe, decontaminate, jaccard, licenses, pii, quality, queries, secrets, substring, tokenfile, warc
 from bibspark.llm.common import table
 from pyspark.sql import functions as F
 
@@ -27,7 +27,7 @@ def test_query_matches_sql(spark, duck, name):
 
 
 def test_every_operator_is_registered_once():
-    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == [1, 3, 4, 5, 6, 7, 8, 9, 10]
+    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 11))
 
 
 def test_empty_tables(spark):
@@ -40,6 +40,13 @@ def test_empty_tables(spark):
     assert decontaminate.report(cases.frame(spark, DOCS), items).where("ranges is not null").count() == 0
 
 
+def test_licenses(spark):
+    texts = [None, "", "x\nReleased under the MIT license\ny", "permission is hereby GRANTED, free of charge, to any person obtaining a copy of this software and\nassociated documentation files (the 'Software'), to deal in the Software without restriction, including\nwithout limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software,\nand to permit persons to whom the Software is furnished to do so, subject to the following conditions:", "licensed under CC BY 4.0", "The licence of a driver under the hood of MIT", "This work is licensed under the GNU General Public License, version 2 " * 2, "word " * 50_000]
+    got = {r["doc_id"]: [x["license"] for x in r["found"]] for r in licenses.scan(cases.frame(spark, list(enumerate(texts)))).collect()}
+    assert got == {0: [], 1: [], 2: ["MIT"], 3: ["MIT"], 4: ["CC-BY-4.0"], 5: [], 6: ["GPL-2.0"], 7: []}
+    assert licenses.scan(cases.frame(spark, []).limit(0)).count() == 0
+
+
 def test_secret_spans_and_redaction(spark):
     docs = cases.soup(SECRETS, 800)
     found = {r["doc_id"]: r for r in secrets.scan(cases.frame(spark, docs)).select("doc_id", secrets.listed(F.filter("spans", lambda x: x["k"] < 3)).alias("base"), "spans").collect()}
