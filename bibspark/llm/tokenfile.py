@@ -32,10 +32,10 @@ from .bpe import Chunks, groups
 from .common import cut, shared_dir
 
 BLOCK = 2048
-LANES = 4096
+LANES = 2048
 CONTEXT_BITS = 10
 #: Entries of the caches of chunks and of pieces.
-CACHE = 800_000
+CACHE = 250_000
 END_ID = 1
 _MAGIC = b"CMR1"
 _HEAD = struct.Struct("<4sIqqII")  # magic, block number, ids before it in its part, part, ids, documents
@@ -151,7 +151,7 @@ class _Coder:
 class _Writer(_Coder):
     def __init__(self, n: int, longest: int):
         super().__init__(n)
-        self.out, self.size = np.zeros((n, longest * 3 + 16), dtype="<u2"), np.zeros(n, dtype=np.int64)
+        self.out, self.size = np.zeros((n, longest * 4 + 16), dtype="<u2"), np.zeros(n, dtype=np.int64)
 
     def shift(self, own, low):
         self.out[own, self.size[own]] = (low >> np.uint64(48)).astype(np.uint16)
@@ -204,13 +204,13 @@ def encode_blocks(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
     """Payloads of blocks of ids, all lanes of one call in lockstep."""
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
     sizes = np.array([len(blocks[i]) for i in order])
-    ids = np.zeros((int(sizes[0]), len(blocks)), dtype=np.int64)
+    ids = np.zeros((int(sizes[0]), len(blocks)), dtype=np.int32)
     for lane, i in enumerate(order):
         ids[: len(blocks[i]), lane] = blocks[i]
     model, coder = Lanes(len(blocks), vocabulary), _Writer(len(blocks), int(sizes[0]))
     class_of = np.searchsorted(model.edges, np.arange(vocabulary), side="right") - 1
     for t, k in enumerate(_columns(blocks, sizes).tolist()):
-        x = ids[t, :k]
+        x = ids[t, :k].astype(np.int64)
         model.look(k)
         decision = np.where(x == model.two, 0, np.where(x == model.one, 1, 2))
         coder.code(slice(0, k), *_decision_bounds(model, decision), model.total)
@@ -240,7 +240,7 @@ def encode_blocks(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
 def decode_blocks(payloads: list[bytes], counts: list[int], vocabulary: int) -> list[np.ndarray]:
     order = sorted(range(len(payloads)), key=lambda i: -counts[i])
     sizes = np.array([counts[i] for i in order])
-    ids = np.zeros((int(sizes[0]), len(payloads)), dtype=np.int64)
+    ids = np.zeros((int(sizes[0]), len(payloads)), dtype=np.int32)
     model, coder = Lanes(len(payloads), vocabulary), _Reader([payloads[i] for i in order])
     for t, k in enumerate(_columns(payloads, sizes).tolist()):
         model.look(k)
