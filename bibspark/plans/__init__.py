@@ -1,6 +1,6 @@
 """Registered queries over the given tables, each with the SQL that tells the same rows."""
 
-from . import bibtex, extra, more, relational, text
+from . import bibtex, extra, more, relational, scalar, text
 
-QUERIES = {**bibtex.QUERIES, **relational.QUERIES, **text.QUERIES, **more.QUERIES, **extra.QUERIES}
-ORACLES = {**bibtex.ORACLES, **relational.ORACLES, **text.ORACLES, **more.ORACLES, **extra.ORACLES}
+QUERIES = {**bibtex.QUERIES, **relational.QUERIES, **text.QUERIES, **more.QUERIES, **extra.QUERIES, **scalar.QUERIES}
+ORACLES = {**bibtex.ORACLES, **relational.ORACLES, **text.ORACLES, **more.ORACLES, **extra.ORACLES, **scalar.ORACLES}
