@@ -34,4 +34,17 @@ def op9_warc_index(spark, sf_dir):
 
 
 QUERIES = {"op3_token_file": op3_token_file, "op6_substring_dedup": op6_substring_dedup, "op7_byte_bpe": op7_byte_bpe, "op8_jaccard_join": op8_jaccard_join, "op9_warc_index": op9_warc_index}
-ORACLES = {}
+#: URL keys of well-formed addresses only, as the tables have.
+WARC_SQL = r"""
+  WITH p AS (SELECT page_id, coalesce(html, '') AS h, coalesce(url, '') AS url FROM pages),
+  d AS (SELECT page_id, url, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS payload_digest FROM p),
+  k AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS keeper,
+          regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]*)', 1)), '^www\.', '') AS host,
+          lower(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1)) AS path, lower(regexp_extract(url, '\?([^#]*)', 1)) AS query,
+          strftime(TIMESTAMP '2024-01-01' + to_seconds(page_id), '%Y-%m-%dT%H:%M:%SZ') AS captured FROM d),
+  u AS (SELECT *, array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || CASE WHEN path = '' THEN '/' ELSE path END ||
+          CASE WHEN query = '' THEN '' ELSE '?' || array_to_string(list_sort(string_split(query, '&')), '&') END AS url_key FROM k)
+  SELECT page_id, payload_bytes, payload_digest, CASE WHEN keeper = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+         CASE WHEN keeper <> page_id THEN keeper END AS refers_to, url_key, captured, row_number() OVER (ORDER BY url_key, captured, page_id) - 1 AS position FROM u"""
+
+ORACLES = {"op9_warc_index": WARC_SQL}
