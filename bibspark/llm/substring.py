@@ -68,8 +68,16 @@ def profiles(docs: DataFrame, size: int, gram: int) -> DataFrame:
     return docs.mapInArrow(run, "doc long, n long, seq long, anchors array<long>")
 
 
+#: Added to the position of a window that its own task has found twice.
+SURE = 1 << 30
+
+
 def windows(docs: DataFrame, size: int, gram: int) -> DataFrame:
-    """(hash, doc, pos) of the windows of (doc, text, repeated, lead) whose anchor is in `repeated`. A copy group's lead has -1 - pos."""
+    """(hash, doc, pos) of the windows of (doc, text, repeated, lead) whose anchor is in `repeated`. A copy group's lead has -1 - pos.
+
+    Windows found twice in one batch are sure: they go on under a hash of their place, so that a frequent window is spread over
+    all tasks, and one row that counts twice stands for them under their own hash.
+    """
 
     def run(batches):
         for batch in batches:
@@ -93,7 +101,18 @@ def windows(docs: DataFrame, size: int, gram: int) -> DataFrame:
             yield _batch(out)
 
     def _batch(out):
-        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, _INT64), np.zeros(0, _INT64), np.zeros(0, np.int32)]
+        if not out:
+            cols = [np.zeros(0, _INT64), np.zeros(0, _INT64), np.zeros(0, np.int32)]
+        else:
+            h, doc, pos = (np.concatenate(c) for c in zip(*out, strict=True))
+            order = np.argsort(h, kind="stable")
+            h, doc, pos = h[order], doc[order], pos[order]
+            same = h[1:] == h[:-1]
+            twice = np.r_[same, False] | np.r_[False, same]
+            first = twice & ~np.r_[False, same]
+            sure = twice & (pos >= 0)
+            place = hashing.mix(doc[sure].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + pos[sure].astype(np.uint64)).view(_INT64)
+            cols = [np.r_[h[~twice], h[first], place], np.r_[doc[~twice], doc[first], doc[sure]], np.r_[pos[~twice], np.full(int(first.sum()), -1, np.int32), pos[sure] + np.int32(SURE)]]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["hash", "doc", "pos"])
 
     return docs.mapInArrow(run, "hash long, doc long, pos int")
@@ -115,13 +134,13 @@ def confirmed(rows: DataFrame) -> DataFrame:
                 before = False
             same = h[1:] == h[:-1]
             again = np.r_[before, same] | np.r_[same, False]
-            keep = again & (pos >= 0)
+            keep = (again & (pos >= 0)) | (pos >= SURE)
             keep[-1] = False
             # its list goes on from an earlier row: enough to tell that it recurs
             held = (h[-1:], doc[-1:], pos[-1:], bool(same[-1]) if len(same) else before)
-            yield pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array(pos[keep])], ["doc", "pos"])
-        if held is not None and held[3] and held[2][0] >= 0:
-            yield pa.RecordBatch.from_arrays([pa.array(held[1]), pa.array(held[2])], ["doc", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array(pos[keep] % SURE)], ["doc", "pos"])
+        if held is not None and (held[3] or held[2][0] >= SURE) and held[2][0] >= 0:
+            yield pa.RecordBatch.from_arrays([pa.array(held[1]), pa.array(held[2] % SURE)], ["doc", "pos"])
 
     # a lead comes first in its list and once more, so that its list has two rows
     twice = rows.select("hash", "doc", F.explode(F.when(F.col("pos") < 0, F.array("pos", "pos")).otherwise(F.array("pos"))).alias("pos"))
