@@ -104,5 +104,12 @@ def judge(docs: DataFrame, thresholds=THRESHOLDS, text: str = "text") -> DataFra
 
 
 def filter_docs(docs: DataFrame, thresholds=THRESHOLDS, text: str = "text") -> DataFrame:
-    """The kept documents with their own columns."""
-    return judge(docs, thresholds, text).where("kept").select(*docs.columns)
+    """The kept documents with their own columns.
+
+    A kept row is generated once or not at all: a filter would be pushed below the statistics and compute them again in its condition.
+    """
+    once = F.explode(F.when(F.col("kept"), F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>"))).alias("_once")
+    own = docs.columns
+    renamed = docs.select(*[F.col(f"`{c}`").alias(f"_own{i}") for i, c in enumerate(own)], F.col(text).alias("_text"))
+    judged = judge(renamed, thresholds, "_text").select(*[f"_own{i}" for i in range(len(own))], once)
+    return judged.select(*[F.col(f"_own{i}").alias(c) for i, c in enumerate(own)])
