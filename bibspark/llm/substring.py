@@ -185,11 +185,20 @@ def coded(words: np.ndarray) -> str:
 def occurrences(texts: list[np.ndarray], spans: list[np.ndarray], size: int) -> list[np.ndarray]:
     """For each text (word hashes) which of its words an occurrence of a passage covers; spans are the passages each text brings."""
     step = (size + 1) // 2
-    known: dict[bytes, np.ndarray] = {}
+    inventory: list[np.ndarray] = []
+    known: set[int] = set()  # windows that the inventory holds: variants of a passage add only what they have that is new
+    whole: set[bytes] = set()
     for words, ranges in zip(texts, spans, strict=True):
         for a, b in ranges:
-            known.setdefault(words[a:b].tobytes(), words[a:b])
-    inventory = list(known.values())
+            passage = words[a:b]
+            if (name := passage.tobytes()) in whole:
+                continue
+            whole.add(name)
+            hashes = hashing.window_hashes(passage, size).tolist()
+            fresh = np.fromiter((h not in known for h in hashes), dtype=bool, count=len(hashes))
+            known.update(hashes)
+            edge = np.diff(np.r_[0, fresh.view(np.int8), 0])
+            inventory += [passage[i : j + size - 1] for i, j in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)]
     automaton = ahocorasick.Automaton()
     blocks: dict[str, list[tuple[int, int]]] = {}
     for k, passage in enumerate(inventory):
@@ -206,19 +215,18 @@ def occurrences(texts: list[np.ndarray], spans: list[np.ndarray], size: int) ->
         if len(words) < size:
             continue
         seen = {(k, end - step + 1 - o) for end, places in automaton.iter(coded(words)) for k, o in places}
-        for k, shift in seen:  # the passage laid over the text at `shift`
+        for k, shift in sorted(seen, key=lambda x: -len(inventory[x[0]])):  # the passage laid over the text at `shift`
             passage = inventory[k]
             lo, hi = max(0, shift), min(len(words), shift + len(passage))
-            if hi - lo < size:
+            if hi - lo < size or mark[lo:hi].all():
                 continue
             same = words[lo:hi] == passage[lo - shift : hi - shift]
             if same.all():
                 mark[lo:hi] = True
                 continue
-            edge = np.diff(np.r_[0, same.view(np.int8), 0])
-            for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True):
-                if b - a >= size:
-                    mark[lo + a : lo + b] = True
+            breaks = np.concatenate(([-1], np.flatnonzero(~same), [hi - lo]))
+            for at in np.flatnonzero(np.diff(breaks) > size).tolist():
+                mark[lo + breaks[at] + 1 : lo + breaks[at + 1]] = True
     return covered
 
 
