@@ -33,6 +33,11 @@ def lower_ascii(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
+def text_key(text: Column) -> Column:
+    """SHA-256 of a text as bytes: with the doc_id it tells rows apart that share an id or have none. Null and empty texts agree."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
 def window_hashes(hashes: Column, size: int) -> Column:
     """Hash of the `size` consecutive elements from each start of `hashes` (array<long>); empty if there are fewer.
 

@@ -7,7 +7,7 @@ verified on all its words, so neither that prefix nor a hash collision can add h
 The window table goes out in blocks of at most `block_rows` rows, so a broadcast has a fixed bound however many items there are.
 
 Null or empty texts and items have no words: such documents come back clean, such items match nothing. Repeated items share
-one window row that lists all their ids; rows with the same doc_id share their hits. Extra columns of `docs` are left alone.
+one window row that lists all their ids; only rows with the same doc_id and text share their hits. Extra columns of `docs` are left alone.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lower_ascii, window_hashes
+from .common import cut, lower_ascii, text_key, window_hashes
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: A word before lower-casing; counts and places of words are the same.
@@ -49,16 +49,16 @@ def _powers(size: int) -> list[int]:
 
 
 def hits(docs: DataFrame, items: DataFrame, size: int = SIZE, doc_id: str = "doc_id", text: str = "text", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(doc_id, ranges, items): merged hit ranges [s, e) in words and the items found, one row per document with a hit."""
+    """(doc_id, text_key, ranges, items): merged hit ranges [s, e) in words and the items found, one row per doc_id and text with a hit."""
     table = cut(item_windows(items, size, text=text))
     lengths = {r["key"]: r["n"] for r in table.groupBy("key").agg(F.count("*").alias("n")).collect()}  # as many rows as powers of two up to `size`
     widths = sorted(lengths)
     blocks = max(1, -(-sum(lengths.values()) // block_rows))
-    w = docs.select(F.col(doc_id).alias("doc"), normal_words(F.col(text)).alias("w"))
-    h = w.select("doc", "w", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
+    w = docs.select(F.col(doc_id).alias("doc"), text_key(F.col(text)).alias("text_key"), normal_words(F.col(text)).alias("w"))
+    h = w.select("doc", "text_key", "w", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
     # one array of window hashes, shortest windows first; `first` tells where the windows of a width begin
-    wins = h.select("doc", "w", F.concat(*[window_hashes(F.col("h"), n) for n in widths]).alias("wins")) if widths else h.select("doc", "w", F.array().cast("array<long>").alias("wins"))
-    each = wins.select("doc", "w", F.posexplode("wins").alias("at", "hash"))
+    wins = h.select("doc", "text_key", "w", F.concat(*[window_hashes(F.col("h"), n) for n in widths]).alias("wins")) if widths else h.select("doc", "text_key", "w", F.array().cast("array<long>").alias("wins"))
+    each = wins.select("doc", "text_key", "w", F.posexplode("wins").alias("at", "hash"))
     first = reduce(
         lambda a, n: F.when(F.col("key") == n, sum((F.greatest(F.size("w") - (m - 1), F.lit(0)) for m in widths if m < n), F.lit(0))).otherwise(a), widths, F.lit(0)
     )
@@ -66,7 +66,7 @@ def hits(docs: DataFrame, items: DataFrame, size: int = SIZE, doc_id: str = "doc
     def found(block: int) -> DataFrame:
         part = table if blocks == 1 else table.where(F.pmod(F.xxhash64("hash"), F.lit(blocks)) == block)
         at = each.join(F.broadcast(part), "hash").withColumn("i", F.col("at") - first)
-        return at.where((F.col("i") >= 0) & (F.col("i") + F.col("len") <= F.size("w")) & (F.array_join(F.slice("w", F.col("i") + 1, F.col("len")), " ") == F.col("gram"))).select("doc", "i", "len", "items")
+        return at.where((F.col("i") >= 0) & (F.col("i") + F.col("len") <= F.size("w")) & (F.array_join(F.slice("w", F.col("i") + 1, F.col("len")), " ") == F.col("gram"))).select("doc", "text_key", "i", "len", "items")
 
     def merge(acc: Column, x: Column) -> Column:
         last = F.element_at(acc, -1)
@@ -76,9 +76,9 @@ def hits(docs: DataFrame, items: DataFrame, size: int = SIZE, doc_id: str = "doc
 
     all_hits = reduce(DataFrame.unionByName, [found(b) for b in range(blocks)])
     spot = F.struct(F.col("i").alias("s"), (F.col("i") + F.col("len")).alias("e"))
-    per_doc = all_hits.groupBy("doc").agg(F.sort_array(F.collect_set(spot)).alias("spots"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    per_doc = all_hits.groupBy("doc", "text_key").agg(F.sort_array(F.collect_set(spot)).alias("spots"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     ranges = F.aggregate("spots", F.array().cast("array<struct<s:int,e:int>>"), merge)
-    return per_doc.select(F.col("doc").alias(doc_id), ranges.alias("ranges"), "items")
+    return per_doc.select(F.col("doc").alias(doc_id), "text_key", ranges.alias("ranges"), "items")
 
 
 def hit_words(ranges: Column) -> Column:
@@ -88,9 +88,9 @@ def hit_words(ranges: Column) -> Column:
 def report(docs: DataFrame, items: DataFrame, size: int = SIZE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_words, ranges, items) for every document."""
     found = hits(docs, items, size, doc_id, text)
-    counted = docs.select(F.col(doc_id), F.size(F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), RAW_SEPARATORS), "")).cast("long").alias("n_words"))
-    right = found.withColumnRenamed(doc_id, "_doc")
-    return counted.join(right, F.col(doc_id).eqNullSafe(F.col("_doc")), "left").drop("_doc")
+    counted = docs.select(F.col(doc_id), F.size(F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), RAW_SEPARATORS), "")).cast("long").alias("n_words"), text_key(F.col(text)).alias("_own"))
+    right = found.withColumnsRenamed({doc_id: "_doc", "text_key": "_key"})
+    return counted.join(right, F.col(doc_id).eqNullSafe(F.col("_doc")) & (F.col("_own") == F.col("_key")), "left").drop("_doc", "_own", "_key")
 
 
 def without_words(text: Column, ranges: Column) -> Column:
@@ -106,11 +106,11 @@ def clean(docs: DataFrame, items: DataFrame, mode: str = "documents", size: int
 
     The hits are written first; the join broadcasts them only if there are at most `small`, else both sides are shuffled.
     """
-    found = cut(hits(docs, items, size, doc_id, text).withColumnsRenamed({doc_id: "_doc", "ranges": "_ranges"}).drop("items"))
+    found = cut(hits(docs, items, size, doc_id, text).withColumnsRenamed({doc_id: "_doc", "text_key": "_key", "ranges": "_ranges"}).drop("items"))
     side = F.broadcast(found) if found.count() <= small else found
-    on = F.col(doc_id).eqNullSafe(F.col("_doc"))
+    on = F.col(doc_id).eqNullSafe(F.col("_doc")) & (text_key(F.col(text)) == F.col("_key"))
     if mode == "documents":
-        return docs.join(side.select("_doc"), on, "left_anti")
+        return docs.join(side.select("_doc", "_key"), on, "left_anti")
     joined = docs.join(side, on, "left")
     new = F.when(F.col("_ranges").isNull(), F.col(text)).otherwise(without_words(F.col(text), F.col("_ranges")))
     return joined.withColumn(text, new).select(*docs.columns)

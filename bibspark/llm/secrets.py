@@ -6,7 +6,8 @@ per hash). A hash that `wide` owners or more share is a widely copied example; o
 live-looking if its value mixes letters and digits over 16 characters or more. Opaque tokens (20+ characters mixing both
 cases and digits) that no pattern names are added as spans of kind "opaque" when they are owner-specific.
 
-Null and empty texts have no spans. Null owners count as one owner. Repeated rows and ties in doc_id keep a row each.
+Null and empty texts have no spans. Null owners count as one owner. Repeated rows and ties in doc_id keep a row each; `redact`
+joins spans by doc_id and a hash of the text, so each row gets the spans of its own text, whether ids repeat or are null.
 Extra columns are ignored here and kept by `redact`.
 """
 
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, let, spans
+from .common import cut, let, spans, text_key
 
 # The base patterns.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -51,14 +52,16 @@ def ownership(found: DataFrame) -> DataFrame:
     return by_owner.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("r").alias("n_repos"), F.sum("n").alias("n_found"))
 
 
-def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source", repo: Column | None = None, wide: int = WIDE, small: int = 500_000) -> DataFrame:
+def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source", repo: Column | None = None, wide: int = WIDE, small: int = 500_000, keyed: bool = False) -> DataFrame:
     """(doc_id, spans): per row of `docs` its spans, array<struct<s,k,e,hash,live,n_owners,n_repos,copied>> by start, then kind.
 
     `repo` defaults to owner and language. The spans are written once, so the texts are read once; the ownership table is
     broadcast only if it has at most `small` rows, else joined by shuffle, where adaptive execution splits hot hashes.
+    `keyed` adds the column text_key.
     """
     repo = F.concat_ws("/", F.col(owner), F.col("lang")) if repo is None else repo
-    found = cut(docs.select(F.col(doc_id).alias("doc"), F.col(owner).alias("owner"), repo.alias("repo"), candidates(F.col(text)).alias("c")).withColumn("rid", F.monotonically_increasing_id()))
+    key = [text_key(F.col(text)).alias("text_key")] if keyed else []
+    found = cut(docs.select(F.col(doc_id).alias("doc"), *key, F.col(owner).alias("owner"), repo.alias("repo"), candidates(F.col(text)).alias("c")).withColumn("rid", F.monotonically_increasing_id()))
     flat = found.where(F.size("c") > 0).select("rid", "owner", "repo", F.explode("c").alias("x")).select("rid", "owner", "repo", "x.*")
     counts = cut(ownership(flat))
     side = F.broadcast(counts) if counts.count() <= small else counts
@@ -67,7 +70,8 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str
     span = F.struct("s", "k", "e", "hash", "live", "n_owners", "n_repos", "copied")
     per_row = judged.groupBy("rid").agg(F.sort_array(F.collect_list(span)).alias("spans"))
     empty = F.array().cast("array<struct<s:int,k:int,e:int,hash:string,live:boolean,n_owners:bigint,n_repos:bigint,copied:boolean>>")
-    return found.select("rid", F.col("doc").alias(doc_id)).join(per_row, "rid", "left").withColumn("spans", F.coalesce("spans", empty)).drop("rid")
+    own = found.select("rid", F.col("doc").alias(doc_id), *(["text_key"] if keyed else []))
+    return own.join(per_row, "rid", "left").withColumn("spans", F.coalesce("spans", empty)).drop("rid")
 
 
 def listed(xs: Column) -> Column:
@@ -77,8 +81,9 @@ def listed(xs: Column) -> Column:
 
 
 def redact(docs: DataFrame, mask: str = "[secret]", doc_id: str = "doc_id", text: str = "text", wide: int = WIDE, small: int = 500_000, **kw) -> DataFrame:
-    """`docs` with every found span replaced by `mask`; overlapping spans are replaced as one. Rows with the same doc_id must have the same text."""
-    found = cut(scan(docs, doc_id, text, wide=wide, **kw).where(F.size("spans") > 0).select(F.col(doc_id).alias("_doc"), "spans").dropDuplicates(["_doc"]))
+    """`docs` with every found span replaced by `mask`; overlapping spans are replaced as one. Spans depend on the text alone, so rows with the same doc_id and text share theirs."""
+    spotted = scan(docs, doc_id, text, wide=wide, keyed=True, **kw).where(F.size("spans") > 0)
+    found = cut(spotted.select(F.col(doc_id).alias("_doc"), F.col("text_key").alias("_key"), F.col("spans").alias("_spans")).dropDuplicates(["_doc", "_key"]))
     side = F.broadcast(found) if found.count() <= small else found
     kept = "struct<at:int,out:string>"
 
@@ -91,5 +96,5 @@ def redact(docs: DataFrame, mask: str = "[secret]", doc_id: str = "doc_id", text
         start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out")).cast(kept)
         return F.aggregate(xs, start, lambda a, x: step(a, x, t), lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.char_length(t))))
 
-    joined = docs.join(side.withColumnRenamed("spans", "_spans"), F.col(doc_id).eqNullSafe(F.col("_doc")), "left")
+    joined = docs.join(side, F.col(doc_id).eqNullSafe(F.col("_doc")) & (text_key(F.col(text)) == F.col("_key")), "left")
     return joined.withColumn(text, F.when(F.col("_spans").isNull(), F.col(text)).otherwise(masked(F.col(text), F.col("_spans")))).select(*docs.columns)
