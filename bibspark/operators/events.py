@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,17 +56,28 @@ def token_bucket(events: DataFrame, key: str, ts: str, ident: str, rate: float,
 
 
 def first_seen(events: DataFrame, keys: list[str], ts: str, ident: str, ttl: int) -> DataFrame:
-    """(keys, ident, fresh): an event is a duplicate within `ttl` seconds of the last fresh one of its keys; duplicates don't extend it."""
-    rows = events.select(*keys, F.col(ident), micros(ts).alias("t"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", ident])
-        last, fresh = None, []
-        for t in pdf["t"]:
-            new = last is None or t - last >= ttl * 1_000_000
-            last = t if new else last
-            fresh.append(new)
-        return pdf.assign(fresh=fresh)[[*keys, ident, "fresh"]]
+    """(keys, ident, fresh): an event is a duplicate within `ttl` seconds of the last fresh one of its keys; duplicates don't extend it.
+
+    Folded over sorted partitions as in `token_bucket`: only the current keys and their last fresh time are held.
+    """
+    import pyarrow as pa
+
+    names = [*keys, ident]
+    rows = events.select(*names, micros(ts).alias("_t")).repartition(*keys).sortWithinPartitions(*keys, "_t", ident)
+
+    def run(batches):
+        now, last = None, None
+        for batch in batches:
+            fresh = []
+            own = zip(*(c.to_pylist() for c in batch.columns[: len(keys)]), strict=True)
+            for k, t in zip(own, batch.column(len(names)).to_pylist(), strict=True):
+                if k != now:
+                    now, last = k, None
+                # an event without a time is fresh and leaves the last fresh time as it is
+                new = last is None or t is None or t - last >= ttl * 1_000_000
+                last = t if new and t is not None else last
+                fresh.append(new)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(fresh, pa.bool_())], [*names, "fresh"])
 
     kinds = dict(rows.dtypes)
-    return rows.groupBy(*keys).applyInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in [*keys, ident]) + ", fresh boolean")
+    return rows.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", fresh boolean")

@@ -78,20 +78,29 @@ def slug(c: Column) -> Column:
 
 def assign_keys(wanted: DataFrame) -> DataFrame:
     """(doc_id, rec, key): unique keys within each document. `wanted` has (doc_id, rec, base); the first record in order keeps its
-    base, later ones of the same base get a suffix from a hash of their identity. A document is the unit of work."""
+    base, later ones of the same base get a suffix from a hash of their identity.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    A document's records stream in order through one task. Only its used keys are held, as a key may meet any earlier one.
+    """
+    rows = wanted.select(F.col("doc_id").cast("long"), F.col("rec").cast("long"), F.col("base").cast("string")).repartition("doc_id").sortWithinPartitions("doc_id", "rec")
+
+    def run(batches):
         import hashlib
 
-        used: set[str] = set()
-        keys = []
-        for row in pdf.sort_values("rec").itertuples():
-            key, k = row.base, 0
-            while key in used:
-                key = f"{row.base}-{hashlib.sha256(f'{row.rec}:{k}'.encode()).hexdigest()[:8]}"
-                k += 1
-            used.add(key)
-            keys.append((row.doc_id, row.rec, key))
-        return pd.DataFrame(keys, columns=["doc_id", "rec", "key"])
-
-    return wanted.groupBy("doc_id").applyInPandas(run, "doc_id long, rec long, key string")
+        import pyarrow as pa
+
+        now, used = None, set()
+        for batch in batches:
+            keys = []
+            for doc, rec, base in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if doc != now:
+                    now, used = doc, set()
+                key, k = base, 0
+                while key in used:
+                    key = f"{base}-{hashlib.sha256(f'{rec}:{k}'.encode()).hexdigest()[:8]}"
+                    k += 1
+                used.add(key)
+                keys.append(key)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.string())], ["doc_id", "rec", "key"])
+
+    return rows.mapInArrow(run, "doc_id long, rec long, key string")

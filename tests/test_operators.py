@@ -104,3 +104,33 @@ def test_token_bucket_orders_by_time(spark):
     ev = spark.createDataFrame([(i, 1, at + datetime.timedelta(seconds=s)) for i, s in enumerate((0, 0, 1, 10))], "event_id long, user_id long, ts timestamp_ntz")
     out = events.token_bucket(ev, "user_id", "ts", "event_id", 0.1, 1.0).orderBy("event_id").collect()
     assert [(r.allowed, r.retry_after) for r in out] == [(True, 0), (False, 10), (False, 9), (True, 0)]
+
+
+def _whole_groups(df):
+    return "FlatMapGroupsInPandas" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_first_seen_streams_hot_keys(spark):
+    at = datetime.datetime(2024, 1, 1)
+    rows = [(i, 1, "a", at + datetime.timedelta(seconds=s)) for i, s in enumerate((0, 5, 9, 10, 19, 20, 20, 31))] + [(90, 2, "a", at), (91, None, "b", at), (92, None, "b", at), (93, 3, None, at)]
+    ev = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, ts timestamp_ntz")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        out = events.first_seen(ev, ["user_id", "event_type"], "ts", "event_id", 10)
+        assert not _whole_groups(out)
+        assert [r.event_id for r in out.where("fresh").orderBy("event_id").collect()] == [0, 3, 5, 7, 90, 91, 93]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_keys_stream_over_batches(spark):
+    wanted = spark.createDataFrame([(d, i, f"b{i % 4}") for d in (1, 2) for i in range(20)], "doc_id long, rec long, base string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        out = resolve.assign_keys(wanted)
+        assert not _whole_groups(out)
+        rows = out.collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len({(r.doc_id, r.key) for r in rows}) == 40
+    assert sorted((r.doc_id, r.rec) for r in rows if "-" not in r.key) == [(d, i) for d in (1, 2) for i in range(4)]
