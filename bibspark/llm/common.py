@@ -8,6 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII white space, the only word separator of the word-based operators.
 WS = r"[\x20\x09-\x0D]+"
@@ -59,9 +60,15 @@ def window_hashes(hashes: Column, size: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; a temporary one only where none is set (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return folder or tempfile.mkdtemp(prefix="spark-")
+    """The checkpoint folder of the session. A local master without one (tests) gets one temporary folder for the session; a cluster must name it."""
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not folder:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        folder = sc.getCheckpointDir()
+    return folder
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -72,13 +79,57 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Folders of intermediate tables that this process has written and not yet deleted.
+_written: list[str] = []
+
+
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder for intermediate files in the shared folder; `drop_written` deletes it."""
+    path = f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def stored(df: DataFrame) -> DataFrame:
     """`df` written as Parquet in the shared folder and read back: like `cut`, but compressed and by column."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_written(spark: SparkSession, since: int = 0) -> None:
+    """Delete the intermediate folders written after the first `since` ones. Call it once results that read them are saved."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while len(_written) > since:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+#: A side of a join is broadcast if its rows take at most so many bytes.
+SMALL = 32 << 20
+
+
+def _width(name: str, kind: T.DataType) -> Column:
+    """Bytes of a column's value, about."""
+    c = F.col(f"`{name}`")
+    if isinstance(kind, T.StringType | T.BinaryType):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.NumericType):
+        return F.greatest(F.size(c), F.lit(0)) * 8 + 24
+    if isinstance(kind, T.ArrayType | T.StructType | T.MapType):
+        return F.coalesce(F.octet_length(F.to_json(c)), F.lit(0)) + 24
+    return F.lit(8)
+
+
+def side(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """A written table `df`, marked for broadcast if its rows take at most `most` bytes; beyond that the join shuffles it."""
+    width = F.lit(16)
+    for f in df.schema.fields:
+        width = width + _width(f.name, f.dataType)
+    total = df.agg(F.sum(width.cast("long")).alias("n")).first()["n"] or 0
+    return F.broadcast(df) if total <= most else df
+
+
 def spans(text: Column, pattern: str, before: int = 0) -> Column:
     """Matches of `pattern`, leftmost and non-overlapping, as array<struct<s,e,m[,c]>> in code points.
 

@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lower_ascii, text_key, window_hashes
+from .common import SMALL, cut, lower_ascii, side, text_key, window_hashes
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: A word before lower-casing; counts and places of words are the same.
@@ -101,16 +101,16 @@ def without_words(text: Column, ranges: Column) -> Column:
     return F.array_join(F.zip_with(gaps, kept, lambda g, w: F.concat(g, F.coalesce(w, F.lit("")))), "")
 
 
-def clean(docs: DataFrame, items: DataFrame, mode: str = "documents", size: int = SIZE, doc_id: str = "doc_id", text: str = "text", small: int = 1_000_000) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, mode: str = "documents", size: int = SIZE, doc_id: str = "doc_id", text: str = "text", small: int = SMALL) -> DataFrame:
     """`docs` without contaminated documents (mode "documents") or without the hit words (mode "spans").
 
-    The hits are written first; the join broadcasts them only if there are at most `small`, else both sides are shuffled.
+    The hits are written first; the join broadcasts them only if they take at most `small` bytes, else both sides are shuffled.
     """
     found = cut(hits(docs, items, size, doc_id, text).withColumnsRenamed({doc_id: "_doc", "text_key": "_key", "ranges": "_ranges"}).drop("items"))
-    side = F.broadcast(found) if found.count() <= small else found
+    hit = side(found, small)
     on = F.col(doc_id).eqNullSafe(F.col("_doc")) & (text_key(F.col(text)) == F.col("_key"))
     if mode == "documents":
-        return docs.join(side.select("_doc", "_key"), on, "left_anti")
-    joined = docs.join(side, on, "left")
+        return docs.join(hit.select("_doc", "_key"), on, "left_anti")
+    joined = docs.join(hit, on, "left")
     new = F.when(F.col("_ranges").isNull(), F.col(text)).otherwise(without_words(F.col(text), F.col("_ranges")))
     return joined.withColumn(text, new).select(*docs.columns)

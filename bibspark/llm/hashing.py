@@ -61,15 +61,41 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool) -> tuple[np.n
     return mix(total + (end - start).astype(np.uint64) * _STEP), start, end
 
 
-def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
-    """Hash of `size` consecutive words from each start; the caller drops windows that leave their text."""
+def window_sums(words: np.ndarray, size: int, base: np.uint64 = _BASE) -> np.ndarray:
+    """Sum of words[i + k] * base^k over k < size, from each start i: widths double and the powers of two in `size` are joined."""
     n = len(words) - size + 1
-    if n <= 0:
+    power, width, done, done_width = words, 1, None, 0
+    scale, done_scale = np.uint64(base), np.uint64(1)
+    with np.errstate(over="ignore"):
+        while True:
+            if size & width:
+                done = power if done is None else done[: len(power) - done_width] + power[done_width:] * done_scale
+                done_width, done_scale = done_width + width, done_scale * scale
+            if width * 2 > size:
+                return done[:n]
+            power = power[: len(power) - width] + power[width:] * scale
+            width, scale = width * 2, scale * scale
+
+
+def window_hashes(words: np.ndarray, size: int, base: np.uint64 = _BASE) -> np.ndarray:
+    """Hash of `size` consecutive words from each start; the caller drops windows that leave their text."""
+    if len(words) < size:
         return np.zeros(0, dtype=np.uint64)
-    out = np.zeros(n, dtype=np.uint64)
-    for k, p in enumerate(powers(_BASE, size)):
-        out += words[k : k + n] * p
-    return mix(out + np.array([size], dtype=np.uint64) * _STEP)
+    return mix(window_sums(words, size, base) + np.array([size], dtype=np.uint64) * _STEP)
+
+
+def window_least(values: np.ndarray, size: int) -> np.ndarray:
+    """Least of `size` consecutive values from each start."""
+    least, width = values, 1
+    while width * 2 <= size:
+        least, width = np.minimum(least[: len(least) - width], least[width:]), width * 2
+    return least if width == size else np.minimum(least[: len(values) - size + 1], least[size - width :])
+
+
+def fingerprint(values: np.ndarray) -> int:
+    """A 64-bit hash of a set of hashes."""
+    total = mix(values + np.uint64(len(values))).sum(dtype=np.uint64) if len(values) else np.uint64(0)
+    return int(mix(np.array([total], dtype=np.uint64)).view(np.int64)[0])
 
 
 def groups(column: pa.Array, most: int = GROUP_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

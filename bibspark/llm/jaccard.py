@@ -29,8 +29,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import hashing
+from .common import SMALL, cut, side
 from .components import components
-from .common import cut
+from .hashing import fingerprint
 
 SHINGLE = 5
 PERCENT = 75
@@ -56,12 +57,6 @@ def sets(column: pa.Array, shingle: int = SHINGLE) -> Iterator[tuple[int, np.nda
                 yield first + i, np.zeros(0, dtype=np.uint64)
 
 
-def fingerprint(values: np.ndarray) -> int:
-    """A 64-bit hash of a set."""
-    total = hashing.mix(values + np.uint64(len(values))).sum(dtype=np.uint64) if len(values) else np.uint64(0)
-    return int(hashing.mix(np.array([total], dtype=np.uint64)).view(_INT64)[0])
-
-
 def least_overlap(n: int, percent: int = PERCENT) -> int:
     """Elements that a set of n must share with any set it links with."""
     return -(-percent * n // 100)
@@ -331,7 +326,7 @@ def verified(work: DataFrame, percent: int = PERCENT) -> DataFrame:
     return _arrow(dealt, run, "doc long, root long, links long")
 
 
-def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, extra: float = EXTRA, block: int = BLOCK, elements: int = ELEMENTS, small: int = 1_000_000) -> DataFrame:
+def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, extra: float = EXTRA, block: int = BLOCK, elements: int = ELEMENTS, small: int = SMALL) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) for every document."""
     inputs = _inputs(docs, doc_id, text)
     summed = cut(summary(inputs, shingle))
@@ -363,7 +358,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: i
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64()), pa.array(data, pa.binary())], ["doc", "fp", "elements"])
 
     reps = placed.select(F.col("rep").alias("doc"))
-    needed = F.broadcast(reps) if reps.count() <= small else reps
+    needed = side(reps, small)
     full = _arrow(inputs.join(needed, "doc", "left_semi"), full_sets, "doc long, fp long, elements binary")
     stored = full.join(placed, (full["doc"] == placed["rep"]) & (full["fp"] == placed["fp"])).select("root", "blk", "doc", "weight", "elements")
     work = stored.join(sides, ["root", "blk"]).select("pair", "doc", "weight", "side", "elements")
@@ -373,5 +368,4 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: i
     count = links.groupBy("doc").agg(F.sum("links").alias("links"))
     found = classes.join(linked, classes["rep"] == linked["node"], "left").join(count, classes["rep"] == count["doc"], "left").select("fp", "n", F.coalesce("root", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     found = cut(found)
-    side = F.broadcast(found) if found.count() <= small else found
-    return summed.join(side, ["fp", "n"], "left").select(F.col("doc").alias(doc_id), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return summed.join(side(found, small), ["fp", "n"], "left").select(F.col("doc").alias(doc_id), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

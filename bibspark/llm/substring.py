@@ -1,23 +1,27 @@
 """Substring dedup with repeated-phrase automata.
 
  1. Anchors. Of every window of `size` words the least hash of its `gram`-word phrases is an anchor; equal windows have equal
-    anchors, so a window can only recur if its anchor is found twice. A scan writes each document's distinct anchors (about a
-    fifteenth of its words) and a hash of its word sequence; counts over the corpus keep the anchors found twice or more.
- 2. Confirmation. Windows with such an anchor are hashed and sorted; a stream over the sorted hashes keeps those found twice or
-    more, whatever the number of copies. Of a group of exact copies only one member sends windows, counted twice.
- 3. Automata. Consecutive confirmed windows of a document form a passage. Shards of documents, bounded in count and bytes, each
-    compile their passages, cut into blocks of (size + 1) // 2 words that any window must hold one of, into one Aho-Corasick
-    automaton and stream their documents through it, a character for a word. Each hit is compared with its passage word by word
-    in both directions; runs of `size` words or more are occurrences, and their words are removed.
-
-Windows are judged on the input. Null and empty texts have no words and stay empty; texts shorter than `size` words lose none.
-Repeated rows are copies of each other. doc_id must tell different texts apart. Extra columns are ignored.
+    anchors, so a window can only recur if its anchor is found twice. A scan writes the distinct anchors of each piece of a text
+    (about a fifteenth of its words) and a hash of its words; counts over the corpus keep the anchors found twice or more. Pieces
+    are runs of `PIECE` windows, so a long text is many pieces.
+ 2. Confirmation. Windows with such an anchor are hashed to 128 bits and sorted; a stream over the sorted hashes keeps one place,
+    the first, of each window found twice or more. Of a group of equal pieces only one sends its windows, counted twice.
+ 3. Automata. Consecutive confirmed windows of a text form a passage: each recurring word sequence is in one passage at least, in
+    a single copy. Passages are dealt into shards of bounded bytes. A shard's passages, cut into blocks of (size + 1) // 2 words
+    that any window must hold one of, are compiled into one Aho-Corasick automaton, a character for a word.
+ 4. Occurrences. Every text is streamed against the automata: a segment (a run of its windows whose anchors a shard's passages
+    have) goes to that shard, a hot shard's segments to several tasks that each compile it. Each hit is laid over its passage in both
+    directions; runs of `size` words or more are compared word by word, not by hash, and are the occurrences: their words go.
+
+Nothing but the automata tells which words go. Rows are told apart by a key made when the texts are first written, so null and
+repeated doc_ids are documents of their own; repeated rows are copies of each other. Windows are judged on the input. Null and
+empty texts have no words and stay empty; texts shorter than `size` words lose none; texts of any length are cut into pieces.
+Extra columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
@@ -26,153 +30,222 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import cut, stored
-from .jaccard import fingerprint
+from .common import SMALL, side, stored
+from .hashing import fingerprint
 
 SIZE, GRAM = 35, 8
-SHARD_DOCS, SHARD_BYTES = 1000, 4_000_000
+#: Windows of a piece; words of a passage are cut likewise.
+PIECE = 4000
+#: Text of the passages of a shard, and of the segments that one task streams against it, about.
+SHARD_BYTES, CHUNK_BYTES = 1_500_000, 12_000_000
 _INT64 = np.int64
+_OTHER = np.uint64(0xA24BAED4963EE407)
 
 
-def least_grams(words: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """(phrase hashes, least phrase hash of each window) of a text's word hashes; it has `size` words at least."""
+def _least(words: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """(phrase hashes, anchor of each window) of a run of word hashes."""
     grams = hashing.window_hashes(words, gram)
-    return grams, np.lib.stride_tricks.sliding_window_view(grams, size - gram + 1).min(axis=1)
+    return grams, hashing.window_least(grams, size - gram + 1)
 
 
-def _sequence(words: np.ndarray) -> int:
-    return fingerprint(words * hashing.powers(np.uint64(0xD1342543DE82EF95), len(words)))
+def _second(words: np.ndarray) -> np.ndarray:
+    return hashing.mix(words ^ _OTHER)
 
 
-def profiles(docs: DataFrame, size: int, gram: int) -> DataFrame:
-    """(doc, n, seq, anchors) of texts with `size` words or more; an anchor whose phrase recurs in the text is listed twice."""
+def profiles(rows: DataFrame, size: int, gram: int, piece: int) -> DataFrame:
+    """(rid, piece, n, s1, s2, anchors) of pieces of texts with `size` words or more; an anchor whose phrase recurs in the piece is listed twice."""
 
     def run(batches):
         for batch in batches:
-            ids, rows = batch.column(0).to_pylist(), []
+            ids, out = batch.column(0).to_numpy(), []
             for first, _, h, _, _, ranges in hashing.docs_words(batch.column(1), fold=False):
-                for i in range(len(ranges) - 1):
-                    words = h[ranges[i] : ranges[i + 1]]
-                    if len(words) < size:
-                        continue
-                    grams, least = least_grams(words, size, gram)
-                    grams, found = np.sort(grams), np.unique(least)
-                    count = np.searchsorted(grams, found, "right") - np.searchsorted(grams, found, "left")
-                    rows.append((ids[first + i], len(words), _sequence(words), np.repeat(found, np.minimum(count, 2)).view(_INT64)))
-            cols = list(zip(*rows, strict=True)) or [[]] * 4
-            sizes = np.array([len(a) for a in cols[3]], dtype=np.int32)
-            flat = np.concatenate(cols[3]) if rows else np.zeros(0, _INT64)
+                if len(h) < size:
+                    continue
+                grams, least = _least(h, size, gram)
+                other = _second(h)
+                for i in np.flatnonzero(np.diff(ranges) >= size).tolist():
+                    for k, a in enumerate(range(ranges[i], ranges[i + 1] - size + 1, piece)):
+                        b = min(a + piece + size - 1, ranges[i + 1])  # words a:b, windows a:b - size + 1
+                        own, found = np.sort(grams[a : b - gram + 1]), np.unique(least[a : b - size + 1])
+                        count = np.searchsorted(own, found, "right") - np.searchsorted(own, found, "left")
+                        sums = [fingerprint(w[a:b] * hashing.powers(_OTHER | np.uint64(5), b - a)) for w in (h, other)]
+                        out.append((ids[first + i], k, b - a, *sums, np.repeat(found, np.minimum(count, 2)).view(_INT64)))
+            cols = list(zip(*out, strict=True)) or [[]] * 6
+            sizes = np.array([len(a) for a in cols[5]], dtype=np.int32)
+            flat = np.concatenate(cols[5]) if out else np.zeros(0, _INT64)
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), lists], ["doc", "n", "seq", "anchors"])
-
-    return docs.mapInArrow(run, "doc long, n long, seq long, anchors array<long>")
-
+            longs = [pa.array(c, pa.int64()) for c in cols[:5]]
+            yield pa.RecordBatch.from_arrays([longs[0], longs[1].cast(pa.int32()), *longs[2:], lists], ["rid", "piece", "n", "s1", "s2", "anchors"])
 
-#: Added to the position of a window that its own task has found twice.
-SURE = 1 << 30
+    return rows.mapInArrow(run, "rid long, piece int, n long, s1 long, s2 long, anchors array<long>")
 
 
-def windows(docs: DataFrame, size: int, gram: int) -> DataFrame:
-    """(hash, doc, pos) of the windows of (doc, text, repeated, lead) whose anchor is in `repeated`. A copy group's lead has -1 - pos.
+def windows(rows: DataFrame, size: int, gram: int, piece: int, most: int = 400_000) -> DataFrame:
+    """(h1, h2, rid, pos, c) of the windows of (rid, text, repeated, led) whose anchor is in `repeated`.
 
-    Windows found twice in one batch are sure: they go on under a hash of their place, so that a frequent window is spread over
-    all tasks, and one row that counts twice stands for them under their own hash.
+    `led` lists the pieces that stand for a group of equal ones: their windows count twice. Windows found twice in one batch are one
+    row that counts twice, so a frequent window is a few rows for each task.
     """
 
     def run(batches):
         for batch in batches:
-            ids, lead, out, held = batch.column(0).to_numpy(), batch.column(3).to_pylist(), [], 0
-            repeated = batch.column(2)
+            ids, repeated, led, out, held = batch.column(0).to_numpy(), batch.column(2), batch.column(3).to_pylist(), [], 0
             for first, _, h, _, _, ranges in hashing.docs_words(batch.column(1), fold=False):
-                for i in range(len(ranges) - 1):
-                    words = h[ranges[i] : ranges[i + 1]]
-                    if len(words) < size:
-                        continue
-                    anchors = np.sort(repeated[first + i].values.to_numpy(zero_copy_only=False).view(np.uint64))
-                    least = least_grams(words, size, gram)[1]
-                    at = np.minimum(np.searchsorted(anchors, least), len(anchors) - 1)
-                    pos = np.flatnonzero(anchors[at] == least)
-                    hashes = hashing.window_hashes(words, size)[pos].view(_INT64)
-                    out.append((hashes, np.full(len(pos), ids[first + i]), (-1 - pos if lead[first + i] else pos).astype(np.int32)))
-                    held += len(pos)
-                    if held > 500_000:
+                if len(h) < size:
+                    continue
+                least = _least(h, size, gram)[1]
+                h1, h2 = hashing.window_hashes(h, size).view(_INT64), hashing.window_hashes(_second(h), size, _OTHER | np.uint64(5)).view(_INT64)
+                for i in np.flatnonzero(np.diff(ranges) >= size).tolist():
+                    a, b = ranges[i], ranges[i + 1] - size + 1
+                    at = np.flatnonzero(member(least[a:b], repeated[first + i]))
+                    count = np.ones(len(at), dtype=np.int32)
+                    skipped, doubled = led[first + i]["skip"], led[first + i]["led"]
+                    if skipped or doubled:
+                        place = at // piece
+                        count[np.isin(place, doubled)] = 2
+                        keep = ~np.isin(place, skipped)
+                        at, count = at[keep], count[keep]
+                    out.append((h1[a + at], h2[a + at], np.full(len(at), ids[first + i]), at.astype(np.int64), count))
+                    held += len(at)
+                    if held > most:
                         yield _batch(out)
                         out, held = [], 0
             yield _batch(out)
 
     def _batch(out):
-        if not out:
-            cols = [np.zeros(0, _INT64), np.zeros(0, _INT64), np.zeros(0, np.int32)]
-        else:
-            h, doc, pos = (np.concatenate(c) for c in zip(*out, strict=True))
-            order = np.argsort(h, kind="stable")
-            h, doc, pos = h[order], doc[order], pos[order]
-            same = h[1:] == h[:-1]
-            twice = np.r_[same, False] | np.r_[False, same]
-            first = twice & ~np.r_[False, same]
-            sure = twice & (pos >= 0)
-            place = hashing.mix(doc[sure].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + pos[sure].astype(np.uint64)).view(_INT64)
-            cols = [np.r_[h[~twice], h[first], place], np.r_[doc[~twice], doc[first], doc[sure]], np.r_[pos[~twice], np.full(int(first.sum()), -1, np.int32), pos[sure] + np.int32(SURE)]]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["hash", "doc", "pos"])
-
-    return docs.mapInArrow(run, "hash long, doc long, pos int")
+        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, _INT64)] * 4 + [np.zeros(0, np.int32)]
+        order = np.lexsort((cols[3], cols[2], cols[1], cols[0]))
+        cols = [c[order] for c in cols]
+        fresh = np.r_[True, (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])] if len(order) else np.zeros(0, bool)
+        total = np.minimum(np.add.reduceat(cols[4], np.flatnonzero(fresh)), 2).astype(np.int32) if len(order) else cols[4]
+        return pa.RecordBatch.from_arrays([*(pa.array(c[fresh]) for c in cols[:4]), pa.array(total)], ["h1", "h2", "rid", "pos", "c"])
+
+    return rows.mapInArrow(run, "h1 long, h2 long, rid long, pos long, c int")
+
+
+def member(values: np.ndarray, wanted) -> np.ndarray:
+    """Which of `values` are in the Arrow list scalar `wanted` (of longs)."""
+    w = np.sort(wanted.values.to_numpy(zero_copy_only=False).view(np.uint64))
+    return w[np.minimum(np.searchsorted(w, values), len(w) - 1)] == values if len(w) else np.zeros(len(values), bool)
 
 
 def confirmed(rows: DataFrame) -> DataFrame:
-    """(doc, pos) of the windows, leads aside, whose hash is found twice; a lead counts twice. Streams sorted hashes, holding one row."""
+    """(rid, pos): the first place of each window that is found twice. Streams sorted hashes and holds one row."""
 
     def run(batches):
-        held = None  # the last row, not yet told
+        held = None  # (h1, h2, rid, pos, count) of the last window, not yet told
         for batch in batches:
             if not batch.num_rows:
                 continue
-            h, doc, pos = (batch.column(i).to_numpy() for i in range(3))
+            h1, h2, rid, pos, c = (batch.column(i).to_numpy() for i in range(5))
             if held is not None:
-                h, doc, pos = np.r_[held[0], h], np.r_[held[1], doc], np.r_[held[2], pos]
-                before = held[3]
-            else:
-                before = False
-            same = h[1:] == h[:-1]
-            again = np.r_[before, same] | np.r_[same, False]
-            keep = (again & (pos >= 0)) | (pos >= SURE)
-            keep[-1] = False
-            # its list goes on from an earlier row: enough to tell that it recurs
-            held = (h[-1:], doc[-1:], pos[-1:], bool(same[-1]) if len(same) else before)
-            yield pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array(pos[keep] % SURE)], ["doc", "pos"])
-        if held is not None and (held[3] or held[2][0] >= SURE) and held[2][0] >= 0:
-            yield pa.RecordBatch.from_arrays([pa.array(held[1]), pa.array(held[2] % SURE)], ["doc", "pos"])
-
-    # a lead comes first in its list and once more, so that its list has two rows
-    twice = rows.select("hash", "doc", F.explode(F.when(F.col("pos") < 0, F.array("pos", "pos")).otherwise(F.array("pos"))).alias("pos"))
-    return twice.repartition("hash").sortWithinPartitions("hash").mapInArrow(run, "doc long, pos int")
-
-
-def passages(found: DataFrame, size: int) -> DataFrame:
-    """(doc, spans): merged word ranges of each document's confirmed windows, as pairs of 32-bit integers. Streams sorted positions."""
+                h1, h2, rid, pos, c = (np.r_[x, y] for x, y in zip(held, (h1, h2, rid, pos, c), strict=True))
+            start = np.flatnonzero(np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
+            total = np.minimum(np.add.reduceat(c, start), 2)
+            last = start[-1]
+            held = ([h1[last]], [h2[last]], [rid[last]], [pos[last]], [total[-1]])
+            found = start[:-1][total[:-1] > 1]
+            yield pa.RecordBatch.from_arrays([pa.array(rid[found]), pa.array(pos[found])], ["rid", "pos"])
+        if held is not None and held[4][0] > 1:
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(held[2])), pa.array(np.array(held[3]))], ["rid", "pos"])
+
+    return rows.repartition("h1").sortWithinPartitions("h1", "h2", "rid", "pos").mapInArrow(run, "rid long, pos long")
+
+
+def merged(found: DataFrame, size: int) -> DataFrame:
+    """(rid, spans): merged word ranges of each text's windows, as pairs of 64-bit integers. Streams sorted positions."""
 
     def run(batches):
-        doc, spans = None, []
+        rid, spans = None, []
         for batch in batches:
             out = []
             d, p = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            edge = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (p[1:] > p[:-1] + size)]) if len(d) else []
+            edge = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (p[1:] > p[:-1] + size)]) if len(d) else np.zeros(0, int)
             for a, b in zip(edge, np.r_[edge[1:], len(d)].astype(int), strict=True):
-                if d[a] != doc:
-                    if doc is not None:
-                        out.append((doc, np.array(spans, dtype=np.int32).tobytes()))
-                    doc, spans = int(d[a]), []
+                if d[a] != rid:
+                    if rid is not None:
+                        out.append((rid, spans))
+                    rid, spans = int(d[a]), []
                 if spans and p[a] <= spans[-1][1]:
                     spans[-1][1] = max(spans[-1][1], int(p[b - 1]) + size)
                 else:
                     spans.append([int(p[a]), int(p[b - 1]) + size])
             yield _spans(out)
-        if doc is not None:
-            yield _spans([(doc, np.array(spans, dtype=np.int32).tobytes())])
+        if rid is not None:
+            yield _spans([(rid, spans)])
 
-    def _spans(out):
-        return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary())], ["doc", "spans"])
+    return found.repartition("rid").sortWithinPartitions("rid", "pos").mapInArrow(run, "rid long, spans binary, words long")
+
+
+def _spans(out: list[tuple[int, list]]) -> pa.RecordBatch:
+    arrays = [np.array(s, dtype=_INT64).reshape(-1, 2) for _, s in out]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([o[0] for o in out], pa.int64()), pa.array([s.tobytes() for s in arrays], pa.binary()), pa.array([int((s[:, 1] - s[:, 0]).sum()) for s in arrays], pa.int64())], ["rid", "spans", "words"]
+    )
+
+
+def _pairs(blob: bytes | None) -> np.ndarray:
+    return np.frombuffer(blob or b"", dtype=_INT64).reshape(-1, 2)
+
+
+def passages(rows: DataFrame, size: int, gram: int, piece: int, shards: int) -> DataFrame:
+    """(shard, rid, at, text, anchors): the passages of (rid, text, spans), long ones in overlapping pieces. Neighbours in a text share a shard."""
+
+    def run(batches):
+        for batch in batches:
+            ids, spans, out = batch.column(0).to_numpy(), batch.column(2).to_pylist(), []
+            for first, data, h, start, end, ranges in hashing.docs_words(batch.column(1), fold=False):
+                least = _least(h, size, gram)[1]
+                for i in range(len(ranges) - 1):
+                    base = ranges[i]
+                    for lo, hi in _pairs(spans[first + i]).tolist():
+                        for a in range(lo, hi - size + 1, piece):
+                            b = min(a + piece + size - 1, hi)
+                            place = hashing.mix(np.array([ids[first + i], a // piece], dtype=np.uint64))
+                            anchors = np.unique(least[base + a : base + b - size + 1]).view(_INT64)
+                            out.append((int(place.sum() % np.uint64(shards)), ids[first + i], a, data[start[base + a] : end[base + b - 1]].tobytes(), anchors))
+            cols = list(zip(*out, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.list_(pa.int64()))], ["shard", "rid", "at", "text", "anchors"])
 
-    return found.repartition("doc").sortWithinPartitions("doc", "pos").mapInArrow(run, "doc long, spans binary")
+    return rows.mapInArrow(run, "shard long, rid long, at long, text binary, anchors array<long>")
+
+
+def segments(rows: DataFrame, size: int, gram: int) -> DataFrame:
+    """(shard, rid, at, text): for each shard in the routes of (rid, text, routes) the runs of windows whose anchors it has."""
+
+    def run(batches):
+        for batch in batches:
+            ids, routes, out, held = batch.column(0).to_numpy(), batch.column(2), [], 0
+            for first, data, h, start, end, ranges in hashing.docs_words(batch.column(1), fold=False):
+                if len(h) < size:
+                    continue
+                least = _least(h, size, gram)[1]
+                for i in range(len(ranges) - 1):
+                    base = ranges[i]
+                    own = least[base : ranges[i + 1] - size + 1]
+                    pairs = routes[first + i].values
+                    shard, anchor = (pairs.field(c).to_numpy(zero_copy_only=False) for c in ("shard", "anchor"))
+                    order = np.lexsort((anchor, shard))
+                    shard, anchor = shard[order], anchor[order].view(np.uint64)
+                    edge = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
+                    for lo, hi in zip(edge, np.r_[edge[1:], len(shard)].astype(int), strict=True):
+                        wanted = np.sort(anchor[lo:hi])
+                        hit = wanted[np.minimum(np.searchsorted(wanted, own), hi - lo - 1)] == own
+                        step = np.diff(np.r_[0, hit.view(np.int8), 0])
+                        for a, b in zip(np.flatnonzero(step == 1), np.flatnonzero(step == -1) + size - 1, strict=True):
+                            text = data[start[base + a] : end[base + b - 1]].tobytes()
+                            out.append((shard[lo], ids[first + i], a, text))
+                            held += len(text)
+                            if held > 4_000_000:
+                                yield _batch(out)
+                                out, held = [], 0
+            yield _batch(out)
+
+    def _batch(out):
+        cols = list(zip(*out, strict=True)) or [[]] * 4
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], ["shard", "rid", "at", "text"])
+
+    return rows.mapInArrow(run, "shard long, rid long, at long, text binary")
 
 
 def coded(words: np.ndarray) -> str:
@@ -182,114 +255,156 @@ def coded(words: np.ndarray) -> str:
     return code.astype("<u4").tobytes().decode("utf-32-le")
 
 
-def occurrences(texts: list[np.ndarray], spans: list[np.ndarray], size: int) -> list[np.ndarray]:
-    """For each text (word hashes) which of its words an occurrence of a passage covers; spans are the passages each text brings."""
-    step = (size + 1) // 2
-    inventory: list[np.ndarray] = []
-    known: set[int] = set()  # windows that the inventory holds: variants of a passage add only what they have that is new
-    whole: set[bytes] = set()
-    for words, ranges in zip(texts, spans, strict=True):
-        for a, b in ranges:
-            passage = words[a:b]
-            if (name := passage.tobytes()) in whole:
+class Phrases:
+    """The passages of a shard, compiled into one automaton over their blocks of (size + 1) // 2 words."""
+
+    def __init__(self, texts: list[bytes], size: int):
+        self.size, self.step = size, (size + 1) // 2
+        self.words = [t.split() for t in texts]
+        self.hashes = hash_texts(texts)
+        self.automaton = ahocorasick.Automaton()
+        blocks: dict[str, list[tuple[int, int]]] = {}
+        for k, h in enumerate(self.hashes):
+            code = coded(h)
+            for o in range(0, len(code) - self.step + 1, self.step):
+                blocks.setdefault(code[o : o + self.step], []).append((k, o))
+        for code, places in blocks.items():
+            self.automaton.add_word(code, places)
+        self.known = bool(blocks)
+        if self.known:
+            self.automaton.make_automaton()
+
+    def covered(self, text: bytes, h: np.ndarray) -> np.ndarray:
+        """Which words of a text an occurrence of a passage's window covers."""
+        mark = np.zeros(len(h), dtype=bool)
+        if not self.known or len(h) < self.size:
+            return mark
+        step, words = self.step, None
+        seen = {(k, end - step + 1 - o) for end, places in self.automaton.iter(coded(h)) for k, o in places}
+        for k, shift in sorted(seen, key=lambda x: -len(self.hashes[x[0]])):  # the passage laid over the text at `shift`
+            passage = self.hashes[k]
+            lo, hi = max(0, shift), min(len(h), shift + len(passage))
+            if hi - lo < self.size or mark[lo:hi].all():
                 continue
-            whole.add(name)
-            hashes = hashing.window_hashes(passage, size).tolist()
-            fresh = np.fromiter((h not in known for h in hashes), dtype=bool, count=len(hashes))
-            known.update(hashes)
-            edge = np.diff(np.r_[0, fresh.view(np.int8), 0])
-            inventory += [passage[i : j + size - 1] for i, j in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)]
-    automaton = ahocorasick.Automaton()
-    blocks: dict[str, list[tuple[int, int]]] = {}
-    for k, passage in enumerate(inventory):
-        code = coded(passage)
-        for o in range(0, len(code) - step + 1, step):
-            blocks.setdefault(code[o : o + step], []).append((k, o))
-    for code, places in blocks.items():
-        automaton.add_word(code, places)
-    covered = [np.zeros(len(w), dtype=bool) for w in texts]
-    if not blocks:
-        return covered
-    automaton.make_automaton()
-    for words, mark in zip(texts, covered, strict=True):
-        if len(words) < size:
-            continue
-        seen = {(k, end - step + 1 - o) for end, places in automaton.iter(coded(words)) for k, o in places}
-        for k, shift in sorted(seen, key=lambda x: -len(inventory[x[0]])):  # the passage laid over the text at `shift`
-            passage = inventory[k]
-            lo, hi = max(0, shift), min(len(words), shift + len(passage))
-            if hi - lo < size or mark[lo:hi].all():
-                continue
-            same = words[lo:hi] == passage[lo - shift : hi - shift]
-            if same.all():
-                mark[lo:hi] = True
-                continue
-            breaks = np.concatenate(([-1], np.flatnonzero(~same), [hi - lo]))
-            for at in np.flatnonzero(np.diff(breaks) > size).tolist():
-                mark[lo + breaks[at] + 1 : lo + breaks[at + 1]] = True
-    return covered
-
-
-def shards(batch: pa.RecordBatch, most_docs: int = SHARD_DOCS, most_bytes: int = SHARD_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of a batch, bounded in rows and bytes, one row at least."""
-    lengths = [len(t or "") for t in batch.column(1).to_pylist()]
-    start, held = 0, 0
-    for i, n in enumerate(lengths):
-        if i > start and (i - start >= most_docs or held + n > most_bytes):
-            yield start, i
-            start, held = i, 0
-        held += n
-    if lengths:
-        yield start, len(lengths)
-
+            same = h[lo:hi] == passage[lo - shift : hi - shift]
+            breaks = np.r_[-1, np.flatnonzero(~same), hi - lo] if not same.all() else np.array([-1, hi - lo])
+            for at in np.flatnonzero(np.diff(breaks) > self.size).tolist():
+                a, b = int(lo + breaks[at] + 1), int(lo + breaks[at + 1])
+                words = words or text.split()
+                self.verify(words, k, shift, a, b, mark)
+        return mark
+
+    def verify(self, words: list[bytes], k: int, shift: int, a: int, b: int, mark: np.ndarray) -> None:
+        """Mark the runs of `size` equal words among a:b, whose hashes are equal."""
+        own, other = words[a:b], self.words[k][a - shift : b - shift]
+        if own == other:
+            mark[a:b] = True
+            return
+        breaks = [-1, *(i for i, (x, y) in enumerate(zip(own, other, strict=True)) if x != y), b - a]
+        for x, y in zip(breaks, breaks[1:], strict=False):
+            if y - x > self.size:
+                mark[a + x + 1 : a + y] = True
+
+
+def hash_texts(texts: list[bytes]) -> list[np.ndarray]:
+    out: list[np.ndarray] = []
+    for _, _, h, _, _, ranges in hashing.docs_words(pa.array(texts, pa.large_binary()).cast(pa.large_string()), fold=False):
+        out += [h[ranges[i] : ranges[i + 1]] for i in range(len(ranges) - 1)]
+    return out
+
+
+def occurrences(work: DataFrame, size: int) -> DataFrame:
+    """(rid, spans) of each segment of (shard, salt, kind, rid, at, text): kind 0 rows are a shard's passages, kind 1 rows its segments."""
 
-def removed(docs: DataFrame, size: int, with_text: bool = False) -> DataFrame:
-    """(doc, n_words, n_removed, kept_sha256[, kept]) of (doc, text, spans)."""
+    def run(batches):
+        name, texts, phrases = None, [], None
+        for batch in batches:
+            shard, salt, kind, rid, at = (batch.column(i).to_numpy() for i in range(5))
+            out = []
+            edge = np.flatnonzero(np.r_[True, (shard[1:] != shard[:-1]) | (salt[1:] != salt[:-1]) | (kind[1:] != kind[:-1])]) if len(shard) else np.zeros(0, int)
+            for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(shard)], strict=True):
+                if name != (shard[a], salt[a]):
+                    name, texts, phrases = (shard[a], salt[a]), [], None
+                some = batch.column(5).slice(a, b - a).to_pylist()
+                if kind[a] == 0:
+                    texts += some
+                    continue
+                phrases = phrases or Phrases(texts, size)
+                for r, place, text, h in zip(rid[a:b].tolist(), at[a:b].tolist(), some, hash_texts(some), strict=True):
+                    step = np.diff(np.r_[0, phrases.covered(text, h).view(np.int8), 0])
+                    spans = np.stack([np.flatnonzero(step == 1), np.flatnonzero(step == -1)], axis=1) + place
+                    if len(spans):
+                        out.append((r, spans.tolist()))
+            yield _spans(out).select(["rid", "spans"])
+
+    dealt = work.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind")
+    return dealt.select("shard", "salt", "kind", "rid", "at", "text").mapInArrow(run, "rid long, spans binary")
+
+
+def removed(rows: DataFrame, with_text: bool = False) -> DataFrame:
+    """(name, n_words, n_removed, kept_sha256[, kept]) of (name, text, parts); parts are lists of spans."""
 
     def run(batches):
         for batch in batches:
-            for a, b in shards(batch):
-                part = batch.slice(a, b - a)
-                texts, found = [], []
-                for _, _, h, _, _, ranges in hashing.docs_words(part.column(1), fold=False):
-                    texts += [h[ranges[i] : ranges[i + 1]] for i in range(len(ranges) - 1)]
-                for s in part.column(2).to_pylist():
-                    found.append(np.frombuffer(s or b"", dtype=np.int32).reshape(-1, 2))
-                covered = occurrences(texts, found, size)
-                rows = []
-                for text, mark in zip(part.column(1).to_pylist(), covered, strict=True):
-                    words = (text or "").encode().split()
-                    kept = [w for w, m in zip(words, mark.tolist(), strict=True) if not m] if mark.any() else words
-                    raw = b" ".join(kept)
-                    rows.append((len(words), len(words) - len(kept), hashlib.sha256(raw).hexdigest(), *([raw.decode()] if with_text else [])))
-                cols = list(zip(*rows, strict=True))
-                types = [pa.int64(), pa.int64(), pa.string(), pa.string()]
-                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, t) for c, t in zip(cols, types)]], ["doc", "n_words", "n_removed", "kept_sha256", "kept"][: 4 + with_text])  # noqa: B905
-
-    return docs.mapInArrow(run, "doc long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if with_text else ""))
-
-
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, gram: int = GRAM, with_text: bool = False, small: int = 300_000) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256[, kept]) for every document.
-
-    What a scan needs to know of each document (anchors, passages) is broadcast if at most `small` documents have any, else
-    joined by shuffle.
+            out = []
+            for text, parts in zip(batch.column(1), batch.column(2), strict=True):
+                words = text.as_buffer().to_pybytes().split() if text.is_valid else []
+                gone = np.zeros(len(words), dtype=bool)
+                for blob in parts.as_py() or ():
+                    for a, b in _pairs(blob).tolist():
+                        gone[a:b] = True
+                lost = int(gone.sum())
+                raw = b" ".join([w for w, m in zip(words, gone.tolist(), strict=True) if not m] if lost else words)
+                out.append((len(words), lost, hashlib.sha256(raw).hexdigest(), *([raw.decode()] if with_text else [])))
+            cols = list(zip(*out, strict=True)) or [[]] * (3 + with_text)
+            types = [pa.int64(), pa.int64(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(cols, types)]], ["name", "n_words", "n_removed", "kept_sha256", "kept"][: 4 + with_text])  # noqa: B905
+
+    kind = rows.schema["name"].dataType.simpleString()
+    return rows.mapInArrow(run, f"name {kind}, n_words long, n_removed long, kept_sha256 string" + (", kept string" if with_text else ""))
+
+
+def located(rows: DataFrame, size: int = SIZE, gram: int = GRAM, small: int = SMALL, piece: int = PIECE, shard_bytes: int = SHARD_BYTES, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """(rid, spans) of (rid, text): word ranges that recur, some rows for each text that has any."""
+    profile = stored(profiles(rows, size, gram, piece))
+    pid = F.xxhash64("rid", "piece")
+    copies = profile.groupBy("s1", "s2", "n").agg(F.count("*").alias("c"), F.min(pid).alias("lead")).where("c > 1").drop("c")
+    roles = stored(profile.select("rid", "piece", "s1", "s2", "n").join(copies, ["s1", "s2", "n"]).select("rid", "piece", (pid == F.col("lead")).alias("leads")))
+    each = profile.select("rid", "piece", F.explode("anchors").alias("anchor"))
+    twice = each.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
+    own = stored(each.join(twice, "anchor").select("rid", "piece", "anchor"))
+
+    # windows of all pieces but the copies of a lead
+    led = roles.groupBy("rid").agg(F.collect_list(F.when(~F.col("leads"), F.col("piece"))).alias("skip"), F.collect_list(F.when(F.col("leads"), F.col("piece"))).alias("led"))
+    sending = own.join(roles.where("not leads").select("rid", "piece"), ["rid", "piece"], "left_anti")
+    mine = sending.groupBy("rid").agg(F.collect_set("anchor").alias("repeated")).join(led, "rid", "left")
+    none = F.array().cast("array<int>")
+    mine = stored(mine.select("rid", "repeated", F.struct(F.coalesce("skip", none).alias("skip"), F.coalesce("led", none).alias("led")).alias("led")))
+    sent = windows(rows.join(side(mine, small), "rid").select("rid", "text", "repeated", "led"), size, gram, piece)
+    spans = stored(merged(confirmed(sent), size))
+
+    # passages in shards, and the way to them by anchors
+    total = spans.agg(F.sum("words").alias("n")).first()["n"] or 0
+    shards = max(1, -(-total * 6 // shard_bytes))
+    kept = stored(passages(rows.join(side(spans.select("rid", "spans"), small), "rid").select("rid", "text", "spans"), size, gram, piece, shards))
+    routes = stored(kept.select("shard", F.explode("anchors").alias("anchor")).distinct())
+    routed = stored(own.join(side(routes, small), "anchor").select("rid", "anchor", "shard").distinct())
+    # a window run of one anchor is about 300 bytes of text
+    load = stored(routed.groupBy("shard").agg(F.ceil(F.count("*") * 300 / F.lit(chunk_bytes)).cast("long").alias("salts")))
+    paths = stored(routed.groupBy("rid").agg(F.collect_list(F.struct("shard", "anchor")).alias("routes")))
+    parts = segments(rows.join(side(paths, small), "rid").select("rid", "text", "routes"), size, gram)
+    loads = side(load, small)
+    salted = parts.join(loads, "shard").select("shard", F.pmod(F.xxhash64("rid", "at"), "salts").alias("salt"), F.lit(1).alias("kind"), "rid", "at", "text")
+    heads = kept.join(loads, "shard").select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), "rid", "at", "text")
+    return occurrences(heads.union(salted), size)
+
+
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, gram: int = GRAM, with_text: bool = False, small: int = SMALL, **kw) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256[, kept]) for every row of `docs`.
+
+    What a scan needs to know of each text (anchors, passages, places) is broadcast if it takes at most `small` bytes, else
+    joined by shuffle. `kw` goes to `located`.
     """
-    inputs = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
-    profile = stored(profiles(inputs, size, gram))
-    copies = profile.groupBy("seq", "n").agg(F.count("*").alias("c"), F.min("doc").alias("lead")).where("c > 1").select("seq", "n", "lead")
-    copied = cut(profile.select("doc", "seq", "n").join(copies, ["seq", "n"]).select("doc", "n", "lead"))
-    each = profile.select("doc", F.explode("anchors").alias("anchor"))
-    twice = cut(each.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"))
-    roles = copied.groupBy("doc").agg(F.bool_or(F.col("doc") == F.col("lead")).alias("lead"))
-    mine = each.join(twice, "anchor").groupBy("doc").agg(F.collect_set("anchor").alias("repeated"))
-    mine = cut(mine.join(roles, "doc", "left").where("lead is null or lead").select("doc", "repeated", F.coalesce("lead", F.lit(False)).alias("lead")))
-    known = F.broadcast(mine) if mine.count() <= small else mine
-    rows = windows(inputs.join(known, "doc").select("doc", "text", "repeated", "lead"), size, gram)
-    whole = copied.select("doc", F.encode(F.lit(""), "utf-8").alias("spans"), "n").dropDuplicates(["doc"])
-    spans = passages(confirmed(rows), size).select("doc", "spans").join(whole.select("doc"), "doc", "left_anti")
-    # a copy is one passage from its first to its last word
-    little = F.unhex(F.concat(*[F.lpad(F.hex(F.shiftright(F.col("n"), 8 * k).bitwiseAND(F.lit(255))), 2, "0") for k in range(4)]))
-    all_spans = cut(spans.union(whole.select("doc", F.concat(F.unhex(F.lit("00000000")), little).alias("spans"))))
-    side = F.broadcast(all_spans) if all_spans.count() <= small else all_spans
-    return removed(inputs.join(side, "doc", "left").select("doc", "text", "spans"), size, with_text).withColumnRenamed("doc", doc_id)
+    rows = stored(docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).alias("name"), F.col(text).cast("string").alias("text")))
+    found = stored(located(rows.select("rid", "text"), size, gram, small, **kw).groupBy("rid").agg(F.collect_list("spans").alias("parts")))
+    return removed(rows.join(side(found, small), "rid", "left").select("name", "text", "parts"), with_text).withColumnRenamed("name", doc_id)

@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import os
 import struct
-import uuid
 import zlib
 from itertools import chain
 
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import Chunks, groups
-from .common import cut, shared_dir
+from .common import cut, new_folder
 
 BLOCK = 2048
 LANES = 2048
@@ -429,7 +428,7 @@ def round_trip(docs: DataFrame, tokenizer: str, path: str | None = None, doc_id:
     from tokenizers import Tokenizer
 
     spark = docs.sparkSession
-    path = path or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    path = path or new_folder(spark, "tokens")
     write(docs, path, tokenizer, doc_id, text)
     found = cut(read(spark, path, Tokenizer.from_file(tokenizer).get_vocab_size()))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part

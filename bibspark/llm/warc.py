@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-import uuid
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -24,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir
+from .common import SMALL, cut, new_folder, side
 
 END = "\r\n\r\n"
 LEAST = 1000
@@ -71,15 +70,14 @@ class LoserTree:
             self.replay(run)
 
 
-def records(pages: DataFrame, least: int = LEAST, small: int = 500_000, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def records(pages: DataFrame, least: int = LEAST, small: int = SMALL, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """One column `value`: the WARC record of each page without its final blank lines."""
     body = F.coalesce(F.col(html).cast("string"), F.lit(""))
     rows = pages.select(F.col(page_id).cast("long").alias("id"), F.regexp_replace(F.col(url), r"[\r\n\s]", "%20").alias("uri"), body.alias("body"))
     rows = rows.withColumns({"n": F.octet_length("body").cast("long"), "digest": F.sha1(F.encode("body", "UTF-8"))})
     shared = rows.where(F.col("n") >= least).groupBy("digest").agg(F.max("id").alias("keeper"), F.count("*").alias("c")).where((F.col("c") > 1) & F.col("keeper").isNotNull())
     shared = cut(shared.select("digest", "keeper"))
-    side = F.broadcast(shared) if shared.count() <= small else shared
-    joined = rows.join(side, "digest", "left").withColumn("keeper", F.when(F.col("n") >= least, F.col("keeper")))
+    joined = rows.join(side(shared, small), "digest", "left").withColumn("keeper", F.when(F.col("n") >= least, F.col("keeper")))
     revisit = F.col("keeper").isNotNull() & ~F.col("keeper").eqNullSafe(F.col("id"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n"), F.lit(END))
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
@@ -200,6 +198,6 @@ def merged(index: DataFrame, merge_rows: int = MERGE_ROWS) -> DataFrame:
 def archive(pages: DataFrame, path: str | None = None, least: int = LEAST) -> DataFrame:
     """Write `pages` as archives under `path` (a new folder in the shared one), read them back and merge their index."""
     spark = pages.sparkSession
-    path = path or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = path or new_folder(spark, "warc")
     write(pages, path, least)
     return merged(runs(spark, path))

@@ -71,6 +71,10 @@ def jaccard(docs):
 
 
 def repeats(docs, size=35):
+    return sorted(repeats_in_order(docs, size))
+
+
+def repeats_in_order(docs, size=35):
     """(doc_id, words, removed, hash of the kept words) by counting all windows."""
     split = [(d, words(t)) for d, t in docs]
     count = Counter(tuple(w[i : i + size]) for _, w in split for i in range(len(w) - size + 1))
@@ -81,7 +85,7 @@ def repeats(docs, size=35):
             if count[tuple(w[i : i + size])] > 1:
                 gone[i : i + size] = [True] * size
         out.append((d, len(w), sum(gone), hashlib.sha256(" ".join(x for x, g in zip(w, gone, strict=True) if not g).encode()).hexdigest()))
-    return sorted(out)
+    return out
 
 
 def kept_by_quality(text, thresholds, stop_words):

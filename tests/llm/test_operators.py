@@ -89,12 +89,32 @@ def test_quality_verdicts(spark):
     assert quality.filter_docs(cases.frame(spark, docs)).columns == cases.frame(spark, docs).columns
 
 
-@pytest.mark.parametrize("small", [300_000, 0])
-def test_substring_dedup(spark, small):
-    got = substring.dedup(cases.frame(spark, DOCS), small=small)
+@pytest.mark.parametrize("how", [{}, {"small": 0}, {"piece": 50, "shard_bytes": 3000, "chunk_bytes": 2000}, {"piece": 7, "shard_bytes": 500, "chunk_bytes": 300, "small": 0}])
+def test_substring_dedup(spark, how):
+    got = substring.dedup(cases.frame(spark, DOCS), **how)
     assert sorted(map(tuple, got.collect())) == cases.repeats(DOCS)
 
 
+def test_substring_dedup_without_ids_and_in_large_groups(spark):
+    passage = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, passage + " a b"), (None, "x " + passage), (1, passage), (1, "zz"), (None, None), *((2, "start " + passage + f" {i % 7} end") for i in range(3000))]
+    got = substring.dedup(cases.frame(spark, rows), chunk_bytes=50_000).select("doc_id", "n_words", "n_removed").collect()
+    plain = [(d, n, gone) for (d, _), (_, n, gone, _) in zip(rows, cases.repeats_in_order(rows), strict=True)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, plain))
+
+
+def test_only_the_automata_tell_what_goes(spark, monkeypatch):
+    monkeypatch.setattr(substring, "occurrences", lambda work, size: work.select("rid", F.lit(b"").alias("spans")))
+    assert not any(r["n_removed"] for r in substring.dedup(cases.frame(spark, DOCS)).collect())
+
+
+def test_words_with_equal_hashes_are_compared():
+    phrases = substring.Phrases([b" ".join(b"w%d" % i for i in range(40))], 35)
+    text = [b"w%d" % i for i in range(40)]
+    mark = np.zeros(40, dtype=bool)
+    phrases.verify(text[:37] + [b"other"] + text[38:], 0, 0, 0, 40, mark)
+    assert mark.tolist() == [True] * 37 + [False] * 3
+
 def test_substring_dedup_keeps_text(spark):
     kept = {r["doc_id"]: r["kept"] for r in substring.dedup(cases.frame(spark, DOCS), with_text=True).collect()}
     assert {d: hashlib.sha256(k.encode()).hexdigest() for d, k in kept.items()} == {d: h for d, _, _, h in cases.repeats(DOCS)}
