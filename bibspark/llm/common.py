@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -130,29 +130,68 @@ def side(df: DataFrame, most: int = SMALL) -> DataFrame:
     return F.broadcast(df) if total <= most else df
 
 
-def spans(text: Column, pattern: str, before: int = 0) -> Column:
-    """Matches of `pattern`, leftmost and non-overlapping, as array<struct<s,e,m[,c]>> in code points.
+def pieces(text: Column, pattern: str, before: int = 0) -> Column:
+    """Matches of `pattern`, leftmost and non-overlapping: array<struct<n:int, m:string[, c:string]>>.
 
-    With `before`, c is the lower-cased text since the last match, its last `before` characters at most.
-
-    The pieces between matches and the matches themselves cover the text, so offsets are running sums of their lengths.
+    n counts the code points since the last match; with `before`, c is the end of that text in lower case, `before` characters at
+    most. The pieces between matches and the matches cover the text, so places are running sums of lengths (`match_rows`).
     `pattern` must not match the empty string.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    kind = "array<struct<s:int,e:int,m:string" + (",c:string>>" if before else ">>")
+    kind = "array<struct<n:int,m:string" + (",c:string>>" if before else ">>")
+
+    def paired(ms: Column) -> Column:
+        gap = lambda g: [F.char_length(g).alias("n")]
+        end = lambda g: [F.lower(F.substring(g, -before, before)).alias("c")] if before else []
+        gaps = F.slice(F.split(text, pattern, -1), 1, F.size(ms))
+        return F.zip_with(gaps, ms, lambda g, m: F.struct(*gap(g), m.alias("m"), *end(g)))
+
+    return let(found, lambda ms: F.when(F.size(ms) == 0, F.array().cast(kind)).otherwise(paired(ms)))
+
+
+def match_rows(found: DataFrame, arrays: list[str], own: list[str]) -> DataFrame:
+    """(rid, own..., k, i, s, e, fields...): the elements of columns `arrays`, each array<struct<n,l,fields...>> of one pattern, as rows.
+
+    n is the length of the text since the last match, l the match's; k is the array's place in `arrays`. Sums run over the rows of
+    one text and pattern in sorted partitions, so time is linear in the matches and a text of any length or number of matches will do.
+    """
+    fields = found.schema[arrays[0]].dataType.elementType.names
+
+    def tagged(k: int, name: str) -> Column:
+        return F.transform(F.col(name), lambda x, i: F.struct(F.lit(k).alias("k"), i.alias("i"), *[x[f].alias(f) for f in fields]))
+
+    each = F.concat(*[tagged(k, a) for k, a in enumerate(arrays)])
+    some = sum((F.size(a) for a in arrays), F.lit(0)) > 0
+    flat = found.where(some).select("rid", *own, F.explode(each).alias("x")).select("rid", *own, "x.*").repartition("rid")
+    ends = F.sum((F.col("n") + F.col("l")).cast("long")).over(Window.partitionBy("rid", "k").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
+    rest = [f for f in fields if f not in ("n", "l")]
+    return flat.withColumn("e", ends.cast("int")).select("rid", *own, "k", "i", (F.col("e") - F.col("l")).alias("s"), "e", *rest)
+
+
+def apart(rows: DataFrame, solid: Column, stay: Column | None = None) -> DataFrame:
+    """`rows` (rid, s, e, ...), those that are neither `solid` nor `stay` only where no solid one of the same text overlaps them."""
+    earlier = Window.partitionBy("rid").orderBy("s", (~solid).cast("int"), "e").rowsBetween(Window.unboundedPreceding, 0)
+    later = Window.partitionBy("rid").orderBy(F.desc("s"), "e").rowsBetween(Window.unboundedPreceding, 0)
+    both = rows.withColumn("_end", F.max(F.when(solid, F.col("e"))).over(earlier)).withColumn("_next", F.min(F.when(solid, F.col("s"))).over(later))
+    clear = (F.coalesce("_end", F.lit(-1)) <= F.col("s")) & (F.coalesce("_next", F.lit(2**31 - 1)) >= F.col("e"))
+    return both.where((solid if stay is None else solid | stay) | clear).drop("_end", "_next")
+
+
+#: Code points of the blocks in which `without` reads a text.
+TEXT_BLOCK = 1000
+
 
-    def located(ms: Column) -> Column:
-        gap = lambda g: F.struct(F.char_length(g).alias("n"), *([F.lower(F.substring(g, -before, before)).alias("c")] if before else []))
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+def without(text: Column, marks: Column, mask: str) -> Column:
+    """`text` with each of `marks` (array<struct<s,e>> in order, disjoint) replaced by `mask`, in time linear in the text."""
+    block = F.lit(TEXT_BLOCK)
 
-        def step(acc: Column, x: Column) -> Column:
-            s = acc["at"] + x["g"]["n"]
-            e = s + F.char_length(x["m"])
-            one = F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m"), *([x["g"]["c"].alias("c")] if before else []))
-            return F.struct(e.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+    def rebuilt(blocks: Column) -> Column:
+        def piece(a: Column, b: Column) -> Column:
+            first, last = (a / block).cast("int"), ((b - 1) / block).cast("int")
+            return F.when(b <= a, F.lit("")).otherwise(F.substring(F.array_join(F.slice(blocks, first + 1, last - first + 1), ""), a % block + 1, b - a))
 
-        gaps = F.transform(F.slice(F.split(text, pattern, -1), 1, F.size(ms)), gap)
-        pairs = F.zip_with(gaps, ms, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
-        return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+        before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(marks, i - 1)["e"])
+        parts = F.transform(marks, lambda x, i: F.concat(piece(before(i), x["s"]), F.lit(mask)))
+        return F.concat(F.array_join(parts, ""), piece(before(F.size(marks)), F.char_length(text)))
 
-    return let(found, lambda ms: F.when(F.size(ms) == 0, F.array().cast(kind)).otherwise(located(ms)))
+    return let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{TEXT_BLOCK}}}"), F.lit(0)), rebuilt)

@@ -106,11 +106,14 @@ def clean(docs: DataFrame, items: DataFrame, mode: str = "documents", size: int
 
     The hits are written first; the join broadcasts them only if they take at most `small` bytes, else both sides are shuffled.
     """
-    found = cut(hits(docs, items, size, doc_id, text).withColumnsRenamed({doc_id: "_doc", "text_key": "_key", "ranges": "_ranges"}).drop("items"))
+    found = cut(hits(docs, items, size, doc_id, text).select(F.col(doc_id).alias("hit_doc"), F.col("text_key").alias("hit_key"), "ranges"))
     hit = side(found, small)
-    on = F.col(doc_id).eqNullSafe(F.col("_doc")) & (text_key(F.col(text)) == F.col("_key"))
+    own = docs.columns
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"own{i}") for i, c in enumerate(own)])
+    at = F.col(f"own{own.index(text)}")
+    on = F.col(f"own{own.index(doc_id)}").eqNullSafe(F.col("hit_doc")) & (text_key(at) == F.col("hit_key"))
     if mode == "documents":
-        return docs.join(hit.select("_doc", "_key"), on, "left_anti")
-    joined = docs.join(hit, on, "left")
-    new = F.when(F.col("_ranges").isNull(), F.col(text)).otherwise(without_words(F.col(text), F.col("_ranges")))
-    return joined.withColumn(text, new).select(*docs.columns)
+        return rows.join(hit.select("hit_doc", "hit_key"), on, "left_anti").toDF(*own)
+    joined = rows.join(hit, on, "left")
+    new = F.when(F.col("ranges").isNull(), at).otherwise(without_words(at, F.col("ranges")))
+    return joined.select(*[(new if c == text else F.col(f"own{i}")).alias(c) for i, c in enumerate(own)])

@@ -80,9 +80,9 @@ def secret_sql() -> str:
       o AS (SELECT doc_id, source, lang, k, m AS v, s, e FROM pd WHERE regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[a-z]')
             AND NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = pd.doc_id AND b.s < pd.e AND pd.s < b.e)),
       c AS (SELECT *, length(v) >= 16 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AS live FROM (SELECT * FROM b UNION ALL SELECT * FROM o)),
-      f AS (SELECT v, count(DISTINCT source) AS n FROM c GROUP BY v),
-      j AS (SELECT c.*, f.n >= {secrets.WIDE} AS copied, ['assign', 'access', 'hex', 'opaque'][k + 1] || ':' || s || ':' || e AS x FROM c JOIN f USING (v)
-            WHERE k < 3 OR (f.n < {secrets.WIDE} AND live)),
+      f AS (SELECT v, count(DISTINCT source) >= {secrets.WIDE} OR count(DISTINCT concat_ws('/', source, lang)) >= {secrets.WIDE_REPOS} AS copied FROM c GROUP BY v),
+      j AS (SELECT c.*, f.copied, ['assign', 'access', 'hex', 'opaque'][k + 1] || ':' || s || ':' || e AS x FROM c JOIN f USING (v)
+            WHERE k < 3 OR (NOT f.copied AND live)),
       g AS (SELECT doc_id, count(*) FILTER (k = 0) AS a, count(*) FILTER (k = 1) AS b, count(*) FILTER (k = 2) AS h, string_agg(x, ',' ORDER BY s, k) FILTER (k < 3) AS bs,
                    string_agg(x, ',' ORDER BY s, k) AS xs, count(*) FILTER (copied) AS n_copied, count(*) FILTER (NOT copied AND live) AS n_live FROM j GROUP BY doc_id)
       SELECT d.doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(h, 0) AS n_hex, sha256(coalesce(bs, '')) AS base_sha256, coalesce(xs, '') AS spans,
@@ -128,6 +128,7 @@ def op4_personal_data(spark, sf_dir):
         of(3).alias("n_phone"),
         F.sha2(pii.listed(base), 256).alias("base_sha256"),
         pii.listed(xs).alias("spans"),
+        F.size(F.filter(xs, lambda x: x["k"] >= pii.BASE)).cast("long").alias("n_added"),
     )
 
 

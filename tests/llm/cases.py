@@ -155,6 +155,35 @@ def personal(text):
     return [(k, m.start(), m.end()) for k, p, ok in BASE_PII for m in re.finditer(p, text or "") if ok(m[0])]
 
 
+def proposed_pii(text, pii):
+    """(k, s, e, ok, votes, digits) of every proposed span of a text, by plain loops over the operator's own tables."""
+    import regex
+
+    words = lambda xs: "|".join(xs)
+    t, out = text or "", []
+    for k, pattern in enumerate(pii.PATTERNS):
+        kind, at = pii.KINDS[k], 0
+        for m in regex.finditer(pattern, t):
+            v, before = m[0], t[at : m.start()][-pii.BEFORE :].lower()
+            at = m.end()
+            digits = re.sub("[^0-9]", "", v)
+            turned = "".join(str(int(c, 36)) for c in v[4:] + v[:4]) if kind == "account" else ""
+            ok = {
+                "email": lambda: True, "ip": lambda: all(int(p) <= 255 for p in v.split(".")), "card": lambda: 13 <= len(digits) <= 19 and luhn(digits), "phone": lambda: 9 <= len(digits) <= 15,
+                "idnum": lambda: v[4:6] != "00" and v[7:] != "0000", "localphone": lambda: v[1] in "23456789" and v[5:].lstrip(" ")[0] in "23456789", "account": lambda: int(turned) % 97 == 1,
+                "person": lambda: any(re.match(rf"{x}\b", v) for x in pii.TITLES), "address": lambda: v[0] != "0",
+            }[kind]()
+            known = {
+                "email": lambda: v.rsplit(".", 1)[-1].lower() in pii.DOMAINS, "ip": lambda: not re.match(r"(?:0|10|127|22[4-9]|2[3-9][0-9])\.|192\.168\.|169\.254\.", v),
+                "card": lambda: v[:1] in "46" or v[:2] in "34 37 51 52 53 54 55 22 23 24 25 26 27".split(), "phone": lambda: re.match(rf"\+(?:{words(pii.CALLING)})", v),
+                "idnum": lambda: v[:3] not in ("000", "666") and v[0] != "9", "localphone": lambda: v[1:4] not in ("800", "888", "877", "900") and not re.match("[2-9]11", v[1:4]), "account": lambda: v[:2] in pii.COUNTRIES,
+                "person": lambda: set(v.split(" ")) & set(pii.GIVEN), "address": lambda: v.rsplit(" ", 1)[-1] in pii.STREETS,
+            }[kind]()
+            out.append((k, m.start(), m.end(), ok, (1 if ok else -1, 1 if known else -1, 1 if regex.search(pii.CUES[k], before) else 0), len(digits)))
+    solid = [(s, e) for k, s, e, ok, *_ in out if k < pii.BASE and ok]
+    return [x for x in out if x[0] < pii.BASE or not any(s < x[2] and x[1] < e for s, e in solid)]
+
+
 def secret_spans(text):
     found = [(m.start(), i, k, m.end()) for i, (k, p, ok) in enumerate(BASE_SECRETS) for m in re.finditer(p, text or "") if ok(m)]
     return [(k, s, e) for s, _, k, e in sorted(found)]

@@ -1,5 +1,6 @@
 import hashlib
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -76,6 +77,40 @@ def test_personal_data_base_spans(spark):
     assert any("idnum" in r["all"] for r in rows)
 
 
+def test_personal_data_added_spans_match_plain_loops(spark):
+    docs = cases.soup([*PII, "Dr. ", "Mary Jones", "James ", "Frau Müller ", "call 12 Oak Street", "lives at 7 Elm Park Ave. ", "iban GB82WEST12345698765432 ", "(911) 555-0100", "000-12-3456", "name: "], 1500, 5)
+    proposed = {d: cases.proposed_pii(t, pii) for d, t in docs}
+    size = lambda n: 0 if n < 12 else 1 if n < 18 else 2 if n < 30 else 3
+    seen = Counter((k, votes, size(e - s), 3 * digits // max(1, e - s)) for xs in proposed.values() for k, s, e, _, votes, digits in xs)
+    counts = Counter()
+    for (k, votes, *_), n in seen.items():
+        counts[k, *votes] += n
+    truth = pii.estimate(counts)
+    weights = pii.train(sorted((pii.features(k, votes, n, d), truth[k, *votes], c) for (k, votes, n, d), c in seen.items()))
+    odds = lambda k, s, e, votes, digits: sum(w * v for w, v in zip(weights, pii.features(k, votes, size(e - s), 3 * digits // max(1, e - s)), strict=True))
+    expected = {d: [f"{pii.KINDS[k]}:{s}:{e}" for k, s, e, ok, votes, digits in sorted(xs) if (ok if k < pii.BASE else odds(k, s, e, votes, digits) > 0)] for d, xs in proposed.items()}
+    got = {r["doc_id"]: r["x"] for r in pii.scan(cases.frame(spark, docs)).select("doc_id", pii.listed(F.col("spans")).alias("x")).collect()}
+    assert got == {d: ",".join(x) for d, x in expected.items()}
+    assert {x.split(":")[0] for xs in expected.values() for x in xs} == set(pii.KINDS)
+
+
+def test_texts_with_very_many_matches(spark):
+    secret, mail = "é " + " ".join(f"token = abcdef{i:06d}x" for i in range(60_000)), "é " + " ".join(f"a{i}@b.org" for i in range(60_000))
+    frame = cases.frame(spark, [(1, secret), (2, "x"), (3, mail), (None, secret)])
+    found = sorted((r["n"], r["last"]) for r in secrets.scan(frame).select(F.size("spans").alias("n"), F.coalesce(F.try_element_at("spans", F.lit(-1))["e"], F.lit(0)).alias("last")).collect())
+    assert found == [(0, 0), (0, 0), (60_000, len(secret)), (60_000, len(secret))]
+    assert sorted(r["text"] for r in secrets.redact(frame).where("doc_id is null or doc_id = 1").collect()) == ["é " + " ".join(["[secret]"] * 60_000)] * 2
+    assert {r["doc_id"]: r["n"] for r in pii.scan(frame).select("doc_id", F.size("spans").alias("n")).collect()}[3] == 60_000
+
+
+def test_columns_with_clashing_names(spark):
+    frame = cases.frame(spark, DOCS[:20]).withColumns({c: F.lit("x") for c in ("rid", "text_key", "marks", "_spans", "_doc", "_key", "_ranges", "k", "own0", "_row", "doc", "body")})
+    items = spark.createDataFrame([(1, DOCS[5][1])], "item_id long, text string")
+    assert secrets.redact(frame).columns == frame.columns and secrets.redact(frame).count() == 20
+    assert pii.scan(frame).count() == jaccard.join(frame).count() == substring.dedup(frame).count() == secrets.scan(frame).count() == 20
+    for mode in ("documents", "spans"):
+        assert decontaminate.clean(frame, items, mode=mode).columns == frame.columns and decontaminate.clean(frame, items, mode=mode).count() >= 15
+
 def test_estimation_finds_the_reliable_labeler():
     counts = {(0, 1, 1, 1): 400, (0, 1, 1, 0): 300, (0, -1, -1, 0): 300, (0, -1, -1, 1): 200, (0, 1, -1, 0): 10, (0, -1, 1, 0): 10}
     truth = pii.estimate(counts)
