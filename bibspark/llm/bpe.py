@@ -20,11 +20,17 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .hashing import window_least
+
 #: Fixed value: the pattern that splits text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Where cutting at single spaces would split a run of white space: a space after white space and before white space or the end.
 UNSAFE = regex.compile(r"\s\x20(?:\s|\Z)")
-CACHE = 300_000
+#: Characters and ids that a cache of chunks may hold; longer chunks than `CACHED` are not kept.
+CACHE = 24_000_000
+CACHED = 200
+#: Words over so many bytes are merged by neighbourhoods.
+LONG = 400
 GROUP_CHARS = 2_000_000
 
 
@@ -53,13 +59,17 @@ def model(path: str) -> dict:
     symbols = byte_symbols()
     back = {c: b for b, c in symbols.items()}
     size = max([*vocab.values(), *special.values()]) + 1
+    latest: dict[int, int] = {}  # the last rank that makes a token
+    for rank, token in enumerate(made.tolist()):
+        latest[token] = rank
+    ordered = all(latest.get(vocab[a], -1) < rank and latest.get(vocab[b], -1) < rank for rank, (a, b) in enumerate(pairs))
     spelled = [b""] * size
     for token, i in vocab.items():
         spelled[i] = bytes(back[c] for c in token)
     for token, i in special.items():
         spelled[i] = token.encode()
     return {
-        "keys": keys[order], "ranks": order.astype(np.int64), "made": made, "special": special,
+        "keys": keys[order], "ranks": order.astype(np.int32), "made": made, "special": special, "ordered": ordered, "reach": max(len(x) for x in vocab),
         "first": np.array([vocab[symbols[b]] for b in range(256)], dtype=np.int64),
         "bytes": np.frombuffer(b"".join(spelled), dtype=np.uint8), "byte_len": np.array([len(x) for x in spelled], dtype=np.int64),
     }
@@ -73,34 +83,58 @@ def gather(offsets: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1]) + np.repeat(offsets - (ends - lengths), lengths)
 
 
+NONE = np.int32(2**31 - 1)
+
+
+def pair_ranks(m: dict, sym: np.ndarray, word: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The rank of the pairs that begin at places `at`, `NONE` for those that don't merge or leave their word."""
+    rank = np.full(len(at), NONE, dtype=np.int32)
+    inner = np.flatnonzero(at + 1 < len(sym))
+    inner = inner[word[at[inner] + 1] == word[at[inner]]]
+    key = (sym[at[inner]] << 32) | sym[at[inner] + 1]
+    found = np.minimum(np.searchsorted(m["keys"], key), len(m["keys"]) - 1)
+    known = m["keys"][found] == key
+    rank[inner[known]] = m["ranks"][found[known]]
+    return rank
+
+
+def alternate(spots: np.ndarray) -> np.ndarray:
+    """Of neighbouring places (overlapping occurrences: a a a) every second one from the left."""
+    new_run = np.r_[True, np.diff(spots) != 1]
+    run_start = spots[np.maximum.accumulate(np.where(new_run, np.arange(len(spots)), 0))]
+    return spots[(spots - run_start) % 2 == 0]
+
+
 def merge_words(m: dict, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of the words, one after the other, and how many each word has. Words must not be empty."""
+    """Ids of the words, one after the other, and how many each has. Words must not be empty."""
     lengths = np.array([len(w) for w in words], dtype=np.int64)
+    if m["ordered"] and len(lengths) and lengths.max() > LONG:
+        long = np.flatnonzero(lengths > LONG)
+        rest = np.flatnonzero(lengths <= LONG)
+        parts = [merge_long(m, [words[i] for i in long]), merge_words(m, [words[i] for i in rest])]
+        count = np.zeros(len(words), dtype=np.int64)
+        count[long], count[rest] = parts[0][1], parts[1][1]
+        out = np.zeros(int(count.sum()), dtype=np.int64)
+        begin = np.cumsum(count) - count
+        for own, (ids, n) in zip((long, rest), parts, strict=True):
+            out[gather(begin[own], n)] = ids
+        return out, count
     sym = m["first"][np.frombuffer(b"".join(words), dtype=np.uint8)]
     word = np.repeat(np.arange(len(words)), lengths)
-    keys, none = m["keys"], np.int64(1 << 40)
     done_sym, done_word = [], []
     while len(sym):
         start = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-        rank = np.full(len(sym), none)
-        inner = np.flatnonzero(word[1:] == word[:-1])
-        key = (sym[inner] << 32) | sym[inner + 1]
-        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-        known = keys[at] == key
-        rank[inner[known]] = m["ranks"][at[known]]
+        rank = pair_ranks(m, sym, word, np.arange(len(sym)))
         least = np.minimum.reduceat(rank, start)
         size = np.diff(np.r_[start, len(sym)])
-        live = np.repeat(least < none, size)
+        live = np.repeat(least < NONE, size)
         done_sym.append(sym[~live])
         done_word.append(word[~live])
         hit = live & (rank == np.repeat(least, size))
         spots = np.flatnonzero(hit)
         if not len(spots):
             break
-        # overlapping occurrences (a a a): every second one from the left
-        new_run = np.r_[True, np.diff(spots) != 1]
-        run_start = spots[np.maximum.accumulate(np.where(new_run, np.arange(len(spots)), 0))]
-        spots = spots[(spots - run_start) % 2 == 0]
+        spots = alternate(spots)
         sym[spots] = m["made"][rank[spots]]
         live[spots + 1] = False
         sym, word = sym[live], word[live]
@@ -110,8 +144,36 @@ def merge_words(m: dict, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return all_sym[order], np.bincount(all_word, minlength=len(words))
 
 
+def merge_long(m: dict, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """`merge_words` for long words: a round merges wherever a rank is the lowest within `reach` symbols on both sides.
+
+    Ranks are looked up again only beside the merges. Of a run of overlapping equal pairs a round takes its beginning or none, as
+    the places from which such pairs are merged count from there.
+    """
+    sym = m["first"][np.frombuffer(b"".join(words), dtype=np.uint8)]
+    word = np.repeat(np.arange(len(words)), [len(w) for w in words])
+    rank = pair_ranks(m, sym, word, np.arange(len(sym)))
+    reach, edge = m["reach"], np.full(m["reach"], NONE, dtype=np.int32)
+    while True:
+        least = window_least(np.concatenate([edge, rank, edge]), 2 * reach + 1)
+        spots = np.flatnonzero((rank == least) & (rank < NONE))
+        if not len(spots):
+            return sym, np.bincount(word, minlength=len(words))
+        new_run = np.r_[True, np.diff(spots) != 1]
+        first = spots[new_run]
+        whole = (first == 0) | (rank[first - 1] != rank[first])
+        spots = alternate(spots[whole[np.cumsum(new_run) - 1]])
+        sym[spots] = m["made"][rank[spots]]
+        live = np.ones(len(sym), dtype=bool)
+        live[spots + 1] = False
+        sym, word, rank = sym[live], word[live], rank[live]
+        moved = spots - np.arange(len(spots))  # each merge before takes one place away
+        again = np.union1d(moved, np.maximum(moved - 1, 0))
+        rank[again] = pair_ranks(m, sym, word, again)
+
+
 class Chunks:
-    """A bounded cache from chunk to ids. `encode_new` gets a list of new chunks and returns (flat ids, ids per chunk)."""
+    """A cache from chunk to ids, bounded in characters and ids. `encode_new` gets a list of new chunks and returns (flat ids, ids per chunk)."""
 
     def __init__(self, encode_new, limit: int = CACHE):
         self.encode_new, self.limit = encode_new, limit
@@ -119,24 +181,34 @@ class Chunks:
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.flat, self.length = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.flat, self.length, self.held = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), 0
 
     def ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all chunks, one after the other, and how many each has."""
-        index = self.index
-        if len(index) > self.limit:
+        if not chunks:
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        if self.held > self.limit:
             self.clear()
-            index = self.index
+        index, base = self.index, len(self.length)
         new = [c for c in dict.fromkeys(chunks) if c not in index]
+        flat, length, keep = self.flat, self.length, 0
         if new:
-            base = len(index)
+            new.sort(key=lambda c: len(c) > CACHED)  # those to keep come first
+            keep = sum(len(c) <= CACHED for c in new)
             index.update(zip(new, range(base, base + len(new)), strict=True))
-            flat, length = self.encode_new(new)
-            self.flat, self.length = np.concatenate([self.flat, flat]), np.concatenate([self.length, length])
-            self.offset = np.cumsum(self.length) - self.length
+            more, count = self.encode_new(new)
+            flat, length = np.concatenate([flat, more]), np.concatenate([length, count])
+            self.offset = np.cumsum(length) - length
         at = np.fromiter(map(index.__getitem__, chunks), dtype=np.int64, count=len(chunks))
-        length = self.length[at] if len(at) else np.zeros(0, dtype=np.int64)
-        return (self.flat[gather(self.offset[at], length)] if len(at) else np.zeros(0, dtype=np.int64)), length
+        size = length[at]
+        out = flat[gather(self.offset[at], size)]
+        if new:
+            for c in new[keep:]:
+                del index[c]
+            self.length = length[: base + keep]
+            self.flat = flat[: int(self.length.sum())]
+            self.held = len(self.flat) + self.held + sum(map(len, new[:keep]))
+        return out, size
 
 
 class Encoder:
