@@ -10,22 +10,27 @@ any two sets with overlap `o` share k elements in their first (size - o + k). Eq
 
 `boundary` is chosen by cost: the rows that both ways would write, from the number of sets of each size.
 
-Each list gives edges from its sets to its first set only, so long lists cost their length, never its square. Sets connected
-by such edges are put in order of size, in blocks of about `block` sets or `elements` elements; every pair of blocks whose sizes fit is one task's work,
-which counts all overlaps exactly (a product of incidence matrices) and returns one row per set. No pair of documents leaves a
-task, and no list, family or component has to fit in one.
+Each list gives edges from its sets to its first set only, so long lists cost their length, never its square. Of the sets that
+such edges connect, a dense group (near copies, which share most lists) is verified as a whole, a loose one (a chain of sets that
+share a list here and there) list by list, whichever compares and ships less; in the second way two sets count only in the first
+list that they share. Either way sets are put in order of size, in blocks of at most about `block` sets or `elements` elements,
+fewer in groups that would make less than 32 blocks; every pair of blocks whose sizes fit is one unit of work, which counts all
+overlaps exactly (a product of incidence matrices) and returns one row per set. No pair of documents leaves a task, and no list,
+family or component has to fit in one.
 
 Null texts, and texts without words, have the empty set and link with nothing. Copies link with each other. Documents with the
-same doc_id share their component. Extra columns are ignored.
+same doc_id share their component. Rows without doc_id take the component and links of their copies that have one, else they stand
+alone with a null component: to join them as documents of their own give the rows a key, as the pipeline does. Texts of any length
+are whole sets. Ties don't matter: a component is named by its smallest doc_id. Extra columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import hashing
@@ -86,10 +91,6 @@ def choose_boundary(histogram: dict[int, int], percent: int = PERCENT, extra: fl
     return min(range(1, LIGHT_MOST * percent // 100), key=cost)
 
 
-def _arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
-    return df.mapInArrow(run, schema)
-
-
 def _inputs(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
 
@@ -103,7 +104,7 @@ def summary(inputs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             n, fp = (np.array(x, dtype=_INT64) for x in zip(*found, strict=True)) if found else (np.zeros(0, _INT64),) * 2
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(fp)], ["doc", "n", "fp"])
 
-    return _arrow(inputs, run, "doc long, n long, fp long")
+    return inputs.mapInArrow(run, "doc long, n long, fp long")
 
 
 def keys(inputs: DataFrame, boundary: int, shingle: int = SHINGLE, percent: int = PERCENT, extra: float = EXTRA) -> DataFrame:
@@ -142,7 +143,7 @@ def keys(inputs: DataFrame, boundary: int, shingle: int = SHINGLE, percent: int
         light = np.repeat(np.array([o[3] for o in out], dtype=bool), count)
         return pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp), pa.array(n.astype(np.int32)), pa.array(light)], ["key", "fp", "n", "light"])
 
-    return _arrow(inputs, run, "key long, fp long, n int, light boolean")
+    return inputs.mapInArrow(run, "key long, fp long, n int, light boolean")
 
 
 #: List lengths are told apart up to here; longer lists count as this long in the order of rarity.
@@ -207,20 +208,41 @@ def lists(rows: DataFrame) -> DataFrame:
             yield out
 
     dealt = rows.repartition("key").sortWithinPartitions("key", "light", "fp")
-    return _arrow(dealt, run, "key long, fp long, n int, light boolean, head long, length int")
+    return dealt.mapInArrow(run, "key long, fp long, n int, light boolean, head long, length int")
 
 
-def candidate_edges(inputs: DataFrame, boundary: int, shingle: int = SHINGLE, percent: int = PERCENT, extra: float = EXTRA) -> DataFrame:
-    """(a, b, n): distinct edges from candidate sets `b` of size n to the heads of their lists."""
+def candidate_lists(inputs: DataFrame, boundary: int, shingle: int = SHINGLE, percent: int = PERCENT, extra: float = EXTRA) -> DataFrame:
+    """(list, fp, n, head): the lists of candidate sets of size n; head is a list's first set."""
     shared = cut(lists(keys(inputs, boundary, shingle, percent, extra)))
-    light = shared.where("light").select(F.col("head").alias("a"), F.col("fp").alias("b"), "n")
+    name = F.xxhash64("key", "light").alias("list")
+    light = shared.where("light").select(name, "fp", "n", "head")
     smaller = F.ceil(F.col("n") * percent / F.lit(100))
     need = F.greatest(F.lit(1), F.floor(smaller * extra))
     of_set = Window.partitionBy("fp")
     ranked = shared.where("not light").withColumns({"m": F.count("*").over(of_set), "r": F.row_number().over(of_set.orderBy("length", "key"))})
     rare = ranked.where((F.col("m") >= need) & (F.col("r") <= F.col("m") - need + 1)).select("key", "fp", "n", "light")
-    heavy = lists(rare).select(F.col("head").alias("a"), F.col("fp").alias("b"), "n")
-    return cut(light.union(heavy).distinct())
+    return cut(light.union(lists(rare).select(name, "fp", "n", "head")))
+
+
+def is_loose(sets_: Column, pairs: Column, block: int) -> Column:
+    """Whether a group of so many sets is dearer to verify as a whole than by its lists, whose comparisons and shipped sets cost `pairs`."""
+    return (sets_ > block) & (pairs < 2.0 * sets_ * sets_)
+
+
+def groups_to_verify(found: DataFrame, block: int) -> DataFrame:
+    """(root, fp, mine): the groups of sets to compare. `mine` has all lists of a set where its group is one list, else it is null."""
+    groups = components(found.select(F.col("head").alias("a"), F.col("fp").alias("b")).distinct())
+    size = found.groupBy("list").agg(F.count("*").alias("k"), F.min("head").alias("head"))
+    cost = F.col("k") * F.col("k") + F.col("k") * F.greatest(F.col("k"), F.lit(block))
+    of_lists = size.join(groups, size["head"] == groups["node"]).groupBy("root").agg(F.sum(cost.cast("double")).alias("pairs"))
+    of_sets = groups.groupBy("root").agg(F.count("*").alias("m"))
+    loose = cut(of_lists.join(of_sets, "root").where(is_loose(F.col("m"), F.col("pairs"), block)).select("root"))
+    whole = groups.join(loose, "root", "left_anti").select("root", F.col("node").alias("fp"), F.lit(None).cast("array<long>").alias("mine"))
+    if loose.isEmpty():
+        return whole
+    inside = found.join(groups.join(loose, "root", "left_semi").select(F.col("node").alias("fp")), "fp").select("list", "fp").distinct()
+    mine = inside.groupBy("fp").agg(F.sort_array(F.collect_list("list")).alias("mine"))  # as many as a set has keys
+    return whole.union(inside.join(mine, "fp").select(F.col("list").alias("root"), "fp", "mine"))
 
 
 def grouped(batches, key: int = 0) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
@@ -291,7 +313,8 @@ def _roots(a: np.ndarray, b: np.ndarray, n: int) -> list[int]:
 def verified(work: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc, root, links) for the sets of each pair of blocks: a linked set's smallest representative there and its linked documents.
 
-    `work` has (pair, doc, weight, side, elements): side 0 for the first block, 1 for the second, 2 for a block against itself.
+    `work` has (pair, doc, weight, side, elements, root, mine): side 0 for the first block, 1 for the second, 2 for a block against
+    itself. Where `mine`, the lists of a set, isn't null, sets count only in the first list they share, which `root` must be.
     """
 
     def run(batches):
@@ -313,6 +336,10 @@ def verified(work: DataFrame, percent: int = PERCENT) -> DataFrame:
             hit = 100 * common >= percent * union
             if own:
                 np.fill_diagonal(hit, False)
+            if t.column(6)[0].is_valid and hit.any():
+                root, all_lists = t.column(5)[0].as_py(), t.column(6).combine_chunks()
+                before = [np.sort(x[x < root]) for x in (all_lists[int(i)].values.to_numpy() for i in order)]
+                hit &= overlaps(before, left, right) == 0
             i, j = np.nonzero(hit)
             roots = _roots(left[i], right[j], len(doc))
             links = np.zeros(len(doc), dtype=_INT64)
@@ -322,8 +349,8 @@ def verified(work: DataFrame, percent: int = PERCENT) -> DataFrame:
             some = links > 0
             yield pa.RecordBatch.from_arrays([pa.array(doc[some]), pa.array(doc[np.array(roots)][some]), pa.array(links[some])], ["doc", "root", "links"])
 
-    dealt = work.repartition("pair").sortWithinPartitions("pair")
-    return _arrow(dealt, run, "doc long, root long, links long")
+    dealt = work.repartition("pair").sortWithinPartitions("pair").select("pair", "doc", "weight", "side", "elements", "root", "mine")
+    return dealt.mapInArrow(run, "doc long, root long, links long")
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, extra: float = EXTRA, block: int = BLOCK, elements: int = ELEMENTS, small: int = SMALL) -> DataFrame:
@@ -332,17 +359,19 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: i
     summed = cut(summary(inputs, shingle))
     classes = cut(summed.where("n > 0 and doc is not null").groupBy("fp", "n").agg(F.min("doc").alias("rep"), F.count("*").alias("weight")))
     sizes = {r["n"]: r["c"] for r in classes.where(F.col("n") <= LIGHT_MOST).groupBy("n").agg(F.count("*").alias("c")).collect()}  # LIGHT_MOST rows at most
-    edges = candidate_edges(inputs, choose_boundary(sizes, percent, extra), shingle, percent, extra)
-    groups = components(edges)
+    found = candidate_lists(inputs, choose_boundary(sizes, percent, extra), shingle, percent, extra)
+    groups = cut(groups_to_verify(found, block))
 
-    # blocks of each candidate group, in order of size
-    members = groups.join(classes, groups["node"] == classes["fp"]).select("root", "fp", "n", "rep", "weight")
+    # blocks of each group, in order of size
+    members = groups.join(classes, "fp").select("root", "fp", "n", "rep", "weight", "mine")
     cost = F.greatest(F.col("n"), F.lit(elements // block))
     by_size = members.groupBy("root", "n").agg(F.count("*").alias("c"))
-    base = F.sum(F.col("c") * cost).over(Window.partitionBy("root").orderBy("n")) - F.col("c") * cost  # a row for each size of a group
-    by_size = by_size.select("root", "n", "c", base.alias("base"))
+    of_root = Window.partitionBy("root")  # a row for each size of a group
+    base = F.sum(F.col("c") * cost).over(of_root.orderBy("n")) - F.col("c") * cost
+    room = F.least(F.lit(elements), F.greatest(F.lit(elements // 8), F.ceil(F.sum(F.col("c") * cost).over(of_root) / 32)))
+    by_size = by_size.select("root", "n", "c", base.alias("base"), room.alias("room"))
     slot = F.pmod(F.xxhash64("rep"), F.col("c"))
-    placed = cut(members.join(by_size, ["root", "n"]).withColumn("blk", F.floor((F.col("base") + slot * cost) / elements).cast("int")).select("root", "fp", "n", "rep", "weight", "blk"))
+    placed = cut(members.join(by_size, ["root", "n"]).withColumn("blk", F.floor((F.col("base") + slot * cost) / F.col("room")).cast("int")).select("root", "fp", "n", "rep", "weight", "mine", "blk"))
     span = placed.groupBy("root", "blk").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     first, second = span.select("root", F.col("blk").alias("i"), F.col("hi").alias("top")), span.select("root", F.col("blk").alias("j"), F.col("lo").alias("low"))
     fits = first.join(second, "root").where((F.col("i") <= F.col("j")) & (percent * F.col("low") <= 100 * F.col("top"))).select("root", "i", "j", F.xxhash64("root", "i", "j").alias("pair"))
@@ -359,9 +388,9 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: i
 
     reps = placed.select(F.col("rep").alias("doc"))
     needed = side(reps, small)
-    full = _arrow(inputs.join(needed, "doc", "left_semi"), full_sets, "doc long, fp long, elements binary")
-    stored = full.join(placed, (full["doc"] == placed["rep"]) & (full["fp"] == placed["fp"])).select("root", "blk", "doc", "weight", "elements")
-    work = stored.join(sides, ["root", "blk"]).select("pair", "doc", "weight", "side", "elements")
+    full = inputs.join(needed, "doc", "left_semi").mapInArrow(full_sets, "doc long, fp long, elements binary")
+    whole = full.join(placed, (full["doc"] == placed["rep"]) & (full["fp"] == placed["fp"])).select("root", "blk", "doc", "weight", "elements", "mine")
+    work = whole.join(sides, ["root", "blk"]).select("pair", "doc", "weight", "side", "elements", "root", "mine")
     links = cut(verified(work, percent))
 
     linked = components(links, "doc", "root")

@@ -6,10 +6,14 @@ least `least` bytes share one response, that of the largest page_id; the others
 
 Reading back parses each archive file in a task, takes bytes and digest of a response from its stored payload, and sorts the
 file's captures by URL key, timestamp and page_id: a locally sorted run. A range shuffle deals the runs out by that key; each task
-merges its k runs with a loser tree, and the partition offsets give every capture its place in the global order.
-
-Null html is an empty payload; null urls have the empty key; null page_ids stay null and never are a response that others refer to.
-Repeated rows are records of their own. Extra columns are ignored. An empty table gives an empty archive and index.
+merges its k runs with a loser tree, and the partition offsets give every capture its place in the global order. A task reads one
+file and merges `MERGE_ROWS` captures, so both are bounded: files by the records they may hold, fewer where pages are large
+(`FILE_BYTES`), whatever the table's size.
+
+The table has no times: a capture's is `EPOCH` plus page_id seconds, modulo `CYCLE`, in UTC whatever the session's time zone, so any
+page_id has a valid one. Null html is an empty payload; null urls have the empty key; null page_ids stay null and never are a
+response that others refer to. Very long pages take a file of their own. Repeated rows are records of their own; captures with
+equal keys, times and ids have any order among themselves. Extra columns are ignored. An empty table gives an empty archive and index.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ import hashlib
 import re
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -27,9 +32,13 @@ from .common import SMALL, cut, new_folder, side
 
 END = "\r\n\r\n"
 LEAST = 1000
+#: Most records of a file; a file of pages of up to b bytes holds FILE_BYTES / b at most.
 FILE_RECORDS = 10_000
-MERGE_ROWS = 200_000
-EPOCH = "2024-01-01 00:00:00"
+FILE_BYTES = 128 << 20
+MERGE_ROWS = 50_000
+EPOCH = "2024-01-01"
+#: Seconds after which capture times begin again.
+CYCLE = 1_000_000_000
 INDEX = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url_key string, captured string, file string, offset long, length long, run string, seq long"
 
 
@@ -70,18 +79,34 @@ class LoserTree:
             self.replay(run)
 
 
-def records(pages: DataFrame, least: int = LEAST, small: int = SMALL, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """One column `value`: the WARC record of each page without its final blank lines."""
+def capture_time(page_id: Column) -> Column:
+    """The time of a capture as text. Days and seconds are counted apart, so no time zone plays a part."""
+    seconds = F.pmod(F.coalesce(page_id, F.lit(0)), F.lit(CYCLE))
+    day, rest = (seconds / 86400).cast("int"), (seconds % 86400).cast("int")
+    clock = [(rest / 3600).cast("int"), (rest % 3600 / 60).cast("int"), rest % 60]
+    return F.concat(F.date_add(F.lit(EPOCH).cast("date"), day).cast("string"), F.lit("T"), F.concat_ws(":", *[F.lpad(x.cast("string"), 2, "0") for x in clock]), F.lit("Z"))
+
+
+def _rows(pages: DataFrame, page_id: str, url: str, html: str) -> DataFrame:
     body = F.coalesce(F.col(html).cast("string"), F.lit(""))
     rows = pages.select(F.col(page_id).cast("long").alias("id"), F.regexp_replace(F.col(url), r"[\r\n\s]", "%20").alias("uri"), body.alias("body"))
-    rows = rows.withColumns({"n": F.octet_length("body").cast("long"), "digest": F.sha1(F.encode("body", "UTF-8"))})
-    shared = rows.where(F.col("n") >= least).groupBy("digest").agg(F.max("id").alias("keeper"), F.count("*").alias("c")).where((F.col("c") > 1) & F.col("keeper").isNotNull())
-    shared = cut(shared.select("digest", "keeper"))
-    joined = rows.join(side(shared, small), "digest", "left").withColumn("keeper", F.when(F.col("n") >= least, F.col("keeper")))
+    return rows.withColumns({"n": F.octet_length("body").cast("long"), "digest": F.sha1(F.encode("body", "UTF-8"))})
+
+
+def repeated(pages: DataFrame, least: int = LEAST, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """(digest, keeper) of payloads that several records have."""
+    shared = _rows(pages, page_id, url, html).where(F.col("n") >= least).groupBy("digest").agg(F.max("id").alias("keeper"), F.count("*").alias("c"))
+    return cut(shared.where((F.col("c") > 1) & F.col("keeper").isNotNull()).select("digest", "keeper"))
+
+
+def records(pages: DataFrame, least: int = LEAST, shared: DataFrame | None = None, small: int = SMALL, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """One column `value`: the WARC record of each page without its final blank lines. `shared` is `repeated` of all pages."""
+    shared = repeated(pages, least, page_id, url, html) if shared is None else shared
+    joined = _rows(pages, page_id, url, html).join(side(shared, small), "digest", "left").withColumn("keeper", F.when(F.col("n") >= least, F.col("keeper")))
     revisit = F.col("keeper").isNotNull() & ~F.col("keeper").eqNullSafe(F.col("id"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n"), F.lit(END))
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
-    when = F.date_format(F.timestamp_seconds(F.unix_timestamp(F.lit(EPOCH)) + F.coalesce(F.col("id"), F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    when = capture_time(F.col("id"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
 
     def record(kind: str, extra: list[Column], block: Column) -> Column:
@@ -96,8 +121,16 @@ def records(pages: DataFrame, least: int = LEAST, small: int = SMALL, page_id: s
     return joined.select(F.when(revisit, again).otherwise(record("response", [], F.concat(http, F.col("body")))).alias("value"))
 
 
-def write(pages: DataFrame, path: str, least: int = LEAST, file_records: int = FILE_RECORDS) -> None:
-    records(pages, least).write.option("lineSep", END).option("maxRecordsPerFile", file_records).text(path)
+def write(pages: DataFrame, path: str, least: int = LEAST, file_records: int = FILE_RECORDS, file_bytes: int = FILE_BYTES) -> None:
+    """Write `pages` under `path`, a folder for each class of page sizes that occurs (powers of 64), so that no file outgrows `file_bytes` but by one page."""
+    size = F.coalesce(F.octet_length(F.col("html").cast("string")), F.lit(0))
+    order = sum((F.when(size > file_bytes // file_records * 64**k, 1).otherwise(0) for k in range(5)), F.lit(0))
+    found = [r["k"] for r in pages.select(order.alias("k")).distinct().collect()]  # six classes at most
+    shared = repeated(pages, least)
+    for k in sorted(found) or [0]:
+        some = pages if len(found) < 2 else pages.where(order == k)
+        most = max(1, file_records // 64**k)
+        records(some, least, shared).write.option("lineSep", END).option("maxRecordsPerFile", most).text(f"{path}/{k}")
 
 
 def url_key(url: str) -> str:
@@ -155,16 +188,16 @@ def runs(spark: SparkSession, path: str) -> DataFrame:
                         size, digest, refers = int(http[:cut_at].split(b"Content-Length: ")[1]), h["WARC-Payload-Digest"].removeprefix("sha1:"), _page(h["WARC-Refers-To"])
                     rows.append((_page(h["WARC-Record-ID"]), size, digest, h["WARC-Type"], refers, url_key(h["WARC-Target-URI"]) if "WARC-Target-URI" in h else "", h["WARC-Date"], name, offset, length))
                 rows.sort(key=_order)
-                run = name.rsplit("/", 1)[-1]
+                run = "/".join(name.rsplit("/", 2)[-2:])
                 yield _batch([(*r, run, i) for i, r in enumerate(rows)])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path).select("path", "content")
     return files.mapInArrow(read, INDEX)
 
 
-def _batch(rows: list[tuple], more: list[tuple[str, pa.DataType]] = ()) -> pa.RecordBatch:
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
     kind = {"long": pa.int64(), "string": pa.string()}
-    names = [(n, kind[t]) for n, t in (x.split(" ") for x in INDEX.split(", "))] + list(more)
+    names = [(n, kind[t]) for n, t in (x.split(" ") for x in INDEX.split(", "))]
     cols = list(zip(*rows, strict=True)) or [[]] * len(names)
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, names, strict=True)], [n for n, _ in names])
 
@@ -175,18 +208,18 @@ def merged(index: DataFrame, merge_rows: int = MERGE_ROWS) -> DataFrame:
     parts = max(1, -(-index.count() // merge_rows), min(index.rdd.getNumPartitions(), 64))
 
     def merge(batches):
+        kept = [b for b in batches if b.num_rows]
+        if not kept:
+            return
+        table = pa.Table.from_batches(kept).combine_chunks()
         by_run: dict[str, list] = {}
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                by_run.setdefault(row[10], []).append((_order(row), row[11], row))
-        part = TaskContext.get().partitionId()
-        out = []
-        for place, (_, _, row) in enumerate(LoserTree(list(by_run.values()))):
-            out.append((*row, part, place))
-            if len(out) == 10_000:
-                yield _batch(out, [("part", pa.int64()), ("place", pa.int64())])
-                out = []
-        yield _batch(out, [("part", pa.int64()), ("place", pa.int64())])
+        order = zip(*(table.column(c).to_pylist() for c in ("url_key", "captured", "page_id", "run")), strict=True)
+        for place, (key, time, page, run) in enumerate(order):  # rows come by run, in their order
+            by_run.setdefault(run, []).append(((key, time, page is not None, page or 0), place))
+        rows = pa.array([place for _, place in LoserTree(list(by_run.values()))], pa.int64())
+        part = pa.array(np.full(len(rows), TaskContext.get().partitionId(), dtype=np.int64))
+        done = table.take(rows).append_column("part", part).append_column("place", pa.array(np.arange(len(rows), dtype=np.int64)))
+        yield from done.to_batches(max_chunksize=10_000)
 
     dealt = index.repartitionByRange(parts, "url_key", "captured", "page_id").sortWithinPartitions("run", "seq")
     done = cut(dealt.mapInArrow(merge, INDEX + ", part long, place long"))

@@ -1,3 +1,4 @@
+import datetime
 import hashlib
 import zlib
 from collections import Counter
@@ -124,7 +125,7 @@ def test_quality_verdicts(spark):
     assert quality.filter_docs(cases.frame(spark, docs)).columns == cases.frame(spark, docs).columns
 
 
-@pytest.mark.parametrize("how", [{}, {"small": 0}, {"piece": 50, "shard_bytes": 3000, "chunk_bytes": 2000}, {"piece": 7, "shard_bytes": 500, "chunk_bytes": 300, "small": 0}])
+@pytest.mark.parametrize("how", [{}, {"small": 0}, {"piece": 50, "shard_windows": 60, "chunk_bytes": 2000}, {"piece": 7, "shard_windows": 5, "chunk_bytes": 300, "small": 0}])
 def test_substring_dedup(spark, how):
     got = substring.dedup(cases.frame(spark, DOCS), **how)
     assert sorted(map(tuple, got.collect())) == cases.repeats(DOCS)
@@ -144,11 +145,12 @@ def test_only_the_automata_tell_what_goes(spark, monkeypatch):
 
 
 def test_words_with_equal_hashes_are_compared():
-    phrases = substring.Phrases([b" ".join(b"w%d" % i for i in range(40))], 35)
     text = [b"w%d" % i for i in range(40)]
-    mark = np.zeros(40, dtype=bool)
-    phrases.verify(text[:37] + [b"other"] + text[38:], 0, 0, 0, 40, mark)
-    assert mark.tolist() == [True] * 37 + [False] * 3
+    phrases = substring.Phrases([b" ".join(text)], 35)
+    code = substring.coded(substring.hash_texts([b" ".join(text)])[0])
+    assert phrases.covered(b"\n".join(text), code).all()
+    assert phrases.covered(b" ".join(text[:37] + [b"other"] + text[38:]), code).tolist() == [True] * 37 + [False] * 3
+
 
 def test_substring_dedup_keeps_text(spark):
     kept = {r["doc_id"]: r["kept"] for r in substring.dedup(cases.frame(spark, DOCS), with_text=True).collect()}
@@ -168,6 +170,29 @@ def test_jaccard_boundaries_agree(spark, monkeypatch):
         assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {d: c for d, (_, c, _) in cases.jaccard(DOCS).items()}
 
 
+@pytest.mark.parametrize("block", [512, 4])
+def test_jaccard_list_by_list(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "is_loose", lambda sets_, pairs, block: F.lit(True))
+    got = jaccard.join(cases.frame(spark, DOCS), block=block, elements=block * 100)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in got.collect()} == cases.jaccard(DOCS)
+
+
+def test_jaccard_without_ids(spark):
+    docs = [(None, DOCS[5][1]), (None, DOCS[5][1]), (4, DOCS[5][1]), (4, DOCS[8][1]), (9, None)]
+    docs.append((None, DOCS[10][1]))
+    got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in jaccard.join(cases.frame(spark, docs)).collect())
+    n = [len(set(zip(*[cases.words(cases.lower(t))[i:] for i in range(5)], strict=False))) for _, t in docs]
+    assert got == sorted([("None", n[0], "4"), ("None", n[1], "4"), ("4", n[2], "4"), ("4", n[3], "4"), ("9", 0, "9"), ("None", n[5], "None")])
+
+
+def test_loose_chains_are_told_from_dense_groups(spark):
+    chain = [(i, s, 5, i) for i in range(2000) for s in (i, i + 1)]  # list i has the sets i and i + 1
+    dense = [(10_000 + k, 50_000 + s, 5, 50_000) for k in range(20) for s in range(700)]
+    found = spark.createDataFrame(chain + dense, "list long, fp long, n int, head long")
+    kinds = jaccard.groups_to_verify(found, 512).groupBy(F.col("mine").isNull().alias("whole")).agg(F.count("*").alias("rows"), F.countDistinct("root").alias("groups")).collect()
+    assert {r["whole"]: (r["rows"], r["groups"]) for r in kinds} == {True: (700, 1), False: (4000, 2000)}
+
+
 def test_lists_cross_batches(spark):
     rows = [(k, f, 5, False) for k in range(40) for f in range(k % 4)] + [(99, f, 5, False) for f in range(3000)] * 2
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
@@ -253,6 +278,26 @@ def test_warc_records_and_order(spark, tmp_path):
     assert by[4, "org,a)/?a=1&b=2"][:2] == ("revisit", 5) and by[6, ")x"][0] == by[7, ")x"][0] == "response"
 
 
+def test_warc_stands_any_page_id_and_time_zone(spark, tmp_path):
+    ids = [0, -1, 2**62, -(2**62), 10_000_000, 900_000_000_000_000]
+    pages = spark.createDataFrame([(i, f"http://a.org/{i}", "h" * 5) for i in ids], "page_id long, url string, html string")
+    base = datetime.datetime(2024, 1, 1)
+    expected = {i: (base + datetime.timedelta(seconds=i % warc.CYCLE)).strftime("%Y-%m-%dT%H:%M:%SZ") for i in ids}
+    for zone in ("America/New_York", "UTC"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        assert {r["page_id"]: r["captured"] for r in warc.archive(pages).collect()} == expected
+
+
+def test_warc_files_are_bounded_in_bytes(spark, tmp_path):
+    sizes = [10, 90, 700, 9000, 30] * 20
+    pages = spark.createDataFrame([(i, f"http://a.org/{i}", chr(97 + i % 26) * n) for i, n in enumerate(sizes)], "page_id long, url string, html string").coalesce(1)
+    warc.write(pages, str(tmp_path / "w"), file_records=10, file_bytes=1000)
+    files = [f for f in (tmp_path / "w").rglob("part-*")]
+    biggest = [len(x) for f in files for x in [f.read_bytes().split(b"WARC/1.1\r\n")[1:]]]
+    assert max(biggest) <= 10 and len(files) == 6 + 20 + 20
+    assert warc.runs(spark, str(tmp_path / "w")).count() == len(sizes)
+
+
 def test_loser_tree_merges_any_number_of_runs():
     for k in range(8):
         runs = [sorted((i * 7 + j * 3) % 20 for j in range(i)) for i in range(k)]
