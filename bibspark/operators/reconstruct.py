@@ -17,26 +17,89 @@ def priority(source: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in PRIORITY.items() for x in kv]), source), F.lit(DEFAULT_PRIORITY))
 
 
-def scored(references: DataFrame, records: DataFrame, most_common: int = 1000) -> DataFrame:
-    """Candidates (ref_id, record_id, source, score, consistent) that share a DOI or a title word, in at most `most_common` records, with a reference.
+def scored(references: DataFrame, records: DataFrame, most: int = resolve.SHORTLIST) -> DataFrame:
+    """Candidates (ref_id, record_id, source, score, consistent) of each reference: records of the same title, else the `most` that
+    share most search words, and those of the same DOI.
 
-    An equal DOI scores 1; else title and author token Jaccard are weighed. A candidate is consistent if years agree where both
-    sides have one and, where the reference has authors, at least half of the author tokens are shared.
+    An equal DOI scores 1; else the gestalt ratio of the titles and the author token Jaccard are weighed. A candidate is consistent if
+    years agree where both sides have one and, where the reference has authors, at least half of the author tokens are shared.
     """
     left = references
     right = records.select("record_id", "source", F.col("title").alias("r_title"), F.col("authors").alias("r_authors"), F.col("year").alias("r_year"), F.col("doi").alias("r_doi"))
-    titles = lambda df, i, c: df.select(F.col(i).alias("id"), resolve.tokens(F.col(c)).alias("tokens"))
-    by_title = resolve.overlaps(titles(left, "ref_id", "title"), titles(right, "record_id", "r_title"), most_common).select(F.col("l").alias("ref_id"), F.col("r").alias("record_id"))
+    titles = lambda df, i, c: df.select(F.col(i).alias("id"), F.col(c).alias("title"))
+    by_title = resolve.candidates(titles(left, "ref_id", "title"), titles(right, "record_id", "r_title"), most).select(F.col("l").alias("ref_id"), F.col("r").alias("record_id"))
     by_doi = left.join(right, F.col("doi") == F.col("r_doi")).select("ref_id", "record_id")
     pairs = by_title.unionByName(by_doi).distinct().join(left, "ref_id").join(right, "record_id")
-    title = resolve.jaccard(resolve.tokens(F.col("title")), resolve.tokens(F.col("r_title")))
+    same_doi = F.coalesce(F.col("doi") == F.col("r_doi"), F.lit(False))
+    known = pairs.withColumn("t", resolve.title_similarity("title", "r_title"))
     mine, theirs = resolve.tokens(F.col("authors")), resolve.tokens(F.col("r_authors"))
     authors = resolve.jaccard(mine, theirs)
     both = (F.size(mine) > 0) & (F.size(theirs) > 0)
-    same_doi = F.coalesce(F.col("doi") == F.col("r_doi"), F.lit(False))
-    score = F.round(F.when(same_doi, 1.0).otherwise(resolve.citation_score(title, authors, both)), 6)
+    score = F.round(F.when(same_doi, 1.0).otherwise(resolve.citation_score(F.col("t"), authors, both)), 6)
     year_ok = F.coalesce(F.col("year") == F.col("r_year"), F.lit(True))
-    return pairs.select("ref_id", "record_id", "source", F.col("r_doi").alias("found_doi"), score.alias("score"), (year_ok & ((F.size(mine) == 0) | (authors >= 0.5))).alias("consistent"))
+    return known.select("ref_id", "record_id", "source", F.col("r_doi").alias("found_doi"), score.alias("score"), (year_ok & ((F.size(mine) == 0) | (authors >= 0.5))).alias("consistent"))
+
+
+def best_by_provider(candidates: DataFrame) -> DataFrame:
+    """Of each reference and provider the candidate of the highest score; ties go to the smaller id."""
+    top = Window.partitionBy("ref_id", "source").orderBy(F.desc("score"), "record_id")
+    return candidates.withColumn("n", F.row_number().over(top)).where("n = 1").drop("n")
+
+
+def providers_to_ask(references: DataFrame, providers: DataFrame) -> DataFrame:
+    """(ref_id, source, ord): every provider in order, but only arXiv for a reference that names an arXiv identifier."""
+    named = F.coalesce(F.col("text").rlike(r"(?i)\barxiv\s*:\s*[0-9]{4}\.[0-9]{4,5}|arxiv\.org/(?:abs|pdf)/"), F.lit(False))
+    return references.crossJoin(F.broadcast(providers)).where(~named | (F.col("source") == "arxiv")).select("ref_id", "source", "ord")  # a few providers
+
+
+def prioritised(queries: DataFrame) -> DataFrame:
+    """(ref_id, ord, text, place): a reference's queries with those that name an arXiv identifier first, else in their order."""
+    named = F.coalesce(F.col("text").rlike(r"(?i)\barxiv\b"), F.lit(False))
+    return queries.withColumn("place", F.row_number().over(Window.partitionBy("ref_id").orderBy((~named).cast("int"), "ord")))
+
+
+def details_to_fetch(candidates: DataFrame, most: int = 3, enough: float = 0.90) -> DataFrame:
+    """The best `most` basic results of each reference, up to and with the first whose score is `enough`."""
+    order = Window.partitionBy("ref_id").orderBy(F.desc("score"), "record_id")
+    ranked_ = candidates.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+    done = F.max((F.col("score") >= enough).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    return ranked_.withColumn("done", F.coalesce(done, F.lit(0))).where("done = 0").drop("done")
+
+
+def local_match(pairs: DataFrame, least: float = TRUSTED) -> Column:
+    """Whether a stored record is the reference: equal DOIs decide; else titles must be alike, years and authors not speak against it."""
+    mine, theirs = resolve.tokens(F.col("authors")), resolve.tokens(F.col("r_authors"))
+    year_ok = F.coalesce(F.col("year") == F.col("r_year"), F.lit(True))
+    people_ok = (F.size(mine) == 0) | (F.size(theirs) == 0) | F.arrays_overlap(mine, theirs)
+    return F.when(F.col("doi").isNotNull() & F.col("r_doi").isNotNull(), F.col("doi") == F.col("r_doi")).otherwise((F.col("t") >= least) & year_ok & people_ok)
+
+
+def evidence(found: DataFrame) -> DataFrame:
+    """`found` (..., wanted_doi, doi, title, t) with `accepted` and the reason why not: no DOI, another DOI, or another title."""
+    reason = (
+        F.when(F.col("doi").isNull(), "doi_missing").when(F.col("doi") != F.col("wanted_doi"), "doi_mismatch")
+        .when(F.col("title").isNull(), "title_missing").when(F.col("t") < TRUSTED, "title_mismatch")
+    )
+    return found.withColumn("reason", reason).withColumn("accepted", F.col("reason").isNull())
+
+
+def group_score(pairs: DataFrame) -> DataFrame:
+    """(l, r, score): the best citation score over every title of a record with every one of its author groups.
+
+    `pairs` has (l, r, title, authors, titles, groups); a record has few titles and groups.
+    """
+    each = pairs.select("l", "r", "title", "authors", F.explode("titles").alias("one"), "groups").select("l", "r", "title", "authors", "one", F.explode_outer("groups").alias("group"))
+    mine, theirs = resolve.tokens(F.col("authors")), resolve.tokens(F.array_join("group", " "))
+    both = (F.size(mine) > 0) & (F.size(theirs) > 0)
+    timed = each.withColumn("t", resolve.title_similarity("title", "one"))
+    return timed.groupBy("l", "r").agg(F.round(F.max(resolve.citation_score(F.col("t"), resolve.jaccard(mine, theirs), both)), 6).alias("score"))
+
+
+def first_final(attempts: DataFrame) -> DataFrame:
+    """(ref_id, ord): the first attempt that is accepted and complete, unless an attempt before it has a conflict, which ends the search."""
+    order = Window.partitionBy("ref_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    open_ = attempts.withColumn("stopped", F.coalesce(F.max(F.col("conflict").cast("int")).over(order), F.lit(0)))
+    return open_.where("stopped = 0 and accepted and complete and not conflict").groupBy("ref_id").agg(F.min("ord").alias("ord"))
 
 
 def ranked(candidates: DataFrame) -> DataFrame:

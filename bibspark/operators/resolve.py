@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import difflib
 import unicodedata
+from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,21 +26,135 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
-def overlaps(left: DataFrame, right: DataFrame, most_common: int = 1000) -> DataFrame:
-    """(l, r, shared, left_n, right_n): token overlaps of (id, tokens) rows. Tokens in more than `most_common` right rows block nothing.
+def overlaps(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(l, n_right, shared): of each (id, tokens) row how many rows of the other side share a token with it, and how many tokens in all.
 
-    The bound is on a token's rows in the right table and is the blocking rule itself, so a frequent word never multiplies rows.
+    Only counts by token are joined, so a frequent token costs a row, not a pair.
     """
-    lt = left.select(F.col("id").alias("l"), F.size("tokens").alias("left_n"), F.explode("tokens").alias("t"))
-    rt = right.select(F.col("id").alias("r"), F.size("tokens").alias("right_n"), F.explode("tokens").alias("t"))
-    rare = rt.groupBy("t").agg(F.count("*").alias("c")).where(F.col("c") <= most_common).select("t")
-    return lt.join(rt.join(rare, "t"), "t").groupBy("l", "r").agg(F.count("*").alias("shared"), F.first("left_n").alias("left_n"), F.first("right_n").alias("right_n"))
+    lt = left.select(F.col("id").alias("l"), F.explode("tokens").alias("t"))
+    df = right.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
+    return lt.join(df, "t").groupBy("l").agg(F.count("*").alias("n_tokens"), F.sum("df").alias("shared"))
 
 
-def shortlist(pairs: DataFrame, most: int = SHORTLIST) -> DataFrame:
-    """The `most` candidates of each left row with the most shared tokens; ties go to the smaller id."""
-    best = Window.partitionBy("l").orderBy(F.desc("shared"), "r")
-    return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most)
+#: References of a block; each block is one pass over the records.
+BLOCK = 2000
+
+
+def _postings(tokens_: list[list[str]]) -> tuple[dict, np.ndarray, np.ndarray]:
+    """Token numbers, and for each token where its references begin in the flat list of references."""
+    number: dict[str, int] = {}
+    flat = [(number.setdefault(t, len(number)), i) for i, ts in enumerate(tokens_) for t in ts]
+    pairs = np.array(sorted(flat), dtype=np.int64).reshape(-1, 2)
+    return number, np.searchsorted(pairs[:, 0], np.arange(len(number) + 1)), pairs[:, 1]
+
+
+def shortlist(left: DataFrame, right: DataFrame, most: int = SHORTLIST, block: int = BLOCK) -> DataFrame:
+    """(l, r, shared, rank): the `most` rows of `right` with the most shared tokens for each row of `left`; ties go to the smaller id.
+
+    Both have (id, tokens). All tokens count, however frequent. The left rows are the queries: in blocks of `block`, each broadcast, they
+    meet every record in one pass; a task adds up a batch's tokens over the block's inverted lists and keeps the best `most` of each
+    query, so no pair leaves a task but those.
+    """
+    spark = left.sparkSession
+    rows = left.where(F.size("tokens") > 0).select(F.col("id").cast("long"), "tokens")
+    n = rows.count()
+    numbered = rows.select("id", "tokens", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // block)))).alias("blk"))
+    parts = []
+    for blk in range(max(1, -(-n // block))):
+        own = numbered.where(F.col("blk") == blk).select("id", "tokens").collect()  # about `block` rows
+        shared = spark.sparkContext.broadcast(([r["id"] for r in own], _postings([r["tokens"] for r in own])))
+        parts.append(right.select(F.col("id").cast("long"), "tokens").mapInArrow(_counter(shared, most), "l long, r long, shared long"))
+    found = reduce(DataFrame.unionByName, parts)
+    best_ = Window.partitionBy("l").orderBy(F.desc("shared"), "r")
+    return found.withColumn("rank", F.row_number().over(best_)).where(F.col("rank") <= most)
+
+
+def _counter(shared, most: int):
+    def run(batches):
+        ids, (number, begin, owner) = shared.value
+        ids, width = np.array(ids, dtype=np.int64), len(ids)
+        top = np.zeros((0, 3), dtype=np.int64)  # (query, shared, record)
+        for batch in batches:
+            names, tokens_ = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            for lo in range(0, len(names), 500):
+                known = [(i, number[t]) for i, ts in enumerate(tokens_[lo : lo + 500]) for t in ts or () if t in number]
+                if not known or not width:
+                    continue
+                row, token = np.array(known, dtype=np.int64).T
+                size = begin[token + 1] - begin[token]
+                ends = np.cumsum(size)
+                spots = np.arange(ends[-1]) + np.repeat(begin[token] - (ends - size), size)
+                cell, count = np.unique(np.repeat(row, size) * width + owner[spots], return_counts=True)
+                top = _keep(np.concatenate([top, np.stack([cell % width, count, names[lo + cell // width]], axis=1)]), most)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[top[:, 0]]), pa.array(top[:, 2]), pa.array(top[:, 1])], ["l", "r", "shared"])
+
+    return run
+
+
+def _keep(rows: np.ndarray, most: int) -> np.ndarray:
+    """The best `most` (query, shared, record) rows of each query."""
+    rows = rows[np.lexsort((rows[:, 2], -rows[:, 1], rows[:, 0]))]
+    start = np.searchsorted(rows[:, 0], rows[:, 0])
+    return rows[np.arange(len(rows)) - start < most]
+
+
+def candidates(left: DataFrame, right: DataFrame, most: int = SHORTLIST) -> DataFrame:
+    """(l, r, way): the records to compare with each reference, both (id, title). A reference takes the records of the same comparison
+    text; without any, the `most` records that share most search words; without a shared word it is to be compared with all, which
+    `best_of_all` does in blocks: such references are not listed here.
+    """
+    keyed = lambda df: df.select("id", comparison_key(F.col("title")).alias("key"))
+    lk, rk = keyed(left), keyed(right)
+    exact = lk.where("key <> ''").join(rk, "key").select(lk["id"].alias("l"), rk["id"].alias("r"), F.lit("exact").alias("way"))
+    rest = lk.join(rk.where("key <> ''").select("key").distinct(), "key", "left_anti")
+    words = lambda df: df.select("id", search_tokens(F.col("key")).alias("tokens"))
+    return exact.unionByName(shortlist(words(rest), words(rk), most).select("l", "r", F.lit("shortlist").alias("way")))
+
+
+# Words that no search looks for.
+SEARCH_STOP_WORDS = "and for from into method of the using with".split()
+
+
+def best_of_all(left: DataFrame, right: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(l, r, score): for each of the few references that `candidates` lists nothing for the record of the highest title similarity.
+
+    Both are (id, title). The references are the queries, in blocks that are broadcast; records stream past, a task keeps the best.
+    """
+    spark = left.sparkSession
+    numbered = left.select(F.col("id").cast("long"), "title", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-left.count() // block)))).alias("blk"))
+    parts = []
+    for blk in [r["blk"] for r in numbered.select("blk").distinct().collect()]:  # one for each `block` references
+        shared = spark.sparkContext.broadcast([(r["id"], comparison_text(r["title"])) for r in numbered.where(F.col("blk") == blk).collect()])
+
+        def run(batches, shared=shared):
+            top: dict[int, tuple[float, int]] = {}
+            for batch in batches:
+                for r, title in zip(batch.column(0).to_pylist(), map(comparison_text, batch.column(1).to_pylist()), strict=True):
+                    for q, key in shared.value:
+                        score = difflib.SequenceMatcher(None, key, title).ratio() if key and title else 0.0
+                        top[q] = max(top.get(q, (-1.0, 0)), (score, -r))
+            yield pa.RecordBatch.from_arrays([pa.array(list(top), pa.int64()), pa.array([-r for _, r in top.values()], pa.int64()), pa.array([x for x, _ in top.values()], pa.float64())], ["l", "r", "score"])
+
+        parts.append(right.select(F.col("id").cast("long"), "title").mapInArrow(run, "l long, r long, score double"))
+    if not parts:
+        return left.limit(0).select(F.col("id").cast("long").alias("l"), F.col("id").cast("long").alias("r"), F.lit(0.0).alias("score"))
+    return best(reduce(DataFrame.unionByName, parts))
+
+
+def search_tokens(key: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(key, " "), lambda t: (F.char_length(t) >= 3) & ~t.isin(*SEARCH_STOP_WORDS)))
+
+
+def comparison_key(c: Column) -> Column:
+    """`comparison_text` for titles without compatibility forms, as an expression."""
+    plain = F.regexp_replace(F.translate(F.lower(F.coalesce(c, F.lit(""))), "{}", ""), r"\\[a-z]+\s*|\\.", "")
+    return F.trim(F.regexp_replace(plain, r"[^\p{L}\p{N}_]+", " "))
+
+
+def most_common(items: DataFrame, k: int) -> DataFrame:
+    """(item, n) of the `k` most frequent items of (item, ord); ties go to the one that came first."""
+    counted = items.groupBy("item").agg(F.count("*").alias("n"), F.min("ord").alias("first"))
+    return counted.orderBy(F.desc("n"), "first").limit(k).select("item", "n")
 
 
 def best(scored: DataFrame, score: str = "score") -> DataFrame:
@@ -71,6 +188,12 @@ def citation_score(title: Column, author: Column, has_authors: Column) -> Column
     return F.when(title == 0, 0.0).when(has_authors, 0.7 * title + 0.3 * author).otherwise(title)
 
 
+def anthology_score(title: Column, key: Column, found_key: Column, author: Column, has_authors: Column) -> Column:
+    """A title of 12 characters or more that stands in the reference's counts as equal; authors weigh in only where both sides have some."""
+    t = F.when((F.char_length(found_key) >= 12) & F.contains(key, found_key), 1.0).otherwise(title)
+    return F.when(has_authors, 0.7 * t + 0.3 * author).otherwise(t)
+
+
 def slug(c: Column) -> Column:
     """ASCII words in lower case, joined by dashes."""
     return F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), "^-|-$", "")
@@ -87,8 +210,6 @@ def assign_keys(wanted: DataFrame) -> DataFrame:
     def run(batches):
         import hashlib
 
-        import pyarrow as pa
-
         now, used = None, set()
         for batch in batches:
             keys = []

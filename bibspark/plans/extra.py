@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import fixes, outcome, semantic, texscan
 from ..sources import corpus, files, table
 from .bibtex import _TITLE, _YEAR, BASE, _entries, _fixed
-from .more import er13_selected
+from .more import _SCORED, er13_selected
 
 
 def _tex(spark, sf_dir):
@@ -79,7 +79,7 @@ ORACLES = {
     "sem24_unresolved": f"WITH {BASE} SELECT doc_id, bool_or(k % 3 = 2 OR (k % 41 <> 0 AND k % 13 = 0 AND 1990 + k % 30 <> 2001)) AS unresolved FROM b GROUP BY 1",
     "sem33_api_rows": f"WITH {BASE} SELECT doc_id, e AS entry_idx, {_TITLE} AS title, 'Smith' || (k % 10) || ', Ann; Bob van der Jones' || (k % 7) AS authors, {_YEAR} AS year, lower(doi) AS doi FROM b",
     "src04_extraction": "SELECT p_partkey // 7 AS doc_id, count(*) AS n, max(1990 + p_partkey % 30)::VARCHAR AS last_year FROM part GROUP BY 1",
-    "snk02_report": "WITH t AS (SELECT count(*) AS n, sum((p_partkey % 6 = 0 OR p_partkey % 3 = 0)::INT) AS r FROM part) SELECT '{\"total\":' || n || ',\"ready\":' || r || ',\"manual_review\":' || (n - r) || '}' AS value FROM t",
+    "snk02_report": f"WITH {_SCORED}, t AS (SELECT count(*) AS n, count(*) FILTER (k IN (SELECT ref_id FROM s WHERE consistent)) AS r FROM p) SELECT '{{\"total\":' || n || ',\"ready\":' || r || ',\"manual_review\":' || (n - r) || '}}' AS value FROM t",
     "sem30_revision": f"SELECT doc_id, 'sha256:' || sha256(source) AS revision FROM {corpus.sql()}",
     "fix07_line_diff": f"""WITH a AS (SELECT doc_id, unnest(string_split(trim(source, chr(10)), chr(10))) AS l, generate_subscripts(string_split(trim(source, chr(10)), chr(10)), 1) AS i FROM {corpus.sql()}),
       c AS (SELECT doc_id, unnest(string_split(trim(source, chr(10)), chr(10))) AS l, generate_subscripts(string_split(trim(source, chr(10)), chr(10)), 1) AS i FROM {corpus.sql(clean=True)}),

@@ -50,21 +50,28 @@ def val30_selector(spark, sf_dir):
 
 def ref_rows(spark, sf_dir):
     k = F.col("p_partkey")
-    return table(spark, sf_dir, "part").select(k.alias("ref_id"), F.concat("p_name", F.lit(" n"), k).alias("title"), F.concat(F.lit("Smith"), k % 10).alias("authors"), (1990 + k % 30).cast("int").alias("year"), F.when(k % 3 == 0, F.concat(F.lit("10.1000/part."), k)).alias("doi"))
+    title = F.concat("p_name", F.lit(" "), F.md5(k.cast("string")))
+    return table(spark, sf_dir, "part").select(k.alias("ref_id"), title.alias("title"), F.concat(F.lit("Smith"), k % 10).alias("authors"), (1990 + k % 30).cast("int").alias("year"), F.when(k % 3 == 0, F.concat(F.lit("10.1000/part."), k)).alias("doi"))
 
 
 def provider_rows(spark, sf_dir):
+    """Records of two providers: equal titles, titles with a word more, equal identifiers, and years that differ."""
     k = F.col("p_partkey")
     part = table(spark, sf_dir, "part")
-    row = lambda off, source, where, title, year, doi: part.where(where).select((k * 10 + off).alias("record_id"), F.lit(source).alias("source"), title.alias("title"), F.concat(F.lit("Smith"), k % 10).alias("authors"), year.cast("int").alias("year"), doi.alias("doi"))
-    doi = F.concat(F.lit("10.1000/part."), k)
-    a = row(1, "crossref", k % 2 == 0, F.concat(F.lit("zz"), k), 1990 + k % 30, doi)
-    b = row(2, "arxiv", k % 3 == 0, F.concat(F.lit("zz"), k, F.lit(" x")), 1990 + k % 30 + F.when(k % 6 == 0, 1).otherwise(0), doi)
+    title = F.concat("p_name", F.lit(" "), F.md5(k.cast("string")))
+    doi = F.when(k % 3 == 0, F.concat(F.lit("10.1000/part."), k))
+
+    def row(off, source, where, named, year):
+        return part.where(where).select((k * 10 + off).alias("record_id"), F.lit(source).alias("source"), named.alias("title"), F.concat(F.lit("Smith"), k % 10).alias("authors"), year.cast("int").alias("year"), doi.alias("doi"))
+
+    a = row(1, "crossref", k % 2 == 0, F.concat(title, F.when(k % 4 == 2, " revisited").otherwise("")), 1990 + k % 30)
+    b = row(2, "arxiv", k % 5 == 0, F.concat(F.lit("{"), F.upper(title), F.lit("}")), 1990 + k % 30 + F.when(k % 15 == 0, 1).otherwise(0))
     return a.unionByName(b)
 
 
 def jon12_scored(spark, sf_dir):
-    return reconstruct.scored(ref_rows(spark, sf_dir), provider_rows(spark, sf_dir))
+    """Candidates of the trusted score or more."""
+    return reconstruct.scored(ref_rows(spark, sf_dir), provider_rows(spark, sf_dir)).where(F.col("score") >= reconstruct.TRUSTED)
 
 
 def er13_selected(spark, sf_dir):
@@ -170,8 +177,11 @@ _SEV = f"s AS (SELECT severity, sum(n) AS n FROM (SELECT t.severity, sum(t.n) AS
 _KIND = "CASE WHEN k % 3 = 2 THEN NULL WHEN k % 10 = 3 THEN 'journal' WHEN k % 5 = 4 THEN NULL WHEN k % 5 % 2 = 1 THEN 'conference' ELSE 'journal' END"
 _VID = "CASE WHEN k % 3 = 2 THEN NULL WHEN k % 10 = 3 THEN 'jop' WHEN k % 5 = 4 THEN NULL ELSE 'v' || (k % 5) END"
 _PART = "p AS (SELECT p_partkey AS k, p_name, p_brand FROM part)"
-_SCORED = f"""{_PART}, s AS (SELECT k AS ref_id, k * 10 + 1 AS record_id, 'crossref' AS source, '10.1000/part.' || k AS found_doi, 1.0::DOUBLE AS score, true AS consistent FROM p WHERE k % 6 = 0
-  UNION ALL SELECT k, k * 10 + 2, 'arxiv', '10.1000/part.' || k, 1.0, k % 6 <> 0 FROM p WHERE k % 3 = 0)"""
+#: A title of n characters and its copy with ten more have the ratio 2n / (2n + 10); equal authors add 0.3 to 0.7 of it.
+_SCORED = f"""{_PART}, n AS (SELECT *, length(regexp_replace(trim(p_name), '\\s+', ' ', 'g')) + 33 AS n FROM p), s AS (
+  SELECT k AS ref_id, k * 10 + 1 AS record_id, 'crossref' AS source, CASE WHEN k % 3 = 0 THEN '10.1000/part.' || k END AS found_doi,
+         CASE WHEN k % 3 = 0 OR k % 4 = 0 THEN 1.0 ELSE round(0.7 * (2 * n / (2 * n + 10)) + 0.3, 6) END::DOUBLE AS score, true AS consistent FROM n WHERE k % 2 = 0 AND (k % 4 = 0 OR k % 3 = 0 OR k % 5 <> 0)
+  UNION ALL SELECT k, k * 10 + 2, 'arxiv', CASE WHEN k % 3 = 0 THEN '10.1000/part.' || k END, 1.0, k % 15 <> 0 FROM n WHERE k % 5 = 0)"""
 
 QUERIES = {
     "val03_field_order": val03_field_order, "val23_key_pattern": val23_key_pattern, "sem27_venue_join": sem27_venue_join, "val15_venue_kind": val15_venue_kind, "val27_arxiv": val27_arxiv,
@@ -189,9 +199,9 @@ ORACLES = {
     "val30_selector": f"WITH {BASE}, {_SEV} SELECT severity, n::BIGINT AS n FROM s WHERE n > 0",
     "jon12_scored": f"WITH {_SCORED} SELECT * FROM s",
     "er13_selected": f"WITH {_SCORED}, t AS (SELECT ref_id, arg_min(record_id, CASE source WHEN 'crossref' THEN 10 ELSE 40 END) AS record_id FROM s WHERE consistent GROUP BY 1) SELECT k AS ref_id, CASE WHEN record_id IS NULL THEN 'manual_review' ELSE 'ready' END AS outcome, record_id FROM p LEFT JOIN t ON ref_id = k",
-    "er11_trusted_doi": f"WITH {_SCORED} SELECT DISTINCT ref_id, found_doi AS doi FROM s WHERE consistent",
+    "er11_trusted_doi": f"WITH {_SCORED} SELECT DISTINCT ref_id, found_doi AS doi FROM s WHERE consistent AND found_doi IS NOT NULL",
     "agg14_outcomes": f"WITH {_SCORED}, t AS (SELECT DISTINCT ref_id FROM s WHERE consistent) SELECT CASE WHEN ref_id IS NULL THEN 'manual_review' ELSE 'ready' END AS outcome, count(*) AS n FROM p LEFT JOIN t ON ref_id = k GROUP BY 1",
-    "jon15_conflicts": f"WITH {_PART} SELECT '10.1000/part.' || k AS doi, unnest(['title', 'year']) AS field FROM p WHERE k % 6 = 0",
+    "jon15_conflicts": f"WITH {_PART} SELECT '10.1000/part.' || k AS doi, unnest(['title', 'year']) AS field FROM p WHERE k % 30 = 0",
     "er19_citation_key": "WITH w AS (SELECT p_partkey, p_brand, list_filter(string_split(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), '-'), lambda x: length(x) > 3 AND x NOT IN ('with', 'from', 'that', 'using'))[1] AS c FROM part) SELECT p_partkey, 'smith' || (p_partkey % 10) || '-' || (1990 + p_partkey % 30) || '-' || regexp_replace(regexp_replace(lower(p_brand), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') || CASE WHEN c IS NULL THEN '' ELSE '-' || c END AS citation_key FROM w",
     "er09_candidate_id": """SELECT p_partkey, substring(sha256('{"record_id": "' || p_partkey || '", "source": "' || p_brand || '"}'), 1, 16) AS candidate_id FROM part""",
     "tx10_citations": "SELECT p_partkey // 10 AS doc_id, p_partkey % 10 + 1 AS entry, 'Smith' || (p_partkey % 10) || ', Ann; Jones' || (p_partkey % 7) || ', Bob' AS authors, array_to_string(list_transform(string_split(regexp_replace(trim(p_name), '\\s+', ' ', 'g'), ' '), lambda x: upper(x[1]) || lower(x[2:])), ' ') || ' study' AS title, 'Journal of Parts' AS venue, (1990 + p_partkey % 30)::INT AS year, (p_partkey % 300) || '-' || (p_partkey % 300 + 9) AS pages, '10.1000/part.' || p_partkey AS doi FROM part",

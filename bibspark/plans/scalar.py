@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import normalize as N
 from ..operators import library, reconstruct, resolve
 from ..sources import table
-from .more import jon12_scored
+from .more import _SCORED, jon12_scored
 from .relational import _REV, revised
 
 
@@ -93,5 +93,5 @@ ORACLES = {
     "er20_concepts": r"SELECT p_partkey, array_to_string(list_filter(regexp_extract_all(lower(p_name), '[\p{L}\p{N}]+'), lambda x: length(x) >= 4 AND x NOT IN ('with', 'from', 'that', 'using')), ',') AS concepts FROM part",
     "lib06_tombstones": f"WITH {_REV} SELECT v.reference_id, revision - 1 AS restorable FROM v JOIN h ON v.reference_id = h.reference_id AND revision = latest_revision WHERE action = 'delete'",
     "agg02_count": f"WITH {_REV} SELECT count(*) AS n FROM h JOIN v ON h.reference_id = v.reference_id AND latest_revision = revision",
-    "srt05_candidates": "WITH p AS (SELECT p_partkey AS k FROM part) SELECT k AS ref_id, k * 10 + 1 AS record_id, 1::INT AS rank, 'match' AS status FROM p WHERE k % 6 = 0 UNION ALL SELECT k, k * 10 + 2, CASE WHEN k % 6 = 0 THEN 2 ELSE 1 END, 'match' FROM p WHERE k % 3 = 0",
+    "srt05_candidates": f"WITH {_SCORED} SELECT ref_id, record_id, row_number() OVER (PARTITION BY ref_id ORDER BY CASE source WHEN 'crossref' THEN 10 ELSE 40 END, score DESC, record_id)::INT AS rank, 'match' AS status FROM s",
 }

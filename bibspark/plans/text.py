@@ -14,23 +14,27 @@ def _token_rows(df, ident, least):
     return df.select(F.col(ident).alias("id"), resolve.tokens(F.col("text"), least).alias("tokens"))
 
 
-def _pairs(spark, sf_dir):
-    items = _token_rows(table(spark, sf_dir, "benchmark"), "item_id", 6)
-    docs = _token_rows(table(spark, sf_dir, "documents"), "doc_id", 6)
-    return resolve.overlaps(items, docs, most_common=50)
+def _sides(spark, sf_dir):
+    return _token_rows(table(spark, sf_dir, "benchmark"), "item_id", 3), _token_rows(table(spark, sf_dir, "documents"), "doc_id", 3)
 
 
 def agg13_overlap(spark, sf_dir):
-    return _pairs(spark, sf_dir).select("l", "r", "shared")
+    return resolve.overlaps(*_sides(spark, sf_dir))
 
 
 def jon10_shortlist(spark, sf_dir):
-    return resolve.shortlist(_pairs(spark, sf_dir), 5).select("l", "r", "shared", "rank")
+    return resolve.shortlist(*_sides(spark, sf_dir)).select("l", "r", "shared", "rank")
 
 
 def er08_best(spark, sf_dir):
-    scored = _pairs(spark, sf_dir).withColumn("score", F.round(F.col("shared") / F.col("left_n"), 6))
-    return resolve.best(scored).withColumn("status", resolve.status(F.col("score")))
+    items, docs = _sides(spark, sf_dir)
+    found = resolve.best(resolve.shortlist(items, docs, 1).join(items.select(F.col("id").alias("l"), F.size("tokens").alias("n")), "l").withColumn("score", F.round(F.col("shared") / F.col("n"), 6)))
+    return found.withColumn("status", resolve.status(F.col("score")))
+
+
+def agg18_most_common(spark, sf_dir):
+    words = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ord"), F.explode(resolve.tokens(F.col("p_name"))).alias("item"))
+    return resolve.most_common(words, 5)
 
 
 def er03_author_jaccard(spark, sf_dir):
@@ -74,20 +78,20 @@ def tx11_title(spark, sf_dir):
     return extract.longest_line(extract.lines(table(spark, sf_dir, "documents"))).select("doc_id", F.sha2("title", 256).alias("title_sha256"))
 
 
-_ITEMS = f"i AS (SELECT item_id AS l, {_TOKENS.format(c='text', n=6)} AS ts FROM benchmark), d AS (SELECT doc_id AS r, {_TOKENS.format(c='text', n=6)} AS ts FROM documents)"
-_PAIRS = f"""{_ITEMS}, dt AS (SELECT r, unnest(ts) AS t FROM d), rare AS (SELECT t FROM dt GROUP BY t HAVING count(*) <= 50), it AS (SELECT l, len(ts) AS ln, unnest(ts) AS t FROM i),
-  p AS (SELECT l, r, count(*) AS shared, any_value(ln) AS ln FROM it JOIN dt USING (t) JOIN rare USING (t) GROUP BY l, r)"""
+_PAIRS = f"""i AS (SELECT item_id AS l, {_TOKENS.format(c='text', n=3)} AS ts FROM benchmark), d AS (SELECT doc_id AS r, {_TOKENS.format(c='text', n=3)} AS ts FROM documents),
+  dt AS (SELECT r, unnest(ts) AS t FROM d), it AS (SELECT l, len(ts) AS ln, unnest(ts) AS t FROM i), p AS (SELECT l, r, count(*) AS shared, any_value(ln) AS ln FROM it JOIN dt USING (t) GROUP BY l, r)"""
 _LINES = "x AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS n FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))"
 _FENCED = "CASE turn % 3 WHEN 0 THEN 'see' || chr(10) || '```bibtex' || chr(10) || text || chr(10) || '```' || chr(10) || 'thanks' WHEN 1 THEN '```' || text || '``` and ```x```' ELSE text END"
 
 QUERIES = {
-    "agg13_overlap": agg13_overlap, "jon10_shortlist": jon10_shortlist, "er08_best": er08_best, "er03_author_jaccard": er03_author_jaccard, "er21_keys": er21_keys, "er02_title_similarity": er02_title_similarity,
+    "agg13_overlap": agg13_overlap, "agg18_most_common": agg18_most_common, "jon10_shortlist": jon10_shortlist, "er08_best": er08_best, "er03_author_jaccard": er03_author_jaccard, "er21_keys": er21_keys, "er02_title_similarity": er02_title_similarity,
     "src12_code_block": src12_code_block, "src10_links": src10_links, "snk03_artifacts": snk03_artifacts, "tx04_entries": tx04_entries, "tx11_title": tx11_title,
 }
 ORACLES = {
-    "agg13_overlap": f"WITH {_PAIRS} SELECT l, r, shared FROM p",
-    "jon10_shortlist": f"WITH {_PAIRS}, k AS (SELECT l, r, shared, row_number() OVER (PARTITION BY l ORDER BY shared DESC, r)::INT AS rank FROM p) SELECT * FROM k WHERE rank <= 5",
+    "agg13_overlap": f"WITH {_PAIRS}, f AS (SELECT t, count(*) AS df FROM dt GROUP BY t) SELECT l, count(*) AS n_tokens, sum(df)::BIGINT AS shared FROM it JOIN f USING (t) GROUP BY l",
+    "jon10_shortlist": f"WITH {_PAIRS}, k AS (SELECT l, r, shared, row_number() OVER (PARTITION BY l ORDER BY shared DESC, r)::INT AS rank FROM p) SELECT * FROM k WHERE rank <= 200",
     "er08_best": f"WITH {_PAIRS}, s AS (SELECT l, r, round(shared / ln, 6) AS score FROM p) SELECT l, r, score, CASE WHEN score >= 0.8 THEN 'match' WHEN score > 0 THEN 'weak' ELSE 'not_found' END AS status FROM s QUALIFY row_number() OVER (PARTITION BY l ORDER BY score DESC, r) = 1",
+    "agg18_most_common": f"WITH w AS (SELECT p_partkey AS ord, unnest({_TOKENS.format(c='p_name', n=2)}) AS item FROM part) SELECT item, count(*) AS n FROM w GROUP BY item ORDER BY n DESC, min(ord) LIMIT 5",
     "er03_author_jaccard": f"WITH t AS (SELECT s_suppkey, {_TOKENS.format(c=chr(39).join(['s_name || ', ' ann lee', '']), n=2)} AS a, {_TOKENS.format(c=chr(39).join(['', 'Lee, Supplier 0000', ' || (s_suppkey % 7)']), n=2)} AS b FROM supplier) SELECT s_suppkey, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) AS jaccard FROM t",
     "src12_code_block": f"SELECT conv_id, turn, length(replace(replace(replace(text || chr(10), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'))::BIGINT AS n FROM conversations WHERE turn % 3 = 0 AND text IS NOT NULL AND NOT contains(text, '```') AND NOT contains(text, '<http')",
     "src10_links": r"""SELECT page_id, len(list_distinct(regexp_extract_all(html, '(?i)<a\s[^>]*?href="([^"]*)"', 1)))::BIGINT AS n_links, nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')), '') AS title FROM pages""",

@@ -134,3 +134,66 @@ def test_keys_stream_over_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert len({(r.doc_id, r.key) for r in rows}) == 40
     assert sorted((r.doc_id, r.rec) for r in rows if "-" not in r.key) == [(d, i) for d in (1, 2) for i in range(4)]
+
+
+def test_shortlist_counts_every_token(spark):
+    import random
+    from collections import Counter
+
+    from bibspark.operators import resolve
+
+    r = random.Random(4)
+    words = ["the"] * 30 + [f"w{i}" for i in range(40)]
+    sides = [[(i, sorted({r.choice(words) for _ in range(r.randrange(0, 9))})) for i in range(n)] for n in (60, 300)]
+    frames = [spark.createDataFrame(x, "id long, tokens array<string>").repartition(3) for x in sides]
+    expected = {}
+    for l, ts in sides[0]:
+        shared = Counter({rid: len(set(ts) & set(other)) for rid, other in sides[1]})
+        expected[l] = sorted(((-n, rid) for rid, n in shared.items() if n))[:7]
+    for block in (2000, 9):
+        got = {}
+        for row in resolve.shortlist(*frames, 7, block).orderBy("rank").collect():
+            got.setdefault(row["l"], []).append((-row["shared"], row["r"]))
+        assert got == {k: v for k, v in expected.items() if v}
+
+
+def test_scores_match_plain_loops(spark):
+    import difflib
+
+    from bibspark.operators import reconstruct, resolve
+
+    titles = ["Deep parsing of trees", "Deep parsing of {Trees}", "Parsing deep forests", "Zebra", "the of and", "A study of bees", "Another study of bees"]
+    refs = [(i, t, f"Lee {i % 2}", 2000 + i % 3, None) for i, t in enumerate(titles)]
+    recs = [(10 + i, "arxiv", t.upper() if i % 2 else t + " extended", "Lee 1", 2001, None) for i, t in enumerate(titles)]
+    got = {(x["ref_id"], x["record_id"]): x["score"] for x in reconstruct.scored(spark.createDataFrame(refs, "ref_id long, title string, authors string, year int, doi string"), spark.createDataFrame(recs, "record_id long, source string, title string, authors string, year int, doi string")).collect()}
+    key = resolve.comparison_text
+    found = lambda t: {w for w in key(t).split() if len(w) >= 3 and w not in resolve.SEARCH_STOP_WORDS}
+    expected = {}
+    for i, t, a, *_ in refs:
+        exact = [x for x in recs if key(x[2]) == key(t)]
+        for rid, _, other, *_ in exact or [x for x in recs if found(t) & found(x[2])]:
+            ratio = difflib.SequenceMatcher(None, key(t), key(other)).ratio()
+            mine, theirs = set(a.lower().split()) - {"0", "1"}, {"lee"}
+            expected[i, rid] = round(0.7 * ratio + 0.3 * len(mine & theirs) / len(mine | theirs) if ratio else 0.0, 6)
+    assert got == expected
+    left = spark.createDataFrame([(4, titles[4])], "id long, title string")
+    best = resolve.best_of_all(left, spark.createDataFrame([(x[0], x[2]) for x in recs], "id long, title string")).collect()
+    assert [(b["l"], b["r"]) for b in best] == [(4, max((difflib.SequenceMatcher(None, key(titles[4]), key(x[2])).ratio(), -x[0]) for x in recs)[1] * -1)]
+
+
+def test_matching_rules(spark):
+    from bibspark.operators import reconstruct
+    from pyspark.sql import functions as F
+
+    pairs = spark.createDataFrame([(1, "10.1/a", "10.1/a", 0.0, "A Lee", "B Ray", 2000, 2005), (2, "10.1/a", "10.1/b", 1.0, "A Lee", "A Lee", 2000, 2000), (3, None, "10.1/b", 0.8, "A Lee", "Lee, Ann", 2000, 2000), (4, None, None, 0.79, "A Lee", "A Lee", 2000, 2000), (5, None, None, 0.9, "A Lee", "B Ray", 2000, 2000), (6, None, None, 0.9, "", "B Ray", None, 2000), (7, None, None, 0.9, "", "B Ray", 1999, 2000)], "id int, doi string, r_doi string, t double, authors string, r_authors string, year int, r_year int")
+    assert {r["id"] for r in pairs.where(reconstruct.local_match(pairs)).collect()} == {1, 3, 6}
+    found = spark.createDataFrame([(1, "10.1/a", "10.1/a", "t", 0.9), (2, "10.1/a", None, "t", 0.9), (3, "10.1/a", "10.1/b", "t", 0.9), (4, "10.1/a", "10.1/a", None, 0.0), (5, "10.1/a", "10.1/a", "t", 0.5)], "id int, wanted_doi string, doi string, title string, t double")
+    assert [r["reason"] for r in reconstruct.evidence(found).orderBy("id").collect()] == [None, "doi_missing", "doi_mismatch", "title_missing", "title_mismatch"]
+    tries = spark.createDataFrame([(1, 1, False, True, False), (1, 2, True, True, False), (1, 3, True, True, False), (2, 1, True, True, True), (2, 2, True, True, False), (3, 1, True, False, False)], "ref_id int, ord int, accepted boolean, complete boolean, conflict boolean")
+    assert [tuple(r) for r in reconstruct.first_final(tries).collect()] == [(1, 2)]
+    basics = spark.createDataFrame([(1, i, x) for i, x in enumerate([0.5, 0.95, 0.2, 0.97, 0.1])] + [(2, i, 0.5) for i in range(5)], "ref_id int, record_id int, score double")
+    assert sorted((r["ref_id"], r["record_id"]) for r in reconstruct.details_to_fetch(basics).collect()) == [(1, 3), (2, 0), (2, 1), (2, 2)]
+    groups = spark.createDataFrame([(1, 2, "deep trees", "lee", ["other", "deep trees"], [["kim"], ["lee"]])], "l int, r int, title string, authors string, titles array<string>, groups array<array<string>>")
+    assert reconstruct.group_score(groups).first()["score"] == 1.0
+    asked = reconstruct.providers_to_ask(spark.createDataFrame([(1, "see arXiv:2001.00001"), (2, "plain"), (3, None)], "ref_id int, text string"), spark.createDataFrame([("crossref", 0), ("arxiv", 1)], "source string, ord int"))
+    assert sorted((r["ref_id"], r["source"]) for r in asked.collect()) == [(1, "arxiv"), (2, "arxiv"), (2, "crossref"), (3, "arxiv"), (3, "crossref")]
