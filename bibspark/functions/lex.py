@@ -190,44 +190,192 @@ def parse(source: str) -> list[dict]:
         blocks.append(block)
         done = at = end
     blocks += _text(b, done, len(b))
+    for block in blocks:
+        if block["kind"] == "entry":
+            block["comments"] = inline_comments(b, block)
     return resolve(b, blocks)
 
 
-def resolve(b: bytes, blocks: list[dict]) -> list[dict]:
-    """Give every field its resolved text: macros expanded, the last definition before the end of the document winning."""
-    macros: dict[str, list[dict]] = {}
-    for block in blocks:
-        if block["kind"] == "string":
-            for f in block["fields"]:
-                macros[f["name"].lower()] = f["atoms"]
+#: Values kept of a macro that is defined more than once, and the longest expansion in characters.
+CANDIDATES, LONGEST = 32, 1 << 20
+
+
+class Macros:
+    """The macros of a document. The last definition is the selected one; every definition gives candidates. Months come first.
+
+    Each name is worked out once. A name that leads back to itself, or deeper than `DEPTH`, or grows beyond `LONGEST`, has no value.
+    """
 
-    def text(atoms: list[dict], seen: tuple[str, ...]) -> str | None:
-        parts = []
+    def __init__(self, b: bytes, blocks: list[dict]):
+        self.b, self.defined, self.known = b, {}, {}
+        for block in blocks:
+            if block["kind"] == "string":
+                for f in block["fields"]:
+                    self.defined.setdefault(f["name"].strip().lower(), []).append(f["atoms"])
+
+    def name(self, raw: str, depth: int) -> tuple[str | None, list[str], list[str]]:
+        """(selected value, candidates, names without a value)."""
+        low = raw.strip().lower()
+        if low in MONTHS:
+            return MONTHS[low], [MONTHS[low]], []
+        if low not in self.defined or depth >= DEPTH:
+            return None, [], [raw]
+        if low not in self.known:
+            self.known[low] = (None, [], [low])  # what a cycle finds
+            found = [self.value(atoms, depth + 1) for atoms in self.defined[low]]
+            every = distinct([c for _, cs, _ in found for c in cs], str.strip)
+            self.known[low] = (found[-1][0], every[:CANDIDATES], distinct([u for *_, us in found for u in us]))
+        return self.known[low]
+
+    def value(self, atoms: list[dict], depth: int = 0) -> tuple[str | None, list[str], list[str]]:
+        chosen, every, lost = "", [""], []
         for a in atoms:
-            raw = b[a["content_start"] : a["content_end"]].decode("utf-8", "replace")
+            raw = self.b[a["content_start"] : a["content_end"]].decode("utf-8", "replace")
             if a["kind"] == "macro":
-                name = raw.lower()
-                if name in seen or len(seen) >= DEPTH:
-                    return None
-                raw = text(macros[name], (*seen, name)) if name in macros else MONTHS.get(name)
-                if raw is None:
-                    return None
-            elif a["kind"] == "invalid":
-                return None
-            parts.append(raw)
-        return "".join(parts)
+                one, some, missing = self.name(raw, depth)
+                lost += missing
+            else:
+                one, some = (None, []) if a["kind"] == "invalid" else (raw, [raw])
+            chosen = None if chosen is None or one is None or len(chosen) + len(one) > LONGEST else chosen + one
+            every = [x + y for x in every for y in some if len(x) + len(y) <= LONGEST][:CANDIDATES]
+        return chosen, every, distinct(lost)
+
+
+def distinct(values: list[str], key=lambda x: x) -> list[str]:
+    """Values once each, in order, by `key`; empty ones go."""
+    return [v for v in dict.fromkeys(map(key, values)) if v]
+
 
+def resolve(b: bytes, blocks: list[dict]) -> list[dict]:
+    """Give every field its text with macros expanded, the other values it may have, the macros without one, and names as people."""
+    macros = Macros(b, blocks)
     for block in blocks:
         for f in block.get("fields", []):
-            f["resolved"] = text(f["atoms"], ())
+            f["resolved"], every, f["unresolved"] = macros.value(f["atoms"])
+            f["candidates"] = distinct(every, str.strip) if any(a["kind"] == "macro" for a in f["atoms"]) else []
+            if block["kind"] == "entry" and f["name"].lower() in PEOPLE_FIELDS:
+                f["people"] = people(f["resolved"] or "")
     return blocks
 
 
-def apply_edits(source: bytes, edits: list[tuple[int, int, bytes]]) -> bytes:
-    """Replace byte ranges, last first; ranges must not overlap."""
-    out, limit = source, len(source)
-    for start, end, new in sorted(edits, reverse=True):
-        if not 0 <= start <= end <= limit:
-            raise ValueError(f"edit {start}:{end} overlaps another or leaves the source")
-        out, limit = out[:start] + new + out[end:], start
+# Fields that list people.
+PEOPLE_FIELDS = ("author", "editor", "translator")
+
+
+def _top_level(text: str, at_break) -> list[str]:
+    """`text` cut where `at_break(i)` gives a length outside braces; a backslash takes the next character along."""
+    out, start, i, depth = [], 0, 0, 0
+    while i < len(text):
+        c = text[i]
+        if c == "\\":
+            i += 2
+        elif c in "{}":
+            depth = depth + 1 if c == "{" else max(0, depth - 1)
+            i += 1
+        elif depth == 0 and (n := at_break(i)):
+            out.append(text[start:i].strip())
+            i = start = i + n
+        else:
+            i += 1
+    return [*out, text[start:].strip()]
+
+
+_SPACE = " \t\n\r\x0c"
+
+
+def people(text: str) -> list[dict]:
+    """The people of a name list: cut at "and" outside braces."""
+
+    def and_(i: int) -> int:
+        return 3 if text[i : i + 3].lower() == "and" and (i == 0 or text[i - 1] in _SPACE) and (i + 3 == len(text) or text[i + 3] in _SPACE) else 0
+
+    return [person(x) for x in _top_level(text, and_) if x]
+
+
+def _upper(word: str) -> bool:
+    letters = [c for c in word.lstrip("{\\") if c.isascii() and c.isalpha()]
+    return bool(letters) and letters[0].isupper()
+
+
+def _whole_group(text: str) -> bool:
+    """Whether one pair of braces holds all of `text`."""
+    if not (text.startswith("{") and text.endswith("}")):
+        return False
+    depth, i = 0, 0
+    while i < len(text):
+        if text[i] == "\\":
+            i += 2
+            continue
+        depth += (text[i] == "{") - (text[i] == "}")
+        if depth == 0 and i < len(text) - 1:
+            return False
+        i += 1
+    return depth == 0
+
+
+def person(raw: str) -> dict:
+    """A name in its parts: {literal}, "family, given", "family, suffix, given" or "given prefix family"."""
+    if _whole_group(raw):
+        return {"raw": raw, "given": [], "prefix": [], "family": [], "suffix": [], "literal": raw[1:-1]}
+    parts = _top_level(raw, lambda i: 1 if raw[i] == "," else 0)
+    suffix: list[str] = []
+    if len(parts) == 1:
+        words = raw.split()
+        capital = [i for i, w in enumerate(words) if _upper(w)]
+        last = capital[-1] if capital else max(len(words) - 1, 0)
+        before = [i for i in capital if i < last]
+        first = before[-1] + 1 if before else 0
+        given, prefix, family = words[:first], words[first:last], words[last:]
+    else:
+        words = parts[0].split()
+        at = next((i for i, w in enumerate(words) if _upper(w)), max(len(words) - 1, 0))
+        prefix, family = words[:at], words[at:]
+        given = parts[2 if len(parts) > 2 else 1].split()
+        suffix = parts[1].split() if len(parts) > 2 else []
+    return {"raw": raw, "given": given, "prefix": prefix, "family": family, "suffix": suffix, "literal": None}
+
+
+def inline_comments(b: bytes, block: dict) -> list[dict]:
+    """Ranges of percent comments inside an entry: unescaped, outside its values, to the end of their lines."""
+    values = [(f["value_start"], f["value_end"]) for f in block.get("fields", [])]
+    out, i = [], block["start"]
+    while (i := b.find(b"%", i, block["end"])) >= 0:
+        inside = next((end for start, end in values if start <= i < end), None)
+        slashes = len(b[block["start"] : i]) - len(b[block["start"] : i].rstrip(b"\\"))
+        if inside is not None:
+            i = inside
+        elif slashes % 2:
+            i += 1
+        else:
+            end = b.find(b"\n", i, block["end"])
+            end = block["end"] if end < 0 else end
+            out.append({"start": i, "end": end})
+            i = end
     return out
+
+
+def apply_edits(source: bytes, edits: list[tuple[int, int, bytes]]) -> bytes:
+    """Replace byte ranges that don't overlap and lie within the source."""
+    out, at = [], 0
+    for start, end, new in sorted(edits):
+        out += [source[at:start], new]
+        at = end
+    return b"".join([*out, source[at:]])
+
+
+def edit_problem(source: bytes, edits: list[tuple[int, int, bytes]]) -> str | None:
+    """Why `edits` can't be applied: out of bounds, inside a character, not UTF-8, or overlapping."""
+    at = 0
+    for start, end, new in sorted(edits):
+        if not 0 <= start <= end <= len(source):
+            return "out_of_bounds"
+        if start < at:
+            return "overlap"
+        if any(i < len(source) and source[i] & 0xC0 == 0x80 for i in (start, end)):
+            return "inside_character"
+        try:
+            new.decode()
+        except UnicodeDecodeError:
+            return "not_utf8"
+        at = end
+    return None

@@ -53,43 +53,26 @@ def month(c: Column) -> Column:
     return F.when(t.rlike("^(?:0?[1-9]|1[0-2])$"), t.try_cast("int")).when(t.rlike("^[a-z]{3}") & (named > 0), named)
 
 
-def people(c: Column) -> Column:
-    """Names of an author list without braces, split at "and"."""
-    return F.filter(F.transform(F.split(F.regexp_replace(c, r"\s+", " "), r"(?i) and "), lambda x: F.trim(x)), lambda x: x != "")
-
-
-def person(c: Column) -> Column:
-    """struct<given, prefix, family, suffix>: "Family, Given", "Family, Suffix, Given" or "Given prefix Family"."""
-    parts = F.transform(F.split(c, ","), lambda x: F.trim(x))
-    tokens = F.split(F.trim(c), r"\s+")
-    low = F.transform(tokens, lambda t, i: F.when((i > 0) & (i < F.size(tokens) - 1) & t.rlike(r"^\p{Ll}"), i))
-    first = F.array_min(low)
-    cut = F.coalesce(first, F.size(tokens) - 1)
-    last = F.coalesce(F.array_max(low) + 1, cut)
-    join = lambda a: F.nullif(F.array_join(a, " "), F.lit(""))
-    plain = F.struct(join(F.slice(tokens, 1, cut)).alias("given"), join(F.slice(tokens, cut + 1, last - cut)).alias("prefix"), join(F.slice(tokens, last + 1, F.size(tokens))).alias("family"), F.lit(None).cast("string").alias("suffix"))
-    own = F.get(parts, F.lit(0))
-    inner = F.regexp_extract(own, r"^((?:\p{Ll}\S*\s+)*)(.*)$", 1)
-    listed = F.struct(
-        F.nullif(F.get(parts, F.size(parts) - 1), F.lit("")).alias("given"),
-        F.nullif(F.trim(inner), F.lit("")).alias("prefix"),
-        F.nullif(F.regexp_extract(own, r"^((?:\p{Ll}\S*\s+)*)(.*)$", 2), F.lit("")).alias("family"),
-        F.when(F.size(parts) > 2, F.get(parts, F.lit(1))).alias("suffix"),
-    )
-    return F.when(F.size(parts) > 1, listed).otherwise(plain)
+def person_text(p: Column) -> Column:
+    """struct<given, prefix, family, suffix, literal> of a parsed person, words joined."""
+    join = lambda name: F.nullif(F.array_join(p[name], " "), F.lit("")).alias(name)
+    return F.struct(*[join(n) for n in ("given", "prefix", "family", "suffix")], p["literal"].alias("literal"))
 
 
 def display_name(p: Column) -> Column:
-    return F.concat_ws(", ", F.nullif(F.concat_ws(" ", p["given"], p["prefix"], p["family"]), F.lit("")), p["suffix"])
+    whole = F.concat_ws(", ", F.nullif(F.concat_ws(" ", p["given"], p["prefix"], p["family"]), F.lit("")), p["suffix"])
+    return F.coalesce(p["literal"], whole)
 
 
 def venue_alias(c: Column) -> Column:
-    """Lower-case venue without "proceedings of", volume, edition and year words."""
-    t = F.lower(F.regexp_replace(F.trim(c), r"\s+", " "))
-    t = F.regexp_replace(t, r",?\s*\bvol(?:ume|\.)?\s*[0-9]+.*$", "")
-    t = F.regexp_replace(t, r"^(?:in )?proceedings of (?:the )?", "")
-    t = F.regexp_replace(t, r"^(?:[0-9]+(?:st|nd|rd|th)|(?:19|20)[0-9]{2}) ", "")
-    return F.nullif(F.trim(F.regexp_replace(t, r"[ ,'(]*(?:19|20)[0-9]{2}\)?$", "")), F.lit(""))
+    """Lower-case venue name without volume, year at the end, "proceedings of (the)", and an edition or year at the beginning."""
+    t = F.trim(F.lower(F.regexp_replace(c, r"\s+", " ")))
+    t = F.regexp_replace(t, r"(?: \(volume |: volume ).*$", "")
+    # a word that is a year but for punctuation around it
+    t = F.regexp_replace(t, r"(?:^|(?<= ))[,.:;()\[\]]*(?:19|20|21)[0-9]{2}[,.:;()\[\]]*$", "\u0001")
+    t = F.regexp_replace(t, "[\\s,.:;\\-\u2013]*\u0001$", "")
+    t = F.regexp_replace(t, r"^proceedings of (?:the )?", "")
+    return F.nullif(F.regexp_replace(t, r"^(?:[0-9]+(?:st|nd|rd|th)|(?:19|20|21)[0-9]{2}) ", ""), F.lit(""))
 
 
 def title_for_display(c: Column) -> Column:

@@ -44,4 +44,4 @@ def identifiers(records: DataFrame) -> DataFrame:
 
 def api_rows(records: DataFrame) -> DataFrame:
     """One row for each record: title or key, authors in order, first DOI."""
-    return records.select("doc_id", "entry_idx", F.coalesce("title", "citation_key").alias("title"), F.array_join("people", "; ").alias("authors"), "year", "doi")
+    return records.select("doc_id", "entry_idx", F.coalesce("title", "citation_key").alias("title"), F.array_join("people.raw", "; ").alias("authors"), "year", "doi")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .semantic import first, records
 
-DIAGNOSTIC = "array<struct<code:string,start:bigint,end:bigint,replacement:string,applicability:string>>"
+DIAGNOSTIC = "array<struct<code:string,start:bigint,end:bigint,replacement:string,applicability:string,group:int>>"
 # The default policy, (code, severity, blocking, enabled).
 POLICY = (
     ("BIB-SYNTAX-001", "error", True, True), ("BIB-SYNTAX-002", "warning", False, True), ("BIB-SYNTAX-004", "warning", False, True), ("BIB-SYNTAX-005", "warning", False, True),
@@ -25,11 +25,12 @@ def policy(spark: SparkSession, rows=POLICY) -> DataFrame:
 
 def _emit(code: str, items: Column, start, end, replacement=None, applicability: str = "none") -> Column:
     new = replacement or (lambda f: F.lit(None).cast("string"))
-    return F.transform(items, lambda f: F.struct(F.lit(code).alias("code"), start(f).alias("start"), end(f).alias("end"), new(f).alias("replacement"), F.lit(applicability).alias("applicability"))).cast(DIAGNOSTIC)
+    # items of one rule are numbered: edits of the same number are one fix
+    return F.transform(items, lambda f, i: F.struct(F.lit(code).alias("code"), start(f).alias("start"), end(f).alias("end"), new(f).alias("replacement"), F.lit(applicability).alias("applicability"), i.alias("group"))).cast(DIAGNOSTIC)
 
 
 def _when(code: str, condition: Column, start: Column, end: Column, replacement: Column | None = None, applicability: str = "none") -> Column:
-    one = F.struct(F.lit(code).alias("code"), start.alias("start"), end.alias("end"), (F.lit(None).cast("string") if replacement is None else replacement).alias("replacement"), F.lit(applicability).alias("applicability"))
+    one = F.struct(F.lit(code).alias("code"), start.alias("start"), end.alias("end"), (F.lit(None).cast("string") if replacement is None else replacement).alias("replacement"), F.lit(applicability).alias("applicability"), F.lit(0).alias("group"))
     return F.when(condition, F.array(one)).otherwise(F.array()).cast(DIAGNOSTIC)
 
 
@@ -61,7 +62,7 @@ def entry_rules() -> Column:
 
 
 def in_entries(entries: DataFrame) -> DataFrame:
-    """(doc_id, entry_idx, code, start, end, replacement, applicability)."""
+    """(doc_id, entry_idx, code, start, end, replacement, applicability, group)."""
     return entries.select("doc_id", "entry_idx", F.explode(entry_rules()).alias("d")).select("doc_id", "entry_idx", "d.*")
 
 
@@ -75,13 +76,15 @@ def duplicates(entries: DataFrame, what: str) -> DataFrame:
 
 
 def across(entries: DataFrame) -> DataFrame:
-    codes = {"key": "BIB-SEMANTIC-009", "doi": "BIB-SEMANTIC-010", "arxiv": "BIB-SEMANTIC-011"}
-    out = None
-    for what, code in codes.items():
-        d = duplicates(entries, what).select("doc_id", F.col("first_entry").alias("entry_idx"), F.lit(code).alias("code"))
-        out = d if out is None else out.unionByName(d)
+    """Diagnostics of values that records of a document share: key, DOI and arXiv identifier in one pass over the records."""
+    r = records(entries)
+    value = lambda code, c: F.struct(F.lit(code).alias("code"), c.alias("value"))
+    named = F.array(value("BIB-SEMANTIC-009", F.lower("citation_key")), value("BIB-SEMANTIC-010", F.col("doi")), value("BIB-SEMANTIC-011", F.col("arxiv")))
+    each = r.select("doc_id", "entry_idx", F.explode(named).alias("x")).where("x.value is not null").groupBy("doc_id", "x.code", "x.value")
     none = F.lit(None)
-    return out.select("doc_id", "entry_idx", "code", none.cast("long").alias("start"), none.cast("long").alias("end"), none.cast("string").alias("replacement"), F.lit("none").alias("applicability"))
+    return each.agg(F.count("*").alias("n"), F.min("entry_idx").alias("entry_idx")).where("n > 1").select(
+        "doc_id", "entry_idx", "code", none.cast("long").alias("start"), none.cast("long").alias("end"), none.cast("string").alias("replacement"), F.lit("none").alias("applicability"), F.lit(0).alias("group")
+    )
 
 
 def stamped(diagnostics: DataFrame, rules: DataFrame) -> DataFrame:

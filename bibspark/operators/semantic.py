@@ -35,7 +35,7 @@ def records(entries: DataFrame) -> DataFrame:
     return entries.select(
         "doc_id", "entry_idx", "entry_type", "citation_key", "start", "end",
         N.title_for_display(first("title")["resolved"]).alias("title"),
-        N.people(F.coalesce(first("author")["resolved"], F.lit(""))).alias("people"),
+        F.coalesce(first("author")["people"], F.array()).alias("people"),
         part(0, N.year, "year").alias("year"), part(1, N.month, "month").alias("month"),
         N.squeeze(F.get(venues, F.lit(0))["v"]).alias("venue_raw"),
         doi.alias("doi"), arx["base"].alias("arxiv"), arx["version"].alias("arxiv_version"),
@@ -45,7 +45,7 @@ def records(entries: DataFrame) -> DataFrame:
 
 
 def persons(recs: DataFrame) -> DataFrame:
-    """(doc_id, entry_idx, position, name, given, prefix, family, suffix) of every author."""
-    each = recs.select("doc_id", "entry_idx", F.posexplode("people").alias("position", "name"))
-    p = N.person(F.col("name"))
-    return each.withColumn("p", p).select("doc_id", "entry_idx", "position", "name", "p.*", N.display_name(F.col("p")).alias("display_name"))
+    """(doc_id, entry_idx, position, name, given, prefix, family, suffix, literal, display_name) of every author."""
+    each = recs.select("doc_id", "entry_idx", F.posexplode("people").alias("position", "person"))
+    p = N.person_text(F.col("person"))
+    return each.select("doc_id", "entry_idx", "position", F.col("person.raw").alias("name"), p.alias("p")).select("doc_id", "entry_idx", "position", "name", "p.*", N.display_name(F.col("p")).alias("display_name"))

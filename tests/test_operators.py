@@ -34,6 +34,36 @@ def test_macro_cycles_and_unknown_macros_stay_unresolved():
     assert [f["resolved"] for f in blocks[-1]["fields"]] == [None, None, "12"]
 
 
+def test_macros_have_candidates_and_bounds():
+    blocks = lex.parse("@string{a = {x}}@string{a = {y } # b}@string{b = {z}}@misc{k, t = a # b, u = jan, v = a # nope}")
+    assert [(f["resolved"], f["candidates"], f["unresolved"]) for f in blocks[-1]["fields"]] == [("y zz", ["xz", "y zz"], []), ("January", ["January"], []), (None, [], ["nope"])]
+    many = "".join(f"@string{{m{i} = m{i + 1} # m{i + 1}}}" for i in range(60)) + "@string{m60 = {ab}}@misc{k, x = m0, y = m50}"
+    x, y = lex.parse(many)[-1]["fields"]
+    assert x["resolved"] is None and len(y["resolved"]) == 2048
+    loop = "".join(f"@string{{m{i} = m{i + 1} # m{(i + 7) % 40}}}" for i in range(40)) + "@misc{k, x = m0}"
+    assert lex.parse(loop)[-1]["fields"][0]["resolved"] is None
+    wide = "".join(f"@string{{w = {{{i}}}}}" for i in range(50)) + "@misc{k, x = w # w}"
+    assert len(lex.parse(wide)[-1]["fields"][0]["candidates"]) == 32
+
+
+def test_people_respect_braces():
+    raws = lambda s: [p["raw"] for p in lex.people(s)]
+    assert raws("{Barnes and Noble} and Ann Lee AND Bob") == ["{Barnes and Noble}", "Ann Lee", "Bob"]
+    assert raws("Anderson and Sand") == ["Anderson", "Sand"] and raws(" and ") == [] and raws("A \\{ and B") == ["A \\{", "B"]
+    parts = lambda s: tuple(lex.person(s)[k] for k in ("given", "prefix", "family", "suffix", "literal"))
+    assert parts("{OpenSource Team}") == ([], [], [], [], "OpenSource Team")
+    assert parts("van der Berg, Jr, Ann") == (["Ann"], ["van", "der"], ["Berg"], ["Jr"], None)
+    assert parts("Ludwig van Beethoven") == (["Ludwig"], ["van"], ["Beethoven"], [], None)
+    assert parts("Plato") == ([], [], ["Plato"], [], None) and parts("{A} and, {B, C}")[0] == ["{B,", "C}"]
+
+
+def test_inline_comments_are_outside_values():
+    b = "@misc{k, % note\n  title = {50% off}, % more\n  x = {1}\\% \n}".encode()
+    block = next(x for x in lex.parse(b.decode()) if x["kind"] in ("entry", "failed"))
+    found = lex.inline_comments(b, {"start": 0, "end": len(b), "fields": block.get("fields", [{"value_start": b.index(b"{50"), "value_end": b.index(b"}, % more") + 1}])})
+    assert [b[c["start"] : c["end"]] for c in found] == [b"% note", b"% more"]
+
+
 def test_lexer_never_fails_on_odd_sources():
     for s in ("", "@", "@a", "@a{", "@a{k", "@a{k,", "@a{k,x", "@a{k,x=", "@a{k,x={", '@a{k,x="', "@a{k,x=1", "@string{", "}{@", "@a{,x=1}", "\\@a{k}", "@a{k, x = {\\"):
         raw = s.encode()
@@ -44,19 +74,40 @@ def test_normalizers(spark):
     row = spark.range(1).select(
         N.doi(F.lit("https://dx.doi.org/10.1234/ABC ")).alias("doi"), N.doi(F.lit("10.12/x")).alias("bad"), N.arxiv(F.lit("arXiv:2001.01234v3")).alias("ax"), N.issn(F.lit("1234-567x")).alias("issn"),
         N.month(F.lit("Sept.")).alias("m"), N.year(F.lit("99")).alias("y"), N.venue_alias(F.lit("Proceedings of the 12th  Conf of X, 2019")).alias("v"), N.title_for_display(F.lit("{A} \\{b\\}  c")).alias("t"),
-        N.person(F.lit("van der Berg, Jr, Ann")).alias("p"), N.person(F.lit("Ludwig van Beethoven")).alias("q"), N.person(F.lit("Plato")).alias("r"), N.doi_found(F.lit("see 10.1000/a.b), and 10.1000/A.B.")).alias("found"),
+        N.venue_alias(F.lit("Computational  Linguistics (Volume 2: Long Papers)")).alias("w"), N.doi_found(F.lit("see 10.1000/a.b), and 10.1000/A.B.")).alias("found"),
     ).first()
     assert (row.doi, row.bad, row.ax.base, row.ax.version, row.issn, row.m, row.y) == ("10.1234/abc", None, "2001.01234", "v3", "1234-567X", 9, None)
-    assert (row.v, row.t) == ("conf of x", "A {b} c")
-    assert tuple(row.p) == ("Ann", "van der", "Berg", "Jr") and tuple(row.q) == ("Ludwig", "van", "Beethoven", None) and tuple(row.r) == (None, None, "Plato", None)
+    assert (row.v, row.w, row.t) == ("conf of x", "computational linguistics", "A {b} c")
     assert row.found == ["10.1000/a.b"]
 
 
 def test_fix_conflicts_and_application(spark):
     docs = spark.createDataFrame([(1, "abcdef"), (2, None)], "doc_id long, source string")
-    edits = spark.createDataFrame([(1, "a", 1, 3, "X"), (1, "b", 2, 4, "Y"), (1, "c", 5, 5, ",")], "doc_id long, code string, start long, end long, replacement string")
-    assert fixes.conflicts(edits).count() == 1
-    assert sorted((r.doc_id, r.source, r.n_edits) for r in fixes.apply(docs, edits).collect()) == [(1, "aXde,f", 2), (2, "", 0)]
+    edits = spark.createDataFrame([(1, "a", 1, 3, "X"), (1, "b", 2, 4, "Y"), (1, "b", 0, 0, "("), (1, "c", 5, 5, ","), (1, "d", 5, 5, ";")], "doc_id long, fix_id string, start long, end long, replacement string")
+    assert fixes.conflicts(edits).count() == 2
+    # the fix b goes as a whole, d touches an insertion that is already there
+    assert sorted((r.doc_id, r.source, r.n_edits, r.problem) for r in fixes.apply(docs, edits).collect()) == [(1, "aXde,f", 2, None), (2, "", 0, None)]
+    bad = spark.createDataFrame([(1, "a", 4, 9, "X")], "doc_id long, fix_id string, start long, end long, replacement string")
+    assert [(r.source, r.n_edits, r.problem) for r in fixes.apply(docs.where("doc_id = 1"), bad).collect()] == [("abcdef", 0, "out_of_bounds")]
+
+
+def test_plans_are_refused_with_a_reason(spark):
+    docs = spark.createDataFrame([(i, "abcdef") for i in range(6)], "doc_id long, source string")
+    fix = "doc_id long, fix_id string, applicability string, start long, end long, replacement string"
+    found = spark.createDataFrame([(i, f, a, s, e, "x") for i in range(6) for f, a, s, e in (("f1", "safe", 0, 1), ("f2", "safe", 3, 4), ("f3", "unsafe", 3, 5))], fix)
+    stale = docs.select("doc_id", F.when(F.col("doc_id") == 5, "sha256:0").otherwise(N.revision(F.col("source"))).alias("revision"))
+    chosen = spark.createDataFrame([(0, ["f1", "f2"]), (1, ["f1", "f1"]), (2, ["f9"]), (3, ["f2", "f3"]), (4, ["f3"]), (5, ["f1"])], "doc_id long, ids array<string>")
+    out = {r.doc_id: (r.problem, r.n_fixes) for r in fixes.planned(docs, found, stale, chosen).collect()}
+    assert out == {0: (None, 2), 1: ("duplicate", 0), 2: ("unknown", 0), 3: ("overlap", 0), 4: (None, 1), 5: ("stale", 0)}
+
+
+def test_safe_fixes_reach_a_fixed_point(spark):
+    source = '@misc{k, TITLE="a",\n  year = "1\n2", doi="https://doi.org/10.1234/x"}'
+    docs = spark.createDataFrame([(1, source), (2, "no entries"), (3, None)], "doc_id long, source string")
+    out = {r.doc_id: r for r in fixes.fixed_point(docs).collect()}
+    assert out[1].source == '@misc{k, title = {a},\n  year = {1 2}, doi = {10.1234/x},}' and out[1].status == "done" and out[1].passes >= 2
+    assert (out[2].source, out[2].passes, out[3].passes) == ("no entries", 0, 0)
+    assert fixes.fixed_point(docs.where("doc_id = 1"), most=1).first().status == "pass_limit"
 
 
 def test_validation_order_and_policy(spark):
