@@ -140,9 +140,9 @@ def _command(b: bytes, at: int) -> tuple[dict, int]:
     if not key or i >= len(b) or b[i] not in (0x2C, close):
         raise Problem(NO_KEY, i)
     if b[i] == close:
-        return block | {"kind": "entry", "end": i + 1, "citation_key": key}, i + 1
+        return block | {"kind": "entry", "end": i + 1, "citation_key": key, "key_start": key_start}, i + 1
     fields, comma, end = _fields(b, i + 1, close)
-    return block | {"kind": "entry", "end": end, "citation_key": key, "fields": fields, "trailing_comma": comma}, end
+    return block | {"kind": "entry", "end": end, "citation_key": key, "key_start": key_start, "fields": fields, "trailing_comma": comma}, end
 
 
 def _text(b: bytes, start: int, end: int) -> list[dict]:

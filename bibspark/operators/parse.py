@@ -11,12 +11,12 @@ from ..functions import lex
 ATOM = "struct<kind:string,start:bigint,end:bigint,content_start:bigint,content_end:bigint>"
 PERSON = "struct<raw:string,given:array<string>,prefix:array<string>,family:array<string>,suffix:array<string>,literal:string>"
 FIELD = f"struct<name:string,start:bigint,end:bigint,name_start:bigint,name_end:bigint,equals_start:bigint,value_start:bigint,value_end:bigint,raw:string,resolved:string,candidates:array<string>,unresolved:array<string>,people:array<{PERSON}>,atoms:array<{ATOM}>>"
-BLOCK = f"doc_id bigint, block_idx int, entry_idx int, kind string, start bigint, end bigint, entry_type string, citation_key string, delimiter string, trailing_comma boolean, code string, comments array<struct<start:bigint,end:bigint>>, fields array<{FIELD}>"
+BLOCK = f"doc_id bigint, block_idx int, entry_idx int, kind string, start bigint, end bigint, entry_type string, citation_key string, key_start bigint, delimiter string, trailing_comma boolean, code string, comments array<struct<start:bigint,end:bigint>>, fields array<{FIELD}>"
 
 _ATOM = pa.struct([("kind", pa.string()), *((n, pa.int64()) for n in ("start", "end", "content_start", "content_end"))])
 _PERSON = pa.struct([("raw", pa.string()), *((n, pa.list_(pa.string())) for n in ("given", "prefix", "family", "suffix")), ("literal", pa.string())])
 _FIELD = pa.struct([("name", pa.string()), *((n, pa.int64()) for n in ("start", "end", "name_start", "name_end", "equals_start", "value_start", "value_end")), ("raw", pa.string()), ("resolved", pa.string()), ("candidates", pa.list_(pa.string())), ("unresolved", pa.list_(pa.string())), ("people", pa.list_(_PERSON)), ("atoms", pa.list_(_ATOM))])
-_BLOCK = pa.schema([("doc_id", pa.int64()), ("block_idx", pa.int32()), ("entry_idx", pa.int32()), ("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("entry_type", pa.string()), ("citation_key", pa.string()), ("delimiter", pa.string()), ("trailing_comma", pa.bool_()), ("code", pa.string()), ("comments", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("fields", pa.list_(_FIELD))])
+_BLOCK = pa.schema([("doc_id", pa.int64()), ("block_idx", pa.int32()), ("entry_idx", pa.int32()), ("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("entry_type", pa.string()), ("citation_key", pa.string()), ("key_start", pa.int64()), ("delimiter", pa.string()), ("trailing_comma", pa.bool_()), ("code", pa.string()), ("comments", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("fields", pa.list_(_FIELD))])
 
 
 def blocks(docs: DataFrame) -> DataFrame:

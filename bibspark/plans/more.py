@@ -141,14 +141,14 @@ def str07_sessions(spark, sf_dir):
 
 def lib13_config_save(spark, sf_dir):
     """What saving a setting does: create, override, update or nothing, from what is built in and stored."""
-    n = table(spark, sf_dir, "nation")
-    base = n.where("n_nationkey < 20").select("n_nationkey", F.col("n_name").alias("base"))
-    stored = n.where("n_nationkey % 3 = 0").select("n_nationkey", F.concat("n_name", F.lit("*")).alias("stored"))
-    asked = n.select("n_nationkey", F.when(F.col("n_nationkey") % 2 == 0, F.concat("n_name", F.lit("*"))).otherwise(F.col("n_name")).alias("asked"))
-    joined = asked.join(base, "n_nationkey", "left").join(stored, "n_nationkey", "left")
+    n = table(spark, sf_dir, "customer")
+    base = n.where("c_custkey % 7 <> 0").select("c_custkey", F.col("c_name").alias("base"))
+    stored = n.where("c_custkey % 3 = 0").select("c_custkey", F.concat("c_name", F.lit("*")).alias("stored"))
+    asked = n.select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, F.concat("c_name", F.lit("*"))).otherwise(F.col("c_name")).alias("asked"))
+    joined = asked.join(base, "c_custkey", "left").join(stored, "c_custkey", "left")
     now = F.coalesce("stored", "base")
     action = F.when(now == F.col("asked"), "none").when(F.col("stored").isNotNull(), "update").when(F.col("base").isNotNull(), "override").otherwise("create")
-    return joined.select("n_nationkey", action.alias("action"))
+    return joined.select("c_custkey", action.alias("action"))
 
 
 def lib05_update(spark, sf_dir):
@@ -211,7 +211,7 @@ ORACLES = {
       s AS (SELECT *, CASE WHEN rejected THEN 'cooldown' WHEN recent > 3 THEN 'limited' ELSE 'accepted' END AS status FROM j)
       SELECT event_id, status, status = 'accepted' AND row_number() OVER (PARTITION BY user_id, status ORDER BY ts DESC, event_id DESC) = 1 AS live FROM s""",
     "str07_sessions": "WITH e AS (SELECT * FROM events WHERE ts <= TIMESTAMP '2024-01-20'), x AS (SELECT user_id, max(ts) AS ended FROM e WHERE event_type = 'purchase' GROUP BY 1) SELECT event_id, CASE WHEN ended > ts THEN 'revoked' WHEN ts + INTERVAL 7 DAY <= TIMESTAMP '2024-01-20' THEN 'expired' ELSE 'open' END AS status FROM e LEFT JOIN x USING (user_id) WHERE event_type = 'signup'",
-    "lib13_config_save": "WITH x AS (SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN n_name || '*' ELSE n_name END AS asked, CASE WHEN n_nationkey < 20 THEN n_name END AS base, CASE WHEN n_nationkey % 3 = 0 THEN n_name || '*' END AS stored FROM nation) SELECT n_nationkey, CASE WHEN coalesce(stored, base) = asked THEN 'none' WHEN stored IS NOT NULL THEN 'update' WHEN base IS NOT NULL THEN 'override' ELSE 'create' END AS action FROM x",
+    "lib13_config_save": "WITH x AS (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_name || '*' ELSE c_name END AS asked, CASE WHEN c_custkey % 7 <> 0 THEN c_name END AS base, CASE WHEN c_custkey % 3 = 0 THEN c_name || '*' END AS stored FROM customer) SELECT c_custkey, CASE WHEN coalesce(stored, base) = asked THEN 'none' WHEN stored IS NOT NULL THEN 'update' WHEN base IS NOT NULL THEN 'override' ELSE 'create' END AS action FROM x",
     "lib05_update": "SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 AND upper(p_name) <> p_name THEN 'stale' ELSE 'updated' END AS status, 'sha256:' || sha256(p_name) AS stored FROM part",
     "set07_options": "SELECT p_name AS text, (p_partkey % 3)::INT AS strategy, p_partkey AS id FROM part QUALIFY row_number() OVER (PARTITION BY p_name ORDER BY p_partkey % 3, p_partkey) = 1",
     "ext_rollup": f"WITH {BASE}, {_SEV}, a AS (SELECT severity, n + CASE WHEN severity = 'warning' THEN (SELECT sum((k % 7 = 0)::INT) FROM b) ELSE 0 END AS n FROM s) SELECT severity, n::BIGINT AS n FROM a UNION ALL SELECT 'all', sum(n)::BIGINT FROM a",

@@ -98,11 +98,11 @@ def lib09_as_of(spark, sf_dir):
 
 
 def jon06_overlay(spark, sf_dir):
-    nation = table(spark, sf_dir, "nation")
-    base = nation.select("n_nationkey", "n_name")
-    over = nation.where("n_nationkey % 4 = 0").select("n_nationkey", F.concat(F.lit("my "), "n_name").alias("n_name"))
-    custom = nation.where("n_nationkey < 3").select((F.col("n_nationkey") + 100).alias("n_nationkey"), F.concat(F.lit("new "), "n_name").alias("n_name"))
-    return L.overlay(base, over.unionByName(custom), ["n_nationkey"], ["n_name"])
+    c = table(spark, sf_dir, "customer")
+    base = c.select("c_custkey", "c_name")
+    over = c.where("c_custkey % 4 = 0").select("c_custkey", F.concat(F.lit("my "), "c_name").alias("c_name"))
+    custom = c.where("c_custkey % 10 = 3").select((F.col("c_custkey") + 1_000_000_000).alias("c_custkey"), F.concat(F.lit("new "), "c_name").alias("c_name"))
+    return L.overlay(base, over.unionByName(custom), ["c_custkey"], ["c_name"])
 
 
 def jon04_creators(spark, sf_dir):
@@ -170,7 +170,7 @@ ORACLES = {
     "jon13_without_head": f"WITH {_REV} SELECT c_custkey AS reference_id, 0::INT AS latest_revision FROM customer WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.reference_id = c_custkey)",
     "lib09_restore": f"WITH {_REV}, q AS (SELECT reference_id, latest_revision, latest_revision - reference_id % 4 AS tr, latest_revision - (reference_id % 5 = 0)::INT AS eh FROM h), s AS (SELECT q.reference_id, tr::INT AS to_revision, CASE WHEN v.snapshot IS NULL THEN 'not_found' WHEN latest_revision <> eh THEN 'stale' ELSE 'ok' END AS status, latest_revision, v.snapshot FROM q LEFT JOIN v ON q.reference_id = v.reference_id AND v.revision = q.tr) SELECT reference_id, to_revision, status, CASE WHEN status = 'ok' THEN latest_revision + 1 END AS new_revision, CASE WHEN status = 'ok' THEN snapshot END AS snapshot FROM s",
     "lib09_as_of": f"WITH {_REV} SELECT reference_id, revision, action FROM v WHERE occurred_at <= TIMESTAMP '2024-01-15' QUALIFY row_number() OVER (PARTITION BY reference_id ORDER BY revision DESC) = 1",
-    "jon06_overlay": "SELECT n_nationkey, CASE WHEN n_nationkey % 4 = 0 THEN 'my ' || n_name ELSE n_name END AS n_name, CASE WHEN n_nationkey % 4 = 0 THEN 'override' ELSE 'built_in' END AS origin FROM nation UNION ALL SELECT n_nationkey + 100, 'new ' || n_name, 'custom' FROM nation WHERE n_nationkey < 3",
+    "jon06_overlay": "SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'my ' || c_name ELSE c_name END AS c_name, CASE WHEN c_custkey % 4 = 0 THEN 'override' ELSE 'built_in' END AS origin FROM customer UNION ALL SELECT c_custkey + 1000000000, 'new ' || c_name, 'custom' FROM customer WHERE c_custkey % 10 = 3",
     "jon04_creators": "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000)",
     "set02_delta": "WITH a AS (SELECT DISTINCT user_id, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-16'), b AS (SELECT DISTINCT user_id, event_type FROM events WHERE ts < TIMESTAMP '2024-01-16') SELECT *, 'added' AS side FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT *, 'removed' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)",
     "lib04_identities": "SELECT i.p_partkey AS id, s.p_partkey AS held_by, '10.1000/' || (i.p_partkey % 500) AS value FROM part i JOIN part s ON i.p_partkey % 500 = s.p_partkey % 500 AND s.p_partkey % 10 = 0 AND i.p_partkey % 2 = 0 AND i.p_partkey <> s.p_partkey",

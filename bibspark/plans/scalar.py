@@ -72,7 +72,7 @@ def lib06_tombstones(spark, sf_dir):
 
 
 def agg02_count(spark, sf_dir):
-    return library.history(revised(spark, sf_dir), table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("reference_id")).limit(0)).agg(F.count("*").alias("n"))
+    return library.history(revised(spark, sf_dir), table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("reference_id"))).agg(F.count("*").alias("n"))
 
 
 def srt05_candidates(spark, sf_dir):

@@ -10,11 +10,32 @@ EXTRACTION = f"struct<file_name:string,reference_count:int,references:array<{REF
 
 
 def read_bib(spark: SparkSession, *paths: str) -> DataFrame:
-    """(doc_id, path, source): a row for each file, numbered in order of path; plain or gzip."""
+    """(doc_id, path, source): a row for each file, numbered in order of path; plain or gzip. Only the paths are sorted, the texts stay where they are read."""
     from pyspark.sql import Window
 
     files = spark.read.text(list(paths), wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("source"))
-    return files.select((F.row_number().over(Window.orderBy("path")) - 1).cast("long").alias("doc_id"), "path", "source")  # as many rows as files
+    numbers = files.select("path").distinct().select("path", (F.row_number().over(Window.orderBy("path")) - 1).cast("long").alias("doc_id"))
+    return files.join(numbers, "path").select("doc_id", "path", "source")
+
+
+def read_toml(spark: SparkSession, *paths: str) -> dict[str, dict]:
+    """Settings by path: policies, export profiles, registries. They are dimensions of a few rows, read through Spark's readers."""
+    import tomllib
+
+    rows = spark.read.text(list(paths), wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value").collect()
+    return {r["path"]: tomllib.loads(r["value"]) for r in rows}
+
+
+def profile_rows(spark: SparkSession, settings: dict[str, dict]) -> DataFrame:
+    """(profile, field_order, renames, indent, types) of export profiles read by `read_toml`, in order of name."""
+    rows = [(x.get("profile", p), list(x.get("field_order", [])), dict(x.get("field_renames", {})), x.get("indent", "  "), list(x.get("supported_entry_types", []))) for p, x in settings.items()]
+    return spark.createDataFrame(sorted(rows), "profile string, field_order array<string>, renames map<string,string>, indent string, types array<string>")
+
+
+def repository_rows(spark: SparkSession, settings: dict[str, dict]) -> DataFrame:
+    """(id, aliases, name, archive_prefix, pattern, url_template) of repository registries; names count as aliases."""
+    rows = [(r["id"], [r["full_name"], r.get("short_name", r["full_name"]), *r.get("aliases", [])], r["full_name"], r.get("archive_prefix"), r.get("identifier_pattern"), r.get("url_template")) for x in settings.values() for r in x.get("repositories", [])]
+    return spark.createDataFrame(rows, "id string, aliases array<string>, name string, archive_prefix string, pattern string, url_template string")
 
 
 def write_bib(documents: DataFrame, path: str) -> None:

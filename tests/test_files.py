@@ -40,3 +40,24 @@ def test_tex_scanner_is_linear():
     began = time.time()
     tex.specials("{" * 20_000 + "a_b$" * 20_000)
     assert time.time() - began < 20
+
+
+def test_settings_are_read_from_toml(spark, tmp_path):
+    from bibspark.operators import generate, semrules
+    from bibspark.sources import files
+
+    (tmp_path / "a.toml").write_text('profile = "b"\nfield_order = ["title", "title"]\nindent = "x"\nsupported_entry_types = []\n[field_renames]\na = "c"\nb = "c"\n')
+    (tmp_path / "b.toml").write_text('profile = "a"\nfield_order = ["title"]\nsupported_entry_types = ["misc"]\n')
+    rows = files.profile_rows(spark, files.read_toml(spark, str(tmp_path)))
+    assert [r.profile for r in rows.collect()] == ["a", "b"]
+    assert sorted(tuple(r) for r in generate.profile_problems(rows).collect()) == [("b", "indent"), ("b", "no types"), ("b", "repeated field"), ("b", "repeated rename")]
+    (tmp_path / "r.toml").write_text("[[repositories]]\nid = 'hal'\nfull_name = 'HAL'\naliases = ['Hal Archive']\narchive_prefix = 'HAL'\nidentifier_pattern = '^hal-[0-9]+$'\nurl_template = 'https://hal.science/{identifier}'\n")
+    registry = files.repository_rows(spark, files.read_toml(spark, str(tmp_path / "r.toml")))
+    assert registry.count() == 1 and semrules.registry_problems(registry).count() == 0
+
+
+def test_specials_beyond_the_list_are_counted(spark):
+    from bibspark.operators import texscan
+
+    rows = texscan.occurrences(spark.createDataFrame([(1, "a & " * 300), (2, "b & c")], "id long, text string")).collect()
+    assert sorted((r.id, r.omitted) for r in rows if r.verdict == "omitted") == [(1, 44)] and len(rows) == 256 + 1 + 1
