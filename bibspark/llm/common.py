@@ -97,11 +97,28 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_written(spark: SparkSession, since: int = 0) -> None:
-    """Delete the intermediate folders written after the first `since` ones. Call it once results that read them are saved."""
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """`df` written once as a table in the shared folder, in buckets by `key`: joins by `key` don't shuffle it again."""
+    spark = df.sparkSession
+    n = min(100_000, max(int(spark.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions()))
+    path = new_folder(spark, "table")
+    name = path.rsplit("/", 1)[-1].replace("-", "_")
+    df.repartition(n, key).write.bucketBy(n, key).option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
+def written() -> int:
+    """How many intermediate folders of this process there are."""
+    return len(_written)
+
+
+def drop_written(spark: SparkSession, since: int = 0, only: str | None = None) -> None:
+    """Delete the intermediate folders after the first `since` ones, or `only` one. Call it once results that read them are saved."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while len(_written) > since:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+    gone = [only] if only else _written[since:]
+    for folder in gone:
+        _written.remove(folder)
+        path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)
 
 
@@ -121,13 +138,13 @@ def _width(name: str, kind: T.DataType) -> Column:
     return F.lit(8)
 
 
-def side(df: DataFrame, most: int = SMALL) -> DataFrame:
-    """A written table `df`, marked for broadcast if its rows take at most `most` bytes; beyond that the join shuffles it."""
+def side(df: DataFrame, most: int = SMALL, beyond: str | None = None) -> DataFrame:
+    """A written table `df`, marked for broadcast if its rows take at most `most` bytes; beyond that the join shuffles it, by the way `beyond` if given."""
     width = F.lit(16)
     for f in df.schema.fields:
         width = width + _width(f.name, f.dataType)
     total = df.agg(F.sum(width.cast("long")).alias("n")).first()["n"] or 0
-    return F.broadcast(df) if total <= most else df
+    return F.broadcast(df) if total <= most else df.hint(beyond) if beyond else df
 
 
 def pieces(text: Column, pattern: str, before: int = 0) -> Column:

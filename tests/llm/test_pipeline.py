@@ -29,8 +29,9 @@ def test_pipeline_matches_brute_force(spark):
         t = out + t[at:]
         ids = lib.encode(t, add_special_tokens=False).ids
         expected[d] = (len(ids), hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
-    got = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in corpus_pipeline.run(spark, SF).collect()}
-    assert got == expected
+    rows = corpus_pipeline.run(spark, SF).collect()
+    assert {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in rows} == expected
+    assert all(len(r["ids"]) == 4 * r["n_tokens"] and hashlib.sha256(r["ids"]).hexdigest() == r["ids_sha256"] for r in rows)
 
 
 def test_stages_keep_the_columns_and_stand_hard_rows(spark):
