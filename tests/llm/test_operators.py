@@ -125,7 +125,7 @@ def test_quality_verdicts(spark):
     assert quality.filter_docs(cases.frame(spark, docs)).columns == cases.frame(spark, docs).columns
 
 
-@pytest.mark.parametrize("how", [{}, {"small": 0}, {"piece": 50, "shard_windows": 60, "chunk_bytes": 2000}, {"piece": 7, "shard_windows": 5, "chunk_bytes": 300, "small": 0}])
+@pytest.mark.parametrize("how", [{}, {"small": 0}, {"piece": 50, "shard_passages": 20, "chunk_bytes": 2000}, {"piece": 7, "shard_passages": 3, "chunk_bytes": 300, "small": 0}])
 def test_substring_dedup(spark, how):
     got = substring.dedup(cases.frame(spark, DOCS), **how)
     assert sorted(map(tuple, got.collect())) == cases.repeats(DOCS)
@@ -140,16 +140,20 @@ def test_substring_dedup_without_ids_and_in_large_groups(spark):
 
 
 def test_only_the_automata_tell_what_goes(spark, monkeypatch):
-    monkeypatch.setattr(substring, "occurrences", lambda work, size: work.select("rid", F.lit(b"").alias("spans")))
+    monkeypatch.setattr(substring, "occurrences", lambda work, size, gram: work.select("rid", F.lit(b"").alias("spans")))
     assert not any(r["n_removed"] for r in substring.dedup(cases.frame(spark, DOCS)).collect())
 
 
-def test_words_with_equal_hashes_are_compared():
+def test_words_with_equal_hashes_are_compared(monkeypatch):
     text = [b"w%d" % i for i in range(40)]
-    phrases = substring.Phrases([b" ".join(text)], 35)
-    code = substring.coded(substring.hash_texts([b" ".join(text)])[0])
-    assert phrases.covered(b"\n".join(text), code).all()
-    assert phrases.covered(b" ".join(text[:37] + [b"other"] + text[38:]), code).tolist() == [True] * 37 + [False] * 3
+    phrases = substring.Phrases([(20, b" ".join(text))], 35, 8)
+    other = text[:37] + [b"other"] + text[38:]
+    assert phrases.covered([b"x", b"\n".join(text)])[0].tolist() == [False] + [True] * 40
+    assert phrases.covered([b" ".join(other), b""])[0].tolist() == [True] * 37 + [False] * 3
+    plain = substring.hashing.word_hashes
+    monkeypatch.setattr(substring.hashing, "word_hashes", lambda *a, **k: (lambda h, *r: (np.arange(len(h), dtype=np.uint64), *r))(*plain(*a, **k)))
+    phrases = substring.Phrases([(20, b" ".join(text))], 35, 8)
+    assert phrases.covered([b" ".join(other)])[0].tolist() == [True] * 37 + [False] * 3  # all hashes equal
 
 
 def test_substring_dedup_keeps_text(spark):
@@ -234,6 +238,20 @@ def test_token_files_round_trip(spark, tmp_path, monkeypatch):
     assert sum(len(b) // 4 for *_, b in blocks) == at
 
 
+def test_lost_blocks_are_noticed(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "some words of a text " * 400) for i in range(40)], "doc_id long, text string").repartition(3)
+    path = str(tmp_path / "t")
+    tokenfile.write(docs, path, tokenizer("word_bpe_49k.json"))
+    tokenfile.complete(spark, path)
+    rows = spark.read.parquet(path)
+    parts = [r["part"] for r in rows.groupBy("part").count().where("count > 2").collect()]
+    last = rows.where(F.col("part") == parts[0]).agg(F.max("number")).first()[0]
+    for k, gone in enumerate((0, 1, last - 1, last)):  # at the file's beginning, inside, before its end, the end itself
+        rows.where(~((F.col("part") == parts[0]) & (F.col("number") == gone))).write.parquet(str(tmp_path / f"lost{k}"))
+        with pytest.raises(ValueError):
+            tokenfile.complete(spark, str(tmp_path / f"lost{k}"))
+
+
 def test_damaged_blocks_are_refused():
     ids = np.arange(50) % 7
     data = tokenfile.pack(0, 0, 0, ids, [(1, 2, 0, 50, 0)], tokenfile.encode_blocks([ids], 100)[0])
