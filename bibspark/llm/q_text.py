@@ -95,25 +95,29 @@ def op2_license_scan(spark, sf_dir):
         "doc_id",
         "n_units",
         F.size(found).cast("long").alias("n_matches"),
-        F.array_join(F.array_sort(F.array_distinct(F.transform(found, lambda x: x["license"]))), ",").alias("licenses"),
+        F.array_join(F.transform(found, lambda x: x["license"]), ",").alias("licenses"),
         F.array_max(F.transform(found, lambda x: x["dice"])).alias("best_dice"),
     )
 
 
 def license_sql() -> str:
+    """Every piece of every text against every template, without cue words."""
     quoted = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
     rows = ", ".join(f"({i}, '{n}', {quoted(g)}, {lo}, {hi})" for i, (n, g, lo, hi) in enumerate(licenses.template_rows()))
+    around = ", ".join(f"('{w}', {o}, {n})" for w, o, n in licenses.anchors())
+    words = lambda x: rf"list_filter(string_split_regex(lower({x}), '[^\p{{L}}\p{{N}}]+'), lambda y: y <> '')"
     return rf"""
-      WITH t AS (SELECT * FROM (VALUES {rows}) AS v(i, license, grams, lo, hi)),
-      p AS (SELECT doc_id, list_filter(list_concat(string_split(coalesce(text, ''), chr(10)),
-              list_filter(list_transform(string_split_regex(coalesce(text, ''), '\n[ \t\r]*\n'), lambda x: regexp_replace(x, '^\n+|\n+$', '', 'g')), lambda x: contains(x, chr(10)))),
-              lambda x: regexp_matches(x, '[\p{{L}}\p{{N}}]')) AS us FROM documents),
-      u AS (SELECT doc_id, k, list_filter(string_split_regex(lower(x), '[^\p{{L}}\p{{N}}]+'), lambda y: y <> '') AS w FROM (SELECT doc_id, unnest(us) AS x, generate_subscripts(us, 1) AS k FROM p)),
-      g AS (SELECT doc_id, k, list_distinct(list_transform(generate_series(1, len(w) - 1), lambda j: w[j] || ' ' || w[j + 1])) AS b FROM u),
-      m AS (SELECT doc_id, k, license, i, round(2 * len(list_intersect(b, grams)) / (len(b) + len(grams)), 6) AS dice FROM g JOIN t ON len(b) BETWEEN lo AND hi),
-      s AS (SELECT doc_id, license, dice FROM m WHERE dice >= {licenses.LEAST} QUALIFY row_number() OVER (PARTITION BY doc_id, k ORDER BY dice DESC, i) = 1),
-      r AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS ls, max(dice) AS d FROM s GROUP BY doc_id)
-      SELECT p.doc_id, len(us)::BIGINT AS n_units, coalesce(n, 0)::BIGINT AS n_matches, coalesce(ls, '') AS licenses, d AS best_dice FROM p LEFT JOIN r USING (doc_id)"""
+      WITH t AS (SELECT * FROM (VALUES {rows}) AS v(i, license, grams, lo, hi)), a AS (SELECT * FROM (VALUES {around}) AS v(word, o, n)),
+      d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS x FROM documents),
+      q AS (SELECT r, doc_id, x, list_filter(list_transform(string_split_regex(x, '\n[ \t\r]*\n'), lambda y: regexp_replace(y, '^\n+|\n+$', '', 'g')), lambda y: regexp_matches(y, '[\p{{L}}\p{{N}}]')) AS ps FROM d),
+      p AS (SELECT r, doc_id, x, list_concat(list_concat(list_filter(string_split(x, chr(10)), lambda y: regexp_matches(y, '[\p{{L}}\p{{N}}]')), list_filter(ps, lambda y: contains(y, chr(10)))), CASE WHEN len(ps) > 1 THEN [x] ELSE [] END) AS us FROM q),
+      f AS (SELECT r, {words("x")} AS ws FROM d), o AS (SELECT r, ws, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM f),
+      pieces AS (SELECT r, {words("u")} AS w FROM (SELECT r, unnest(us) AS u FROM p) UNION SELECT r, ws[greatest(pos - o0, 1):greatest(pos - o0, 1) + n - 1] FROM (SELECT o.*, a.o AS o0, a.n FROM o JOIN a USING (word)) AS o),
+      g AS (SELECT r, row_number() OVER () AS k, list_distinct(list_transform(generate_series(1, len(w) - 1), lambda j: w[j] || ' ' || w[j + 1])) AS b FROM pieces),
+      m AS (SELECT r, k, license, i, round(2 * len(list_intersect(b, grams)) / (len(b) + len(grams)), 6) AS dice FROM g JOIN t ON len(b) BETWEEN lo AND hi),
+      s AS (SELECT r, license, dice FROM m WHERE dice >= {licenses.LEAST} QUALIFY row_number() OVER (PARTITION BY r, k ORDER BY dice DESC, i) = 1),
+      z AS (SELECT r, count(DISTINCT license) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS ls, max(dice) AS d FROM s GROUP BY r)
+      SELECT p.doc_id, len(us)::BIGINT AS n_units, coalesce(n, 0)::BIGINT AS n_matches, coalesce(ls, '') AS licenses, d AS best_dice FROM p LEFT JOIN z USING (r)"""
 
 
 def op4_personal_data(spark, sf_dir):

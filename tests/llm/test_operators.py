@@ -46,6 +46,23 @@ def test_licenses(spark):
     texts = [None, "", "x\nReleased under the MIT license\ny", "permission is hereby GRANTED, free of charge, to any person obtaining a copy of this software and\nassociated documentation files (the 'Software'), to deal in the Software without restriction, including\nwithout limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software,\nand to permit persons to whom the Software is furnished to do so, subject to the following conditions:", "licensed under CC BY 4.0", "The licence of a driver under the hood of MIT", "This work is licensed under the GNU General Public License, version 2 " * 2, "word " * 50_000]
     got = {r["doc_id"]: [x["license"] for x in r["found"]] for r in licenses.scan(cases.frame(spark, list(enumerate(texts)))).collect()}
     assert got == {0: [], 1: [], 2: ["MIT"], 3: ["MIT"], 4: ["CC-BY-4.0"], 5: [], 6: ["GPL-2.0"], 7: []}
+    full = dict((n, t) for n, t in licenses.TEMPLATES)  # the longest of each name comes last
+    texts = ["Copyright 2020 Foo. Released under the MIT License.", "some words before this work is licensed under the GNU General\nPublic License, version 3. And some more words that follow it in the same line", full["BSD-3-Clause"], "intro\n\n" + full["MIT"].replace("subject", "\n\nsubject") + "\n\nint main() { return 0; }" * 30, full["Unlicense"].upper(), full["Zlib"].replace(" ", "\n * ", 40), full["LGPL-2.1"]]
+    got = {r["doc_id"]: [x["license"] for x in r["found"]] for r in licenses.scan(cases.frame(spark, list(enumerate(texts)))).collect()}
+    for i, name in enumerate(("MIT", "GPL-3.0", "BSD-3-Clause", "MIT", "Unlicense", "Zlib", "LGPL-2.1")):
+        assert name in got[i], (i, got[i])
+
+
+def test_license_cues_are_in_every_match():
+    import random
+
+    r, cue = random.Random(2), set(licenses.cues())
+    for name, own, low, high in licenses.template_rows():
+        pairs = [g.split(" ") for g in own]
+        without = [p for p in pairs if not cue & set(p)]
+        assert 2 * len(without) / (len(without) + len(own)) < licenses.LEAST, name
+        kept = r.sample(own, k=-(-len(own) * 2 // 3) + 1)
+        assert 2 * len(kept) / (len(kept) + len(own)) < licenses.LEAST or cue & {w for g in kept for w in g.split(" ")}
     assert licenses.scan(cases.frame(spark, []).limit(0)).count() == 0
 
 
