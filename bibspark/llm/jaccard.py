@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import SMALL, cut, side
+from .common import SMALL, cut, side, stored
 from .components import components
 from .hashing import fingerprint
 
@@ -212,16 +212,16 @@ def lists(rows: DataFrame) -> DataFrame:
 
 
 def candidate_lists(inputs: DataFrame, boundary: int, shingle: int = SHINGLE, percent: int = PERCENT, extra: float = EXTRA) -> DataFrame:
-    """(list, fp, n, head): the lists of candidate sets of size n; head is a list's first set."""
-    shared = cut(lists(keys(inputs, boundary, shingle, percent, extra)))
+    """(list, fp, n, head, length): the lists of candidate sets of size n; head is a list's first set, length its size up to LONG_LIST."""
+    shared = stored(lists(keys(inputs, boundary, shingle, percent, extra)))
     name = F.xxhash64("key", "light").alias("list")
-    light = shared.where("light").select(name, "fp", "n", "head")
+    light = shared.where("light").select(name, "fp", "n", "head", "length")
     smaller = F.ceil(F.col("n") * percent / F.lit(100))
     need = F.greatest(F.lit(1), F.floor(smaller * extra))
     of_set = Window.partitionBy("fp")
     ranked = shared.where("not light").withColumns({"m": F.count("*").over(of_set), "r": F.row_number().over(of_set.orderBy("length", "key"))})
     rare = ranked.where((F.col("m") >= need) & (F.col("r") <= F.col("m") - need + 1)).select("key", "fp", "n", "light")
-    return cut(light.union(lists(rare).select(name, "fp", "n", "head")))
+    return light.union(stored(lists(rare).select(name, "fp", "n", "head", "length")))
 
 
 def is_loose(sets_: Column, pairs: Column, block: int) -> Column:
@@ -232,9 +232,12 @@ def is_loose(sets_: Column, pairs: Column, block: int) -> Column:
 def groups_to_verify(found: DataFrame, block: int) -> DataFrame:
     """(root, fp, mine): the groups of sets to compare. `mine` has all lists of a set where its group is one list, else it is null."""
     groups = components(found.select(F.col("head").alias("a"), F.col("fp").alias("b")).distinct())
-    size = found.groupBy("list").agg(F.count("*").alias("k"), F.min("head").alias("head"))
+    # a list's first set has one row in it; only long lists have to be counted
+    short = found.where((F.col("fp") == F.col("head")) & (F.col("length") < LONG_LIST)).select("head", F.col("length").cast("double").alias("k"))
+    long = found.where(F.col("length") >= LONG_LIST).groupBy("list", "head").agg(F.count("*").cast("double").alias("k")).select("head", "k")
     cost = F.col("k") * F.col("k") + F.col("k") * F.greatest(F.col("k"), F.lit(block))
-    of_lists = size.join(groups, size["head"] == groups["node"]).groupBy("root").agg(F.sum(cost.cast("double")).alias("pairs"))
+    size = short.union(long).groupBy("head").agg(F.sum(cost).alias("pairs"))
+    of_lists = size.join(groups, size["head"] == groups["node"]).groupBy("root").agg(F.sum("pairs").alias("pairs"))
     of_sets = groups.groupBy("root").agg(F.count("*").alias("m"))
     loose = cut(of_lists.join(of_sets, "root").where(is_loose(F.col("m"), F.col("pairs"), block)).select("root"))
     whole = groups.join(loose, "root", "left_anti").select("root", F.col("node").alias("fp"), F.lit(None).cast("array<long>").alias("mine"))

@@ -108,9 +108,9 @@ def cues(templates=TEMPLATES, least: float = LEAST) -> list[str]:
     out = {word for word, *_ in anchors(templates)}
     for _, text in templates:
         left = {tuple(g.split(" ")) for g in _bigrams(_words(text))}
-        need = len(left) * least / (2 - least)
+        n = len(left)
         left = {g for g in left if not out & set(g)}
-        while len(left) >= need:
+        while round(2 * len(left) / (len(left) + n), 6) >= least:
             count = Counter(w for g in left for w in set(g) if len(w) > 3 and w not in COMMON) or Counter(w for g in left for w in set(g))
             word = max(sorted(count), key=lambda w: (count[w] * len(w), len(w)))
             out.add(word)

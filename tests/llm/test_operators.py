@@ -207,9 +207,9 @@ def test_jaccard_without_ids(spark):
 
 
 def test_loose_chains_are_told_from_dense_groups(spark):
-    chain = [(i, s, 5, i) for i in range(2000) for s in (i, i + 1)]  # list i has the sets i and i + 1
-    dense = [(10_000 + k, 50_000 + s, 5, 50_000) for k in range(20) for s in range(700)]
-    found = spark.createDataFrame(chain + dense, "list long, fp long, n int, head long")
+    chain = [(i, s, 5, i, 2) for i in range(2000) for s in (i, i + 1)]  # list i has the sets i and i + 1
+    dense = [(10_000 + k, 50_000 + s, 5, 50_000, 700) for k in range(20) for s in range(700)]
+    found = spark.createDataFrame(chain + dense, "list long, fp long, n int, head long, length int")
     kinds = jaccard.groups_to_verify(found, 512).groupBy(F.col("mine").isNull().alias("whole")).agg(F.count("*").alias("rows"), F.countDistinct("root").alias("groups")).collect()
     assert {r["whole"]: (r["rows"], r["groups"]) for r in kinds} == {True: (700, 1), False: (4000, 2000)}
 
