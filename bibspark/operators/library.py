@@ -17,13 +17,17 @@ def contains(column: str, text: str) -> Column:
     return F.col(column).ilike(like(text))
 
 
-def search(references: DataFrame, contributors: DataFrame | None = None, query: str | None = None, author: str | None = None, year: int | None = None, venue: str | None = None, entry_type: str | None = None, since=None, until=None) -> DataFrame:
+def search(references: DataFrame, contributors: DataFrame | None = None, query: str | None = None, author: str | None = None, year: int | None = None, venue: str | None = None, entry_type: str | None = None, since=None, until=None, identifier: str | None = None, identifiers: DataFrame | None = None) -> DataFrame:
     """References (id, title, citation_key, venue, entry_type, year, updated_at) that meet every filter given.
 
+    `identifier` is compared whole, trimmed and in lower case, with the (id, value) rows of `identifiers`.
+
     The query may match a contributor; author and query then are tested on the same contributor row. The contributor join is
     made only if one of them is given.
     """
     rows = references
+    if identifier:
+        rows = rows.join(identifiers.where(F.lower(F.trim("value")) == identifier.strip().lower()).select("id"), "id", "left_semi")
     if query or author:
         rows = rows.join(contributors.select("id", "display_name"), "id", "left")
     if query:

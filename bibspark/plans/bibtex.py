@@ -105,6 +105,10 @@ def val28_order(spark, sf_dir):
     return _diagnostics(spark, sf_dir).where("place = 1").select("doc_id", "code")
 
 
+def win05_ordinals(spark, sf_dir):
+    return _diagnostics(spark, sf_dir).select("doc_id", "code", F.col("ordinal").cast("long").alias("ordinal"))
+
+
 def val31_decision(spark, sf_dir):
     entries = _entries(spark, sf_dir)
     return rules.decision(entries, rules.validate(entries, rules.policy(spark)))
@@ -184,7 +188,7 @@ QUERIES = {
     "val_counts": val_counts, "val01_duplicate_field": val_rule("BIB-SYNTAX-001"), "val02_field_case": val_rule("BIB-SYNTAX-002"), "val04_trailing_comma": val_rule("BIB-SYNTAX-004"),
     "val05_quoted": val_rule("BIB-SYNTAX-005"), "val11_doi_prefix": val_rule("BIB-SEMANTIC-001"), "val13_required_data": val_rule("BIB-SEMANTIC-003"),
     "val20_duplicate_key": val20("key"), "val20_duplicate_doi": val20("doi"), "val20_duplicate_arxiv": val20("arxiv"), "val24_required": val24_required, "val25_forbidden": val25_forbidden,
-    "val28_order": val28_order, "val31_decision": val31_decision, "agg09_codes": agg09_codes, "fix02_conflicts": fix02_conflicts, "fix04_apply": fix04_apply, "fix05_fixed_point": fix05_fixed_point,
+    "val28_order": val28_order, "win05_ordinals": win05_ordinals, "val31_decision": val31_decision, "agg09_codes": agg09_codes, "fix02_conflicts": fix02_conflicts, "fix04_apply": fix04_apply, "fix05_fixed_point": fix05_fixed_point,
     "fix06_diff": fix06_diff, "exp14_serialize": exp14_serialize, "exp01_documents": exp_documents,
 }
 ORACLES = {
@@ -205,6 +209,7 @@ ORACLES = {
     "val20_duplicate_arxiv": _dup_sql("'2001.' || lpad((k % 100000)::VARCHAR, 5, '0')", "k % 3 = 2"),
     "val24_required": f"WITH {BASE} SELECT doc_id, e AS entry_idx, 'year' AS missing FROM b WHERE k % 41 = 0 AND k % 13 <> 0",
     "val25_forbidden": f"WITH {BASE} SELECT doc_id, e AS entry_idx, 'eprint' AS lname FROM b WHERE k % 3 = 2",
+    "win05_ordinals": f"WITH {_ALL} SELECT doc_id, code, unnest(generate_series(0, sum(n)::BIGINT - 1)) AS ordinal FROM d GROUP BY doc_id, code HAVING sum(n) > 0",
     "val31_decision": f"WITH {_ALL}, x AS (SELECT doc_id, sum(n * blocking::INT)::BIGINT AS nb FROM d JOIN p USING (code) GROUP BY doc_id) SELECT doc_id, nb AS n_blocking, nb = 0 AS accepted FROM x",
     "agg09_codes": f"WITH {_ALL} SELECT doc_id, string_agg(DISTINCT code, ',' ORDER BY code) AS codes FROM d WHERE n > 0 GROUP BY doc_id",
     "fix02_conflicts": "SELECT 0::BIGINT AS n",

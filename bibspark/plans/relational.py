@@ -44,6 +44,11 @@ def lib01_filters(spark, sf_dir):
     return L.search(references(spark, sf_dir), year=1995, venue="brand").select("id", "venue", "year")
 
 
+def lib01_identifier(spark, sf_dir):
+    ids = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit(" 10.1000/P"), F.col("p_partkey") % 50).alias("value"))
+    return L.search(references(spark, sf_dir), identifier="10.1000/p7", identifiers=ids).select("id", "title")
+
+
 def lib02_page(mode):
     def query(spark, sf_dir):
         return L.page(references(spark, sf_dir), mode, 20, 50).select("id", "total")
@@ -152,13 +157,14 @@ def str02_first_seen(spark, sf_dir):
 
 _EV = "epoch_us(ts) AS t"
 QUERIES = {
-    "lib01_search": lib01_search, "lib01_filters": lib01_filters, "lib02_page_updated": lib02_page("updated_desc"), "srt01_year_desc": lib02_page("year_desc"), "srt01_title": lib02_page("title_asc"),
+    "lib01_search": lib01_search, "lib01_filters": lib01_filters, "lib01_identifier": lib01_identifier, "lib02_page_updated": lib02_page("updated_desc"), "srt01_year_desc": lib02_page("year_desc"), "srt01_title": lib02_page("title_asc"),
     "jon05_assembled": jon05_assembled, "win00_revisions": win00_revisions, "agg03_heads": agg03_heads, "lib08_history": lib08_history, "jon13_without_head": jon13_without_head,
     "lib09_restore": lib09_restore, "lib09_as_of": lib09_as_of, "jon06_overlay": jon06_overlay, "jon04_creators": jon04_creators, "set02_delta": set02_delta, "lib04_identities": lib04_identities,
     "agg15_counters": agg15_counters, "win02_latest": win02_latest, "win03_trailing": win03_trailing, "win04_cooldown": win04_cooldown, "str01_token_bucket": str01_token_bucket, "str02_first_seen": str02_first_seen,
 }
 ORACLES = {
     "lib01_search": f"WITH {_REFS}, {_CONS} SELECT DISTINCT id, title, year FROM r LEFT JOIN c USING (id) WHERE (title ILIKE '%7%' OR citation_key ILIKE '%7%' OR venue ILIKE '%7%' OR coalesce(display_name ILIKE '%7%', false)) AND display_name ILIKE '%#00000000%' AND updated_at >= TIMESTAMP '1995-01-01'",
+    "lib01_identifier": "SELECT p_partkey AS id, p_name AS title FROM part WHERE p_partkey % 50 = 7",
     "lib01_filters": f"WITH {_REFS} SELECT id, venue, year FROM r WHERE year = 1995 AND venue ILIKE '%brand%'",
     "lib02_page_updated": _page_sql("updated_at DESC NULLS LAST, id"),
     "srt01_year_desc": _page_sql("year DESC NULLS LAST, title ASC NULLS LAST, id"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import fixes, generate, identity, parse, semrules
+from ..operators import fixes, generate, identity, parse, semrules, workflow
 from ..sources import rich
 
 P = rich.PER_DOC
@@ -189,6 +189,11 @@ def exp17_strict(spark, sf_dir):
     return out.select("doc_id", "codes", F.col("bibtex").isNotNull().alias("written"))
 
 
+def exp18_workflow(spark, sf_dir):
+    done = workflow.advisory(rich.documents(spark, sf_dir))
+    return done.select("doc_id", F.col("input_edits").cast("long").alias("input_edits"), F.col("output_edits").cast("long").alias("output_edits"), "problems")
+
+
 def _w(where, detail="NULL::VARCHAR"):
     return f"WITH {K} SELECT doc_id, e AS entry_idx, {detail} AS detail FROM k WHERE {where}"
 
@@ -208,7 +213,7 @@ QUERIES = {
     "val14_type": finding("BIB-SEMANTIC-004"), "val16_conflict": finding("BIB-SEMANTIC-005"), "val17_author": finding("BIB-SEMANTIC-006"), "val18_date": finding("BIB-SEMANTIC-007"), "val19_unresolved": finding("BIB-SEMANTIC-008"),
     "val21_repository": finding("BIB-SEMANTIC-012"), "val22_unknown_macro": finding("BIB-SEMANTIC-101"), "val22_ambiguous_macro": finding("BIB-SEMANTIC-102"), "val22_bad_url": finding("BIB-SEMANTIC-106"), "val26_url": finding("LAB-URL-001"),
     "val32_registry": val32_registry, "val32_cycles": val32_cycles, "val33_metadata": val33_metadata, "fix05_two_passes": fix05_two_passes, "exp04_fields": exp04_fields, "exp05_preprints": exp05_preprints,
-    "exp06_identifiers": exp06_identifiers, "exp07_notes": exp07_notes, "exp08_rename_problems": exp08_rename_problems, "exp13_written": exp13_written, "exp15_warnings": exp15_warnings, "exp17_strict": exp17_strict,
+    "exp06_identifiers": exp06_identifiers, "exp07_notes": exp07_notes, "exp08_rename_problems": exp08_rename_problems, "exp13_written": exp13_written, "exp15_warnings": exp15_warnings, "exp17_strict": exp17_strict, "exp18_workflow": exp18_workflow,
 }
 ORACLES = {
     "sem15_all_schemes": f"WITH {K}, {IDS} SELECT doc_id, e AS entry_idx, (row_number() OVER (PARTITION BY k ORDER BY o) - 1)::INT AS position, scheme, value, status, confidence FROM ids",
@@ -261,5 +266,6 @@ ORACLES = {
     "exp08_rename_problems": f"WITH {K} SELECT CASE WHEN k % 13 = 0 THEN 'duplicate field' END AS problem, count(*) AS n, count(*) FILTER (k % 13 <> 0) AS texts FROM k GROUP BY 1",
     "exp13_written": "WITH x AS (SELECT c_custkey, c_custkey % 3 AS f, CASE c_custkey % 4 WHEN 0 THEN '{Case  ' || c_custkey || '}' WHEN 1 THEN '{A} of {B' || c_custkey || '}' ELSE 'plain  ' || c_custkey END AS v FROM customer) SELECT c_custkey, '{' || CASE WHEN f = 2 THEN v WHEN f = 0 AND c_custkey % 4 <> 0 THEN '{' || replace(v, '  ', ' ') || '}' ELSE replace(v, '  ', ' ') END || '}' AS value FROM x",
     "exp15_warnings": f"WITH {K}, {PRE} SELECT CASE WHEN venue IS NOT NULL AND venue <> 'Journal A' THEN 'no short name' ELSE '' END AS warnings, count(*) AS n FROM wt GROUP BY 1",
+    "exp18_workflow": f"WITH {K}, {PRE} SELECT doc_id, sum((k % 10 IN (3, 8))::INT + 3 * (k % 18 = 0)::INT + (k % 16 = 0)::INT)::BIGINT AS input_edits, count(repo)::BIGINT AS output_edits, 0::BIGINT AS problems FROM wt GROUP BY doc_id",
     "exp17_strict": f"WITH {K}, c AS (SELECT doc_id, 'BIB-SEMANTIC-006' AS code FROM k WHERE k % 17 = 0 UNION SELECT doc_id, 'BIB-SEMANTIC-101' FROM k WHERE {_UNRES}), g AS (SELECT doc_id, string_agg(code, ',' ORDER BY code) AS codes FROM c GROUP BY doc_id) SELECT DISTINCT doc_id, coalesce(codes, '') AS codes, codes IS NULL AS written FROM k LEFT JOIN g USING (doc_id)",
 }
