@@ -43,7 +43,7 @@ def er03_author_jaccard(spark, sf_dir):
 
 
 def er21_keys(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select((F.col("p_partkey") % 97).alias("doc_id"), F.col("p_partkey").alias("rec"), resolve.slug(F.substring_index("p_name", " ", 1)).alias("base"))
+    p = table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 20).alias("doc_id"), F.col("p_partkey").alias("rec"), resolve.slug(F.substring_index("p_name", " ", 1)).alias("base"))
     return resolve.assign_keys(p)
 
 
@@ -91,6 +91,8 @@ ORACLES = {
     "agg13_overlap": f"WITH {_PAIRS}, f AS (SELECT t, count(*) AS df FROM dt GROUP BY t) SELECT l, count(*) AS n_tokens, sum(df)::BIGINT AS shared FROM it JOIN f USING (t) GROUP BY l",
     "jon10_shortlist": f"WITH {_PAIRS}, k AS (SELECT l, r, shared, row_number() OVER (PARTITION BY l ORDER BY shared DESC, r)::INT AS rank FROM p) SELECT * FROM k WHERE rank <= 200",
     "er08_best": f"WITH {_PAIRS}, s AS (SELECT l, r, round(shared / ln, 6) AS score FROM p) SELECT l, r, score, CASE WHEN score >= 0.8 THEN 'match' WHEN score > 0 THEN 'weak' ELSE 'not_found' END AS status FROM s QUALIFY row_number() OVER (PARTITION BY l ORDER BY score DESC, r) = 1",
+    "er21_keys": """WITH b AS (SELECT p_partkey // 20 AS doc_id, p_partkey AS rec, regexp_replace(regexp_replace(lower(split_part(p_name, ' ', 1)), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS base FROM part)
+      SELECT doc_id, rec, CASE WHEN row_number() OVER (PARTITION BY doc_id, base ORDER BY rec) = 1 THEN base ELSE base || '-' || substring(sha256(rec || ':0'), 1, 8) END AS key FROM b""",
     "agg18_most_common": f"WITH w AS (SELECT p_partkey AS ord, unnest({_TOKENS.format(c='p_name', n=2)}) AS item FROM part) SELECT item, count(*) AS n FROM w GROUP BY item ORDER BY n DESC, min(ord) LIMIT 5",
     "er03_author_jaccard": f"WITH t AS (SELECT s_suppkey, {_TOKENS.format(c=chr(39).join(['s_name || ', ' ann lee', '']), n=2)} AS a, {_TOKENS.format(c=chr(39).join(['', 'Lee, Supplier 0000', ' || (s_suppkey % 7)']), n=2)} AS b FROM supplier) SELECT s_suppkey, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) AS jaccard FROM t",
     "src12_code_block": f"SELECT conv_id, turn, length(replace(replace(replace(text || chr(10), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'))::BIGINT AS n FROM conversations WHERE turn % 3 = 0 AND text IS NOT NULL AND NOT contains(text, '```') AND NOT contains(text, '<http')",
