@@ -26,8 +26,8 @@ from .hashing import window_least
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Where cutting at single spaces would split a run of white space: a space after white space and before white space or the end.
 UNSAFE = regex.compile(r"\s\x20(?:\s|\Z)")
-#: Characters and ids that a cache of chunks may hold; longer chunks than `CACHED` are not kept.
-CACHE = 24_000_000
+#: Bytes that a cache of chunks may take, about, each entry with its overhead; longer chunks than `CACHED` are not kept.
+CACHE, ENTRY = 60_000_000, 160
 CACHED = 200
 #: Words over so many bytes are merged by neighbourhoods.
 LONG = 400
@@ -173,7 +173,7 @@ def merge_long(m: dict, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Chunks:
-    """A cache from chunk to ids, bounded in characters and ids. `encode_new` gets a list of new chunks and returns (flat ids, ids per chunk)."""
+    """A cache from chunk to ids, bounded in bytes. `encode_new` gets a list of new chunks and returns (flat ids, ids per chunk)."""
 
     def __init__(self, encode_new, limit: int = CACHE):
         self.encode_new, self.limit = encode_new, limit
@@ -205,9 +205,10 @@ class Chunks:
         if new:
             for c in new[keep:]:
                 del index[c]
+            before = len(self.flat)
             self.length = length[: base + keep]
-            self.flat = flat[: int(self.length.sum())]
-            self.held = len(self.flat) + self.held + sum(map(len, new[:keep]))
+            self.flat = flat[: int(self.length.sum())].copy()
+            self.held += 8 * (len(self.flat) - before) + ENTRY * keep + sum(map(len, new[:keep]))
         return out, size
 
 

@@ -37,8 +37,8 @@ from .common import cut, new_folder
 BLOCK = 2048
 LANES = 2048
 CONTEXT_BITS = 10
-#: Characters and ids that the caches of chunks and of pieces may hold.
-CACHE = 12_000_000
+#: Bytes that each of the caches of chunks and of pieces may take, about.
+CACHE = 45_000_000
 END_ID = 1
 _MAGIC = b"CMR1"
 _HEAD = struct.Struct("<4sIqqII")  # magic, block number, ids before it in its part, part, ids, documents
