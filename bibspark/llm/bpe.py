@@ -291,21 +291,20 @@ def encode_docs(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
     def run(batches):
         m = dict(shared.value)
         enc = Encoder(m)
+        names = [doc_id, "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 4 + with_ids]
+        types = [pa.int64(), pa.string(), pa.string(), pa.binary()]
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            rows: list[tuple] = []
-            for a, b in groups(texts):
+            texts, ids_of = [t or "" for t in batch.column(1).to_pylist()], batch.column(0).cast(pa.int64())
+            for a, b in groups(texts):  # a batch goes out in groups, so that its ids are never held together
                 flat, length = enc.texts(texts[a:b])
-                ends = np.cumsum(length)
+                ends, rows = np.cumsum(length), []
                 for e, n in zip(ends.tolist(), length.tolist(), strict=True):
                     ids = flat[e - n : e]
                     raw = ids.astype("<u4").tobytes()
                     plain = decode(m, ids).decode("utf-8", "replace").encode()
                     rows.append((n, hashlib.sha256(raw).hexdigest(), hashlib.sha256(plain).hexdigest(), *([raw] if with_ids else [])))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * (3 + with_ids)
-            types = [pa.int64(), pa.string(), pa.string(), pa.binary()]
-            names = [doc_id, "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 4 + with_ids]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *[pa.array(c, t) for c, t in zip(cols, types)]], names)  # noqa: B905
+                cols = list(zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([ids_of.slice(a, b - a), *[pa.array(c, t) for c, t in zip(cols, types)]], names)  # noqa: B905
 
     schema = f"`{doc_id}` long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary" if with_ids else "")
     return docs.selectExpr(f"cast(`{doc_id}` as long) as `{doc_id}`", f"cast(`{text}` as string) as `{text}`").mapInArrow(run, schema)
