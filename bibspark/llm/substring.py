@@ -39,7 +39,7 @@ SIZE, GRAM = 35, 8
 #: Windows of a piece.
 PIECE = 4000
 #: Passages of a shard (each takes about 2 KB), and text that one task streams against it, about.
-SHARD_PASSAGES, CHUNK_BYTES = 30_000, 12_000_000
+SHARD_PASSAGES, CHUNK_BYTES = 30_000, 64_000_000
 _INT64 = np.int64
 _OTHER = np.uint64(0xA24BAED4963EE407)
 
