@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, pii, quality, secrets
+from . import decontaminate, infill, licenses, pii, quality, secrets
 from .common import UPPER, table
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -166,5 +166,26 @@ def contamination_sql(documents: str = "documents") -> str:
              sha256(coalesce(xs, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN it USING (doc_id)"""
 
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_license_scan": op2_license_scan, "op4_personal_data": op4_personal_data, "op5_quality_rules": op5_quality_rules, "op10_decontaminate": op10_decontaminate}
-ORACLES = {"op1_secret_scan": secret_sql(), "op2_license_scan": license_sql(), "op5_quality_rules": quality_sql(), "op10_decontaminate": contamination_sql()}
+def op11_fill_in_middle(spark, sf_dir):
+    cut = infill.transform(table(spark, sf_dir, "documents"))
+    restored = infill.restore(F.col("output"), F.col("form"))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
+def fill_in_middle_sql() -> str:
+    h = lambda k: f"('0x' || d[{8 * k + 1}:{8 * k + 8}])::BIGINT"
+    joined = lambda a, b: f"array_to_string(ts[{a}:{b}], '')"
+    marked = " OR ".join(f"contains(t, '{m}')" for m in (infill.PREFIX, infill.SUFFIX, infill.MIDDLE))
+    return rf"""
+      WITH a AS (SELECT doc_id, coalesce(text, '') AS t, sha256('{infill.SEED}:' || doc_id) AS d FROM documents),
+      b AS (SELECT *, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS ts FROM a),
+      c AS (SELECT *, len(ts) AS n, least({h(0)} % (len(ts) + 1), {h(1)} % (len(ts) + 1)) AS x, greatest({h(0)} % (len(ts) + 1), {h(1)} % (len(ts) + 1)) AS y FROM b),
+      f AS (SELECT *, CASE WHEN t = '' OR {marked} OR {h(2)} % 100 >= {infill.RATE} THEN 'plain' WHEN {h(3)} % 100 < {infill.SPM} THEN 'spm' ELSE 'psm' END AS form,
+                   {joined(1, "x")} AS p, {joined("x + 1", "y")} AS m, {joined("y + 1", "n")} AS s FROM c)
+      SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+             sha256(CASE form WHEN 'psm' THEN '{infill.PREFIX}' || p || '{infill.SUFFIX}' || s || '{infill.MIDDLE}' || m
+                              WHEN 'spm' THEN '{infill.SUFFIX}' || s || '{infill.PREFIX}' || p || '{infill.MIDDLE}' || m ELSE t END) AS output_sha256, sha256(t) AS restored_sha256 FROM f"""
+
+
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_license_scan": op2_license_scan, "op4_personal_data": op4_personal_data, "op5_quality_rules": op5_quality_rules, "op10_decontaminate": op10_decontaminate, "op11_fill_in_middle": op11_fill_in_middle}
+ORACLES = {"op1_secret_scan": secret_sql(), "op2_license_scan": license_sql(), "op5_quality_rules": quality_sql(), "op10_decontaminate": contamination_sql(), "op11_fill_in_middle": fill_in_middle_sql()}
