@@ -70,8 +70,8 @@ def spelling_sql() -> str:
       WITH RECURSIVE d AS (SELECT coalesce(doc_id::VARCHAR, '') AS doc, translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}') AS t FROM documents),
       r AS (SELECT doc, run, count(*) AS k FROM (SELECT doc, unnest(regexp_extract_all(t, '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM d) GROUP BY doc, run),
       hx AS (SELECT doc, run, k, hex(encode(doc || ':' || run)) AS x FROM r WHERE length(run) >= {spelling.LEAST_CHARS}),
-      by AS (SELECT doc, run, k, list_prepend(4294967295::BIGINT, list_transform(range(0, length(x) // 2), lambda i: ('0x' || x[2 * i + 1:2 * i + 2])::BIGINT)) AS bs FROM hx),
-      cs AS (SELECT doc, run, k, xor(list_reduce(bs, lambda a, b: xor(a // 256, tb[xor(a, b) % 256 + 1])), 4294967295) AS h FROM by, (SELECT {_checksums()} AS tb)),
+      byt AS (SELECT doc, run, k, list_prepend(4294967295::BIGINT, list_transform(range(0, length(x) // 2), lambda i: ('0x' || x[2 * i + 1:2 * i + 2])::BIGINT)) AS bs FROM hx),
+      cs AS (SELECT doc, run, k, xor(list_reduce(bs, lambda a, b: xor(a // 256, tb[xor(a, b) % 256 + 1])), 4294967295) AS h FROM byt, (SELECT {_checksums()} AS tb)),
       w0 AS (SELECT CASE WHEN h % {spelling.NOISE} = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k FROM cs),
       w AS (SELECT word, sum(k)::BIGINT AS n FROM w0 WHERE length(word) >= {spelling.LEAST_CHARS} GROUP BY word HAVING sum(k) >= {spelling.LEAST_COUNT}),
       gone AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
