@@ -98,6 +98,12 @@ def fingerprint(values: np.ndarray) -> int:
     return int(mix(np.array([total], dtype=np.uint64)).view(np.int64)[0])
 
 
+def second_fingerprint(values: np.ndarray) -> int:
+    """Another 64-bit hash of a set of hashes, independent of `fingerprint`."""
+    total = mix(mix(values ^ _STEP) * _BASE).sum(dtype=np.uint64) if len(values) else np.uint64(0)
+    return int(mix(np.array([total ^ _BASE], dtype=np.uint64)).view(np.int64)[0])
+
+
 def groups(column: pa.Array, most: int = GROUP_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of consecutive rows of a string column; nulls are empty."""
     column = column.cast(pa.large_string()) if not pa.types.is_large_string(column.type) else column

@@ -1,7 +1,8 @@
 """N-gram Jaccard join: size-aware, light sets by enumerated subsets, heavy sets by inverted lists.
 
 A document's set holds the hashes of its distinct word shingles, in hash order, so a prefix of a set is a fair sample of it and
-any two sets with overlap `o` share k elements in their first (size - o + k). Equal sets form one class; classes are joined.
+any two sets with overlap `o` share k elements in their first (size - o + k). Sets with equal sizes and 128-bit fingerprints form one
+class; classes are joined. Candidates are sought by half of the fingerprint: sets that agree in that half only are compared like others.
 
  * light (at most `boundary` shingles): all 2-subsets of the prefix for k = 2 are keys; sets that share a key are candidates.
  * heavy: the prefix for k = extra * size goes to inverted lists. One scan of the sorted lists drops lists of one set; a set
@@ -18,10 +19,10 @@ fewer in groups that would make less than 32 blocks; every pair of blocks whose
 overlaps exactly (a product of incidence matrices) and returns one row per set. No pair of documents leaves a task, and no list,
 family or component has to fit in one.
 
-Null texts, and texts without words, have the empty set and link with nothing. Copies link with each other. Documents with the
-same doc_id share their component. Rows without doc_id take the component and links of their copies that have one, else they stand
-alone with a null component: to join them as documents of their own give the rows a key, as the pipeline does. Texts of any length
-are whole sets. Ties don't matter: a component is named by its smallest doc_id. Extra columns are ignored. An empty table gives no rows.
+Null texts, and texts without words, have the empty set and link with nothing. Copies link with each other. Every row is a document
+of its own, also rows that share a doc_id or have none: such rows link, count as links and join components like others. A component
+is named by the smallest doc_id in it, and has no name if none of its rows has an id. Texts of any length are whole sets. Ties don't
+matter. Extra columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from . import hashing
 from .common import SMALL, cut, side, stored
 from .components import components
-from .hashing import fingerprint
+from .hashing import fingerprint, second_fingerprint
 
 SHINGLE = 5
 PERCENT = 75
@@ -92,19 +93,21 @@ def choose_boundary(histogram: dict[int, int], percent: int = PERCENT, extra: fl
 
 
 def _inputs(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
+    """(doc, th, text): th, a hash of the text, tells most rows apart that share an id or have none."""
+    inputs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc"), F.col(f"`{text}`").cast("string").alias("text"))
+    return inputs.select("doc", F.xxhash64("text").alias("th"), "text")
 
 
 def summary(inputs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc, n, fp) of every document."""
+    """(doc, th, n, fp, fq) of every document; fp and fq are the halves of its set's fingerprint."""
 
     def run(batches):
         for batch in batches:
-            found = [(len(s), fingerprint(s)) for _, s in sets(batch.column(1), shingle)]
-            n, fp = (np.array(x, dtype=_INT64) for x in zip(*found, strict=True)) if found else (np.zeros(0, _INT64),) * 2
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(fp)], ["doc", "n", "fp"])
+            found = [(len(s), fingerprint(s), second_fingerprint(s)) for _, s in sets(batch.column(2), shingle)]
+            own = (np.array(x, dtype=_INT64) for x in zip(*found, strict=True)) if found else (np.zeros(0, _INT64),) * 3
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, own)], ["doc", "th", "n", "fp", "fq"])
 
-    return inputs.mapInArrow(run, "doc long, n long, fp long")
+    return inputs.mapInArrow(run, "doc long, th long, n long, fp long, fq long")
 
 
 def keys(inputs: DataFrame, boundary: int, shingle: int = SHINGLE, percent: int = PERCENT, extra: float = EXTRA) -> DataFrame:
@@ -112,18 +115,18 @@ def keys(inputs: DataFrame, boundary: int, shingle: int = SHINGLE, percent: int
     reach = 100 * boundary // percent
 
     def run(batches):
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             out: list[tuple[np.ndarray, int, int, bool]] = []
             size = 0
-            for _, s in sets(batch.column(1), shingle):
+            for _, s in sets(batch.column(0), shingle):
                 n = len(s)
                 if n < 2:  # links with copies only
                     continue
                 fp = fingerprint(s)
-                if fp in seen:
+                if (whole := (fp, second_fingerprint(s))) in seen:
                     continue
-                seen.add(fp)
+                seen.add(whole)
                 if n <= reach:
                     p = s[: light_prefix(n, percent)]
                     i, j = np.triu_indices(len(p), 1)
@@ -143,7 +146,7 @@ def keys(inputs: DataFrame, boundary: int, shingle: int = SHINGLE, percent: int
         light = np.repeat(np.array([o[3] for o in out], dtype=bool), count)
         return pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp), pa.array(n.astype(np.int32)), pa.array(light)], ["key", "fp", "n", "light"])
 
-    return inputs.mapInArrow(run, "key long, fp long, n int, light boolean")
+    return inputs.select("text").mapInArrow(run, "key long, fp long, n int, light boolean")
 
 
 #: List lengths are told apart up to here; longer lists count as this long in the order of rarity.
@@ -314,23 +317,23 @@ def _roots(a: np.ndarray, b: np.ndarray, n: int) -> list[int]:
 
 
 def verified(work: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc, root, links) for the sets of each pair of blocks: a linked set's smallest representative there and its linked documents.
+    """(cls, root, links) for the sets of each pair of blocks: a linked class's smallest connected class there and its linked documents.
 
-    `work` has (pair, doc, weight, side, elements, root, mine): side 0 for the first block, 1 for the second, 2 for a block against
+    `work` has (pair, cls, weight, side, elements, root, mine): side 0 for the first block, 1 for the second, 2 for a block against
     itself. Where `mine`, the lists of a set, isn't null, sets count only in the first list they share, which `root` must be.
     """
 
     def run(batches):
         for _, parts in grouped(batches):
             t = pa.Table.from_batches(parts).combine_chunks()
-            doc, weight, side = (t.column(i).to_numpy() for i in (1, 2, 3))
-            doc, order = np.unique(doc, return_index=True)  # repeated rows
+            cls, weight, side = (t.column(i).to_numpy() for i in (1, 2, 3))
+            cls, order = np.unique(cls, return_index=True)  # repeated rows
             weight, side = weight[order], side[order]
             blobs = t.column(4).combine_chunks().to_pylist() if t.num_rows else []
             values = [np.frombuffer(blobs[i], dtype=_INT64) for i in order]
             size = np.array([len(v) for v in values])
             own = bool(len(side)) and side[0] == 2
-            left = np.arange(len(doc)) if own else np.flatnonzero(side == 0)
+            left = np.arange(len(cls)) if own else np.flatnonzero(side == 0)
             right = left if own else np.flatnonzero(side == 1)
             if not len(left) or not len(right):
                 continue
@@ -344,37 +347,39 @@ def verified(work: DataFrame, percent: int = PERCENT) -> DataFrame:
                 before = [np.sort(x[x < root]) for x in (all_lists[int(i)].values.to_numpy() for i in order)]
                 hit &= overlaps(before, left, right) == 0
             i, j = np.nonzero(hit)
-            roots = _roots(left[i], right[j], len(doc))
-            links = np.zeros(len(doc), dtype=_INT64)
+            roots = _roots(left[i], right[j], len(cls))
+            links = np.zeros(len(cls), dtype=_INT64)
             np.add.at(links, left[i], weight[right[j]])
             if not own:
                 np.add.at(links, right[j], weight[left[i]])
             some = links > 0
-            yield pa.RecordBatch.from_arrays([pa.array(doc[some]), pa.array(doc[np.array(roots)][some]), pa.array(links[some])], ["doc", "root", "links"])
+            yield pa.RecordBatch.from_arrays([pa.array(cls[some]), pa.array(cls[np.array(roots)][some]), pa.array(links[some])], ["cls", "root", "links"])
 
-    dealt = work.repartition("pair").sortWithinPartitions("pair").select("pair", "doc", "weight", "side", "elements", "root", "mine")
-    return dealt.mapInArrow(run, "doc long, root long, links long")
+    dealt = work.repartition("pair").sortWithinPartitions("pair").select("pair", "cls", "weight", "side", "elements", "root", "mine")
+    return dealt.mapInArrow(run, "cls long, root long, links long")
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, extra: float = EXTRA, block: int = BLOCK, elements: int = ELEMENTS, small: int = SMALL) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) for every document."""
     inputs = _inputs(docs, doc_id, text)
-    summed = cut(summary(inputs, shingle))
-    classes = cut(summed.where("n > 0 and doc is not null").groupBy("fp", "n").agg(F.min("doc").alias("rep"), F.count("*").alias("weight")))
+    summed = stored(summary(inputs, shingle))
+    # a class has a number of its own, the smallest id of its rows, and one row whose text is read again
+    one = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "th")).alias("one")
+    classes = stored(summed.where("n > 0").groupBy("fp", "fq", "n").agg(one, F.count("*").alias("weight")).select(F.monotonically_increasing_id().alias("cls"), "fp", "fq", "n", "one.doc", "one.th", "weight"))
     sizes = {r["n"]: r["c"] for r in classes.where(F.col("n") <= LIGHT_MOST).groupBy("n").agg(F.count("*").alias("c")).collect()}  # LIGHT_MOST rows at most
     found = candidate_lists(inputs, choose_boundary(sizes, percent, extra), shingle, percent, extra)
     groups = cut(groups_to_verify(found, block))
 
     # blocks of each group, in order of size
-    members = groups.join(classes, "fp").select("root", "fp", "n", "rep", "weight", "mine")
+    members = groups.join(classes, "fp").select("root", "fp", "fq", "n", "cls", "doc", "th", "weight", "mine")
     cost = F.greatest(F.col("n"), F.lit(elements // block))
     by_size = members.groupBy("root", "n").agg(F.count("*").alias("c"))
     of_root = Window.partitionBy("root")  # a row for each size of a group
     base = F.sum(F.col("c") * cost).over(of_root.orderBy("n")) - F.col("c") * cost
     room = F.least(F.lit(elements), F.greatest(F.lit(elements // 8), F.ceil(F.sum(F.col("c") * cost).over(of_root) / 32)))
     by_size = by_size.select("root", "n", "c", base.alias("base"), room.alias("room"))
-    slot = F.pmod(F.xxhash64("rep"), F.col("c"))
-    placed = cut(members.join(by_size, ["root", "n"]).withColumn("blk", F.floor((F.col("base") + slot * cost) / F.col("room")).cast("int")).select("root", "fp", "n", "rep", "weight", "mine", "blk"))
+    slot = F.pmod(F.xxhash64("cls"), F.col("c"))
+    placed = cut(members.join(by_size, ["root", "n"]).withColumn("blk", F.floor((F.col("base") + slot * cost) / F.col("room")).cast("int")).select("root", "fp", "fq", "n", "cls", "doc", "th", "weight", "mine", "blk"))
     span = placed.groupBy("root", "blk").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     first, second = span.select("root", F.col("blk").alias("i"), F.col("hi").alias("top")), span.select("root", F.col("blk").alias("j"), F.col("lo").alias("low"))
     fits = first.join(second, "root").where((F.col("i") <= F.col("j")) & (percent * F.col("low") <= 100 * F.col("top"))).select("root", "i", "j", F.xxhash64("root", "i", "j").alias("pair"))
@@ -385,19 +390,22 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: i
 
     def full_sets(batches):
         for batch in batches:
-            found = [(fingerprint(s), s.tobytes()) for _, s in sets(batch.column(1), shingle)]
-            fp, data = zip(*found, strict=True) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64()), pa.array(data, pa.binary())], ["doc", "fp", "elements"])
-
-    reps = placed.select(F.col("rep").alias("doc"))
-    needed = side(reps, small)
-    full = inputs.join(needed, "doc", "left_semi").mapInArrow(full_sets, "doc long, fp long, elements binary")
-    whole = full.join(placed, (full["doc"] == placed["rep"]) & (full["fp"] == placed["fp"])).select("root", "blk", "doc", "weight", "elements", "mine")
-    work = whole.join(sides, ["root", "blk"]).select("pair", "doc", "weight", "side", "elements", "root", "mine")
+            found = [(len(s), fingerprint(s), second_fingerprint(s), s.tobytes()) for _, s in sets(batch.column(0), shingle)]
+            n, fp, fq, data = zip(*found, strict=True) if found else ((),) * 4
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (n, fp, fq)), pa.array(data, pa.binary())], ["n", "fp", "fq", "elements"])
+
+    needed = side(placed.select(F.col("doc").alias("own_doc"), F.col("th").alias("own_th")).distinct(), small)
+    full = inputs.join(needed, inputs["doc"].eqNullSafe(F.col("own_doc")) & (inputs["th"] == F.col("own_th")), "left_semi").select("text").mapInArrow(full_sets, "n long, fp long, fq long, elements binary")
+    whole = full.join(placed, ["fp", "fq", "n"]).select("root", "blk", "cls", "weight", "elements", "mine")
+    work = whole.join(sides, ["root", "blk"]).select("pair", "cls", "weight", "side", "elements", "root", "mine")
     links = cut(verified(work, percent))
 
-    linked = components(links, "doc", "root")
-    count = links.groupBy("doc").agg(F.sum("links").alias("links"))
-    found = classes.join(linked, classes["rep"] == linked["node"], "left").join(count, classes["rep"] == count["doc"], "left").select("fp", "n", F.coalesce("root", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    found = cut(found)
-    return summed.join(side(found, small), ["fp", "n"], "left").select(F.col("doc").alias(doc_id), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    count = links.groupBy("cls").agg(F.sum("links").alias("links"))
+    linked = cut(components(links, "cls", "root").withColumnRenamed("node", "cls").join(count, "cls").join(classes.select("cls", "doc"), "cls"))
+    names = linked.groupBy("root").agg(F.min("doc").alias("component"))
+    known = linked.join(names, "root").select("cls", "component", "links")
+    more = classes.join(known, "cls", "left").where((F.col("weight") > 1) | F.col("links").isNotNull())
+    found = cut(more.select("fp", "fq", "n", F.when(F.col("links").isNull(), F.col("doc")).otherwise(F.col("component")).alias("component"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")))
+    own = summed.join(side(found, small), ["fp", "fq", "n"], "left")
+    component = F.when(F.col("n_links").isNull(), F.col("doc")).otherwise(F.col("component"))
+    return own.select(F.col("doc").alias(doc_id), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -206,6 +206,28 @@ def test_jaccard_without_ids(spark):
     assert got == sorted([("None", n[0], "4"), ("None", n[1], "4"), ("4", n[2], "4"), ("4", n[3], "4"), ("9", 0, "9"), ("None", n[5], "None")])
 
 
+def test_jaccard_links_through_rows_without_ids(spark, monkeypatch):
+    long = [f"w{i}" for i in range(44)]
+    near = [" ".join(long[k : k + 40]) for k in range(0, 5, 2)]  # the second links with both others, which don't link
+    docs = [(1, near[0]), (2, near[2]), (None, near[1]), (3, near[1] + " x y z u v w t s"), (None, "no other row is like this one"), (7, near[0]), (7, "seven seven seven seven seven"), (None, "ten ten ten ten ten ten"), (None, "ten ten ten ten ten ten")]
+    expected = sorted(map(str, by_pairs(docs)))
+    for how in (None, 0x7):  # with all but three bits of half of the fingerprints gone, different sets agree in it
+        if how:
+            monkeypatch.setattr(jaccard, "fingerprint", lambda s, f=jaccard.fingerprint: f(s) & how)
+        got = sorted(str((r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"])) for r in jaccard.join(cases.frame(spark, docs), block=2).collect())
+        assert got == expected
+
+
+def by_pairs(docs):
+    """(doc_id, set size, component, links) of each row, rows numbered so that ids only name components."""
+    rows = cases.jaccard([(i, t) for i, (_, t) in enumerate(docs)])
+    names = {}
+    for i, (d, _) in enumerate(docs):
+        if d is not None:
+            names[rows[i][1]] = min(d, names.get(rows[i][1], d))
+    return [(d, rows[i][0], names.get(rows[i][1]), rows[i][2]) for i, (d, _) in enumerate(docs)]
+
+
 def test_loose_chains_are_told_from_dense_groups(spark):
     chain = [(i, s, 5, i, 2) for i in range(2000) for s in (i, i + 1)]  # list i has the sets i and i + 1
     dense = [(10_000 + k, 50_000 + s, 5, 50_000, 700) for k in range(20) for s in range(700)]
