@@ -4,17 +4,22 @@ Words are maximal runs of digits, letters and non-ASCII characters after lower-c
 `size` consecutive words; an item with fewer words, but not none, is one window. The first words of each document window, as many
 as the largest power of two in the window's length, are hashed in the scan and looked up in the broadcast set; every hit is then
 verified on all its words, so neither that prefix nor a hash collision can add hits.
-The window table goes out in blocks of at most `block_rows` rows, so a broadcast has a fixed bound however many items there are.
-
-Null or empty texts and items have no words: such documents come back clean, such items match nothing. Repeated items share
-one window row that lists all their ids; only rows with the same doc_id and text share their hits. Extra columns of `docs` are left alone.
+The window table goes out in blocks of at most `block_rows` rows of fixed width (a window's words are represented by their SHA-256),
+so a broadcast has a fixed bound in bytes however many items there are and however long their words. Ids of items are joined to
+the windows found, as rows. Hit places are merged by running maxima over sorted rows and words marked by one pass over the
+ranges, so time is linear in a text's words and hits.
+
+Null or empty texts and items have no words: such documents come back clean, such items match nothing. Texts and items of any
+length are read whole. Ties don't matter: all items found are listed, in order. Repeated items share their windows; only rows with
+the same doc_id and text share their hits, null ids included. Extra columns of `docs` are left alone. Empty tables give no rows, an empty
+table of items no hits.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SMALL, cut, lower_ascii, side, text_key, window_hashes
@@ -32,7 +37,7 @@ def normal_words(text: Column) -> Column:
 
 
 def item_windows(items: DataFrame, size: int = SIZE, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """(len, key, hash, gram, items): each distinct window of the items with the ids of the items that hold it. `hash` is of its first `key` words."""
+    """(len, key, hash, gram, item): each window of each item, once. `hash` is of its first `key` words, `gram` the SHA-256 of all, joined by spaces."""
     w = F.col("w")
     width = F.least(F.size(w), F.lit(size))
     starts = F.explode(F.sequence(F.lit(0), F.size(w) - F.col("len")))
@@ -41,7 +46,11 @@ def item_windows(items: DataFrame, size: int = SIZE, item_id: str = "item_id", t
     keyed = grams.withColumn("key", reduce(lambda acc, n: F.when(F.col("len") >= n, F.lit(n)).otherwise(acc), _powers(size), F.lit(1)))
     first = F.transform(F.slice("g", 1, F.col("key")), lambda x: F.xxhash64(x))
     hashed = reduce(lambda acc, n: F.when(F.col("key") == n, F.get(window_hashes(first, n), F.lit(0))).otherwise(acc), _powers(size), F.lit(None).cast("long"))
-    return keyed.select("item", "len", "key", hashed.alias("hash"), F.array_join("g", " ").alias("gram")).groupBy("len", "key", "hash", "gram").agg(F.collect_set("item").alias("items"))
+    return keyed.select("item", "len", "key", hashed.alias("hash"), digest(F.col("g")).alias("gram")).distinct()
+
+
+def digest(words: Column) -> Column:
+    return F.unhex(F.sha2(F.array_join(words, " "), 256))
 
 
 def _powers(size: int) -> list[int]:
@@ -50,7 +59,8 @@ def _powers(size: int) -> list[int]:
 
 def hits(docs: DataFrame, items: DataFrame, size: int = SIZE, doc_id: str = "doc_id", text: str = "text", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(doc_id, text_key, ranges, items): merged hit ranges [s, e) in words and the items found, one row per doc_id and text with a hit."""
-    table = cut(item_windows(items, size, text=text))
+    held = cut(item_windows(items, size, text=text))
+    table = cut(held.select("len", "key", "hash", "gram").distinct())
     lengths = {r["key"]: r["n"] for r in table.groupBy("key").agg(F.count("*").alias("n")).collect()}  # as many rows as powers of two up to `size`
     widths = sorted(lengths)
     blocks = max(1, -(-sum(lengths.values()) // block_rows))
@@ -66,19 +76,20 @@ def hits(docs: DataFrame, items: DataFrame, size: int = SIZE, doc_id: str = "doc
     def found(block: int) -> DataFrame:
         part = table if blocks == 1 else table.where(F.pmod(F.xxhash64("hash"), F.lit(blocks)) == block)
         at = each.join(F.broadcast(part), "hash").withColumn("i", F.col("at") - first)
-        return at.where((F.col("i") >= 0) & (F.col("i") + F.col("len") <= F.size("w")) & (F.array_join(F.slice("w", F.col("i") + 1, F.col("len")), " ") == F.col("gram"))).select("doc", "text_key", "i", "len", "items")
-
-    def merge(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joins = (F.size(acc) > 0) & (x["s"] <= F.try_element_at(acc, F.lit(-1))["e"])
-        grown = F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"))
-        return F.when(joins, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(grown))).otherwise(F.concat(acc, F.array(x)))
-
-    all_hits = reduce(DataFrame.unionByName, [found(b) for b in range(blocks)])
-    spot = F.struct(F.col("i").alias("s"), (F.col("i") + F.col("len")).alias("e"))
-    per_doc = all_hits.groupBy("doc", "text_key").agg(F.sort_array(F.collect_set(spot)).alias("spots"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    ranges = F.aggregate("spots", F.array().cast("array<struct<s:int,e:int>>"), merge)
-    return per_doc.select(F.col("doc").alias(doc_id), "text_key", ranges.alias("ranges"), "items")
+        fits = at.where((F.col("i") >= 0) & (F.col("i") + F.col("len") <= F.size("w")))
+        return fits.where(digest(F.slice("w", F.col("i") + 1, F.col("len"))) == F.col("gram")).select("doc", "text_key", "i", "len", "gram")
+
+    all_hits = cut(reduce(DataFrame.unionByName, [found(b) for b in range(blocks)]))
+    of_text = Window.partitionBy("doc", "text_key")
+    ordered, so_far = of_text.orderBy("s", "e"), (Window.unboundedPreceding, -1)
+    spots = all_hits.select("doc", "text_key", F.col("i").alias("s"), (F.col("i") + F.col("len")).alias("e"))
+    apart = spots.withColumn("fresh", F.coalesce(F.col("s") > F.max("e").over(ordered.rowsBetween(*so_far)), F.lit(True)).cast("int"))
+    merged = apart.withColumn("k", F.sum("fresh").over(ordered.rowsBetween(Window.unboundedPreceding, 0))).groupBy("doc", "text_key", "k").agg(F.struct(F.min("s").alias("s"), F.max("e").alias("e")).alias("r"))
+    ranges = merged.groupBy("doc", "text_key").agg(F.sort_array(F.collect_list("r")).alias("ranges"))
+    grams = all_hits.select("doc", "text_key", "gram").distinct()
+    ids = grams.join(side(held.select("gram", "item")), "gram").groupBy("doc", "text_key").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    same = F.col("doc").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t"))
+    return ranges.join(ids.withColumnsRenamed({"doc": "d", "text_key": "t"}), same).select(F.col("doc").alias(doc_id), "text_key", "ranges", "items")
 
 
 def hit_words(ranges: Column) -> Column:
@@ -97,7 +108,9 @@ def without_words(text: Column, ranges: Column) -> Column:
     """`text` without the words in `ranges`; separators stay."""
     ws = F.regexp_extract_all(text, F.lit(RAW_WORD), F.lit(0))
     gaps = F.split(text, RAW_WORD, -1)
-    kept = F.transform(ws, lambda w, i: F.when(F.exists(ranges, lambda r: (r["s"] <= i) & (i < r["e"])), F.lit("")).otherwise(w))
+    gap = lambda r, i: r["s"] - F.when(i == 0, F.lit(0)).otherwise(F.get(ranges, i - 1)["e"])
+    hit = F.flatten(F.transform(ranges, lambda r, i: F.concat(F.array_repeat(F.lit(False), gap(r, i)), F.array_repeat(F.lit(True), r["e"] - r["s"]))))
+    kept = F.zip_with(ws, hit, lambda w, h: F.when(h, F.lit("")).otherwise(w))
     return F.array_join(F.zip_with(gaps, kept, lambda g, w: F.concat(g, F.coalesce(w, F.lit("")))), "")
 
 

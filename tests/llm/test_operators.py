@@ -323,6 +323,21 @@ def test_decontamination(spark):
     assert {r["doc_id"]: len(cases.NORMAL.findall(cases.lower(r["text"]))) for r in spans.collect()} == {d: w - n for d, (w, n, _) in expected.items()}
 
 
+def test_decontamination_is_linear_in_hits(spark):
+    import time
+
+    item = "one two three"
+    docs = [(1, " sep ".join([item] * 100_000)), (2, "clean"), (3, "sep " + item)]
+    long = " ".join("語" * 100_000 for _ in range(12))  # words of 300,000 bytes
+    frame, bench = cases.frame(spark, [*docs, (4, "x " + long + " y")]), spark.createDataFrame([(1, item), (2, long), (3, item)], "item_id long, text string")
+    began = time.time()
+    hits = {r["doc_id"]: (len(r["ranges"]), r["items"]) for r in decontaminate.hits(frame, bench).collect()}
+    assert hits == {1: (100_000, [1, 3]), 3: (1, [1, 3]), 4: (1, [2])}
+    left = {r["doc_id"]: " ".join(cases.NORMAL.findall(r["text"])) for r in decontaminate.clean(frame, bench, mode="spans").collect()}
+    assert left == {1: " ".join(["sep"] * 99_999), 2: "clean", 3: "sep", 4: "x y"}
+    assert time.time() - began < 60
+
+
 def test_warc_records_and_order(spark, tmp_path):
     rows = [(1, "http://b.org/x", "z" * 2000), (2, "http://www.b.org:80/x", "z" * 2000), (3, None, None), (None, "http://é.b/\r\nx", "z" * 2000), (3, "q", "z" * 2000), (4, "http://a.org/?b=2&a=1", "é" * 500), (5, "HTTP://A.org", "é" * 500), (6, "x", "s" * 999), (7, "x", "s" * 999), (8, "y", "a\r\n\r\nWARC/1.1\r\n")]
     pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, digest int").repartition(3)
