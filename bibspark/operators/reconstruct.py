@@ -17,12 +17,13 @@ def priority(source: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in PRIORITY.items() for x in kv]), source), F.lit(DEFAULT_PRIORITY))
 
 
-def scored(references: DataFrame, records: DataFrame, most: int = resolve.SHORTLIST) -> DataFrame:
-    """Candidates (ref_id, record_id, source, score, consistent) of each reference: records of the same title, else the `most` that
-    share most search words, and those of the same DOI.
+def scored(references: DataFrame, records: DataFrame, most: int = resolve.SHORTLIST, least: float = 0.0) -> DataFrame:
+    """Candidates (ref_id, record_id, source, found_doi, score, consistent) of each reference with a score of `least` or more: records of
+    the same title, else the `most` that share most search words, else the most similar of all, and those of the same DOI.
 
-    An equal DOI scores 1; else the gestalt ratio of the titles and the author token Jaccard are weighed. A candidate is consistent if
-    years agree where both sides have one and, where the reference has authors, at least half of the author tokens are shared.
+    An equal DOI scores 1; else the gestalt ratio of the titles and the author token Jaccard are weighed. Authors are compared first:
+    they tell what the title must reach, and bounds on the ratio pass over most pairs. A candidate is consistent if years agree where
+    both sides have one and, where the reference has authors, at least half of the author tokens are shared.
     """
     left = references
     right = records.select("record_id", "source", F.col("title").alias("r_title"), F.col("authors").alias("r_authors"), F.col("year").alias("r_year"), F.col("doi").alias("r_doi"))
@@ -31,13 +32,16 @@ def scored(references: DataFrame, records: DataFrame, most: int = resolve.SHORTL
     by_doi = left.join(right, F.col("doi") == F.col("r_doi")).select("ref_id", "record_id")
     pairs = by_title.unionByName(by_doi).distinct().join(left, "ref_id").join(right, "record_id")
     same_doi = F.coalesce(F.col("doi") == F.col("r_doi"), F.lit(False))
-    known = pairs.withColumn("t", resolve.title_similarity("title", "r_title"))
     mine, theirs = resolve.tokens(F.col("authors")), resolve.tokens(F.col("r_authors"))
-    authors = resolve.jaccard(mine, theirs)
     both = (F.size(mine) > 0) & (F.size(theirs) > 0)
-    score = F.round(F.when(same_doi, 1.0).otherwise(resolve.citation_score(F.col("t"), authors, both)), 6)
     year_ok = F.coalesce(F.col("year") == F.col("r_year"), F.lit(True))
-    return known.select("ref_id", "record_id", "source", F.col("r_doi").alias("found_doi"), score.alias("score"), (year_ok & ((F.size(mine) == 0) | (authors >= 0.5))).alias("consistent"))
+    authors = pairs.withColumns({"same_doi": same_doi, "a": resolve.jaccard(mine, theirs), "both": both, "unnamed": F.size(mine) == 0})
+    # scores are rounded to six places, so titles are held to a little less
+    wanted = F.when(F.col("same_doi"), 2.0).when(F.col("both"), (F.lit(least) - 0.3 * F.col("a")) / 0.7).otherwise(F.lit(least)) - 1e-5
+    known = authors.withColumn("t", resolve.similarity_at_least("title", "r_title", wanted)).where("same_doi or t >= 0")
+    score = F.round(F.when(F.col("same_doi"), 1.0).otherwise(resolve.citation_score(F.col("t"), F.col("a"), F.col("both"))), 6)
+    out = known.select("ref_id", "record_id", "source", F.col("r_doi").alias("found_doi"), score.alias("score"), (year_ok & (F.col("unnamed") | (F.col("a") >= 0.5))).alias("consistent"))
+    return out.where(F.col("score") >= least)
 
 
 def best_by_provider(candidates: DataFrame) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import difflib
 import unicodedata
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,6 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import gestalt
+from . import blocking
+from .storage import cut
+
 SHORTLIST = 200
 
 
@@ -27,128 +30,110 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def overlaps(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(l, n_right, shared): of each (id, tokens) row how many rows of the other side share a token with it, and how many tokens in all.
-
-    Only counts by token are joined, so a frequent token costs a row, not a pair.
-    """
-    lt = left.select(F.col("id").alias("l"), F.explode("tokens").alias("t"))
-    df = right.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
-    return lt.join(df, "t").groupBy("l").agg(F.count("*").alias("n_tokens"), F.sum("df").alias("shared"))
-
-
-#: References of a block; each block is one pass over the records.
-BLOCK = 2000
-
-
-def _postings(tokens_: list[list[str]]) -> tuple[dict, np.ndarray, np.ndarray]:
-    """Token numbers, and for each token where its references begin in the flat list of references."""
-    number: dict[str, int] = {}
-    flat = [(number.setdefault(t, len(number)), i) for i, ts in enumerate(tokens_) for t in ts]
-    pairs = np.array(sorted(flat), dtype=np.int64).reshape(-1, 2)
-    return number, np.searchsorted(pairs[:, 0], np.arange(len(number) + 1)), pairs[:, 1]
+    """(l, shared, n): of each (id, tokens) row how many rows of the other side share exactly so many tokens with it, one or more."""
+    rows = lambda df: cut(df.select(F.col("id").cast("long").alias("id"), "tokens"))
+    return blocking.shared_counts(rows(left), rows(right)).groupBy("l", "shared").agg(F.sum("n").alias("n"))
 
 
-def shortlist(left: DataFrame, right: DataFrame, most: int = SHORTLIST, block: int = BLOCK) -> DataFrame:
+def shortlist(left: DataFrame, right: DataFrame, most: int = SHORTLIST, block: int | None = None, span: int = blocking.SPAN) -> DataFrame:
     """(l, r, shared, rank): the `most` rows of `right` with the most shared tokens for each row of `left`; ties go to the smaller id.
 
-    Both have (id, tokens). All tokens count, however frequent. The left rows are the queries: in blocks of `block`, each broadcast, they
-    meet every record in one pass; a task adds up a batch's tokens over the block's inverted lists and keeps the best `most` of each
-    query, so no pair leaves a task but those.
+    Both have (id, tokens). All tokens count, however frequent. Blocks are smaller where there are few references, for more tasks.
     """
-    spark = left.sparkSession
-    rows = left.where(F.size("tokens") > 0).select(F.col("id").cast("long"), "tokens")
-    n = rows.count()
-    numbered = rows.select("id", "tokens", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // block)))).alias("blk"))
-    parts = []
-    for blk in range(max(1, -(-n // block))):
-        own = numbered.where(F.col("blk") == blk).select("id", "tokens").collect()  # about `block` rows
-        shared = spark.sparkContext.broadcast(([r["id"] for r in own], _postings([r["tokens"] for r in own])))
-        parts.append(right.select(F.col("id").cast("long"), "tokens").mapInArrow(_counter(shared, most), "l long, r long, shared long"))
-    found = reduce(DataFrame.unionByName, parts)
-    best_ = Window.partitionBy("l").orderBy(F.desc("shared"), "r")
-    return found.withColumn("rank", F.row_number().over(best_)).where(F.col("rank") <= most)
-
-
-def _counter(shared, most: int):
-    def run(batches):
-        ids, (number, begin, owner) = shared.value
-        ids, width = np.array(ids, dtype=np.int64), len(ids)
-        top = np.zeros((0, 3), dtype=np.int64)  # (query, shared, record)
-        for batch in batches:
-            names, tokens_ = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            for lo in range(0, len(names), 500):
-                known = [(i, number[t]) for i, ts in enumerate(tokens_[lo : lo + 500]) for t in ts or () if t in number]
-                if not known or not width:
-                    continue
-                row, token = np.array(known, dtype=np.int64).T
-                size = begin[token + 1] - begin[token]
-                ends = np.cumsum(size)
-                spots = np.arange(ends[-1]) + np.repeat(begin[token] - (ends - size), size)
-                cell, count = np.unique(np.repeat(row, size) * width + owner[spots], return_counts=True)
-                top = _keep(np.concatenate([top, np.stack([cell % width, count, names[lo + cell // width]], axis=1)]), most)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[top[:, 0]]), pa.array(top[:, 2]), pa.array(top[:, 1])], ["l", "r", "shared"])
-
-    return run
-
-
-def _keep(rows: np.ndarray, most: int) -> np.ndarray:
-    """The best `most` (query, shared, record) rows of each query."""
-    rows = rows[np.lexsort((rows[:, 2], -rows[:, 1], rows[:, 0]))]
-    start = np.searchsorted(rows[:, 0], rows[:, 0])
-    return rows[np.arange(len(rows)) - start < most]
+    left, right = cut(left.select(F.col("id").cast("long").alias("id"), "tokens")), cut(right.select(F.col("id").cast("long").alias("id"), "tokens"))
+    size = block or min(blocking.BLOCK, max(1000, left.count() // 32))
+    return blocking.shortlist(left, right, most, size, span)
 
 
 def candidates(left: DataFrame, right: DataFrame, most: int = SHORTLIST) -> DataFrame:
     """(l, r, way): the records to compare with each reference, both (id, title). A reference takes the records of the same comparison
-    text; without any, the `most` records that share most search words; without a shared word it is to be compared with all, which
-    `best_of_all` does in blocks: such references are not listed here.
+    text; without any, the `most` records that share most search words; without a shared word it is compared with all, and the record of
+    the most similar title is listed.
     """
     keyed = lambda df: df.select("id", comparison_key(F.col("title")).alias("key"))
     lk, rk = keyed(left), keyed(right)
     exact = lk.where("key <> ''").join(rk, "key").select(lk["id"].alias("l"), rk["id"].alias("r"), F.lit("exact").alias("way"))
     rest = lk.join(rk.where("key <> ''").select("key").distinct(), "key", "left_anti")
     words = lambda df: df.select("id", search_tokens(F.col("key")).alias("tokens"))
-    return exact.unionByName(shortlist(words(rest), words(rk), most).select("l", "r", F.lit("shortlist").alias("way")))
+    listed = cut(shortlist(words(rest), words(rk), most).select("l", "r", F.lit("shortlist").alias("way")))
+    alone = left.join(lk.where("key <> ''").select("id"), "id", "left_semi").join(exact.select(F.col("l").alias("id")), "id", "left_anti").join(listed.select(F.col("l").alias("id")), "id", "left_anti")
+    scanned = best_of_all(alone, right).select("l", "r", F.lit("scan").alias("way"))
+    return exact.unionByName(listed).unionByName(scanned)
 
 
 # Words that no search looks for.
 SEARCH_STOP_WORDS = "and for from into method of the using with".split()
 
 
+#: References that are compared with all records at once.
+BLOCK = 2000
+
+
 def best_of_all(left: DataFrame, right: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(l, r, score): for each of the few references that `candidates` lists nothing for the record of the highest title similarity.
+    """(l, r, score): for each of the references that share no word with any record the record of the highest title similarity.
 
-    Both are (id, title). The references are the queries, in blocks that are broadcast; records stream past, a task keeps the best.
+    Both are (id, title). Blocks of references meet the records, in ranges by hash, on a grid. A task bounds all ratios of a batch of
+    records by their characters and takes the records in order of the bound, until it is below the best ratio so far.
     """
-    spark = left.sparkSession
-    numbered = left.select(F.col("id").cast("long"), "title", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-left.count() // block)))).alias("blk"))
-    parts = []
-    for blk in [r["blk"] for r in numbered.select("blk").distinct().collect()]:  # one for each `block` references
-        shared = spark.sparkContext.broadcast([(r["id"], comparison_text(r["title"])) for r in numbered.where(F.col("blk") == blk).collect()])
-
-        def run(batches, shared=shared):
-            top: dict[int, tuple[float, int]] = {}
-            for batch in batches:
-                for r, title in zip(batch.column(0).to_pylist(), map(comparison_text, batch.column(1).to_pylist()), strict=True):
-                    for q, key in shared.value:
-                        score = difflib.SequenceMatcher(None, key, title).ratio() if key and title else 0.0
-                        top[q] = max(top.get(q, (-1.0, 0)), (score, -r))
-            yield pa.RecordBatch.from_arrays([pa.array(list(top), pa.int64()), pa.array([-r for _, r in top.values()], pa.int64()), pa.array([x for x, _ in top.values()], pa.float64())], ["l", "r", "score"])
-
-        parts.append(right.select(F.col("id").cast("long"), "title").mapInArrow(run, "l long, r long, score double"))
-    if not parts:
-        return left.limit(0).select(F.col("id").cast("long").alias("l"), F.col("id").cast("long").alias("r"), F.lit(0.0).alias("score"))
-    return best(reduce(DataFrame.unionByName, parts))
+    refs = cut(left.select(F.col("id").cast("long").alias("id"), "title"))
+    n = max(1, -(-refs.count() // block))
+    ranges = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blk, rng = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"), F.pmod(F.xxhash64("id"), F.lit(ranges)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    mine = refs.select(blk.alias("blk"), F.lit(0).alias("side"), "id", "title").withColumn("rng", every(ranges))
+    theirs = right.select(F.col("id").cast("long").alias("id"), "title").select(every(n).alias("blk"), F.lit(1).alias("side"), "id", "title", rng.alias("rng"))
+
+    def run(batches):
+        name, ids, keys, top = None, [], [], {}
+        held: list[tuple[int, str]] = []
+        for batch in batches:
+            for cell, side, i, title in zip(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), *(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
+                if cell != name:
+                    _compare(ids, keys, held, top)
+                    yield _top(top)
+                    name, ids, keys, top, held = cell, [], [], {}, []
+                if side == 0:
+                    ids.append(i)
+                    keys.append(comparison_text(title))
+                    continue
+                held.append((i, comparison_text(title)))
+                if len(held) == 256:
+                    _compare(ids, keys, held, top)
+                    held = []
+        _compare(ids, keys, held, top)
+        yield _top(top)
+
+    order = mine.unionByName(theirs).repartition(max(ranges, n), "blk", "rng").sortWithinPartitions("blk", "rng", "side").select("blk", "rng", "side", "id", "title")
+    return best(order.mapInArrow(run, "l long, r long, score double"))
+
+
+def _top(top: dict[int, tuple[float, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(top), pa.int64()), pa.array([-r for _, r in top.values()], pa.int64()), pa.array([x for x, _ in top.values()], pa.float64())], ["l", "r", "score"])
+
+
+def _compare(ids: list[int], keys: list[str], records: list[tuple[int, str]], top: dict[int, tuple[float, int]]) -> None:
+    """Keep in `top` the (ratio, -record) of the best record of each reference."""
+    if not ids or not records:
+        return
+    theirs = gestalt.profiles([t for _, t in records])
+    ratios = [gestalt.Ratio(t) for _, t in records]
+    for q, key, own in zip(ids, keys, gestalt.profiles(keys), strict=True):
+        most = gestalt.bounds(own[None], theirs)
+        for k in np.argsort(-most, kind="stable"):
+            known = top.get(q, (-1.0, 0))
+            if most[k] < known[0]:
+                break
+            top[q] = max(known, (ratios[k].at_least(key, known[0]), -records[k][0]))
 
 
 def search_tokens(key: Column) -> Column:
     return F.array_distinct(F.filter(F.split(key, " "), lambda t: (F.char_length(t) >= 3) & ~t.isin(*SEARCH_STOP_WORDS)))
 
 
-def comparison_key(c: Column) -> Column:
-    """`comparison_text` for titles without compatibility forms, as an expression."""
-    plain = F.regexp_replace(F.translate(F.lower(F.coalesce(c, F.lit(""))), "{}", ""), r"\\[a-z]+\s*|\\.", "")
-    return F.trim(F.regexp_replace(plain, r"[^\p{L}\p{N}_]+", " "))
+@F.pandas_udf(T.StringType())
+def comparison_key(c: pd.Series) -> pd.Series:
+    """`comparison_text` of a column."""
+    return c.map(comparison_text)
 
 
 def most_common(items: DataFrame, k: int) -> DataFrame:
@@ -176,6 +161,17 @@ def comparison_text(s: str) -> str:
     return " ".join(re.findall(r"\w+", s))
 
 
+@F.pandas_udf(T.DoubleType())
+def similarity_at_least(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
+    """Gestalt ratio of two titles where it may reach `least`, else -1: bounds by characters, then by common subsequences, go first."""
+    keys = {x: comparison_text(x) for x in {*a, *b}}
+    x, y = [keys[t] for t in a], [keys[t] for t in b]
+    most = gestalt.bounds(gestalt.profiles(x), gestalt.profiles(y)) if len(x) else np.zeros(0)
+    known: dict[str, gestalt.Ratio] = {}
+    out = [-1.0 if m < t * (1 - 1e-12) else (known.get(v) or known.setdefault(v, gestalt.Ratio(v))).at_least(u, t) for u, v, m, t in zip(x, y, most.tolist(), least.tolist(), strict=True)]
+    return pd.Series(out, dtype="float64")
+
+
 @F.pandas_udf(T.DoubleType())
 def title_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Gestalt ratio of two titles; 0 if either is empty."""

@@ -88,7 +88,7 @@ QUERIES = {
     "src12_code_block": src12_code_block, "src10_links": src10_links, "snk03_artifacts": snk03_artifacts, "tx04_entries": tx04_entries, "tx11_title": tx11_title,
 }
 ORACLES = {
-    "agg13_overlap": f"WITH {_PAIRS}, f AS (SELECT t, count(*) AS df FROM dt GROUP BY t) SELECT l, count(*) AS n_tokens, sum(df)::BIGINT AS shared FROM it JOIN f USING (t) GROUP BY l",
+    "agg13_overlap": f"WITH {_PAIRS} SELECT l, shared::INT AS shared, count(*) AS n FROM p GROUP BY ALL",
     "jon10_shortlist": f"WITH {_PAIRS}, k AS (SELECT l, r, shared, row_number() OVER (PARTITION BY l ORDER BY shared DESC, r)::INT AS rank FROM p) SELECT * FROM k WHERE rank <= 200",
     "er08_best": f"WITH {_PAIRS}, s AS (SELECT l, r, round(shared / ln, 6) AS score FROM p) SELECT l, r, score, CASE WHEN score >= 0.8 THEN 'match' WHEN score > 0 THEN 'weak' ELSE 'not_found' END AS status FROM s QUALIFY row_number() OVER (PARTITION BY l ORDER BY score DESC, r) = 1",
     "er21_keys": """WITH b AS (SELECT p_partkey // 20 AS doc_id, p_partkey AS rec, regexp_replace(regexp_replace(lower(split_part(p_name, ' ', 1)), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS base FROM part)

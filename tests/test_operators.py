@@ -5,6 +5,8 @@ from bibspark.functions import normalize as N
 from bibspark.operators import events, extract, fixes, library, parse, resolve, rules
 from pyspark.sql import functions as F
 
+from .conftest import SF
+
 HARD = """text @ here 50% @nothing
 % @article{hidden, title = {no}}
 @string{ven = {A } # "B {"}" # ven2}
@@ -201,9 +203,9 @@ def test_shortlist_counts_every_token(spark):
     for l, ts in sides[0]:
         shared = Counter({rid: len(set(ts) & set(other)) for rid, other in sides[1]})
         expected[l] = sorted(((-n, rid) for rid, n in shared.items() if n))[:7]
-    for block in (2000, 9):
+    for block, span in ((2000, 100_000), (9, 40)):
         got = {}
-        for row in resolve.shortlist(*frames, 7, block).orderBy("rank").collect():
+        for row in resolve.shortlist(*frames, 7, block, span).orderBy("rank").collect():
             got.setdefault(row["l"], []).append((-row["shared"], row["r"]))
         assert got == {k: v for k, v in expected.items() if v}
 
@@ -222,7 +224,8 @@ def test_scores_match_plain_loops(spark):
     expected = {}
     for i, t, a, *_ in refs:
         exact = [x for x in recs if key(x[2]) == key(t)]
-        for rid, _, other, *_ in exact or [x for x in recs if found(t) & found(x[2])]:
+        scan = [max(recs, key=lambda x: (difflib.SequenceMatcher(None, key(t), key(x[2])).ratio(), -x[0]))]
+        for rid, _, other, *_ in exact or [x for x in recs if found(t) & found(x[2])] or scan:
             ratio = difflib.SequenceMatcher(None, key(t), key(other)).ratio()
             mine, theirs = set(a.lower().split()) - {"0", "1"}, {"lee"}
             expected[i, rid] = round(0.7 * ratio + 0.3 * len(mine & theirs) / len(mine | theirs) if ratio else 0.0, 6)
@@ -232,6 +235,63 @@ def test_scores_match_plain_loops(spark):
     assert [(b["l"], b["r"]) for b in best] == [(4, max((difflib.SequenceMatcher(None, key(titles[4]), key(x[2])).ratio(), -x[0]) for x in recs)[1] * -1)]
 
 
+def test_near_titles_match_a_loop_over_all_pairs(spark):
+    import difflib
+
+    from bibspark.operators import resolve
+    from bibspark.plans import more
+
+    def authors(x):
+        return {w for w in "".join(c if c.isalnum() else " " for c in (x or "").lower()).split() if len(w) >= 2}
+
+    refs, recs = more.title_rows(spark, SF).collect(), more.found_title_rows(spark, SF).collect()
+    keys = [(x, resolve.comparison_text(x["title"]), authors(x["authors"])) for x in recs]
+    search = [{w for w in k.split() if len(w) >= 3 and w not in resolve.SEARCH_STOP_WORDS} for _, k, _ in keys]
+    expected = {}
+    for ref in refs:
+        key, mine = resolve.comparison_text(ref["title"]), authors(ref["authors"])
+        if not key:
+            continue
+        words = {w for w in key.split() if len(w) >= 3 and w not in resolve.SEARCH_STOP_WORDS}
+        some = [i for i, (_, k, _) in enumerate(keys) if k == key]
+        if not some:
+            shared = sorted((-len(words & search[i]), x["record_id"], i) for i, (x, _, _) in enumerate(keys) if words & search[i])
+            some = [i for *_, i in shared[:200]]
+        if not some:
+            some = [max(range(len(keys)), key=lambda i: (difflib.SequenceMatcher(None, key, keys[i][1]).ratio() if keys[i][1] else 0.0, -keys[i][0]["record_id"]))]
+        for i in some:
+            x, k, theirs = keys[i]
+            t = difflib.SequenceMatcher(None, key, k).ratio() if k else 0.0
+            score = round(0.0 if t == 0 else 0.7 * t + 0.3 * len(mine & theirs) / len(mine | theirs) if mine and theirs else t, 6)
+            if score >= 0.6:
+                consistent = ref["year"] == x["year"] and (not mine or len(mine & theirs) / len(mine | theirs) >= 0.5)
+                expected[ref["ref_id"], x["record_id"]] = (score, consistent, "match" if score >= 0.8 else "weak")
+    got = {(x["ref_id"], x["record_id"]): (x["score"], x["consistent"], x["status"]) for x in more.jon11_near_titles(spark, SF).collect()}
+    assert got == expected
+    assert {x[2] for x in got.values()} == {"match", "weak"} and any(r // 10 != l for l, r in got)
+
+
+def test_bounds_never_pass_below_a_ratio():
+    import difflib
+    import random
+
+    import numpy as np
+    from bibspark.functions import gestalt
+
+    r = random.Random(8)
+    texts = ["", "a", "é🙂", *("".join(r.choice("abcde f") for _ in range(r.randrange(1, 40))) for _ in range(80))]
+    most = gestalt.bounds(gestalt.profiles(texts)[:, None], gestalt.profiles(texts)[None])
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts):
+            ratio = difflib.SequenceMatcher(None, a, b).ratio() if a and b else 0.0
+            assert ratio <= most[i, j] + 1e-12
+            assert 2 * gestalt.common_subsequence(gestalt.places(b), len(b), a) + 1e-9 >= ratio * (len(a) + len(b))
+            for least in (0.0, ratio, ratio + 1e-9, 0.9):
+                known = gestalt.Ratio(b).at_least(a, least)
+                assert known == ratio or (known == -1 and ratio < least)
+    assert np.all(most >= 0)
+
+
 def test_matching_rules(spark):
     from bibspark.operators import reconstruct
     from pyspark.sql import functions as F
