@@ -120,7 +120,7 @@ def repositories(described_: DataFrame, registry: DataFrame) -> DataFrame:
     Adds repository_known, repository_accepts, archive_prefix and repository_url.
     """
     other = F.when(F.col("preprint.repository") != "arXiv", F.lower(F.trim("preprint.repository")))
-    joined = described_.withColumn("alias", other).join(F.broadcast(registry), "alias", "left")
+    joined = described_.withColumn("alias", other).join(registry, "alias", "left")
     ok = F.col("pattern").isNotNull() & F.regexp_like(F.col("preprint.identifier"), F.col("pattern"))
     link = F.when(ok, F.expr("replace(url_template, '{identifier}', preprint.identifier)"))
     out = joined.withColumns({"repository_known": F.col("alias").isNull() | F.col("name").isNotNull(), "repository_accepts": F.when(F.col("alias").isNotNull(), F.coalesce(ok, F.lit(False))), "repository_url": link})

@@ -36,7 +36,7 @@ def with_venue_kind(records: DataFrame, venues: DataFrame) -> DataFrame:
     from ..functions.normalize import venue_alias
 
     best = venues.groupBy("alias").agg(F.min(F.struct("ord", "venue_id", "kind")).alias("m")).select("alias", "m.venue_id", "m.kind")
-    return records.withColumn("alias", venue_alias(F.col("venue_raw"))).join(F.broadcast(best), "alias", "left").drop("alias")
+    return records.withColumn("alias", venue_alias(F.col("venue_raw"))).join(best, "alias", "left").drop("alias")
 
 
 def kind_mismatch(enriched: DataFrame) -> DataFrame:

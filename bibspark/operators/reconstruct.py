@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import resolve
+from .storage import cut
 
 # The priority of each provider, lower first.
 PRIORITY = {"local": 0, "crossref": 10, "semantic_scholar": 20, "arxiv": 40}
@@ -25,10 +26,9 @@ def scored(references: DataFrame, records: DataFrame, most: int = resolve.SHORTL
     they tell what the title must reach, and bounds on the ratio pass over most pairs. A candidate is consistent if years agree where
     both sides have one and, where the reference has authors, at least half of the author tokens are shared.
     """
-    left = references
-    right = records.select("record_id", "source", F.col("title").alias("r_title"), F.col("authors").alias("r_authors"), F.col("year").alias("r_year"), F.col("doi").alias("r_doi"))
-    titles = lambda df, i, c: df.select(F.col(i).alias("id"), F.col(c).alias("title"))
-    by_title = resolve.candidates(titles(left, "ref_id", "title"), titles(right, "record_id", "r_title"), most).select(F.col("l").alias("ref_id"), F.col("r").alias("record_id"))
+    left = cut(references.select(F.col("ref_id").cast("long").alias("ref_id"), "authors", "year", "doi", resolve.comparison_key("title").alias("key")))
+    right = cut(records.select(F.col("record_id").cast("long").alias("record_id"), "source", resolve.comparison_key("title").alias("r_key"), F.col("authors").alias("r_authors"), F.col("year").alias("r_year"), F.col("doi").alias("r_doi")))
+    by_title = resolve.candidates_of_keys(left.select(F.col("ref_id").alias("id"), "key"), right.select(F.col("record_id").alias("id"), F.col("r_key").alias("key")), most).select(F.col("l").alias("ref_id"), F.col("r").alias("record_id"))
     by_doi = left.join(right, F.col("doi") == F.col("r_doi")).select("ref_id", "record_id")
     pairs = by_title.unionByName(by_doi).distinct().join(left, "ref_id").join(right, "record_id")
     same_doi = F.coalesce(F.col("doi") == F.col("r_doi"), F.lit(False))
@@ -38,7 +38,7 @@ def scored(references: DataFrame, records: DataFrame, most: int = resolve.SHORTL
     authors = pairs.withColumns({"same_doi": same_doi, "a": resolve.jaccard(mine, theirs), "both": both, "unnamed": F.size(mine) == 0})
     # scores are rounded to six places, so titles are held to a little less
     wanted = F.when(F.col("same_doi"), 2.0).when(F.col("both"), (F.lit(least) - 0.3 * F.col("a")) / 0.7).otherwise(F.lit(least)) - 1e-5
-    known = authors.withColumn("t", resolve.similarity_at_least("title", "r_title", wanted)).where("same_doi or t >= 0")
+    known = authors.withColumn("t", resolve.similarity_at_least("key", "r_key", wanted)).where("same_doi or t >= 0")
     score = F.round(F.when(F.col("same_doi"), 1.0).otherwise(resolve.citation_score(F.col("t"), F.col("a"), F.col("both"))), 6)
     out = known.select("ref_id", "record_id", "source", F.col("r_doi").alias("found_doi"), score.alias("score"), (year_ok & (F.col("unnamed") | (F.col("a") >= 0.5))).alias("consistent"))
     return out.where(F.col("score") >= least)
@@ -53,7 +53,9 @@ def best_by_provider(candidates: DataFrame) -> DataFrame:
 def providers_to_ask(references: DataFrame, providers: DataFrame) -> DataFrame:
     """(ref_id, source, ord): every provider in order, but only arXiv for a reference that names an arXiv identifier."""
     named = F.coalesce(F.col("text").rlike(r"(?i)\barxiv\s*:\s*[0-9]{4}\.[0-9]{4,5}|arxiv\.org/(?:abs|pdf)/"), F.lit(False))
-    return references.crossJoin(F.broadcast(providers)).where(~named | (F.col("source") == "arxiv")).select("ref_id", "source", "ord")  # a few providers
+    listed = providers.agg(F.collect_list(F.struct("source", "ord")).alias("asked")).withColumn("one", F.lit(1))  # a registry of a few providers, one row
+    rows = references.withColumn("one", F.lit(1)).join(listed, "one").withColumn("named", named)
+    return rows.select("ref_id", "named", F.explode("asked").alias("p")).where(~F.col("named") | (F.col("p.source") == "arxiv")).select("ref_id", "p.source", "p.ord")
 
 
 def prioritised(queries: DataFrame) -> DataFrame:

@@ -50,15 +50,18 @@ def candidates(left: DataFrame, right: DataFrame, most: int = SHORTLIST) -> Data
     text; without any, the `most` records that share most search words; without a shared word it is compared with all, and the record of
     the most similar title is listed.
     """
-    keyed = lambda df: df.select("id", comparison_key(F.col("title")).alias("key"))
-    lk, rk = keyed(left), keyed(right)
+    keyed = lambda df: cut(df.select(F.col("id").cast("long").alias("id"), comparison_key("title").alias("key")))
+    return candidates_of_keys(keyed(left), keyed(right), most)
+
+
+def candidates_of_keys(lk: DataFrame, rk: DataFrame, most: int = SHORTLIST) -> DataFrame:
+    """`candidates` of written tables of (id, key)."""
     exact = lk.where("key <> ''").join(rk, "key").select(lk["id"].alias("l"), rk["id"].alias("r"), F.lit("exact").alias("way"))
-    rest = lk.join(rk.where("key <> ''").select("key").distinct(), "key", "left_anti")
+    rest = lk.where("key <> ''").join(rk.select("key").distinct(), "key", "left_anti")
     words = lambda df: df.select("id", search_tokens(F.col("key")).alias("tokens"))
     listed = cut(shortlist(words(rest), words(rk), most).select("l", "r", F.lit("shortlist").alias("way")))
-    alone = left.join(lk.where("key <> ''").select("id"), "id", "left_semi").join(exact.select(F.col("l").alias("id")), "id", "left_anti").join(listed.select(F.col("l").alias("id")), "id", "left_anti")
-    scanned = best_of_all(alone, right).select("l", "r", F.lit("scan").alias("way"))
-    return exact.unionByName(listed).unionByName(scanned)
+    alone = rest.join(listed.select(F.col("l").alias("id")), "id", "left_anti")
+    return exact.unionByName(listed).unionByName(best_of_keys(alone, rk).select("l", "r", F.lit("scan").alias("way")))
 
 
 # Words that no search looks for.
@@ -72,38 +75,44 @@ BLOCK = 2000
 def best_of_all(left: DataFrame, right: DataFrame, block: int = BLOCK) -> DataFrame:
     """(l, r, score): for each of the references that share no word with any record the record of the highest title similarity.
 
-    Both are (id, title). Blocks of references meet the records, in ranges by hash, on a grid. A task bounds all ratios of a batch of
+    Both are (id, title).
+    """
+    return best_of_keys(*(df.select("id", comparison_key("title").alias("key")) for df in (left, right)), block)
+
+
+def best_of_keys(left: DataFrame, right: DataFrame, block: int = BLOCK) -> DataFrame:
+    """`best_of_all` of (id, key). Blocks of references meet the records, in ranges by hash, on a grid. A task bounds all ratios of a batch of
     records by their characters and takes the records in order of the bound, until it is below the best ratio so far.
     """
-    refs = cut(left.select(F.col("id").cast("long").alias("id"), "title"))
+    refs = cut(left.select(F.col("id").cast("long").alias("id"), "key"))
     n = max(1, -(-refs.count() // block))
     ranges = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blk, rng = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"), F.pmod(F.xxhash64("id"), F.lit(ranges)).cast("int")
     every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    mine = refs.select(blk.alias("blk"), F.lit(0).alias("side"), "id", "title").withColumn("rng", every(ranges))
-    theirs = right.select(F.col("id").cast("long").alias("id"), "title").select(every(n).alias("blk"), F.lit(1).alias("side"), "id", "title", rng.alias("rng"))
+    mine = refs.select(blk.alias("blk"), F.lit(0).alias("side"), "id", "key").withColumn("rng", every(ranges))
+    theirs = right.select(F.col("id").cast("long").alias("id"), "key").select(every(n).alias("blk"), F.lit(1).alias("side"), "id", "key", rng.alias("rng"))
 
     def run(batches):
         name, ids, keys, top = None, [], [], {}
         held: list[tuple[int, str]] = []
         for batch in batches:
-            for cell, side, i, title in zip(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), *(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
+            for cell, side, i, key in zip(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), *(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
                 if cell != name:
                     _compare(ids, keys, held, top)
                     yield _top(top)
                     name, ids, keys, top, held = cell, [], [], {}, []
                 if side == 0:
                     ids.append(i)
-                    keys.append(comparison_text(title))
+                    keys.append(key)
                     continue
-                held.append((i, comparison_text(title)))
+                held.append((i, key))
                 if len(held) == 256:
                     _compare(ids, keys, held, top)
                     held = []
         _compare(ids, keys, held, top)
         yield _top(top)
 
-    order = mine.unionByName(theirs).repartition(max(ranges, n), "blk", "rng").sortWithinPartitions("blk", "rng", "side").select("blk", "rng", "side", "id", "title")
+    order = mine.unionByName(theirs).repartition(max(ranges, n), "blk", "rng").sortWithinPartitions("blk", "rng", "side").select("blk", "rng", "side", "id", "key")
     return best(order.mapInArrow(run, "l long, r long, score double"))
 
 
@@ -163,9 +172,8 @@ def comparison_text(s: str) -> str:
 
 @F.pandas_udf(T.DoubleType())
 def similarity_at_least(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
-    """Gestalt ratio of two titles where it may reach `least`, else -1: bounds by characters, then by common subsequences, go first."""
-    keys = {x: comparison_text(x) for x in {*a, *b}}
-    x, y = [keys[t] for t in a], [keys[t] for t in b]
+    """Gestalt ratio of two comparison texts where it may reach `least`, else -1: bounds by characters, then by common subsequences, go first."""
+    x, y = a.tolist(), b.tolist()
     most = gestalt.bounds(gestalt.profiles(x), gestalt.profiles(y)) if len(x) else np.zeros(0)
     known: dict[str, gestalt.Ratio] = {}
     out = [-1.0 if m < t * (1 - 1e-12) else (known.get(v) or known.setdefault(v, gestalt.Ratio(v))).at_least(u, t) for u, v, m, t in zip(x, y, most.tolist(), least.tolist(), strict=True)]

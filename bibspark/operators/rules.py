@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import normalize as N
 from .semantic import first, records
 
 DIAGNOSTIC = "array<struct<code:string,start:bigint,end:bigint,replacement:string,applicability:string,group:int>>"
-# The default policy, (code, severity, blocking, enabled).
+# The default policy, (code, severity, blocking, enabled). A code without a row is a warning that doesn't block.
 POLICY = (
     ("BIB-SYNTAX-001", "error", True, True), ("BIB-SYNTAX-002", "warning", False, True), ("BIB-SYNTAX-004", "warning", False, True), ("BIB-SYNTAX-005", "warning", False, True),
-    ("BIB-SYNTAX-006", "hint", False, True), ("BIB-SYNTAX-009", "warning", False, True), ("BIB-SEMANTIC-001", "warning", False, True), ("BIB-SEMANTIC-003", "error", True, True),
-    ("BIB-SEMANTIC-006", "error", True, True), ("BIB-SEMANTIC-009", "error", True, True), ("BIB-SEMANTIC-010", "warning", False, True), ("BIB-SEMANTIC-011", "warning", False, True), ("LAB-ENTRY-003", "error", True, False),
+    ("BIB-SYNTAX-006", "hint", False, True), ("BIB-SYNTAX-007", "warning", True, True), ("BIB-SYNTAX-009", "warning", False, True), ("BIB-SEMANTIC-001", "warning", False, True),
+    ("BIB-SEMANTIC-002", "warning", False, True), ("BIB-SEMANTIC-003", "error", True, True), ("BIB-SEMANTIC-004", "error", True, True), ("BIB-SEMANTIC-005", "error", False, True),
+    ("BIB-SEMANTIC-006", "error", True, True), ("BIB-SEMANTIC-007", "warning", True, True), ("BIB-SEMANTIC-008", "error", True, True), ("BIB-SEMANTIC-009", "error", True, True),
+    ("BIB-SEMANTIC-010", "warning", False, True), ("BIB-SEMANTIC-011", "warning", False, True), ("BIB-SEMANTIC-012", "error", True, True), ("BIB-SEMANTIC-101", "warning", False, True),
+    ("BIB-SEMANTIC-102", "warning", False, True), ("BIB-SEMANTIC-106", "error", True, True), ("LAB-ENTRY-003", "error", True, False), ("LAB-URL-001", "information", False, False),
 )
 # Fields a policy asks for, by entry type.
 REQUIRED = {"article": ("author", "title", "journal", "year"), "inproceedings": ("author", "title", "booktitle", "year"), "misc": ("author", "title", "year")}
@@ -75,40 +79,70 @@ def duplicates(entries: DataFrame, what: str) -> DataFrame:
     return grouped.where("n > 1").withColumn("entries", F.array_join(F.transform("entries", lambda x: x.cast("string")), ","))
 
 
-def across(entries: DataFrame) -> DataFrame:
-    """Diagnostics of values that records of a document share: key, DOI and arXiv identifier in one pass over the records."""
-    r = records(entries)
-    value = lambda code, c: F.struct(F.lit(code).alias("code"), c.alias("value"))
-    named = F.array(value("BIB-SEMANTIC-009", F.lower("citation_key")), value("BIB-SEMANTIC-010", F.col("doi")), value("BIB-SEMANTIC-011", F.col("arxiv")))
-    each = r.select("doc_id", "entry_idx", F.explode(named).alias("x")).where("x.value is not null").groupBy("doc_id", "x.code", "x.value")
+#: A finding of any rule; `value` is what records of a document must not share.
+FOUND = "array<struct<code:string,start:bigint,end:bigint,replacement:string,applicability:string,group:int,detail:string,value:string>>"
+
+
+def shared_values() -> Column:
+    """Values of a record that no other record of its document should have, by the code of the rule: key, DOI, arXiv identifier."""
+    arx = N.arxiv(first("eprint")["resolved"])
     none = F.lit(None)
-    return each.agg(F.count("*").alias("n"), F.min("entry_idx").alias("entry_idx")).where("n > 1").select(
-        "doc_id", "entry_idx", "code", none.cast("long").alias("start"), none.cast("long").alias("end"), none.cast("string").alias("replacement"), F.lit("none").alias("applicability"), F.lit(0).alias("group")
-    )
+    named = (("BIB-SEMANTIC-009", F.lower("citation_key")), ("BIB-SEMANTIC-010", N.doi(first("doi")["resolved"])), ("BIB-SEMANTIC-011", arx["base"]))
+    each = F.array(*[F.when(v.isNotNull(), F.struct(F.lit(c).alias("code"), none.cast("long").alias("start"), none.cast("long").alias("end"), none.cast("string").alias("replacement"), F.lit("none").alias("applicability"), F.lit(0).alias("group"), v.alias("detail"), v.alias("value"))) for c, v in named])
+    return F.array_compact(each).cast(FOUND)
+
+
+def found(entries: DataFrame, registry: DataFrame | None = None, url_policy: str = "discourage") -> DataFrame:
+    """Findings of all rules, on syntax, meaning and shared values, by one projection over the entries: (doc_id, entry_idx, code, start, end,
+    replacement, applicability, group, detail). Findings on meaning stand where their entry stands. A value that records share is found once,
+    at the first of them. `registry` has the registered repositories; without one every repository counts as known."""
+    from . import identity, semrules
+
+    rows = identity.described(entries)
+    rows = identity.repositories(rows, registry) if registry is not None else rows.withColumns({"repository_known": F.lit(True), "repository_accepts": F.lit(None).cast("boolean")})
+    none = F.lit(None).cast("string")
+    own = F.transform(entry_rules(), lambda d: F.struct(*[d[c].alias(c) for c in ("code", "start", "end", "replacement", "applicability", "group")], none.alias("detail"), none.alias("value"))).cast(FOUND)
+    meant = F.transform(semrules.semantic_rules(url_policy), lambda d, i: F.struct(d["code"].alias("code"), F.col("start"), F.col("end"), none.alias("replacement"), F.lit("none").alias("applicability"), i.alias("group"), d["detail"].alias("detail"), none.alias("value"))).cast(FOUND)
+    each = rows.select("doc_id", "entry_idx", F.explode(F.concat(own, meant, shared_values())).alias("d")).select("doc_id", "entry_idx", "d.*")
+    same = Window.partitionBy("doc_id", "code", "value")
+    counted = each.repartition("doc_id").withColumns({"n": F.count("*").over(same), "nth": F.row_number().over(same.orderBy("entry_idx"))})
+    return counted.where("value is null or (n > 1 and nth = 1)").drop("n", "nth", "value")
 
 
 def stamped(diagnostics: DataFrame, rules: DataFrame) -> DataFrame:
-    """Diagnostics of enabled rules with severity and blocking; the policy has a row for each code."""
-    return diagnostics.join(F.broadcast(rules.where("enabled")), "code").drop("enabled")
+    """Diagnostics of enabled rules with severity and blocking; a code that the policy doesn't name is a warning."""
+    known = diagnostics.join(rules, "code", "left")
+    return known.where(F.coalesce("enabled", F.lit(True))).withColumns({"severity": F.coalesce("severity", F.lit("warning")), "blocking": F.coalesce("blocking", F.lit(False))}).drop("enabled")
 
 
-def validate(entries: DataFrame, rules: DataFrame) -> DataFrame:
-    """Every diagnostic with its place in its document's order and its number among those of its code."""
-    found = stamped(in_entries(entries).unionByName(across(entries)), rules)
+def validate(entries: DataFrame, rules: DataFrame, registry: DataFrame | None = None, url_policy: str = "discourage") -> DataFrame:
+    """Every diagnostic of every rule with its place in its document's order and its number among those of its code. Findings of one
+    code, range and detail are one. The entries are read once."""
     at = [F.coalesce("start", F.lit(2**32 - 1)), F.coalesce("end", F.lit(2**32 - 1)), "code", "entry_idx"]
     doc, code = Window.partitionBy("doc_id"), Window.partitionBy("doc_id", "code")
-    return found.withColumns({"place": F.row_number().over(doc.orderBy(*at)), "ordinal": F.row_number().over(code.orderBy("entry_idx", *at)) - 1})
+    again = Window.partitionBy("doc_id", "entry_idx", "code", "start", "end", "detail", "replacement").orderBy("group")
+    once = stamped(found(entries, registry, url_policy).withColumn("again", F.row_number().over(again)).where("again = 1").drop("again"), rules)
+    return once.withColumns({"place": F.row_number().over(doc.orderBy(*at)), "ordinal": F.row_number().over(code.orderBy("entry_idx", *at)) - 1})
 
 
 def missing_required(entries: DataFrame, required: DataFrame) -> DataFrame:
     """(doc_id, entry_idx, missing): required fields that an entry lacks, in policy order. `required` has (entry_type, lname, ord)."""
-    wanted = entries.select("doc_id", "entry_idx", "entry_type", "fields").join(F.broadcast(required), "entry_type")
+    wanted = entries.select("doc_id", "entry_idx", "entry_type", "fields").join(required, "entry_type")
     absent = wanted.where(~F.exists("fields", lambda f: F.lower(f["name"]) == F.col("lname")))
     return absent.groupBy("doc_id", "entry_idx").agg(F.sort_array(F.collect_list(F.struct("ord", "lname"))).alias("m")).select("doc_id", "entry_idx", F.array_join(F.transform("m", lambda x: x["lname"]), ", ").alias("missing"))
 
 
-def decision(entries: DataFrame, diagnostics: DataFrame, minimum: str = "hint") -> DataFrame:
-    """(doc_id, accepted, n_blocking): accepted if there is a record and no blocking diagnostic at or above the threshold."""
+def decision(entries: DataFrame, diagnostics: DataFrame, minimum: str | None = "error", include: tuple[str, ...] = (), exclude: tuple[str, ...] = (), allow_unresolved: bool = False) -> DataFrame:
+    """(doc_id, n_blocking, unresolved, accepted): whether a document may be registered.
+
+    A diagnostic blocks if its rule does, if it is as severe as `minimum`, or if its code is included and not excluded; one on unresolved
+    meaning blocks unless that is allowed. A document is accepted if it has a record and nothing blocks.
+    """
     rank = F.create_map(*[F.lit(x) for kv in SEVERITY.items() for x in kv])
-    blocking = diagnostics.where(F.col("blocking") & (rank[F.col("severity")] >= SEVERITY[minimum])).groupBy("doc_id").agg(F.count("*").alias("n_blocking"))
-    return entries.groupBy("doc_id").agg(F.count("*").alias("n")).join(blocking, "doc_id", "left").select("doc_id", F.coalesce("n_blocking", F.lit(0)).alias("n_blocking"), F.col("n_blocking").isNull().alias("accepted"))
+    code, open_ = F.col("code"), F.col("code") == "BIB-SEMANTIC-008"
+    blocks = F.col("blocking") | (rank[F.col("severity")] >= (9 if minimum is None else SEVERITY[minimum]))
+    blocks = (blocks | code.isin(*include) & ~code.isin(*exclude)) if include else blocks
+    blocks = blocks & ~open_ if allow_unresolved else blocks | open_
+    judged = diagnostics.groupBy("doc_id").agg(F.count_if(blocks).alias("n_blocking"), F.coalesce(F.bool_or(open_), F.lit(False)).alias("unresolved"))
+    n = F.coalesce("n_blocking", F.lit(0))
+    return entries.select("doc_id").distinct().join(judged, "doc_id", "left").select("doc_id", n.alias("n_blocking"), F.coalesce("unresolved", F.lit(False)).alias("unresolved"), (n == 0).alias("accepted"))

@@ -29,6 +29,11 @@ def mismatched_type() -> Column:
 
 def findings(registered: DataFrame, url_policy: str = "discourage") -> DataFrame:
     """(doc_id, entry_idx, code, detail) of `identity.repositories` rows."""
+    return registered.select("doc_id", "entry_idx", F.explode(semantic_rules(url_policy)).alias("d")).select("doc_id", "entry_idx", "d.*")
+
+
+def semantic_rules(url_policy: str = "discourage") -> Column:
+    """All findings on the meaning of an `identity.repositories` row: array<struct<code, detail>>."""
     ids = F.col("ids")
     one = lambda code, condition, detail: F.when(F.coalesce(condition, F.lit(False)), F.array(F.struct(F.lit(code).alias("code"), detail.cast("string").alias("detail")))).otherwise(F.array()).cast(FINDING)
     each = lambda code, values: F.transform(values, lambda v: F.struct(F.lit(code).alias("code"), v.cast("string").alias("detail"))).cast(FINDING)
@@ -39,7 +44,7 @@ def findings(registered: DataFrame, url_policy: str = "discourage") -> DataFrame
     unresolved = F.exists("fields", lambda f: F.size(f["unresolved"]) > 0)
     ambiguous = F.exists("fields", lambda f: F.size(f["candidates"]) > 1) | (F.size(several("doi")) > 1) | (F.size(several("arxiv")) > 1)
     message = F.when(F.col("work_type") == "unknown", "work type").when(date_conflict(), "date").when(unresolved, "value").when(ambiguous, "ambiguous")
-    found = F.concat(
+    return F.concat(
         one("BIB-SYNTAX-007", F.size("comments") > 0, F.size("comments")),
         each("BIB-SEMANTIC-002", F.transform(prefixed, lambda f: F.trim(F.regexp_replace(f["resolved"], r"(?i)^\s*arxiv:\s*", "")))),
         one("BIB-SEMANTIC-004", mismatched_type().isNotNull(), mismatched_type()),
@@ -55,7 +60,6 @@ def findings(registered: DataFrame, url_policy: str = "discourage") -> DataFrame
         each("BIB-SEMANTIC-106", bad_urls),
         one("LAB-URL-001", (F.size(identity.named("url")) > 0) & F.lit(url_policy != "allow"), F.lit(url_policy)),
     )
-    return registered.select("doc_id", "entry_idx", F.explode(found).alias("d")).select("doc_id", "entry_idx", "d.*")
 
 
 def specials_through_macros(parsed: DataFrame) -> DataFrame:
@@ -107,12 +111,17 @@ def registry_problems(registry: DataFrame) -> DataFrame:
     return ids.unionByName(shared).unionByName(pattern).unionByName(template)
 
 
-def inheritance_cycles(policies: DataFrame, most: int = 64) -> DataFrame:
-    """(profile): policies (profile, parent) that lead back to themselves. Pointers double each round, so `most` parents take six rounds."""
-    hop = policies.where("parent is not null").select("profile", F.col("parent").alias("at"))
-    width = 1
-    reach = hop
-    while width < most:
-        further = reach.join(reach.select(F.col("profile").alias("at"), F.col("at").alias("next")), "at").select("profile", F.col("next").alias("at"))
-        reach, width = reach.union(further).distinct(), width * 2
-    return reach.where("profile = at").select("profile").distinct()
+def inheritance_cycles(policies: DataFrame) -> DataFrame:
+    """(profile): policies (profile, parent) that lead back to themselves.
+
+    Whoever is still reached after as many steps as there are policies lies on a cycle. Steps double each round, so their number is
+    the logarithm of that of the policies.
+    """
+    from .storage import cut
+
+    reach = cut(policies.where("parent is not null").select("profile", F.col("parent").alias("at")).distinct())
+    n, width = reach.count(), 1
+    while width < n:
+        reach = cut(reach.join(reach.select(F.col("profile").alias("at"), F.col("at").alias("next")), "at").select("profile", F.col("next").alias("at")).distinct())
+        width *= 2
+    return reach.select(F.col("at").alias("profile")).distinct().join(policies.select("profile").distinct(), "profile", "left_semi") if n else policies.select("profile").limit(0)

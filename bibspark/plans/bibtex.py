@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import normalize as N
 from ..operators import export, fixes, parse, rules, semantic
-from ..sources import corpus
+from ..sources import corpus, table
 
 P = corpus.PER_DOC
 #: The columns of `part` that the SQL needs, by key.
@@ -97,7 +97,7 @@ def val24_required(spark, sf_dir):
 
 def val25_forbidden(spark, sf_dir):
     forbidden = spark.createDataFrame([("misc", "eprint"), ("article", "booktitle")], "entry_type string, lname string")
-    found = parse.fields(_parsed(spark, sf_dir)).join(F.broadcast(forbidden), ["entry_type", "lname"], "left_semi")
+    found = parse.fields(_parsed(spark, sf_dir)).join(forbidden, ["entry_type", "lname"], "left_semi")
     return found.select("doc_id", "entry_idx", "lname")
 
 
@@ -111,7 +111,7 @@ def win05_ordinals(spark, sf_dir):
 
 def val31_decision(spark, sf_dir):
     entries = _entries(spark, sf_dir)
-    return rules.decision(entries, rules.validate(entries, rules.policy(spark)))
+    return rules.decision(entries, rules.validate(entries, rules.policy(spark))).drop("unresolved")
 
 
 def agg09_codes(spark, sf_dir):
@@ -133,6 +133,16 @@ def fix05_fixed_point(spark, sf_dir):
     return done.select("doc_id", "passes", F.col("n_edits").cast("long").alias("n_edits"), "status", F.sha2("source", 256).alias("sha256"))
 
 
+def jon14_overlaps(spark, sf_dir):
+    """Overlapping intervals of each user's events, as edits of a document: a third are insertions at round seconds, others last as many seconds as their value says."""
+    e = table(spark, sf_dir, "events")
+    at = F.unix_timestamp("ts")
+    start = F.when(F.col("event_id") % 3 == 0, F.floor(at / 3600) * 3600).otherwise(at).cast("long")
+    width = F.when(F.col("event_id") % 3 == 0, 0).otherwise(600 * (1 + F.col("event_id") % 40)).cast("long")
+    edits = e.select(F.col("user_id").alias("doc_id"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("fix_id"), start.alias("start"), (start + width).alias("end"))
+    return fixes.conflicts(edits)
+
+
 def fix02_conflicts(spark, sf_dir):
     return fixes.conflicts(fixes.plan(rules.in_entries(_entries(spark, sf_dir)))).agg(F.count("*").alias("n"))
 
@@ -188,7 +198,7 @@ QUERIES = {
     "val_counts": val_counts, "val01_duplicate_field": val_rule("BIB-SYNTAX-001"), "val02_field_case": val_rule("BIB-SYNTAX-002"), "val04_trailing_comma": val_rule("BIB-SYNTAX-004"),
     "val05_quoted": val_rule("BIB-SYNTAX-005"), "val11_doi_prefix": val_rule("BIB-SEMANTIC-001"), "val13_required_data": val_rule("BIB-SEMANTIC-003"),
     "val20_duplicate_key": val20("key"), "val20_duplicate_doi": val20("doi"), "val20_duplicate_arxiv": val20("arxiv"), "val24_required": val24_required, "val25_forbidden": val25_forbidden,
-    "val28_order": val28_order, "win05_ordinals": win05_ordinals, "val31_decision": val31_decision, "agg09_codes": agg09_codes, "fix02_conflicts": fix02_conflicts, "fix04_apply": fix04_apply, "fix05_fixed_point": fix05_fixed_point,
+    "val28_order": val28_order, "win05_ordinals": win05_ordinals, "val31_decision": val31_decision, "agg09_codes": agg09_codes, "fix02_conflicts": fix02_conflicts, "jon14_overlaps": jon14_overlaps, "fix04_apply": fix04_apply, "fix05_fixed_point": fix05_fixed_point,
     "fix06_diff": fix06_diff, "exp14_serialize": exp14_serialize, "exp01_documents": exp_documents,
 }
 ORACLES = {
@@ -213,6 +223,10 @@ ORACLES = {
     "val31_decision": f"WITH {_ALL}, x AS (SELECT doc_id, sum(n * blocking::INT)::BIGINT AS nb FROM d JOIN p USING (code) GROUP BY doc_id) SELECT doc_id, nb AS n_blocking, nb = 0 AS accepted FROM x",
     "agg09_codes": f"WITH {_ALL} SELECT doc_id, string_agg(DISTINCT code, ',' ORDER BY code) AS codes FROM d WHERE n > 0 GROUP BY doc_id",
     "fix02_conflicts": "SELECT 0::BIGINT AS n",
+    "jon14_overlaps": """WITH x AS (SELECT user_id AS doc_id, lpad(event_id::VARCHAR, 12, '0') AS f, event_id, floor(epoch(ts))::BIGINT AS sec FROM events),
+      e AS (SELECT doc_id, f, CASE WHEN event_id % 3 = 0 THEN sec // 3600 * 3600 ELSE sec END AS s, CASE WHEN event_id % 3 = 0 THEN 0 ELSE 600 * (1 + event_id % 40) END AS w FROM x)
+      SELECT a.doc_id, a.f AS a_fix_id, a.s AS a_start, a.s + a.w AS a_end, b.f AS b_fix_id, b.s AS b_start, b.s + b.w AS b_end FROM e a JOIN e b ON a.doc_id = b.doc_id AND a.f < b.f
+      AND ((a.s < b.s + b.w AND b.s < a.s + a.w) OR (a.w = 0 AND b.w = 0 AND a.s = b.s))""",
     "fix04_apply": f"WITH {BASE}, c AS (SELECT doc_id, sum({_EDITS})::BIGINT AS n_edits FROM b GROUP BY doc_id) SELECT doc_id, sha256(source) AS sha256, n_edits FROM {corpus.sql(clean=True)} JOIN c USING (doc_id)",
     "fix05_fixed_point": f"WITH {BASE}, c AS (SELECT doc_id, sum({_EDITS})::BIGINT AS n_edits FROM b GROUP BY doc_id) SELECT doc_id, (n_edits > 0)::INT AS passes, n_edits, 'done' AS status, sha256(source) AS sha256 FROM {corpus.sql(clean=True)} JOIN c USING (doc_id)",
     "fix06_diff": f"WITH {BASE}, c AS (SELECT doc_id, sum((k % 29 = 0 OR k % 11 = 0)::INT + (k % 17 = 0 AND NOT (k % 7 = 0 AND k % 3 < 2))::INT + (k % 7 = 0)::INT)::BIGINT AS n FROM b GROUP BY doc_id) SELECT doc_id, n AS added, n AS removed FROM c",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import fixes, generate, identity, parse, semrules, workflow
+from ..operators import fixes, generate, identity, parse, rules, semrules, workflow
 from ..sources import rich
 
 P = rich.PER_DOC
@@ -183,6 +183,22 @@ def exp15_warnings(spark, sf_dir):
     return generate.exported(_named(_described(spark, sf_dir)), style="abbreviated").groupBy("warnings").agg(F.count("*").alias("n"))
 
 
+def _validated(spark, sf_dir):
+    return rules.validate(parse.entries(_parsed(spark, sf_dir)), rules.policy(spark), _registry(spark))
+
+
+def val_all_counts(spark, sf_dir):
+    """Diagnostics of all rules, on syntax and on meaning, by code."""
+    return _validated(spark, sf_dir).groupBy("code", "severity", "blocking").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
+
+
+def val31_registration(spark, sf_dir):
+    """Which documents may be registered, and with unresolved meaning allowed."""
+    entries, found = parse.entries(_parsed(spark, sf_dir)), _validated(spark, sf_dir)
+    open_ = rules.decision(entries, found, allow_unresolved=True).select("doc_id", F.col("accepted").alias("accepted_open"), F.col("n_blocking").alias("n_blocking_open"))
+    return rules.decision(entries, found).join(open_, "doc_id")
+
+
 def exp17_strict(spark, sf_dir):
     blocking = _findings(spark, sf_dir).where("code in ('BIB-SEMANTIC-006', 'BIB-SEMANTIC-101')")
     out = generate.strict(generate.exported(_named(_described(spark, sf_dir))), blocking)
@@ -205,8 +221,19 @@ _EXPECTED = "CASE work_type WHEN 'preprint' THEN 'misc' WHEN 'conference' THEN '
 _DOIS = "k % 12 = 0 OR (k % 4 = 0 AND k % 6 = 0)"
 _AMBIGUOUS = f"({_DOIS}) OR (k % 10 = 3 AND k % 6 = 1) OR k % 55 = 0 OR (k % 18 <> 0 AND k % 21 = 0 AND false)"
 _UNRES = "(k % 5 = 0 AND k % 55 <> 0 AND k % 95 = 0)"
+#: Every finding by key: (code, doc_id, e); the others' SQL says where they are.
+_FOUND = [
+    ("BIB-SYNTAX-001", "k % 12 = 0"), ("BIB-SYNTAX-002", "k % 10 IN (3, 8)"), ("BIB-SYNTAX-005", "k % 18 = 0"), ("BIB-SYNTAX-005", "k % 18 = 0"), ("BIB-SYNTAX-006", "k % 16 = 0"), ("BIB-SYNTAX-007", "k % 14 = 0"),
+    ("BIB-SYNTAX-009", "k % 18 = 0"), ("BIB-SEMANTIC-002", "k % 10 = 3"), ("BIB-SEMANTIC-006", "k % 17 = 0"), ("BIB-SEMANTIC-007", "k % 13 = 0"), ("BIB-SEMANTIC-008", f"k % 13 = 0 OR {_UNRES} OR {_AMBIGUOUS}"),
+    ("BIB-SEMANTIC-012", "k % 10 = 8 AND (k % 30 = 28 OR k % 20 = 18)"), ("BIB-SEMANTIC-101", _UNRES), ("BIB-SEMANTIC-102", "k % 55 = 0"), ("BIB-SEMANTIC-106", "k % 6 = 2"),
+]
+_EVERY = f"""{K}, {IDS}, {PRE}, f AS ({" UNION ALL ".join(f"SELECT '{c}' AS code, doc_id, e FROM k WHERE {w}" for c, w in _FOUND)}
+  UNION ALL SELECT 'BIB-SEMANTIC-004', doc_id, e FROM (SELECT *, {_EXPECTED} AS asked FROM wt WHERE work_type <> 'misc') WHERE asked <> et
+  UNION ALL SELECT 'BIB-SEMANTIC-005', doc_id, e FROM ids WHERE scheme IN ('doi', 'arxiv') GROUP BY doc_id, e, k, scheme HAVING count(*) > 1),
+  p AS (SELECT * FROM (VALUES {", ".join(f"('{c}', '{s}', {str(b).lower()})" for c, s, b, _ in rules.POLICY)}) AS t(code, severity, blocking)), g AS (SELECT * FROM f JOIN p USING (code))"""
 
 QUERIES = {
+    "val_all_counts": val_all_counts, "val31_registration": val31_registration,
     "sem15_all_schemes": sem15_all_schemes, "sem17_from_urls": sem17_from_urls, "sem18_preprints": sem18_preprints, "sem19_work_types": sem19_work_types, "sem20_repository_names": sem20_repository_names,
     "sem23_ambiguities": sem23_ambiguities, "sem25_raw_fields": sem25_raw_fields, "sem28_repositories": sem28_repositories, "sem31_entry_source": sem31_entry_source, "sem32_shredded": sem32_shredded,
     "sem06_people": sem06_people, "sem02_macros": sem02_macros, "val08_inline_comment": finding("BIB-SYNTAX-007"), "val10_macro_specials": val10_macro_specials, "val12_arxiv_prefix": finding("BIB-SEMANTIC-002"),
@@ -236,6 +263,9 @@ ORACLES = {
     "sem02_macros": f"""WITH {K} SELECT doc_id, e AS entry_idx, 'month' AS lname, 'March' AS resolved, 'March' AS candidates, '' AS unresolved FROM k WHERE k % 10 = 1
       UNION ALL SELECT doc_id, e, 'journal', 'Venue A Prime', 'Venue A|Venue A Prime', '' FROM k WHERE k % 55 = 0 UNION ALL SELECT doc_id, e, 'journal', NULL, '', 'nosuch' FROM k WHERE {_UNRES}
       UNION ALL SELECT doc_id, e, 'note', 'R & D', 'R & D', '' FROM k WHERE k % 18 <> 0 AND k % 21 = 0""",
+    "val_all_counts": f"WITH {_EVERY} SELECT code, severity, blocking, count(*) AS n, count(DISTINCT doc_id) AS docs FROM g GROUP BY ALL",
+    "val31_registration": f"""WITH {_EVERY}, b AS (SELECT doc_id, count(*) FILTER (blocking OR severity = 'error') AS n, count(*) FILTER ((blocking OR severity = 'error') AND code <> 'BIB-SEMANTIC-008') AS m, bool_or(code = 'BIB-SEMANTIC-008') AS u FROM g GROUP BY doc_id)
+      SELECT DISTINCT doc_id, coalesce(n, 0) AS n_blocking, coalesce(u, false) AS unresolved, coalesce(n, 0) = 0 AS accepted, coalesce(m, 0) = 0 AS accepted_open, coalesce(m, 0) AS n_blocking_open FROM k LEFT JOIN b USING (doc_id)""",
     "val08_inline_comment": _w("k % 14 = 0", "'1'"),
     "val10_macro_specials": f"WITH {K} SELECT doc_id, 'spec' AS macro, '&' AS char, count(*) AS n_fields FROM k WHERE k % 18 <> 0 AND k % 21 = 0 GROUP BY doc_id",
     "val12_arxiv_prefix": _w("k % 10 = 3", f"'2102.' || {_N5}"),

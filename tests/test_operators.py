@@ -235,6 +235,44 @@ def test_scores_match_plain_loops(spark):
     assert [(b["l"], b["r"]) for b in best] == [(4, max((difflib.SequenceMatcher(None, key(titles[4]), key(x[2])).ratio(), -x[0]) for x in recs)[1] * -1)]
 
 
+def test_sweep_finds_every_conflict(spark):
+    import random
+    import time
+
+    r = random.Random(6)
+    rows = [(d, f"f{r.randrange(40):02}", s, s + r.choice([0, 0, 1, 2, 9])) for d in range(3) for s in (r.randrange(30) for _ in range(60))]
+    expected = []
+    for i, a in enumerate(rows):
+        for b in rows[i + 1 :]:
+            touch = a[2] == a[3] == b[2] == b[3]
+            if a[0] == b[0] and a[1] != b[1] and (touch or (a[2] < b[3] and b[2] < a[3])):
+                x, y = sorted((a[1:], b[1:]))
+                expected.append((a[0], *x, *y))
+    schema = "doc_id long, fix_id string, start long, end long"
+    assert sorted(map(tuple, fixes.conflicts(spark.createDataFrame(rows, schema)).collect())) == sorted(expected)
+    many = spark.range(200_000).select(F.lit(1).alias("doc_id"), F.concat(F.lit("f"), "id").alias("fix_id"), (F.col("id") * 3).alias("start"), (F.col("id") * 3 + 2).alias("end"))
+    began = time.time()
+    assert fixes.conflicts(many).count() == 0
+    assert time.time() - began < 30
+
+
+def test_fix_ids_keep_numbers_apart_and_in_order(spark):
+    numbers = [0, 9, 10, 9999, 10_000, 10_001, 99_999, 100_000, 1_000_000]
+    rows = spark.createDataFrame([(n,) for n in numbers], "n long")
+    assert [r["n"] for r in rows.orderBy(fixes.fix_id(F.lit("C"), F.lit(1), F.col("n"))).collect()] == numbers
+    big = [1, 999_999_999, 1_000_000_000, 20_000_000_000]
+    assert [r["n"] for r in spark.createDataFrame([(n,) for n in big], "n long").orderBy(fixes.fix_id(F.lit("C"), F.col("n"), F.lit(0))).collect()] == big
+
+
+def test_cycles_of_any_length(spark):
+    from bibspark.operators import semrules
+
+    rows = [(f"p{i}", f"p{(i + 1) % 130}") for i in range(130)] + [(f"q{i}", f"q{i + 1}") for i in range(300)] + [("r", "p0"), ("own", "own"), ("a", "b"), ("b", "a"), ("none", None)]
+    got = {r["profile"] for r in semrules.inheritance_cycles(spark.createDataFrame(rows, "profile string, parent string")).collect()}
+    assert got == {f"p{i}" for i in range(130)} | {"own", "a", "b"}
+    assert semrules.inheritance_cycles(spark.createDataFrame([("x", None)], "profile string, parent string")).count() == 0
+
+
 def test_near_titles_match_a_loop_over_all_pairs(spark):
     import difflib
 
