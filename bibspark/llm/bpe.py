@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -27,7 +28,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Where cutting at single spaces would split a run of white space: a space after white space and before white space or the end.
 UNSAFE = regex.compile(r"\s\x20(?:\s|\Z)")
 #: Bytes that a cache of chunks may take, about, each entry with its overhead; longer chunks than `CACHED` are not kept.
-CACHE, ENTRY = 60_000_000, 160
+CACHE, ENTRY = 30_000_000, 160
 CACHED = 200
 #: Words over so many bytes are merged by neighbourhoods.
 LONG = 400
@@ -181,7 +182,7 @@ class Chunks:
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.flat, self.length, self.held = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), 0
+        self.flat, self.length, self.held = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64), 0
 
     def ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all chunks, one after the other, and how many each has."""
@@ -197,18 +198,18 @@ class Chunks:
             keep = sum(len(c) <= CACHED for c in new)
             index.update(zip(new, range(base, base + len(new)), strict=True))
             more, count = self.encode_new(new)
-            flat, length = np.concatenate([flat, more]), np.concatenate([length, count])
+            flat, length = np.concatenate([flat, more.astype(np.int32)]), np.concatenate([length, count])
             self.offset = np.cumsum(length) - length
         at = np.fromiter(map(index.__getitem__, chunks), dtype=np.int64, count=len(chunks))
         size = length[at]
-        out = flat[gather(self.offset[at], size)]
+        out = flat[gather(self.offset[at], size)].astype(np.int64)
         if new:
             for c in new[keep:]:
                 del index[c]
             before = len(self.flat)
             self.length = length[: base + keep]
             self.flat = flat[: int(self.length.sum())].copy()
-            self.held += 8 * (len(self.flat) - before) + ENTRY * keep + sum(map(len, new[:keep]))
+            self.held += 4 * (len(self.flat) - before) + ENTRY * keep + sum(map(len, new[:keep]))
         return out, size
 
 
@@ -265,16 +266,16 @@ class Encoder:
         return flat, np.bincount(owner, weights=length, minlength=len(texts)).astype(np.int64)
 
 
-def groups(texts: list[str], most: int = GROUP_CHARS) -> Iterator[tuple[int, int]]:
-    """Consecutive ranges of at most `most` characters, one text at least."""
+def groups(sizes: list[int], most: int = GROUP_CHARS) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges of texts of these sizes, at most `most` together, one text at least."""
     start, size = 0, 0
-    for i, t in enumerate(texts):
-        if i > start and size + len(t) > most:
+    for i, n in enumerate(sizes):
+        if i > start and size + n > most:
             yield start, i
             start, size = i, 0
-        size += len(t)
-    if start < len(texts):
-        yield start, len(texts)
+        size += n
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def decode(m: dict, ids: np.ndarray) -> bytes:
@@ -294,9 +295,9 @@ def encode_docs(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
         names = [doc_id, "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 4 + with_ids]
         types = [pa.int64(), pa.string(), pa.string(), pa.binary()]
         for batch in batches:
-            texts, ids_of = [t or "" for t in batch.column(1).to_pylist()], batch.column(0).cast(pa.int64())
-            for a, b in groups(texts):  # a batch goes out in groups, so that its ids are never held together
-                flat, length = enc.texts(texts[a:b])
+            column, ids_of = batch.column(1), batch.column(0).cast(pa.int64())
+            for a, b in groups(pc.binary_length(column).fill_null(0).to_pylist()):  # a batch is read and goes out in groups: its texts and ids are never held together
+                flat, length = enc.texts([t or "" for t in column.slice(a, b - a).to_pylist()])
                 ends, rows = np.cumsum(length), []
                 for e, n in zip(ends.tolist(), length.tolist(), strict=True):
                     ids = flat[e - n : e]

@@ -367,7 +367,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", te
 
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in groups(texts):
+            for a, b in groups([len(t) for t in texts]):
                 flat, length = tokens.texts(texts[a:b])
                 ends = np.cumsum(length)
                 for name, e, n in zip(names[a:b], ends.tolist(), length.tolist(), strict=True):
