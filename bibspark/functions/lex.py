@@ -166,8 +166,19 @@ def _in_comment(b: bytes, at: int) -> bool:
     return b[line:at].lstrip(b" \t").startswith(b"%")
 
 
-def parse(source: str) -> list[dict]:
+def parse(source: str, before: str = "") -> list[dict]:
+    """The blocks of a source; macros that `before` defines, as if it stood in front, have their values here too."""
     b = source.encode("utf-8")
+    blocks = cut(b)
+    for block in blocks:
+        if block["kind"] == "entry":
+            block["comments"] = inline_comments(b, block)
+    outer = before.encode("utf-8")
+    return resolve(b, blocks, [(outer, cut(outer))] if outer else [])
+
+
+def cut(b: bytes) -> list[dict]:
+    """Blocks with their fields and atoms, nothing resolved."""
     blocks: list[dict] = []
     done = at = 0
     while True:
@@ -189,11 +200,7 @@ def parse(source: str) -> list[dict]:
         blocks += _text(b, done, at)
         blocks.append(block)
         done = at = end
-    blocks += _text(b, done, len(b))
-    for block in blocks:
-        if block["kind"] == "entry":
-            block["comments"] = inline_comments(b, block)
-    return resolve(b, blocks)
+    return blocks + _text(b, done, len(b))
 
 
 #: Values kept of a macro that is defined more than once, and the longest expansion in characters.
@@ -206,12 +213,13 @@ class Macros:
     Each name is worked out once. A name that leads back to itself, or deeper than `DEPTH`, or grows beyond `LONGEST`, has no value.
     """
 
-    def __init__(self, b: bytes, blocks: list[dict]):
-        self.b, self.defined, self.known = b, {}, {}
-        for block in blocks:
-            if block["kind"] == "string":
-                for f in block["fields"]:
-                    self.defined.setdefault(f["name"].strip().lower(), []).append(f["atoms"])
+    def __init__(self, parts: list[tuple[bytes, list[dict]]]):
+        self.defined, self.known = {}, {}
+        for b, blocks in parts:
+            for block in blocks:
+                if block["kind"] == "string":
+                    for f in block["fields"]:
+                        self.defined.setdefault(f["name"].strip().lower(), []).append((b, f["atoms"]))
 
     def name(self, raw: str, depth: int) -> tuple[str | None, list[str], list[str]]:
         """(selected value, candidates, names without a value)."""
@@ -222,15 +230,15 @@ class Macros:
             return None, [], [raw]
         if low not in self.known:
             self.known[low] = (None, [], [low])  # what a cycle finds
-            found = [self.value(atoms, depth + 1) for atoms in self.defined[low]]
+            found = [self.value(b, atoms, depth + 1) for b, atoms in self.defined[low]]
             every = distinct([c for _, cs, _ in found for c in cs], str.strip)
             self.known[low] = (found[-1][0], every[:CANDIDATES], distinct([u for *_, us in found for u in us]))
         return self.known[low]
 
-    def value(self, atoms: list[dict], depth: int = 0) -> tuple[str | None, list[str], list[str]]:
+    def value(self, b: bytes, atoms: list[dict], depth: int = 0) -> tuple[str | None, list[str], list[str]]:
         chosen, every, lost = "", [""], []
         for a in atoms:
-            raw = self.b[a["content_start"] : a["content_end"]].decode("utf-8", "replace")
+            raw = b[a["content_start"] : a["content_end"]].decode("utf-8", "replace")
             if a["kind"] == "macro":
                 one, some, missing = self.name(raw, depth)
                 lost += missing
@@ -246,12 +254,12 @@ def distinct(values: list[str], key=lambda x: x) -> list[str]:
     return [v for v in dict.fromkeys(map(key, values)) if v]
 
 
-def resolve(b: bytes, blocks: list[dict]) -> list[dict]:
+def resolve(b: bytes, blocks: list[dict], before: list[tuple[bytes, list[dict]]]) -> list[dict]:
     """Give every field its text with macros expanded, the other values it may have, the macros without one, and names as people."""
-    macros = Macros(b, blocks)
+    macros = Macros([*before, (b, blocks)])
     for block in blocks:
         for f in block.get("fields", []):
-            f["resolved"], every, f["unresolved"] = macros.value(f["atoms"])
+            f["resolved"], every, f["unresolved"] = macros.value(b, f["atoms"])
             f["candidates"] = distinct(every, str.strip) if any(a["kind"] == "macro" for a in f["atoms"]) else []
             if block["kind"] == "entry" and f["name"].lower() in PEOPLE_FIELDS:
                 f["people"] = people(f["resolved"] or "")

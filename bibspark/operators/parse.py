@@ -20,20 +20,25 @@ _BLOCK = pa.schema([("doc_id", pa.int64()), ("block_idx", pa.int32()), ("entry_i
 
 
 def blocks(docs: DataFrame) -> DataFrame:
-    """One row for each block of (doc_id, source)."""
+    """One row for each block of (doc_id, source). With a column `before`, macros defined there have values; with a column `part`, a
+    document is given in parts, each lexed by itself, and rows have the part too."""
+    has = [c for c in ("before", "part") if c in docs.columns]
+    names = [*_BLOCK.names, *(["part"] if "part" in has else [])]
+    schema = pa.schema([*_BLOCK, ("part", pa.int64())]) if "part" in has else _BLOCK
 
     def run(batches):
         for batch in batches:
             rows = []
-            for doc, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            cols = dict(zip(batch.schema.names, (c.to_pylist() for c in batch.columns), strict=True))
+            for k, (doc, source) in enumerate(zip(cols["doc_id"], cols["source"], strict=True)):
                 entry = 0
-                for i, block in enumerate(lex.parse(source or "")):
+                for i, block in enumerate(lex.parse(source or "", (cols["before"][k] or "") if "before" in cols else "")):
                     is_entry = block["kind"] == "entry"
-                    rows.append({**{n: None for n in _BLOCK.names}, **block, "doc_id": doc, "block_idx": i, "entry_idx": entry if is_entry else None, "fields": block.get("fields", [])})
+                    rows.append({**{n: None for n in names}, **block, "doc_id": doc, "block_idx": i, "entry_idx": entry if is_entry else None, "fields": block.get("fields", []), **({"part": cols["part"][k]} if "part" in cols else {})})
                     entry += is_entry
-            yield pa.RecordBatch.from_pylist(rows, schema=_BLOCK)
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return docs.select("doc_id", "source").mapInArrow(run, BLOCK)
+    return docs.select("doc_id", "source", *[F.col(c).cast("long") if c == "part" else c for c in has]).mapInArrow(run, BLOCK + (", part bigint" if "part" in has else ""))
 
 
 def entries(parsed: DataFrame) -> DataFrame:

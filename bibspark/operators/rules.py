@@ -9,7 +9,7 @@ from ..functions import normalize as N
 from .semantic import first, records
 
 DIAGNOSTIC = "array<struct<code:string,start:bigint,end:bigint,replacement:string,applicability:string,group:int>>"
-# The default policy, (code, severity, blocking, enabled). A code without a row is a warning that doesn't block.
+# The default policy, (code, severity, blocking, enabled), a row for each code that rules give.
 POLICY = (
     ("BIB-SYNTAX-001", "error", True, True), ("BIB-SYNTAX-002", "warning", False, True), ("BIB-SYNTAX-004", "warning", False, True), ("BIB-SYNTAX-005", "warning", False, True),
     ("BIB-SYNTAX-006", "hint", False, True), ("BIB-SYNTAX-007", "warning", True, True), ("BIB-SYNTAX-009", "warning", False, True), ("BIB-SEMANTIC-001", "warning", False, True),
@@ -65,9 +65,9 @@ def entry_rules() -> Column:
     )
 
 
-def in_entries(entries: DataFrame) -> DataFrame:
-    """(doc_id, entry_idx, code, start, end, replacement, applicability, group)."""
-    return entries.select("doc_id", "entry_idx", F.explode(entry_rules()).alias("d")).select("doc_id", "entry_idx", "d.*")
+def in_entries(entries: DataFrame, *keep: str) -> DataFrame:
+    """(doc_id, entry_idx, keep..., code, start, end, replacement, applicability, group)."""
+    return entries.select("doc_id", "entry_idx", *keep, F.explode(entry_rules()).alias("d")).select("doc_id", "entry_idx", *keep, "d.*")
 
 
 def duplicates(entries: DataFrame, what: str) -> DataFrame:
@@ -110,9 +110,8 @@ def found(entries: DataFrame, registry: DataFrame | None = None, url_policy: str
 
 
 def stamped(diagnostics: DataFrame, rules: DataFrame) -> DataFrame:
-    """Diagnostics of enabled rules with severity and blocking; a code that the policy doesn't name is a warning."""
-    known = diagnostics.join(rules, "code", "left")
-    return known.where(F.coalesce("enabled", F.lit(True))).withColumns({"severity": F.coalesce("severity", F.lit("warning")), "blocking": F.coalesce("blocking", F.lit(False))}).drop("enabled")
+    """Diagnostics of enabled rules with severity and blocking; the policy has a row for each code that counts."""
+    return diagnostics.join(rules.where("enabled"), "code").drop("enabled")
 
 
 def validate(entries: DataFrame, rules: DataFrame, registry: DataFrame | None = None, url_policy: str = "discourage") -> DataFrame:

@@ -112,6 +112,47 @@ def test_safe_fixes_reach_a_fixed_point(spark):
     assert fixes.fixed_point(docs.where("doc_id = 1"), most=1).first().status == "pass_limit"
 
 
+def test_the_policy_names_every_code_and_meaning_blocks(spark):
+    from bibspark.operators import identity, semrules
+
+    source = "@string{m = {A}}\n@string{m = {B}}\n" + "\n".join(["@article{a, author = {and}, title = {t}, year = 2000, journal = nosuch}", "@book{b, author = {X}, title = m, year = 2000, date = {1999-01}, url = {nowhere}, eprint = {arXiv:2001.00001}, archiveprefix = {arXiv}}", "@misc{c, title = {x}, TITLE = {y},\n % note\n doi = {10.1234/a}, DOI = {10.1234/b}, eprint = {z1}, archiveprefix = {Zork}}", "@misc{c, title = {fine}, author = {Ann Lee}, year = 2000}"])
+    entries = parse.entries(parse.blocks(spark.createDataFrame([(1, source), (2, "@misc{ok, title = {t}, author = {Ann Lee}, year = {2000},}"), (3, "@misc{p, title = {t}, author = {and}, year = {2000},}"), (4, "text only")], "doc_id long, source string")))
+    registry = spark.createDataFrame([("hal", "HAL", "HAL", "^x$", "https://a/{identifier}")], "alias string, name string, archive_prefix string, pattern string, url_template string")
+    given = {r["code"] for r in rules.found(entries, registry).select("code").distinct().collect()} | {r["code"] for r in semrules.findings(identity.repositories(identity.described(entries), registry)).select("code").distinct().collect()}
+    assert given <= {c for c, *_ in rules.POLICY} and len(given) > 12
+    got = {r["doc_id"]: r for r in rules.decision(entries, rules.validate(entries, rules.policy(spark), registry)).collect()}
+    assert {d: r["accepted"] for d, r in got.items()} == {1: False, 2: True, 3: False}  # a document without records isn't listed
+    assert got[3]["n_blocking"] >= 1
+
+
+def test_incremental_fixes_equal_the_whole_way(spark):
+    import random
+
+    r = random.Random(9)
+    fields = ['TITLE="a"', 'year = "1\n2"', 'doi="https://doi.org/10.1234/x"', "journal = ven", 'note = "two\n {x} lines"', "x = {y", 'Author = "é" # ven', "year = 3"]
+
+    def entry(i):
+        return f"@misc{{k{i}, " + ", ".join(r.choice(fields) for _ in range(r.randrange(5))) + r.choice(["}", ",}", ", % c\n}"])
+
+    docs = [(i, r.choice(["", "text % @x\n", '@string{ven = {V} # "W"}\n']) + r.choice(["\n", "\n\n% note\n", " ", ""]).join(entry(j) for j in range(r.randrange(6)))) for i in range(60)] + [(60, None), (61, "no entries"), (62, HARD), (63, '@misc{k, TITLE="a",\n  year = "1\n2", doi="https://doi.org/10.1234/x"}')]
+    frame = spark.createDataFrame(docs, "doc_id long, source string")
+    whole = {x["doc_id"]: tuple(x) for x in fixes.fixed_point(frame).select("doc_id", "source", "passes", "n_edits", "status").collect()}
+    got = {x["doc_id"]: x for x in fixes.incremental(frame).collect()}
+    assert {d: tuple(x)[:5] for d, x in got.items()} == whole
+    assert {x[2] for x in whole.values()} >= {0, 1, 2}
+    limited = fixes.incremental(frame.where("doc_id = 63"), most=1).first()
+    assert (limited["status"], limited["source"]) == ("pass_limit", fixes.fixed_point(frame.where("doc_id = 63"), most=1).first()["source"])
+
+
+def test_one_edit_lexes_one_entry(spark):
+    entries = [f"@misc{{k{i},\n  title = {{t{i}}},\n}}" for i in range(1000)]
+    entries[500] = "@misc{k500,\n  TITLE = {t500},\n}"
+    source = "\n\n".join(entries)
+    out = fixes.incremental(spark.createDataFrame([(1, source)], "doc_id long, source string")).first()
+    assert out["source"] == source.replace("TITLE", "title") and out["passes"] == out["n_edits"] == 1
+    assert out["lexed"] == len(source) + len(entries[500])
+
+
 def test_validation_order_and_policy(spark):
     docs = spark.createDataFrame([(1, "@article{k, TITLE = \"x\", title = {y}, year={1}}")], "doc_id long, source string")
     out = rules.validate(parse.entries(parse.blocks(docs)), rules.policy(spark)).orderBy("place").collect()
