@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import normalize as N
 from ..operators import export, fixes, parse, rules, semantic
-from ..sources import corpus, table
+from ..operators.storage import new_folder
+from ..sources import corpus, pieces, table
 
 P = corpus.PER_DOC
 #: The columns of `part` that the SQL needs, by key.
@@ -139,6 +140,20 @@ def fix05_incremental(spark, sf_dir):
     return done.select("doc_id", "passes", F.col("n_edits").cast("long").alias("n_edits"), "status", F.sha2("source", 256).alias("sha256"))
 
 
+#: Files that the documents are written to, each with every fourth of them.
+FILES = 4
+
+
+def src02_lint(spark, sf_dir):
+    """Findings by file and code: the documents are written to a few files, which are read in splits and lexed in pieces, in file order."""
+    folder = new_folder(spark, "bib")
+    shard = (F.col("doc_id") % FILES).alias("shard")
+    docs = corpus.documents(spark, sf_dir).select("doc_id", shard, "source").repartition(FILES, "shard").sortWithinPartitions("shard", "doc_id")
+    docs.select("shard", F.col("source").alias("value")).write.partitionBy("shard").text(folder)
+    found = rules.in_entries(parse.entries(parse.blocks(pieces.read(spark, folder))))
+    return found.groupBy(F.col("doc_id").alias("file"), "code").agg(F.count("*").alias("n"))
+
+
 def jon14_overlaps(spark, sf_dir):
     """Overlapping intervals of each user's events, as edits of a document: a third are insertions at round seconds, others last as many seconds as their value says."""
     e = table(spark, sf_dir, "events")
@@ -204,7 +219,7 @@ QUERIES = {
     "val_counts": val_counts, "val01_duplicate_field": val_rule("BIB-SYNTAX-001"), "val02_field_case": val_rule("BIB-SYNTAX-002"), "val04_trailing_comma": val_rule("BIB-SYNTAX-004"),
     "val05_quoted": val_rule("BIB-SYNTAX-005"), "val11_doi_prefix": val_rule("BIB-SEMANTIC-001"), "val13_required_data": val_rule("BIB-SEMANTIC-003"),
     "val20_duplicate_key": val20("key"), "val20_duplicate_doi": val20("doi"), "val20_duplicate_arxiv": val20("arxiv"), "val24_required": val24_required, "val25_forbidden": val25_forbidden,
-    "val28_order": val28_order, "win05_ordinals": win05_ordinals, "val31_decision": val31_decision, "agg09_codes": agg09_codes, "fix02_conflicts": fix02_conflicts, "jon14_overlaps": jon14_overlaps, "fix04_apply": fix04_apply, "fix05_fixed_point": fix05_fixed_point, "fix05_incremental": fix05_incremental,
+    "val28_order": val28_order, "win05_ordinals": win05_ordinals, "val31_decision": val31_decision, "agg09_codes": agg09_codes, "fix02_conflicts": fix02_conflicts, "jon14_overlaps": jon14_overlaps, "fix04_apply": fix04_apply, "src02_lint": src02_lint, "fix05_fixed_point": fix05_fixed_point, "fix05_incremental": fix05_incremental,
     "fix06_diff": fix06_diff, "exp14_serialize": exp14_serialize, "exp01_documents": exp_documents,
 }
 ORACLES = {
@@ -242,4 +257,5 @@ ORACLES = {
       CASE WHEN k % 3 = 2 THEN ',' || chr(10) || '  archiveprefix = {{arXiv}},' || chr(10) || '  eprint = {{2001.' || lpad((k % 100000)::VARCHAR, 5, '0') || 'v2}}' ELSE '' END || ',' || chr(10) || '}}' AS bibtex FROM b""",
     "exp01_documents": f"""WITH {BASE} SELECT doc_id, sha256(string_agg('@' || et || '{{' || ck || ',' || chr(10) || '  title = {{' || regexp_replace(p_name, '\\s+', ' ', 'g') || '}},' || chr(10) || '  doi = {{' || {_RAW_DOI} || '}}' || chr(10) || '}}', chr(10) || chr(10) ORDER BY k)) AS sha256 FROM b GROUP BY doc_id""",
 }
+ORACLES["src02_lint"] = f"WITH {BASE} SELECT doc_id % {FILES} AS file, code, sum(n)::BIGINT AS n FROM ({' UNION ALL '.join(f"SELECT doc_id, '{c}' AS code, {n} AS n FROM b" for c, n in FIRES.items())}) GROUP BY ALL HAVING sum(n) > 0"
 ORACLES["fix05_incremental"] = ORACLES["fix05_fixed_point"]

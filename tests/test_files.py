@@ -61,3 +61,35 @@ def test_specials_beyond_the_list_are_counted(spark):
 
     rows = texscan.occurrences(spark.createDataFrame([(1, "a & " * 300), (2, "b & c")], "id long, text string")).collect()
     assert sorted((r.id, r.omitted) for r in rows if r.verdict == "omitted") == [(1, 44)] and len(rows) == 256 + 1 + 1
+
+
+def test_split_files_give_the_entries_of_whole_files(spark, tmp_path):
+    import gzip
+    import random
+
+    from bibspark.functions import lex
+    from bibspark.operators import parse
+    from bibspark.sources import pieces
+
+    r = random.Random(3)
+    odd = ["@misc{a, note = {line\n@misc{inside, x = {1}}\nend}}", "@misc{open, title = {never closed", "@misc{q, t = \"two\n@book{in quotes}\n lines\"}", "text @ here", "% @misc{hidden}", "@string{v = {Ven é}}", "@misc{m, journal = v}", "@comment{x\n@misc{c1,}\n}", "@misc{two, a = 1} @misc{three, b = 2}", "@misc{late, d = {a\n@x{\n@y{\n@z{ } } }\n}}"]
+    texts = ["\n".join(r.choice(odd) if r.random() < 0.4 else f"@article{{k{i},\n  title = {{T {i} " + "é" * r.randrange(60) + "},\n  year = 2000,\n}" for i in range(n)) + r.choice(["", "\n"]) for n in (0, 1, 3, 300, 40)]
+    for i, t in enumerate(texts):
+        (tmp_path / f"f{i}.bib").write_text(t, newline="")
+    with gzip.open(tmp_path / "f9.bib.gz", "wt") as f:
+        f.write(texts[3])
+    expected = []
+    for d, t in enumerate([t for t in texts if t] + [texts[3]]):
+        expected += [(d, b["citation_key"], b["start"], b["end"], str([(f["name"], f["resolved"]) for f in b["fields"]])) for b in lex.parse(t if t.endswith("\n") else t + "\n") if b["kind"] == "entry"]
+    for size in ("1g", "97", "1500"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        try:
+            read = pieces.read(spark, str(tmp_path))
+            rows = read.withColumnRenamed("start", "at")
+            got = parse.blocks(rows).where("kind = 'entry'").join(rows.select("doc_id", "part", "at"), ["doc_id", "part"]).collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        assert sorted((x["doc_id"], x["citation_key"], x["start"] + x["at"], x["end"] + x["at"], str([(f["name"], f["resolved"]) for f in x["fields"]])) for x in got) == sorted(expected), size
+    assert pieces.read(spark, str(tmp_path), since="2999-01-01T00:00:00").count() == 0
