@@ -15,7 +15,7 @@ Each list gives edges from its sets to its first set only, so long lists cost th
 such edges connect, a dense group (near copies, which share most lists) is verified as a whole, a loose one (a chain of sets that
 share a list here and there) list by list, whichever compares and ships less; in the second way two sets count only in the first
 list that they share. Either way sets are put in order of size, in blocks of at most about `block` sets or `elements` elements,
-fewer in groups that would make less than 32 blocks; every pair of blocks whose sizes fit is one unit of work, which counts all
+fewer in groups that would make less than `BLOCKS` blocks; every pair of blocks whose sizes fit is one unit of work, which counts all
 overlaps exactly (a product of incidence matrices) and returns one row per set. No pair of documents leaves a task, and no list,
 family or component has to fit in one.
 
@@ -42,8 +42,8 @@ from .hashing import fingerprint, second_fingerprint
 SHINGLE = 5
 PERCENT = 75
 EXTRA = 0.2
-#: A block holds about this many sets and elements at most.
-BLOCK, ELEMENTS = 512, 500_000
+#: A block holds about this many sets and elements at most; a group makes at least so many blocks, for its pairs to be dealt out.
+BLOCK, ELEMENTS, BLOCKS = 512, 1_000_000, 12
 #: Sizes above this are heavy whatever the cost says; bounds the histogram that the driver reads.
 LIGHT_MOST = 64
 _INT64 = np.int64
@@ -376,7 +376,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: i
     by_size = members.groupBy("root", "n").agg(F.count("*").alias("c"))
     of_root = Window.partitionBy("root")  # a row for each size of a group
     base = F.sum(F.col("c") * cost).over(of_root.orderBy("n")) - F.col("c") * cost
-    room = F.least(F.lit(elements), F.greatest(F.lit(elements // 8), F.ceil(F.sum(F.col("c") * cost).over(of_root) / 32)))
+    room = F.least(F.lit(elements), F.greatest(F.lit(elements // 8), F.ceil(F.sum(F.col("c") * cost).over(of_root) / BLOCKS)))
     by_size = by_size.select("root", "n", "c", base.alias("base"), room.alias("room"))
     slot = F.pmod(F.xxhash64("cls"), F.col("c"))
     placed = cut(members.join(by_size, ["root", "n"]).withColumn("blk", F.floor((F.col("base") + slot * cost) / F.col("room")).cast("int")).select("root", "fp", "fq", "n", "cls", "doc", "th", "weight", "mine", "blk"))
@@ -396,8 +396,9 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: i
 
     needed = side(placed.select(F.col("doc").alias("own_doc"), F.col("th").alias("own_th")).distinct(), small)
     full = inputs.join(needed, inputs["doc"].eqNullSafe(F.col("own_doc")) & (inputs["th"] == F.col("own_th")), "left_semi").select("text").mapInArrow(full_sets, "n long, fp long, fq long, elements binary")
-    whole = full.join(placed, ["fp", "fq", "n"]).select("root", "blk", "cls", "weight", "elements", "mine")
-    work = whole.join(sides, ["root", "blk"]).select("pair", "cls", "weight", "side", "elements", "root", "mine")
+    # where each set goes is worked out before its elements are read, which then move once
+    sent = cut(placed.join(sides, ["root", "blk"]).select("fp", "fq", "n", "pair", "cls", "weight", "side", "root", "mine"))
+    work = full.join(side(sent, small), ["fp", "fq", "n"]).select("pair", "cls", "weight", "side", "elements", "root", "mine")
     links = cut(verified(work, percent))
 
     count = links.groupBy("cls").agg(F.sum("links").alias("links"))
