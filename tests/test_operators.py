@@ -387,3 +387,50 @@ def test_matching_rules(spark):
     assert reconstruct.group_score(groups).first()["score"] == 1.0
     asked = reconstruct.providers_to_ask(spark.createDataFrame([(1, "see arXiv:2001.00001"), (2, "plain"), (3, None)], "ref_id int, text string"), spark.createDataFrame([("crossref", 0), ("arxiv", 1)], "source string, ord int"))
     assert sorted((r["ref_id"], r["source"]) for r in asked.collect()) == [(1, "arxiv"), (2, "arxiv"), (2, "crossref"), (3, "arxiv"), (3, "crossref")]
+
+
+def keyed_events(n, seed):
+    import random
+
+    r, out = random.Random(seed), []
+    for i in range(n):
+        kind = r.choice(["request", "verify", "verify", "verify", "create", "consume", "consume"])
+        out.append((r.choice(["a", "b", "c", None]), r.randrange(4000) * 1_000_000 + r.randrange(3), i, kind, r.choice(["u1", "u2"]), r.choice(["x", "y"])))
+    return out
+
+
+def test_challenges_and_pending_requests(spark):
+    from bibspark.streaming import states
+
+    s = 1_000_000
+    rows = [("a", 0, 0, "verify", "u", "x"), ("a", 1 * s, 1, "request", "u", "x"), ("a", 61 * s, 2, "request", "u", "y"), ("a", 62 * s, 3, "request", "u", "z"), ("a", 63 * s, 4, "verify", "u", "x"), ("a", 64 * s, 5, "verify", "u", "z"), ("a", 65 * s, 6, "verify", "u", "z")]
+    rows += [("b", 0, 10, "request", "u", "x")] + [("b", k * s, 10 + k, "verify", "u", "no") for k in range(1, 7)] + [("c", 0, 20, "request", "u", "x"), ("c", 600 * s, 21, "verify", "u", "x"), ("d", 0, 30, "request", "u", "x"), ("d", 599 * s, 31, "verify", "u", "x"), ("d", 599 * s, 32, "other", "u", "x")]
+    got = {r["id"]: r["status"] for r in states.fold(spark.createDataFrame(rows, states.EVENT), "challenge").collect()}
+    assert got == {0: "none", 1: "accepted", 2: "cooldown", 3: "accepted", 4: "wrong", 5: "ok", 6: "none", 10: "accepted", 11: "wrong", 12: "wrong", 13: "wrong", 14: "wrong", 15: "ended", 16: "none", 20: "accepted", 21: "none", 30: "accepted", 31: "ok", 32: "unknown"}
+    rows = [("r", 0, 0, "consume", "u", None), ("r", s, 1, "create", "u", None), ("r", 2 * s, 2, "consume", "v", None), ("r", 3 * s, 3, "consume", "u", None), ("r", 4 * s, 4, "consume", "u", None), ("q", 0, 5, "create", "u", None), ("q", 900 * s, 6, "consume", "u", None)]
+    got = {r["id"]: r["status"] for r in states.fold(spark.createDataFrame(rows, states.EVENT), "pending").collect()}
+    assert got == {0: "expired", 1: "created", 2: "wrong_user", 3: "ok", 4: "expired", 5: "created", 6: "expired"}
+
+
+def test_streams_of_keyed_events_equal_the_fold(spark, tmp_path):
+    import random
+
+    from bibspark import streaming
+    from bibspark.streaming import states
+
+    rows = keyed_events(300, 5)
+    random.Random(1).shuffle(rows)
+    end = [("~", 100_000 * 1_000_000, 10_000, "end", None, None)]  # lets the watermark pass all others
+    frame = spark.createDataFrame(rows + end, states.EVENT).where("key is not null")
+    folder = str(tmp_path / "in")
+    for part in (rows[:120], rows[120:], end):
+        spark.createDataFrame(part, states.EVENT).where("key is not null").coalesce(1).write.mode("append").parquet(folder)
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    for what in ("challenge", "pending"):
+        expected = sorted(map(tuple, states.fold(frame, what).where("key <> '~'").collect()))
+        source = spark.readStream.schema(states.EVENT).option("maxFilesPerTrigger", 1).parquet(folder)
+        try:
+            got = streaming.drain(states.stream(source, what, "2 hours"), f"keyed_{what}")
+            assert sorted(map(tuple, got.where("key <> '~'").collect())) == expected
+        finally:
+            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
