@@ -36,6 +36,58 @@ def after_last_header(line_rows: DataFrame, header: str) -> DataFrame:
     return line_rows.withColumn("h", last).where("n > h").drop("h")
 
 
+# The lines that end a list of references, the numbers that open one, and the least characters of one.
+SECTION = r"^\s*(?i:acknowledge?ments?|appendix|supplementary|付録)\b"
+NUMBERED = r"^\s*(?:\[[0-9]+\]|[0-9]+[.)])\s*(?=\S)"
+LEAST = 12
+_NAME = r"(?:\p{Lu}[\p{L}'’-]*\.?|van|von|der|den|de|la|del|and|et|al\.?|&)"
+
+
+def reference_block(line_rows: DataFrame, header: str, section: str = SECTION) -> DataFrame:
+    """Lines after the last one that matches `header`, up to the next section; a section right after the header doesn't count."""
+    after = after_last_header(line_rows, header)
+    doc = Window.partitionBy("doc_id")
+    placed = after.withColumn("first", F.min("n").over(doc))
+    ended = placed.withColumn("end", F.min(F.when(F.col("line").rlike(section) & (F.col("n") > F.col("first")), F.col("n"))).over(doc))
+    return ended.where(F.col("end").isNull() | (F.col("n") < F.col("end"))).drop("first", "end")
+
+
+def unnumbered(text: Column) -> Column:
+    """The references of a text that runs them together: each begins with a sentence of names before one that is a year. Initials end no sentence."""
+    names, year = rf"^{_NAME}(?:[,;]?\s+{_NAME})*\.$", r"^(?:19|20)[0-9]{2}[a-z]?\.$"
+    s = F.split(text, r"(?<=\.)(?<!\b\p{Lu}\.)\s+")
+    starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: F.get(s, i).rlike(names) & F.coalesce(F.get(s, i + 1).rlike(year), F.lit(False)))
+    part = lambda p, k: F.array_join(F.slice(s, p + 1, F.coalesce(F.get(starts, k + 1), F.size(s)) - p), " ")
+    return F.when(F.size(starts) <= 1, F.array(text)).otherwise(F.filter(F.transform(starts, part), lambda x: F.char_length(x) >= LEAST))
+
+
+def references(block: DataFrame) -> DataFrame:
+    """(doc_id, entry, text) of the lines of reference blocks: a number or a blank line before opens an entry, other lines go on with it;
+    short ones go, and a block of one entry is taken apart by names and years."""
+    order = Window.partitionBy("doc_id").orderBy("n")
+    clean = block.withColumn("t", F.trim(F.regexp_replace("line", r"\s+", " ")))
+    opens = F.col("t").rlike(NUMBERED) | (F.coalesce(F.lag("t").over(order), F.lit("")) == "")
+    filled = clean.withColumn("opens", opens.cast("int")).where("t <> ''").withColumn("entry", F.sum("opens").over(order))
+    rows = F.sort_array(F.collect_list(F.struct("n", F.regexp_replace("t", NUMBERED, "").alias("t"))))
+    entries = filled.groupBy("doc_id", "entry").agg(F.array_join(F.transform(rows, lambda x: x["t"]), " ").alias("text")).where(F.char_length("text") >= LEAST)
+    several = entries.withColumn("many", F.count("*").over(Window.partitionBy("doc_id")) > 1)
+    parts = several.select("doc_id", "entry", F.posexplode(F.when(F.col("many"), F.array("text")).otherwise(unnumbered(F.col("text")))).alias("k", "text"))
+    return parts.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("entry", "k")).alias("entry"), "text")
+
+
+def embedded_bibtex(html: Column) -> Column:
+    """The first preformatted block, text area or code of a page that begins with an entry, without tags and with its entities resolved; null if there is none."""
+    found = F.regexp_extract_all(html, F.lit(r"(?is)<(pre|textarea|code)\b[^>]*>(.*?)</\1\s*>"), F.lit(2))
+    text = F.transform(found, lambda x: F.regexp_replace(x, r"<[^>]*>", ""))
+
+    def put(entity: str, char: str):
+        return lambda x: F.replace(x, F.lit(entity), F.lit(char))
+
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+        text = F.transform(text, put(entity, char))
+    return F.get(F.filter(text, lambda x: x.rlike(r"^\s*(?:%[^\n]*\n\s*)*@[A-Za-z]+\s*[{(]")), F.lit(0))
+
+
 def grouped_entries(line_rows: DataFrame, start: str) -> DataFrame:
     """(doc_id, entry, text): a line that matches `start` opens an entry, other lines go on with it."""
     order = Window.partitionBy("doc_id").orderBy("n")

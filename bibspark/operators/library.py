@@ -129,3 +129,9 @@ def counters(requests: DataFrame, by: list[str], duration: str) -> DataFrame:
     out = requests.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.sum(duration), 6).alias("total"))
     labels = F.concat_ws(",", *[F.concat(F.lit(f'{b}="'), F.col(b).cast("string"), F.lit('"')) for b in by])
     return out.withColumn("line", F.concat(F.lit("requests_total{"), labels, F.lit("} "), "n"))
+
+
+def users_by_mail(users: DataFrame, offset: int = 0, limit: int = 100) -> DataFrame:
+    """A page of users (id, mail, status) in order of their mail address without case, with their places; ties go to the smaller id."""
+    top = users.withColumn("mail", F.lower("mail")).orderBy("mail", "id").offset(offset).limit(limit)
+    return top.withColumn("place", F.row_number().over(Window.orderBy("mail", "id")) + offset)  # a page of rows

@@ -42,6 +42,18 @@ def identifiers(records: DataFrame) -> DataFrame:
     return records.select("doc_id", "entry_idx", F.posexplode(F.array_distinct(listed)).alias("position", "i")).select("doc_id", "entry_idx", "i.scheme", "i.value", "position")
 
 
+def api_rows_with_links(described: DataFrame) -> DataFrame:
+    """One row for each `identity.described` record: title or key, authors in order, year, first DOI of all, first URL."""
+    from ..functions import normalize as N
+    from . import identity
+    from .semantic import first
+
+    people = F.transform(F.coalesce(first("author")["people"], F.array()), lambda p: p["raw"])
+    dois = identity.of_scheme(F.col("ids"), "doi")
+    title = F.coalesce(N.title_for_display(first("title")["resolved"]), F.col("citation_key"))
+    return described.select("doc_id", "entry_idx", title.alias("title"), F.array_join(people, "; ").alias("authors"), N.year(first("year")["resolved"]).alias("year"), F.get(dois, F.lit(0)).alias("doi"), F.get(identity.urls(), F.lit(0)).alias("url"))
+
+
 def api_rows(records: DataFrame) -> DataFrame:
     """One row for each record: title or key, authors in order, first DOI."""
     return records.select("doc_id", "entry_idx", F.coalesce("title", "citation_key").alias("title"), F.array_join("people.raw", "; ").alias("authors"), "year", "doi")

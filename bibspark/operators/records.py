@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -160,14 +161,32 @@ def artifact(payload: Column) -> Column:
     return F.flatten(F.transform(pages, one))
 
 
-def feed_entries(xml: Column) -> Column:
-    """array<struct<id, title, authors>> of an Atom-like feed, element text flattened; null for a document type, which a safe parser refuses."""
-    plain = lambda c: N.squeeze(F.translate(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"<[^>]*>", ""), "&lt;", "\u0001"), "&gt;", "\u0002"), "&amp;", "&"), "\u0001\u0002", "<>"))
-    inside = lambda e, tag: F.regexp_extract(e, rf"(?s)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>", 1)
-    entries = F.regexp_extract_all(xml, F.lit(r"(?s)<entry(?:\s[^>]*)?>(.*?)</entry>"), F.lit(1))
-    names = lambda e: F.transform(F.regexp_extract_all(e, F.lit(r"(?s)<name(?:\s[^>]*)?>(.*?)</name>"), F.lit(1)), plain)
-    rows = F.transform(entries, lambda e: F.struct(plain(inside(e, "id")).alias("id"), plain(inside(e, "title")).alias("title"), names(e).alias("authors")))
-    return F.when(~xml.rlike(r"(?i)<!DOCTYPE|<!ENTITY"), rows)
+@F.pandas_udf("array<struct<id:string,title:string,authors:array<string>>>")
+def feed_entries(xml: pd.Series) -> pd.Series:
+    """Entries of an Atom-like feed, the text of elements flattened, in any name space. Null for a document type or an entity declaration,
+    which a safe parser refuses, and for what is no XML."""
+    import re
+    from xml.etree import ElementTree
+
+    def local(e) -> str:
+        return e.tag.rpartition("}")[2] if isinstance(e.tag, str) else ""
+
+    def plain(e) -> str | None:
+        return None if e is None else " ".join("".join(e.itertext()).split()) or None
+
+    def entry(e) -> dict:
+        child = lambda n: next((x for x in e if local(x) == n), None)
+        return {"id": plain(child("id")), "title": plain(child("title")), "authors": [plain(x) for x in e.iter() if local(x) == "name"]}
+
+    def parsed(text):
+        if text is None or re.search(r"(?i)<!DOCTYPE|<!ENTITY", text):
+            return None
+        try:
+            return [entry(e) for e in ElementTree.fromstring(text).iter() if local(e) == "entry"]
+        except ElementTree.ParseError:
+            return None
+
+    return xml.map(parsed)
 
 
 def unnumbered_starts(line: Column) -> Column:

@@ -157,8 +157,10 @@ def best(scored: DataFrame, score: str = "score") -> DataFrame:
     return top.select("l", (-F.col("m.x")).alias("r"), F.col(f"m.{score}").alias(score))
 
 
-def status(score: Column) -> Column:
-    return F.when(score >= 0.80, "match").when(score > 0, "weak").otherwise("not_found")
+def status(score: Column, failed: Column | None = None) -> Column:
+    """What a provider's best score means; `failed` tells that the provider could not be asked."""
+    known = F.when(score >= 0.80, "match").when(score > 0, "weak").otherwise("not_found")
+    return known if failed is None else F.when(failed, "api_error").otherwise(known)
 
 
 def comparison_text(s: str) -> str:

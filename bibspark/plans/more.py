@@ -7,8 +7,9 @@ import datetime
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import citations, policy, reconstruct, resolve, semantic
-from ..sources import table
+from ..operators import citations, extract, library, policy, reconstruct, resolve, semantic
+from ..sources import corpus, table
+from ..streaming import states
 from .bibtex import _VENUE, _YEAR, BASE, _diagnostics, _entries
 
 ORDER = ("title", "author", "journal", "booktitle", "year", "doi")
@@ -131,6 +132,48 @@ def _citation_docs(spark, sf_dir):
     return table(spark, sf_dir, "part").groupBy(F.floor(k / 10).alias("doc_id")).agg(F.concat(F.lit("Title of a paper\nReferences are cited\nReferences\n[1] decoy\nbody\n REFERENCES \nReferences\n"), lines).alias("text"))
 
 
+def _reference_lists(spark, sf_dir):
+    """Papers of ten parts' references: numbered over two lines, parted by blank lines, or run together; a section follows."""
+    k = F.col("p_partkey")
+    lead, rest = F.lit("Smith, A. and Bob van der Jones. "), F.concat(1990 + k % 30, F.lit(". Study of "), "p_name", F.lit(" case "), k, F.lit(". In Journal of Parts."))
+    kind = F.floor(k / 10) % 3
+    one = F.when(kind == 0, F.concat(F.lit("["), k % 10 + 1, F.lit("] "), F.substring_index(lead, " ", 3), F.lit("\n   "), F.substring_index(lead, " ", -5), rest)).otherwise(F.concat(lead, rest))
+    rows = F.transform(F.sort_array(F.collect_list(F.struct(k.alias("k"), one.alias("t")))), lambda x: x["t"])
+    by = table(spark, sf_dir, "part").groupBy(F.floor(k / 10).alias("doc_id")).agg(rows.alias("rows"), F.first(kind).alias("kind"))
+    body = F.when(F.col("kind") == 0, F.array_join("rows", "\n")).when(F.col("kind") == 1, F.array_join("rows", "\n\n")).otherwise(F.array_join("rows", " "))
+    return by.select("doc_id", F.concat(F.lit("A paper\nReferences\nold list\nBody text.\nReferences\n"), body, F.lit("\nAppendix A\n[1] Not a reference any more.\n")).alias("text"))
+
+
+def tx05_references(spark, sf_dir):
+    """References of papers in all three forms, up to the section that follows."""
+    lines = extract.lines(_reference_lists(spark, sf_dir))
+    return extract.references(extract.reference_block(lines, citations.HEADER))
+
+
+def er08_statuses(spark, sf_dir):
+    """How many parts have which status at which provider: scores and failures by key."""
+    k = F.col("p_partkey")
+    rows = table(spark, sf_dir, "part").select(F.when(k % 2 == 0, "crossref").otherwise("arxiv").alias("source"), (k % 11 / 10).alias("score"), (k % 13 == 0).alias("failed"))
+    return rows.groupBy("source", resolve.status(F.col("score"), F.col("failed")).alias("status")).agg(F.count("*").alias("n"))
+
+
+def srt09_users(spark, sf_dir):
+    """The second page of users in order of their mail address."""
+    c = table(spark, sf_dir, "customer")
+    mail = F.concat(F.when(F.col("c_custkey") % 2 == 0, F.upper("c_mktsegment")).otherwise(F.lower("c_mktsegment")), F.lit("."), F.reverse(F.col("c_custkey").cast("string")), F.lit("@example.org"))
+    return library.users_by_mail(c.select(F.col("c_custkey").alias("id"), mail.alias("mail"), F.lit("active").alias("status")), 50, 50)
+
+
+def src10_embedded(spark, sf_dir):
+    """BibTeX that pages of documents hold, in one of three elements, escaped, after another block; every fifth page has none."""
+    d = F.col("doc_id")
+    escaped = F.replace(F.replace(F.replace(F.col("source"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
+    kind = F.get(F.array(*[F.lit(x) for x in ("pre", "textarea", "code")]), (d % 3).cast("int"))
+    block = F.when(d % 5 == 0, F.lit("<pre>no entry</pre>")).otherwise(F.concat(F.lit("<"), kind, F.lit(" class='x'>"), escaped, F.lit("</"), kind, F.lit(">")))
+    html = F.concat(F.lit("<html><body><code>x = 1</code>"), block, F.lit("<pre>@misc{later, }</pre></body></html>"))
+    return corpus.documents(spark, sf_dir).select("doc_id", F.sha2(extract.embedded_bibtex(html), 256).alias("sha256"))
+
+
 def tx10_citations(spark, sf_dir):
     return citations.parsed(citations.section(_citation_docs(spark, sf_dir))).select("doc_id", F.col("entry").cast("long").alias("entry"), "authors", "title", "venue", "year", "pages", "doi")
 
@@ -152,6 +195,24 @@ def str06_challenges(spark, sf_dir):
     return out.select("event_id", "status", F.coalesce(newest["event_id"] == F.col("event_id"), F.lit(False)).alias("live"))
 
 
+def _keyed(spark, sf_dir, first, then):
+    """Events of users as events of keyed state, six hundred times as dense; signups and purchases open, others check."""
+    e = table(spark, sf_dir, "events")
+    opens = F.col("event_type").isin("signup", "purchase")
+    rows = e.select("user_id", F.timestamp_micros(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 600)).alias("at"), "event_id", F.when(opens, first).otherwise(then).alias("kind"), (F.col("event_id") % 2).alias("who"), F.when(opens, F.col("user_id") % 3).otherwise(F.col("event_id") % 3).alias("code"))
+    return states.events(rows, "user_id", "at", "event_id", "kind", "who", "code")
+
+
+def str06_codes(spark, sf_dir):
+    """Login codes: cooldown, superseding, five attempts, ten minutes."""
+    return states.fold(_keyed(spark, sf_dir, "request", "verify"), "challenge").select(F.col("key").cast("long").alias("user_id"), F.col("id").alias("event_id"), "status")
+
+
+def str03_requests(spark, sf_dir):
+    """Pending requests: consumed once, by their owner, in time."""
+    return states.fold(_keyed(spark, sf_dir, "create", "consume"), "pending").select(F.col("key").cast("long").alias("user_id"), F.col("id").alias("event_id"), "status")
+
+
 def str07_sessions(spark, sf_dir):
     """Sessions of seven days, ended by a later purchase of the user: open, expired or revoked at a moment."""
     at = F.lit(datetime.datetime(2024, 1, 20))
@@ -206,11 +267,19 @@ _SCORED = f"""{_PART}, n AS (SELECT *, length(regexp_replace(trim(p_name), '\\s+
          CASE WHEN k % 3 = 0 OR k % 4 = 0 THEN 1.0 ELSE round(0.7 * (2 * n / (2 * n + 10)) + 0.3, 6) END::DOUBLE AS score, true AS consistent FROM n WHERE k % 2 = 0 AND (k % 4 = 0 OR k % 3 = 0 OR k % 5 <> 0)
   UNION ALL SELECT k, k * 10 + 2, 'arxiv', CASE WHEN k % 3 = 0 THEN '10.1000/part.' || k END, 1.0, k % 15 <> 0 FROM n WHERE k % 5 = 0)"""
 
+#: A key's events folded one by one: columns la, ends, wrong and held are the state.
+_KEYED = """WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_us(ts) // 600 AS t, event_type IN ('signup', 'purchase') AS opens, (event_id % 2)::VARCHAR AS who, (CASE WHEN event_type IN ('signup', 'purchase') THEN user_id % 3 ELSE event_id % 3 END)::VARCHAR AS code,
+      row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 600, event_id) AS n FROM events),
+    s AS (SELECT DISTINCT user_id, 0::BIGINT AS event_id, 0::BIGINT AS n, NULL::BIGINT AS la, 0::BIGINT AS ends, 0 AS wrong, NULL::VARCHAR AS held, NULL::VARCHAR AS status FROM events
+      UNION ALL SELECT user_id, event_id, n, {la}, {ends}, {wrong}, {held}, status FROM
+        (SELECT o.user_id, o.event_id, o.n, o.t, o.who, o.code, la, ends, wrong, held, {status} AS status FROM s JOIN o ON s.user_id = o.user_id AND o.n = s.n + 1))
+    SELECT user_id, event_id, status FROM s WHERE n > 0"""
+
 QUERIES = {
     "val03_field_order": val03_field_order, "val23_key_pattern": val23_key_pattern, "sem27_venue_join": sem27_venue_join, "val15_venue_kind": val15_venue_kind, "val27_arxiv": val27_arxiv,
     "val34_completeness": val34_completeness, "val30_selector": val30_selector, "jon12_scored": jon12_scored, "jon11_near_titles": jon11_near_titles, "er13_selected": er13_selected, "er11_trusted_doi": er11_trusted_doi, "agg14_outcomes": agg14_outcomes,
     "jon15_conflicts": jon15_conflicts, "er19_citation_key": er19_citation_key, "er09_candidate_id": er09_candidate_id, "tx10_citations": tx10_citations, "tx14_alias_keys": tx14_alias_keys,
-    "str06_challenges": str06_challenges, "str07_sessions": str07_sessions, "lib13_config_save": lib13_config_save, "lib05_update": lib05_update, "set07_options": set07_options, "ext_rollup": ext_cube,
+    "str06_challenges": str06_challenges, "str06_codes": str06_codes, "str03_requests": str03_requests, "tx05_references": tx05_references, "er08_statuses": er08_statuses, "srt09_users": srt09_users, "src10_embedded": src10_embedded, "str07_sessions": str07_sessions, "lib13_config_save": lib13_config_save, "lib05_update": lib05_update, "set07_options": set07_options, "ext_rollup": ext_cube,
 }
 ORACLES = {
     "val03_field_order": f"WITH {BASE} SELECT doc_id, e AS entry_idx FROM b WHERE k % 3 < 2 AND (k % 41 <> 0 OR k % 13 = 0)",
@@ -233,6 +302,17 @@ ORACLES = {
       j AS (SELECT *, count(*) OVER (PARTITION BY user_id ORDER BY t RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW) AS recent, coalesce(t - lag(t) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 3600000000, false) AS rejected FROM e),
       s AS (SELECT *, CASE WHEN rejected THEN 'cooldown' WHEN recent > 3 THEN 'limited' ELSE 'accepted' END AS status FROM j)
       SELECT event_id, status, status = 'accepted' AND row_number() OVER (PARTITION BY user_id, status ORDER BY ts DESC, event_id DESC) = 1 AS live FROM s""",
+    "str06_codes": _KEYED.format(
+        status="CASE WHEN opens THEN CASE WHEN la >= t - 60000000 THEN 'cooldown' ELSE 'accepted' END WHEN ends <= t THEN 'none' WHEN code = held THEN 'ok' WHEN wrong + 1 >= 5 THEN 'ended' ELSE 'wrong' END",
+        la="CASE WHEN status = 'accepted' THEN t ELSE la END", ends="CASE WHEN status = 'accepted' THEN t + 600000000 WHEN status IN ('none', 'ok', 'ended') THEN 0 ELSE ends END",
+        wrong="CASE WHEN status = 'wrong' THEN wrong + 1 WHEN status = 'cooldown' THEN wrong ELSE 0 END", held="CASE WHEN status = 'accepted' THEN code WHEN status IN ('none', 'ok', 'ended') THEN NULL ELSE held END"),
+    "str03_requests": _KEYED.format(
+        status="CASE WHEN opens THEN 'created' WHEN ends <= t THEN 'expired' WHEN held <> who THEN 'wrong_user' ELSE 'ok' END",
+        la="la", ends="CASE WHEN status = 'created' THEN t + 900000000 WHEN status IN ('expired', 'ok') THEN 0 ELSE ends END", wrong="wrong", held="CASE WHEN status = 'created' THEN who WHEN status IN ('expired', 'ok') THEN NULL ELSE held END"),
+    "tx05_references": "SELECT p_partkey // 10 AS doc_id, (row_number() OVER (PARTITION BY p_partkey // 10 ORDER BY p_partkey))::INT AS entry, 'Smith, A. and Bob van der Jones. ' || (1990 + p_partkey % 30) || '. Study of ' || p_name || ' case ' || p_partkey || '. In Journal of Parts.' AS text FROM part",
+    "er08_statuses": "SELECT CASE WHEN p_partkey % 2 = 0 THEN 'crossref' ELSE 'arxiv' END AS source, CASE WHEN p_partkey % 13 = 0 THEN 'api_error' WHEN p_partkey % 11 >= 8 THEN 'match' WHEN p_partkey % 11 > 0 THEN 'weak' ELSE 'not_found' END AS status, count(*) AS n FROM part GROUP BY ALL",
+    "srt09_users": "WITH u AS (SELECT c_custkey AS id, lower(c_mktsegment) || '.' || reverse(c_custkey::VARCHAR) || '@example.org' AS mail FROM customer) SELECT id, mail, 'active' AS status, (row_number() OVER (ORDER BY mail, id))::INT AS place FROM u ORDER BY mail, id LIMIT 50 OFFSET 50",
+    "src10_embedded": f"SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN sha256('@misc{{later, }}') ELSE sha256(source) END AS sha256 FROM {corpus.sql()}",
     "str07_sessions": "WITH e AS (SELECT * FROM events WHERE ts <= TIMESTAMP '2024-01-20'), x AS (SELECT user_id, max(ts) AS ended FROM e WHERE event_type = 'purchase' GROUP BY 1) SELECT event_id, CASE WHEN ended > ts THEN 'revoked' WHEN ts + INTERVAL 7 DAY <= TIMESTAMP '2024-01-20' THEN 'expired' ELSE 'open' END AS status FROM e LEFT JOIN x USING (user_id) WHERE event_type = 'signup'",
     "lib13_config_save": "WITH x AS (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_name || '*' ELSE c_name END AS asked, CASE WHEN c_custkey % 7 <> 0 THEN c_name END AS base, CASE WHEN c_custkey % 3 = 0 THEN c_name || '*' END AS stored FROM customer) SELECT c_custkey, CASE WHEN coalesce(stored, base) = asked THEN 'none' WHEN stored IS NOT NULL THEN 'update' WHEN base IS NOT NULL THEN 'override' ELSE 'create' END AS action FROM x",
     "lib05_update": "SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 AND upper(p_name) <> p_name THEN 'stale' ELSE 'updated' END AS status, 'sha256:' || sha256(p_name) AS stored FROM part",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import fixes, generate, identity, parse, rules, semrules, workflow
+from ..operators import fixes, generate, identity, outcome, parse, profiles, rules, semrules, workflow
 from ..sources import rich
 
 P = rich.PER_DOC
@@ -199,6 +199,31 @@ def val31_registration(spark, sf_dir):
     return rules.decision(entries, found).join(open_, "doc_id")
 
 
+#: Sixteen profiles: every combination of month format, venue names, DOIs and types.
+_PROFILES = [
+    {"profile": f"p{i}", "month_format": ("numeric", "macro")[i % 2], "style": ("full", "abbreviated")[i // 2 % 2], "include_doi": i // 4 % 2 == 0, "types": (["article", "inproceedings", "misc"], [])[i // 8], "field_order": ["title", "author"][:: 1 - 2 * (i % 2)]}
+    for i in range(16)
+]
+
+
+def exp16_profiles(spark, sf_dir):
+    """Records by profile and by what stands in the way of their export; of those that are written how many have a DOI, a month macro and the author first."""
+    out = profiles.exported(_named(_described(spark, sf_dir)), profiles.profile_frame(spark, _PROFILES))
+    has = lambda pattern: F.count_if(F.col("bibtex").rlike(pattern))
+    return out.groupBy("profile", F.coalesce("reason", F.lit("")).alias("reason")).agg(F.count("*").alias("n"), F.count("bibtex").alias("texts"), has(r"\n  doi = ").alias("dois"), has(r"\n  month = mar,").alias("macros"), has(r"^@[a-z]+\{c[0-9]+,\n  author = ").alias("authors_first"))
+
+
+def exp17_profiles(spark, sf_dir):
+    """The strict way under two profiles: input checked, records written, output parsed and checked again."""
+    entries = parse.entries(_parsed(spark, sf_dir))
+    done = profiles.strict(entries, _named(_described(spark, sf_dir)), profiles.profile_frame(spark, [_PROFILES[0], _PROFILES[15]]), rules.policy(spark, [("BIB-SEMANTIC-006", "error", True, True), ("BIB-SEMANTIC-101", "error", True, True)]), _registry(spark))
+    return done.select("profile", "doc_id", "status", "codes", F.col("source").isNotNull().alias("written"))
+
+
+def sem33_api_urls(spark, sf_dir):
+    return outcome.api_rows_with_links(_described(spark, sf_dir))
+
+
 def exp17_strict(spark, sf_dir):
     blocking = _findings(spark, sf_dir).where("code in ('BIB-SEMANTIC-006', 'BIB-SEMANTIC-101')")
     out = generate.strict(generate.exported(_named(_described(spark, sf_dir))), blocking)
@@ -232,8 +257,11 @@ _EVERY = f"""{K}, {IDS}, {PRE}, f AS ({" UNION ALL ".join(f"SELECT '{c}' AS code
   UNION ALL SELECT 'BIB-SEMANTIC-005', doc_id, e FROM ids WHERE scheme IN ('doi', 'arxiv') GROUP BY doc_id, e, k, scheme HAVING count(*) > 1),
   p AS (SELECT * FROM (VALUES {", ".join(f"('{c}', '{s}', {str(b).lower()})" for c, s, b, _ in rules.POLICY)}) AS t(code, severity, blocking)), g AS (SELECT * FROM f JOIN p USING (code))"""
 
+_WRITTEN = f"""{K}, {PRE}, x AS (SELECT k, doc_id, e, i, i % 2 = 1 AS macros, i // 4 % 2 = 0 AS dois, CASE work_type WHEN 'preprint' THEN 'misc' WHEN 'conference' THEN 'inproceedings' WHEN 'thesis' THEN 'phdthesis' ELSE work_type END AS t FROM wt, generate_series(0, 15) AS g(i)),
+  r AS (SELECT *, CASE WHEN {_UNRES} THEN 'unresolved' WHEN k % 55 = 0 OR k % 12 = 0 OR (k % 10 = 3 AND k % 6 = 1) THEN 'ambiguous' WHEN k % 13 = 0 THEN 'conflict' WHEN k % 17 = 0 THEN 'uncertain' WHEN i < 8 AND t NOT IN ('article', 'inproceedings', 'misc') THEN 'unsupported_type' ELSE '' END AS reason FROM x)"""
+
 QUERIES = {
-    "val_all_counts": val_all_counts, "val31_registration": val31_registration,
+    "exp16_profiles": exp16_profiles, "exp17_profiles": exp17_profiles, "sem33_api_urls": sem33_api_urls, "val_all_counts": val_all_counts, "val31_registration": val31_registration,
     "sem15_all_schemes": sem15_all_schemes, "sem17_from_urls": sem17_from_urls, "sem18_preprints": sem18_preprints, "sem19_work_types": sem19_work_types, "sem20_repository_names": sem20_repository_names,
     "sem23_ambiguities": sem23_ambiguities, "sem25_raw_fields": sem25_raw_fields, "sem28_repositories": sem28_repositories, "sem31_entry_source": sem31_entry_source, "sem32_shredded": sem32_shredded,
     "sem06_people": sem06_people, "sem02_macros": sem02_macros, "val08_inline_comment": finding("BIB-SYNTAX-007"), "val10_macro_specials": val10_macro_specials, "val12_arxiv_prefix": finding("BIB-SEMANTIC-002"),
@@ -263,6 +291,13 @@ ORACLES = {
     "sem02_macros": f"""WITH {K} SELECT doc_id, e AS entry_idx, 'month' AS lname, 'March' AS resolved, 'March' AS candidates, '' AS unresolved FROM k WHERE k % 10 = 1
       UNION ALL SELECT doc_id, e, 'journal', 'Venue A Prime', 'Venue A|Venue A Prime', '' FROM k WHERE k % 55 = 0 UNION ALL SELECT doc_id, e, 'journal', NULL, '', 'nosuch' FROM k WHERE {_UNRES}
       UNION ALL SELECT doc_id, e, 'note', 'R & D', 'R & D', '' FROM k WHERE k % 18 <> 0 AND k % 21 = 0""",
+    "exp16_profiles": f"""WITH {_WRITTEN} SELECT 'p' || i AS profile, reason, count(*) AS n, count(*) FILTER (reason = '') AS texts, count(*) FILTER (reason = '' AND dois AND (k % 4 = 0 OR k % 6 = 0)) AS dois,
+      count(*) FILTER (reason = '' AND macros AND k % 10 = 1) AS macros, count(*) FILTER (reason = '' AND macros) AS authors_first FROM r GROUP BY ALL""",
+    "exp17_profiles": f"""WITH {_WRITTEN}, b AS (SELECT doc_id, string_agg(DISTINCT code, ',' ORDER BY code) AS codes FROM (SELECT doc_id, 'BIB-SEMANTIC-006' AS code FROM k WHERE k % 17 = 0 UNION ALL SELECT doc_id, 'BIB-SEMANTIC-101' FROM k WHERE {_UNRES}) GROUP BY doc_id),
+      d AS (SELECT i, doc_id, count(*) FILTER (reason <> '') AS bad, coalesce(string_agg(DISTINCT reason, ',' ORDER BY reason) FILTER (reason <> ''), '') AS reasons FROM r WHERE i IN (0, 15) GROUP BY i, doc_id)
+      SELECT 'p' || i AS profile, doc_id, CASE WHEN codes IS NOT NULL THEN 'input_blocked' WHEN bad > 0 THEN 'not_exported' ELSE 'exported' END AS status, coalesce(codes, reasons) AS codes, codes IS NULL AND bad = 0 AS written FROM d LEFT JOIN b USING (doc_id)""",
+    "sem33_api_urls": f"""WITH {K} SELECT doc_id, e AS entry_idx, 'Study of Case ' || k AS title, CASE WHEN k % 17 = 0 THEN '' WHEN k % 7 = 0 THEN '{{Group and Co ' || (k % 9) || '}}; Ann Lee' ELSE 'Lee, Jr, Ann; Bob van der Berg' || (k % 6) END AS authors, (2000 + k % 20)::INT AS year,
+      CASE WHEN k % 4 = 0 THEN '10.5555/c.' || k WHEN k % 6 = 0 THEN '10.5555/u.' || k END AS doi, CASE k % 6 WHEN 0 THEN 'https://doi.org/10.5555/u.' || k WHEN 1 THEN 'http://arxiv.org/abs/2101.' || {_N5} || 'v2' END AS url FROM k""",
     "val_all_counts": f"WITH {_EVERY} SELECT code, severity, blocking, count(*) AS n, count(DISTINCT doc_id) AS docs FROM g GROUP BY ALL",
     "val31_registration": f"""WITH {_EVERY}, b AS (SELECT doc_id, count(*) FILTER (blocking OR severity = 'error') AS n, count(*) FILTER ((blocking OR severity = 'error') AND code <> 'BIB-SEMANTIC-008') AS m, bool_or(code = 'BIB-SEMANTIC-008') AS u FROM g GROUP BY doc_id)
       SELECT DISTINCT doc_id, coalesce(n, 0) AS n_blocking, coalesce(u, false) AS unresolved, coalesce(n, 0) = 0 AS accepted, coalesce(m, 0) = 0 AS accepted_open, coalesce(m, 0) AS n_blocking_open FROM k LEFT JOIN b USING (doc_id)""",
