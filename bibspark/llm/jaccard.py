@@ -15,7 +15,7 @@ Each list gives edges from its sets to its first set only, so long lists cost th
 such edges connect, a dense group (near copies, which share most lists) is verified as a whole, a loose one (a chain of sets that
 share a list here and there) list by list, whichever compares and ships less; in the second way two sets count only in the first
 list that they share. Either way sets are put in order of size, in blocks of at most about `block` sets or `elements` elements,
-fewer in groups that would make less than `BLOCKS` blocks; every pair of blocks whose sizes fit is one unit of work, which counts all
+fewer in groups that would make less than `BLOCKS` blocks; a block's elements are gathered once and sent on packed; every pair of blocks whose sizes fit is one unit of work, which counts all
 overlaps exactly (a product of incidence matrices) and returns one row per set. No pair of documents leaves a task, and no list,
 family or component has to fit in one.
 
@@ -27,6 +27,7 @@ matter. Extra columns are ignored. An empty table gives no rows.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -316,35 +317,91 @@ def _roots(a: np.ndarray, b: np.ndarray, n: int) -> list[int]:
     return [find(x) for x in range(n)]
 
 
+BLOCK_ROW = "root long, blk int, cls array<long>, weight array<long>, size array<int>, known binary, places binary, mine array<array<long>>"
+
+
+def packed(whole: DataFrame) -> DataFrame:
+    """BLOCK_ROW for each block of sets (root, blk, cls, weight, elements, mine): elements once, and each set's places among them.
+
+    Near copies share most of their elements, so a block takes little room, however often it is sent.
+    """
+
+    def run(batches):
+        name, held = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            root, blk = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            edge = np.flatnonzero(np.r_[True, (root[1:] != root[:-1]) | (blk[1:] != blk[:-1])])
+            for a, b in zip(edge, np.r_[edge[1:], len(root)], strict=True):
+                if name is not None and (root[a], blk[a]) != name:
+                    yield _block(name, held)
+                    held = []
+                name = (root[a], blk[a])
+                held.append(batch.slice(a, b - a))
+        if name is not None:
+            yield _block(name, held)
+
+    dealt = whole.select("root", "blk", "cls", "weight", "elements", "mine").repartition("root", "blk").sortWithinPartitions("root", "blk")
+    return dealt.mapInArrow(run, BLOCK_ROW)
+
+
+def _block(name, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    t = pa.Table.from_batches(parts).combine_chunks()
+    cls, order = np.unique(t.column(2).to_numpy(), return_index=True)  # repeated rows
+    elements, mine = t.column(4).combine_chunks(), t.column(5).combine_chunks()
+    values = [np.frombuffer(elements[int(i)].as_buffer(), dtype=_INT64) for i in order]
+    known, at = np.unique(np.concatenate(values), return_inverse=True)
+    size = np.array([len(v) for v in values], dtype=np.int32)
+    places, ends = at.astype(np.int32), np.cumsum(size)
+    steps = np.diff(places, prepend=np.int32(0))  # sets are in order, so steps are small
+    steps[(ends - size)[size > 0]] = places[(ends - size)[size > 0]]
+    one = lambda x, kind: pa.array([x], kind)
+    lists = mine.take(pa.array(order)).to_pylist()
+    return pa.RecordBatch.from_arrays([
+        pa.array([name[0]], pa.int64()), pa.array([int(name[1])], pa.int32()), one(cls.tolist(), pa.list_(pa.int64())), one(t.column(3).to_numpy()[order].tolist(), pa.list_(pa.int64())), one(size.tolist(), pa.list_(pa.int32())),
+        one(known.tobytes(), pa.binary()), one(zlib.compress(steps.tobytes(), 1), pa.binary()), one(None if lists[0] is None else lists, pa.list_(pa.list_(pa.int64()))),
+    ], [c.split(" ")[0] for c in BLOCK_ROW.split(", ")])
+
+
+def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list | None]:
+    """(classes, weights, sets, lists of each set) of a block."""
+    size, known = np.array(row["size"]), np.frombuffer(row["known"], dtype=_INT64)
+    steps = np.frombuffer(zlib.decompress(row["places"]), dtype=np.int32).astype(_INT64)
+    ends = np.cumsum(size)
+    total = np.cumsum(steps)
+    base = np.r_[0, total[ends[:-1] - 1]] if len(ends) else np.zeros(0, _INT64)
+    places = total - np.repeat(base, size)
+    return np.array(row["cls"], dtype=_INT64), np.array(row["weight"], dtype=_INT64), np.split(known[places], ends[:-1]), row["mine"]
+
+
 def verified(work: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(cls, root, links) for the sets of each pair of blocks: a linked class's smallest connected class there and its linked documents.
 
-    `work` has (pair, cls, weight, side, elements, root, mine): side 0 for the first block, 1 for the second, 2 for a block against
-    itself. Where `mine`, the lists of a set, isn't null, sets count only in the first list they share, which `root` must be.
+    `work` has (pair, side) and the columns of BLOCK_ROW: side 0 for the first block, 1 for the second, 2 for a block against itself.
+    Where `mine`, the lists of a set, isn't null, sets count only in the first list they share, which `root` must be.
     """
 
     def run(batches):
         for _, parts in grouped(batches):
-            t = pa.Table.from_batches(parts).combine_chunks()
-            cls, weight, side = (t.column(i).to_numpy() for i in (1, 2, 3))
-            cls, order = np.unique(cls, return_index=True)  # repeated rows
-            weight, side = weight[order], side[order]
-            blobs = t.column(4).combine_chunks().to_pylist() if t.num_rows else []
-            values = [np.frombuffer(blobs[i], dtype=_INT64) for i in order]
-            size = np.array([len(v) for v in values])
-            own = bool(len(side)) and side[0] == 2
-            left = np.arange(len(cls)) if own else np.flatnonzero(side == 0)
-            right = left if own else np.flatnonzero(side == 1)
-            if not len(left) or not len(right):
+            rows = sorted(pa.Table.from_batches(parts).to_pylist(), key=lambda r: r["side"])
+            own = rows[0]["side"] == 2
+            if not own and len(rows) < 2:
                 continue
+            blocks = [_unpacked(r) for r in rows[: 1 if own else 2]]
+            cls, weight = (np.concatenate([b[k] for b in blocks]) for k in (0, 1))
+            values = [v for b in blocks for v in b[2]]
+            size, first = np.array([len(v) for v in values]), len(blocks[0][0])
+            left = np.arange(first)
+            right = left if own else np.arange(first, len(cls))
             common = overlaps(values, left, right)
             union = size[left][:, None] + size[right][None, :] - common
             hit = 100 * common >= percent * union
             if own:
                 np.fill_diagonal(hit, False)
-            if t.column(6)[0].is_valid and hit.any():
-                root, all_lists = t.column(5)[0].as_py(), t.column(6).combine_chunks()
-                before = [np.sort(x[x < root]) for x in (all_lists[int(i)].values.to_numpy() for i in order)]
+            if blocks[0][3] is not None and hit.any():
+                root = rows[0]["root"]
+                before = [np.sort(np.array([x for x in xs if x < root], dtype=_INT64)) for b in blocks for xs in b[3]]
                 hit &= overlaps(before, left, right) == 0
             i, j = np.nonzero(hit)
             roots = _roots(left[i], right[j], len(cls))
@@ -355,8 +412,7 @@ def verified(work: DataFrame, percent: int = PERCENT) -> DataFrame:
             some = links > 0
             yield pa.RecordBatch.from_arrays([pa.array(cls[some]), pa.array(cls[np.array(roots)][some]), pa.array(links[some])], ["cls", "root", "links"])
 
-    dealt = work.repartition("pair").sortWithinPartitions("pair").select("pair", "cls", "weight", "side", "elements", "root", "mine")
-    return dealt.mapInArrow(run, "cls long, root long, links long")
+    return work.repartition("pair").sortWithinPartitions("pair").mapInArrow(run, "cls long, root long, links long")
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, extra: float = EXTRA, block: int = BLOCK, elements: int = ELEMENTS, small: int = SMALL) -> DataFrame:
@@ -396,9 +452,10 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: i
 
     needed = side(placed.select(F.col("doc").alias("own_doc"), F.col("th").alias("own_th")).distinct(), small)
     full = inputs.join(needed, inputs["doc"].eqNullSafe(F.col("own_doc")) & (inputs["th"] == F.col("own_th")), "left_semi").select("text").mapInArrow(full_sets, "n long, fp long, fq long, elements binary")
-    # where each set goes is worked out before its elements are read, which then move once
-    sent = cut(placed.join(sides, ["root", "blk"]).select("fp", "fq", "n", "pair", "cls", "weight", "side", "root", "mine"))
-    work = full.join(side(sent, small), ["fp", "fq", "n"]).select("pair", "cls", "weight", "side", "elements", "root", "mine")
+    members = placed.select("fp", "fq", "n", "root", "blk", "cls", "weight", "mine")
+    blocks = packed(full.join(side(members, small), ["fp", "fq", "n"]))
+    work = stored(blocks).join(sides.select("root", "blk", "pair", "side"), ["root", "blk"])
+    work = work.select("pair", "side", *[c.split(" ")[0] for c in BLOCK_ROW.split(", ")])
     links = cut(verified(work, percent))
 
     count = links.groupBy("cls").agg(F.sum("links").alias("links"))
