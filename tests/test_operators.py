@@ -434,3 +434,73 @@ def test_streams_of_keyed_events_equal_the_fold(spark, tmp_path):
             assert sorted(map(tuple, got.where("key <> '~'").collect())) == expected
         finally:
             spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+
+
+def test_profiles_write_records_or_say_what_stands_in_the_way(spark):
+    from bibspark.operators import identity, profiles
+
+    source = "\n".join([
+        "@string{v = {A}}\n@string{v = {B}}",
+        "@article{a1, title = {R & D of {{{{DNA}}}}}, author = {Lee, Ann and {Group and Co}}, year = 2000, month = mar, journal = {J_1}, doi = {10.1234/x_y}, note = {50% off}, keywords = {k}}",
+        "@book{b1, title = {{Whole}}, author = {van der Berg, Bob}, year = 1999, url = {https://a.org/x_y}}",
+        "@misc{p1, title = {Pre}, author = {Ann Lee}, year = 2021, eprint = {2101.00001}, archiveprefix = {arXiv}}",
+        "@misc{bad key, title = {x}}", "@misc{u1, title = nosuch}", "@misc{d1, title = {x}, date = {someday}}", "@misc{m1, title = v}", "@misc{t1, title = {x}, TITLE = {y}}",
+        "@misc{c1, title = {x}, year = 2000, date = {1999-01}}", "@misc{o1, title = {x}, author = {and}}", "@zork{z1, title = {x}, author = {Ann Lee}}",
+    ])
+    docs = spark.createDataFrame([(1, source)], "doc_id long, source string")
+    rows = profiles.profile_frame(spark, [
+        {"profile": "plain", "protected": []},
+        {"profile": "journal", "field_order": ["Author", "title"], "deny": ["keywords", "note"], "renames": {"journal": "journaltitle"}, "month_format": "macro", "types": ["article", "misc"], "indent": "\t", "trailing_comma": False, "representation": "misc-howpublished"},
+        {"profile": "clash", "renames": {"doi": "note"}, "quotes": True, "include_extra": False, "allow": ["title", "author", "note", "year"], "include_url": False},
+    ])
+    got = {(r["profile"], r["key"]): r for r in profiles.exported(identity.described(parse.entries(parse.blocks(docs))).withColumn("detail", F.lit(1)).drop("detail"), rows).join(parse.entries(parse.blocks(docs)).select("doc_id", "entry_idx", F.col("citation_key").alias("key")), ["doc_id", "entry_idx"]).collect()}
+    assert got["plain", "a1"]["bibtex"] == "@article{a1,\n  author = {Lee, Ann and {Group and Co}},\n  doi = {10.1234/x_y},\n  journal = {J\\_1},\n  keywords = {k},\n  month = {3},\n  note = {50\\% off},\n  title = {R \\& D of DNA},\n  year = {2000},\n}\n"
+    assert got["journal", "a1"]["bibtex"] == "@article{a1,\n\tauthor = {Lee, Ann and {Group and Co}},\n\ttitle = {{R \\& D of DNA}},\n\tdoi = {10.1234/x_y},\n\tjournaltitle = {J\\_1},\n\tmonth = mar,\n\tyear = {2000}\n}\n"
+    assert got["clash", "b1"]["bibtex"] == '@book{b1,\n  author = "van der Berg, Bob",\n  title = "{Whole}",\n  year = "1999",\n}\n'
+    assert got["journal", "p1"]["bibtex"] == "@misc{p1,\n\tauthor = {Lee, Ann},\n\ttitle = {{Pre}},\n\thowpublished = {arXiv:2101.00001},\n\tyear = {2021}\n}\n"
+    assert "  url = {https://a.org/x_y},\n" in got["plain", "b1"]["bibtex"]
+    why = lambda p, k: (got[p, k]["reason"], got[p, k]["detail"])
+    assert [why("plain", k) for k in ("u1", "d1", "m1", "t1", "c1", "o1", "z1")] == [("unresolved", "title"), ("date", "someday"), ("ambiguous", "title"), ("ambiguous", "title"), ("conflict", "date"), ("uncertain", "author"), ("unknown_type", "zork")]
+    assert why("journal", "b1") == ("unsupported_type", "book")
+    assert got["plain", "u1"]["bibtex"] is None
+
+
+def test_strict_export_checks_its_output(spark):
+    from bibspark.operators import identity, profiles
+
+    docs = spark.createDataFrame([(1, "@misc{a, title = {t}, author = {Ann Lee}, year = {2000},}"), (2, "@misc{a, author = {Ann Lee}, title = {t}, title = {t}}"), (3, "@zork{a, title = {t}, author = {Ann Lee}, year = {2000},}")], "doc_id long, source string")
+    entries = parse.entries(parse.blocks(docs))
+    rows = profiles.profile_frame(spark, [{"profile": "good"}, {"profile": "upper", "renames": {"title": "TITLE"}}])
+    policy = rules.policy(spark, [("BIB-SYNTAX-001", "error", True, True), ("BIB-SYNTAX-002", "error", True, True)])
+    got = {(r["profile"], r["doc_id"]): (r["status"], r["codes"], r["source"] is not None) for r in profiles.strict(entries, identity.described(entries), rows, policy).collect()}
+    assert got == {("good", 1): ("exported", "", True), ("upper", 1): ("output_blocked", "BIB-SYNTAX-002", False), ("good", 2): ("input_blocked", "BIB-SYNTAX-001", False), ("upper", 2): ("input_blocked", "BIB-SYNTAX-001", False), ("good", 3): ("not_exported", "unknown_type", False), ("upper", 3): ("not_exported", "unknown_type", False)}
+
+
+def test_feeds_with_entities_sections_and_markup(spark):
+    from bibspark.operators import records
+
+    entry = lambda body: f"<entry><id> urn:1 </id><title type='html'>{body}</title><author><name>Ann &amp; Co</name></author><author><name>B&#233;</name></author></entry>"
+    feeds = [f"<feed xmlns='http://www.w3.org/2005/Atom' xmlns:x='urn:x'>{entry(b)}</feed>" for b in ("<![CDATA[A & B <i>]]>", "a &quot;b&quot; &#233; &lt;c&gt;", "x <x:i>nested <b>deep</b></x:i> y\n z", "")]
+    feeds += ["<!DOCTYPE feed><feed/>", "<feed><entry></feed>", None, "<feed/>", "<feed><entry/></feed>"]
+    rows = spark.createDataFrame(list(enumerate(feeds)), "i int, xml string").select("i", records.feed_entries("xml").alias("x")).orderBy("i").collect()
+    got = [None if r["x"] is None else [(e["id"], e["title"], e["authors"]) for e in r["x"]] for r in rows]
+    people = ["Ann & Co", "Bé"]
+    assert got == [[("urn:1", "A & B <i>", people)], [("urn:1", 'a "b" é <c>', people)], [("urn:1", "x nested deep y z", people)], [("urn:1", None, people)], None, None, None, [], [(None, None, [])]]
+
+
+def test_reference_lists_end_at_the_next_section(spark):
+    from bibspark.operators import citations
+
+    texts = {
+        1: "Intro\nReferences\n[1] Lee, Ann. Deep trees. 2001.\n  goes on\n2) Ray, Bob. Shallow trees. 2002.\n\nshort\nAppendix\n[3] Not this one at all.",
+        2: "References\nLee, A. B. and van Ray, C. 2001a. On trees. In Forests.\n Doe, J. 1999. Two words here.",
+        3: "no list here\nAppendix",
+        4: "References\nOne entry that no year of its own parts, and goes on.",
+        5: "References\nAppendix right after the header\nAppendix",
+    }
+    lines = extract.lines(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    got = [(r["doc_id"], r["entry"], r["text"]) for r in extract.references(extract.reference_block(lines, citations.HEADER)).orderBy("doc_id", "entry").collect()]
+    assert got == [
+        (1, 1, "Lee, Ann. Deep trees. 2001. goes on"), (1, 2, "Ray, Bob. Shallow trees. 2002."),
+        (2, 1, "Lee, A. B. and van Ray, C. 2001a. On trees. In Forests."), (2, 2, "Doe, J. 1999. Two words here."), (4, 1, "One entry that no year of its own parts, and goes on."), (5, 1, "Appendix right after the header"),
+    ]
