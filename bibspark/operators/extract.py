@@ -56,7 +56,8 @@ def unnumbered(text: Column) -> Column:
     """The references of a text that runs them together: each begins with a sentence of names before one that is a year. Initials end no sentence."""
     names, year = rf"^{_NAME}(?:[,;]?\s+{_NAME})*\.$", r"^(?:19|20)[0-9]{2}[a-z]?\.$"
     s = F.split(text, r"(?<=\.)(?<!\b\p{Lu}\.)\s+")
-    starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: F.get(s, i).rlike(names) & F.coalesce(F.get(s, i + 1).rlike(year), F.lit(False)))
+    both = names[:-1] + r"\s+(?:19|20)[0-9]{2}[a-z]?\.$"  # names that end with an initial, and the year
+    starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: F.get(s, i).rlike(both) | (F.get(s, i).rlike(names) & F.coalesce(F.get(s, i + 1).rlike(year), F.lit(False))))
     part = lambda p, k: F.array_join(F.slice(s, p + 1, F.coalesce(F.get(starts, k + 1), F.size(s)) - p), " ")
     return F.when(F.size(starts) <= 1, F.array(text)).otherwise(F.filter(F.transform(starts, part), lambda x: F.char_length(x) >= LEAST))
 
