@@ -14,9 +14,19 @@ _NAME_END = b" \t\r\n=,{}()\"#%"
 DEPTH = 256
 
 
+# Rule codes of syntax problems, by what is wrong.
+RULES = {
+    "other": "BIB-SYNTAX-101", "missing entry key": "BIB-SYNTAX-102", "missing field separator": "BIB-SYNTAX-103", "expected field name": "BIB-SYNTAX-104", "empty field value": "BIB-SYNTAX-105",
+    "expected value atom": "BIB-SYNTAX-106", "bad field boundary": "BIB-SYNTAX-107", "bad value boundary": "BIB-SYNTAX-108", "unclosed entry": "BIB-SYNTAX-109", "unclosed braced value": "BIB-SYNTAX-110",
+    "unclosed quoted value": "BIB-SYNTAX-111", "unreadable source": "BIB-SYNTAX-112",
+}
+
+
 class Problem(Exception):
-    def __init__(self, code: str, at: int):
-        self.code, self.at = code, at
+    """What stops a block: a coarse code, the place, and what is wrong."""
+
+    def __init__(self, code: str, at: int, wrong: str = "other"):
+        self.code, self.at, self.wrong = code, at, wrong
 
 
 def _skip(b: bytes, i: int) -> int:
@@ -49,7 +59,7 @@ def _group(b: bytes, i: int, close: int) -> int:
             if depth < 0:
                 break
         i += 1
-    raise Problem(UNCLOSED, i)
+    raise Problem(UNCLOSED, i, "unclosed quoted value" if close == 0x22 else "unclosed braced value")
 
 
 def value(b: bytes, i: int) -> tuple[list[dict], int]:
@@ -58,7 +68,7 @@ def value(b: bytes, i: int) -> tuple[list[dict], int]:
     while True:
         i = _skip(b, i)
         if i >= len(b):
-            raise Problem(NO_VALUE, i)
+            raise Problem(NO_VALUE, i, "expected value atom" if atoms else "empty field value")
         start = i
         if b[i] == 0x7B:
             i = _group(b, i + 1, 0x7D)
@@ -70,7 +80,7 @@ def value(b: bytes, i: int) -> tuple[list[dict], int]:
             while i < len(b) and b[i] not in _NAME_END:
                 i += 1
             if i == start:
-                raise Problem(NO_VALUE, i)
+                raise Problem(NO_VALUE, i, "expected value atom" if atoms else "empty field value" if b[i] in b",})" else "expected value atom")
             word = b[start:i]
             kind = "number" if word.isdigit() else "macro" if not word[:1].isdigit() else "invalid"
             atoms.append({"kind": kind, "start": start, "end": i, "content_start": start, "content_end": i})
@@ -87,18 +97,18 @@ def _fields(b: bytes, i: int, close: int) -> tuple[list[dict], bool, int]:
     while True:
         i = _skip(b, i)
         if i >= len(b):
-            raise Problem(UNCLOSED, i)
+            raise Problem(UNCLOSED, i, "unclosed entry")
         if b[i] == close:
             return out, comma and bool(out), i + 1
         start = i
         while i < len(b) and b[i] not in _NAME_END:
             i += 1
         if i == start:
-            raise Problem(NO_EQUALS, i)
+            raise Problem(NO_EQUALS, i, "bad value boundary" if out and not comma else "expected field name")
         name_end = i
         i = _skip(b, i)
         if i >= len(b) or b[i] != 0x3D:
-            raise Problem(NO_EQUALS, i)
+            raise Problem(NO_EQUALS, i, "unclosed entry" if i >= len(b) else "bad field boundary")
         equals = i
         first = _skip(b, i + 1)
         atoms, end = value(b, first)
@@ -127,7 +137,7 @@ def _command(b: bytes, at: int) -> tuple[dict, int]:
         atoms, end = value(b, i + 1)
         end = _skip(b, end)
         if end >= len(b) or b[end] != close:
-            raise Problem(UNCLOSED, end)
+            raise Problem(UNCLOSED, end, "unclosed entry" if end >= len(b) else "bad value boundary")
         return block | {"kind": "preamble", "end": end + 1, "fields": [{"name": "", "start": i + 1, "end": end, "name_start": i + 1, "name_end": i + 1, "equals_start": i + 1, "value_start": i + 1, "value_end": end, "raw": b[i + 1 : end].decode("utf-8", "replace"), "atoms": atoms}]}, end + 1
     if name == "string":
         fields, comma, end = _fields(b, i + 1, close)
@@ -138,7 +148,7 @@ def _command(b: bytes, at: int) -> tuple[dict, int]:
     key = b[key_start:i].decode("utf-8", "replace")
     i = _skip(b, i)
     if not key or i >= len(b) or b[i] not in (0x2C, close):
-        raise Problem(NO_KEY, i)
+        raise Problem(NO_KEY, i, "unclosed entry" if key and i >= len(b) else "missing entry key" if not key else "bad field boundary")
     if b[i] == close:
         return block | {"kind": "entry", "end": i + 1, "citation_key": key, "key_start": key_start}, i + 1
     fields, comma, end = _fields(b, i + 1, close)
@@ -196,13 +206,26 @@ def cut(b: bytes) -> list[dict]:
                 continue
             end = b.find(b"\n@", at + 1)
             end = len(b) if end < 0 else end + 1
-            block = {"kind": "failed", "start": at, "end": end, "code": p.code}
+            block = {"kind": "failed", "start": at, "end": end, "code": p.code, "wrong": p.wrong, "at": min(p.at, end)}
         blocks += _text(b, done, at)
         blocks.append(block)
         done = at = end
     return blocks + _text(b, done, len(b))
 
 
+def diagnostics(b: bytes, blocks: list[dict]) -> list[tuple[str, int, int, str]]:
+    """(rule code, start, end, message) of what is wrong in the blocks of `cut`, in order of place, each once: failed blocks, and fields
+    without a comma between them, which the blocks tolerate."""
+    found = []
+    for block in blocks:
+        if block["kind"] == "failed":
+            found.append((RULES[block["wrong"]], block["at"], min(block["at"] + 1, block["end"]), block["wrong"]))
+        for f, g in zip(block.get("fields", []), block.get("fields", [])[1:], strict=False):
+            if b[_skip(b, f["end"])] != 0x2C:
+                found.append((RULES["missing field separator"], f["end"], g["start"], "missing field separator"))
+    return sorted(set(found), key=lambda x: (x[1], x[2], x[0]))
+
+
 #: Values kept of a macro that is defined more than once, and the longest expansion in characters.
 CANDIDATES, LONGEST = 32, 1 << 20
 

@@ -34,13 +34,40 @@ def blocks(docs: DataFrame) -> DataFrame:
                 entry = 0
                 for i, block in enumerate(lex.parse(source or "", (cols["before"][k] or "") if "before" in cols else "")):
                     is_entry = block["kind"] == "entry"
-                    rows.append({**{n: None for n in names}, **block, "doc_id": doc, "block_idx": i, "entry_idx": entry if is_entry else None, "fields": block.get("fields", []), **({"part": cols["part"][k]} if "part" in cols else {})})
+                    rows.append({**{n: None for n in names}, **{n: v for n, v in block.items() if n in names}, "doc_id": doc, "block_idx": i, "entry_idx": entry if is_entry else None, "fields": block.get("fields", []), **({"part": cols["part"][k]} if "part" in cols else {})})
                     entry += is_entry
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return docs.select("doc_id", "source", *[F.col(c).cast("long") if c == "part" else c for c in has]).mapInArrow(run, BLOCK + (", part bigint" if "part" in has else ""))
 
 
+def diagnostics(docs: DataFrame) -> DataFrame:
+    """(doc_id, code, start, end, message): what is wrong with each source by the twelve rules of syntax, each finding once. A source that
+    is no UTF-8 (binary columns) has one finding."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for doc, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                b = source or b""
+                try:
+                    b.decode()
+                    rows += [(doc, *x) for x in lex.diagnostics(b, lex.cut(b))]
+                except UnicodeDecodeError:
+                    rows.append((doc, lex.RULES["unreadable source"], 0, 0, "unreadable source"))
+            cols = list(zip(*rows, strict=True)) or [[]] * 5
+            types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "code", "start", "end", "message"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("binary")).mapInArrow(run, "doc_id long, code string, start long, end long, message string")
+
+
+def strict(docs: DataFrame) -> DataFrame:
+    """(doc_id, accepted, codes): the strict mode takes a source only if nothing is wrong with it, where the tolerant one repairs and goes on."""
+    codes = diagnostics(docs).groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_set("code")), ",").alias("codes"))
+    return docs.select(F.col("doc_id").cast("long")).join(codes, "doc_id", "left").select("doc_id", F.col("codes").isNull().alias("accepted"), F.coalesce("codes", F.lit("")).alias("codes"))
+
+
 def entries(parsed: DataFrame) -> DataFrame:
     return parsed.where("kind = 'entry'").drop("code", "kind")
 

@@ -140,6 +140,20 @@ def fix05_incremental(spark, sf_dir):
     return done.select("doc_id", "passes", F.col("n_edits").cast("long").alias("n_edits"), "status", F.sha2("source", 256).alias("sha256"))
 
 
+#: What is put into the sources of every twelfth document, and its code.
+DAMAGE = (
+    ("@misc{, title = {x}}", "102"), ("@misc{d, a = {x} b = {y}}", "103"), ("@misc{d, = {x}}", "104"), ("@misc{d, a = , b = {y}}", "105"), ("@misc{d, a = {x} # , b = {y}}", "106"), ("@misc{d, a {x}}", "107"),
+    ("@misc{d, a = {x} {y}}", "108"), ("@misc{d, a = {x},", "109"), ("@misc{d, a = {x, b = {y}", "110"), ('@misc{d, a = "x, b = {y}}', "111"), ("text only", None), ("@comment{fine}", None),
+)
+
+
+def par09_codes(spark, sf_dir):
+    """The strict mode on documents of which each has one kind of damage at its end, by modulus."""
+    d = corpus.documents(spark, sf_dir)
+    damage = F.get(F.array(*[F.lit(x) for x, _ in DAMAGE]), (F.col("doc_id") % len(DAMAGE)).cast("int"))
+    return parse.strict(d.select("doc_id", F.concat("source", damage).alias("source")))
+
+
 #: Files that the documents are written to, each with every fourth of them.
 FILES = 4
 
@@ -219,7 +233,7 @@ QUERIES = {
     "val_counts": val_counts, "val01_duplicate_field": val_rule("BIB-SYNTAX-001"), "val02_field_case": val_rule("BIB-SYNTAX-002"), "val04_trailing_comma": val_rule("BIB-SYNTAX-004"),
     "val05_quoted": val_rule("BIB-SYNTAX-005"), "val11_doi_prefix": val_rule("BIB-SEMANTIC-001"), "val13_required_data": val_rule("BIB-SEMANTIC-003"),
     "val20_duplicate_key": val20("key"), "val20_duplicate_doi": val20("doi"), "val20_duplicate_arxiv": val20("arxiv"), "val24_required": val24_required, "val25_forbidden": val25_forbidden,
-    "val28_order": val28_order, "win05_ordinals": win05_ordinals, "val31_decision": val31_decision, "agg09_codes": agg09_codes, "fix02_conflicts": fix02_conflicts, "jon14_overlaps": jon14_overlaps, "fix04_apply": fix04_apply, "src02_lint": src02_lint, "fix05_fixed_point": fix05_fixed_point, "fix05_incremental": fix05_incremental,
+    "val28_order": val28_order, "win05_ordinals": win05_ordinals, "val31_decision": val31_decision, "agg09_codes": agg09_codes, "fix02_conflicts": fix02_conflicts, "jon14_overlaps": jon14_overlaps, "fix04_apply": fix04_apply, "src02_lint": src02_lint, "par09_codes": par09_codes, "fix05_fixed_point": fix05_fixed_point, "fix05_incremental": fix05_incremental,
     "fix06_diff": fix06_diff, "exp14_serialize": exp14_serialize, "exp01_documents": exp_documents,
 }
 ORACLES = {
@@ -258,4 +272,6 @@ ORACLES = {
     "exp01_documents": f"""WITH {BASE} SELECT doc_id, sha256(string_agg('@' || et || '{{' || ck || ',' || chr(10) || '  title = {{' || regexp_replace(p_name, '\\s+', ' ', 'g') || '}},' || chr(10) || '  doi = {{' || {_RAW_DOI} || '}}' || chr(10) || '}}', chr(10) || chr(10) ORDER BY k)) AS sha256 FROM b GROUP BY doc_id""",
 }
 ORACLES["src02_lint"] = f"WITH {BASE} SELECT doc_id % {FILES} AS file, code, sum(n)::BIGINT AS n FROM ({' UNION ALL '.join(f"SELECT doc_id, '{c}' AS code, {n} AS n FROM b" for c, n in FIRES.items())}) GROUP BY ALL HAVING sum(n) > 0"
+_CODES = ", ".join("NULL" if c is None else f"'BIB-SYNTAX-{c}'" for _, c in DAMAGE)
+ORACLES["par09_codes"] = f"WITH {BASE}, c AS (SELECT DISTINCT doc_id, ([{_CODES}])[doc_id % {len(DAMAGE)} + 1] AS code FROM b) SELECT doc_id, code IS NULL AS accepted, coalesce(code, '') AS codes FROM c"
 ORACLES["fix05_incremental"] = ORACLES["fix05_fixed_point"]

@@ -504,3 +504,17 @@ def test_reference_lists_end_at_the_next_section(spark):
         (1, 1, "Lee, Ann. Deep trees. 2001. goes on"), (1, 2, "Ray, Bob. Shallow trees. 2002."),
         (2, 1, "Lee, A. B. and van Ray, C. 2001a. On trees. In Forests."), (2, 2, "Doe, J. 1999. Two words here."), (4, 1, "One entry that no year of its own parts, and goes on."), (5, 1, "Appendix right after the header"),
     ]
+
+
+def test_syntax_codes_and_strict_mode(spark):
+    from bibspark.plans import bibtex
+
+    rows = [(i, x.encode()) for i, (x, _) in enumerate(bibtex.DAMAGE)] + [(50, b"@misc{a, b = {c}}"), (51, b"\xff@misc{"), (52, None), (53, b"@misc{a b, c = 1}"), (54, b"@misc{d, = {x}}\n@misc{e, = {x}}"), (55, b"@misc{key"), (56, b"@preamble{1 2}")]
+    docs = spark.createDataFrame(rows, "doc_id long, source binary")
+    got = {r["doc_id"]: (r["accepted"], r["codes"]) for r in parse.strict(docs).collect()}
+    code = lambda n: (n is None, f"BIB-SYNTAX-{n}" if n else "")
+    assert got == {i: code(c) for i, (_, c) in enumerate(bibtex.DAMAGE)} | {50: code(None), 51: code("112"), 52: code(None), 53: code("107"), 54: code("104"), 55: code("109"), 56: code("108")}
+    places = parse.diagnostics(docs.where("doc_id = 54")).orderBy("start").collect()
+    assert [(r["start"], r["end"], r["message"]) for r in places] == [(9, 10, "expected field name"), (25, 26, "expected field name")]
+    tolerant = parse.blocks(docs.where("doc_id = 1").select("doc_id", F.col("source").cast("string").alias("source"))).where("kind = 'entry'").first()
+    assert [f["name"] for f in tolerant["fields"]] == ["a", "b"]  # what the strict mode refuses is repaired
