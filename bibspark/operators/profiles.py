@@ -12,6 +12,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import lex, tex
 from ..functions import normalize as N
@@ -37,7 +38,7 @@ def profile_frame(spark, settings: list[dict]) -> DataFrame:
     return spark.createDataFrame([tuple(r[n] for n in DEFAULTS) for r in rows], PROFILE)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def inner_texts(values: pd.Series, raw: pd.Series, protect: pd.Series) -> pd.Series:
     """Values as they stand between delimiters: escaped with single spaces unless raw, in one more pair of braces where protected and not in one already."""
 

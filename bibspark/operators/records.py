@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import normalize as N
 from . import resolve
@@ -161,7 +162,7 @@ def artifact(payload: Column) -> Column:
     return F.flatten(F.transform(pages, one))
 
 
-@F.pandas_udf("array<struct<id:string,title:string,authors:array<string>>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("id", T.StringType()), T.StructField("title", T.StringType()), T.StructField("authors", T.ArrayType(T.StringType()))])))
 def feed_entries(xml: pd.Series) -> pd.Series:
     """Entries of an Atom-like feed, the text of elements flattened, in any name space. Null for a document type or an entity declaration,
     which a safe parser refuses, and for what is no XML."""
