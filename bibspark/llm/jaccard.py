@@ -317,6 +317,7 @@ def _roots(a: np.ndarray, b: np.ndarray, n: int) -> list[int]:
     return [find(x) for x in range(n)]
 
 
+LINKS = "cls long, root long, links long"
 BLOCK_ROW = "root long, blk int, cls array<long>, weight array<long>, size array<int>, known binary, places binary, mine array<array<long>>"
 
 
@@ -325,25 +326,39 @@ def packed(whole: DataFrame) -> DataFrame:
 
     Near copies share most of their elements, so a block takes little room, however often it is sent.
     """
+    return _dealt(whole).mapInArrow(_by_block, BLOCK_ROW)
+
+
+def verified_alone(whole: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """`verified` for groups of one block (rows as for `packed`): their sets are compared where they meet."""
 
     def run(batches):
-        name, held = None, []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            root, blk = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            edge = np.flatnonzero(np.r_[True, (root[1:] != root[:-1]) | (blk[1:] != blk[:-1])])
-            for a, b in zip(edge, np.r_[edge[1:], len(root)], strict=True):
-                if name is not None and (root[a], blk[a]) != name:
-                    yield _block(name, held)
-                    held = []
-                name = (root[a], blk[a])
-                held.append(batch.slice(a, b - a))
-        if name is not None:
-            yield _block(name, held)
+        for block in _by_block(batches):
+            for row in block.to_pylist():
+                yield _linked([_unpacked(row)], row["root"], percent)
+
+    return _dealt(whole).mapInArrow(run, LINKS)
+
+
+def _dealt(whole: DataFrame) -> DataFrame:
+    return whole.select("root", "blk", "cls", "weight", "elements", "mine").repartition("root", "blk").sortWithinPartitions("root", "blk")
+
 
-    dealt = whole.select("root", "blk", "cls", "weight", "elements", "mine").repartition("root", "blk").sortWithinPartitions("root", "blk")
-    return dealt.mapInArrow(run, BLOCK_ROW)
+def _by_block(batches) -> Iterator[pa.RecordBatch]:
+    name, held = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        root, blk = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        edge = np.flatnonzero(np.r_[True, (root[1:] != root[:-1]) | (blk[1:] != blk[:-1])])
+        for a, b in zip(edge, np.r_[edge[1:], len(root)], strict=True):
+            if name is not None and (root[a], blk[a]) != name:
+                yield _block(name, held)
+                held = []
+            name = (root[a], blk[a])
+            held.append(batch.slice(a, b - a))
+    if name is not None:
+        yield _block(name, held)
 
 
 def _block(name, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -388,31 +403,34 @@ def verified(work: DataFrame, percent: int = PERCENT) -> DataFrame:
             own = rows[0]["side"] == 2
             if not own and len(rows) < 2:
                 continue
-            blocks = [_unpacked(r) for r in rows[: 1 if own else 2]]
-            cls, weight = (np.concatenate([b[k] for b in blocks]) for k in (0, 1))
-            values = [v for b in blocks for v in b[2]]
-            size, first = np.array([len(v) for v in values]), len(blocks[0][0])
-            left = np.arange(first)
-            right = left if own else np.arange(first, len(cls))
-            common = overlaps(values, left, right)
-            union = size[left][:, None] + size[right][None, :] - common
-            hit = 100 * common >= percent * union
-            if own:
-                np.fill_diagonal(hit, False)
-            if blocks[0][3] is not None and hit.any():
-                root = rows[0]["root"]
-                before = [np.sort(np.array([x for x in xs if x < root], dtype=_INT64)) for b in blocks for xs in b[3]]
-                hit &= overlaps(before, left, right) == 0
-            i, j = np.nonzero(hit)
-            roots = _roots(left[i], right[j], len(cls))
-            links = np.zeros(len(cls), dtype=_INT64)
-            np.add.at(links, left[i], weight[right[j]])
-            if not own:
-                np.add.at(links, right[j], weight[left[i]])
-            some = links > 0
-            yield pa.RecordBatch.from_arrays([pa.array(cls[some]), pa.array(cls[np.array(roots)][some]), pa.array(links[some])], ["cls", "root", "links"])
-
-    return work.repartition("pair").sortWithinPartitions("pair").mapInArrow(run, "cls long, root long, links long")
+            yield _linked([_unpacked(r) for r in rows[: 1 if own else 2]], rows[0]["root"], percent)
+
+    return work.repartition("pair").sortWithinPartitions("pair").mapInArrow(run, LINKS)
+
+
+def _linked(blocks: list[tuple], root: int, percent: int) -> pa.RecordBatch:
+    """LINKS of one block against itself or of one against another."""
+    cls, weight = (np.concatenate([b[k] for b in blocks]) for k in (0, 1))
+    values = [v for b in blocks for v in b[2]]
+    size, first, own = np.array([len(v) for v in values]), len(blocks[0][0]), len(blocks) == 1
+    left = np.arange(first)
+    right = left if own else np.arange(first, len(cls))
+    common = overlaps(values, left, right)
+    union = size[left][:, None] + size[right][None, :] - common
+    hit = 100 * common >= percent * union
+    if own:
+        np.fill_diagonal(hit, False)
+    if blocks[0][3] is not None and hit.any():
+        before = [np.sort(np.array([x for x in xs if x < root], dtype=_INT64)) for b in blocks for xs in b[3]]
+        hit &= overlaps(before, left, right) == 0
+    i, j = np.nonzero(hit)
+    roots = _roots(left[i], right[j], len(cls))
+    links = np.zeros(len(cls), dtype=_INT64)
+    np.add.at(links, left[i], weight[right[j]])
+    if not own:
+        np.add.at(links, right[j], weight[left[i]])
+    some = links > 0
+    return pa.RecordBatch.from_arrays([pa.array(cls[some]), pa.array(cls[np.array(roots, dtype=_INT64)][some]), pa.array(links[some])], ["cls", "root", "links"])
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, extra: float = EXTRA, block: int = BLOCK, elements: int = ELEMENTS, small: int = SMALL) -> DataFrame:
@@ -450,13 +468,19 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: i
             n, fp, fq, data = zip(*found, strict=True) if found else ((),) * 4
             yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (n, fp, fq)), pa.array(data, pa.binary())], ["n", "fp", "fq", "elements"])
 
-    needed = side(placed.select(F.col("doc").alias("own_doc"), F.col("th").alias("own_th")).distinct(), small)
-    full = inputs.join(needed, inputs["doc"].eqNullSafe(F.col("own_doc")) & (inputs["th"] == F.col("own_th")), "left_semi").select("text").mapInArrow(full_sets, "n long, fp long, fq long, elements binary")
-    members = placed.select("fp", "fq", "n", "root", "blk", "cls", "weight", "mine")
-    blocks = packed(full.join(side(members, small), ["fp", "fq", "n"]))
-    work = stored(blocks).join(sides.select("root", "blk", "pair", "side"), ["root", "blk"])
+    # groups of one block, by far the most, are compared where their sets meet; blocks of larger ones are packed and sent on
+    several = cut(span.groupBy("root").agg(F.count("*").alias("blocks")).where("blocks > 1").select("root"))
+
+    def whole(how: str) -> DataFrame:
+        members = cut(placed.join(several, "root", how))
+        needed = side(members.select(F.col("doc").alias("own_doc"), F.col("th").alias("own_th")).distinct(), small)
+        texts = inputs.join(needed, inputs["doc"].eqNullSafe(F.col("own_doc")) & (inputs["th"] == F.col("own_th")), "left_semi").select("text")
+        full = texts.mapInArrow(full_sets, "n long, fp long, fq long, elements binary")
+        return full.join(side(members.drop("doc", "th"), small), ["fp", "fq", "n"])
+
+    work = stored(packed(whole("left_semi"))).join(sides.select("root", "blk", "pair", "side"), ["root", "blk"])
     work = work.select("pair", "side", *[c.split(" ")[0] for c in BLOCK_ROW.split(", ")])
-    links = cut(verified(work, percent))
+    links = cut(verified(work, percent).unionByName(verified_alone(whole("left_anti"), percent)))
 
     count = links.groupBy("cls").agg(F.sum("links").alias("links"))
     linked = cut(components(links, "cls", "root").withColumnRenamed("node", "cls").join(count, "cls").join(classes.select("cls", "doc"), "cls"))
