@@ -236,6 +236,21 @@ def test_loose_chains_are_told_from_dense_groups(spark):
     assert {r["whole"]: (r["rows"], r["groups"]) for r in kinds} == {True: (700, 1), False: (4000, 2000)}
 
 
+def test_lists_of_a_set_are_sent_once(spark):
+    hub = [(i, s, 5, 0, 2) for i in range(1, 1001) for s in (0, i)]  # set 0 is in all lists, each other one in one
+    got = jaccard.groups_to_verify(spark.createDataFrame(hub, "list long, fp long, n int, head long, length int"), 512)
+    assert got.agg(F.count("*").alias("rows"), F.sum(F.size("mine")).alias("mine")).first() == (2000, 2000)
+    assert got.where("fp = 0 and size(mine) > 0").select("root", F.size("mine")).collect() == [(1, 1000)]
+
+
+def test_jaccard_list_by_list_with_equal_halves(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "is_loose", lambda sets_, pairs, block: F.lit(True))
+    monkeypatch.setattr(jaccard, "fingerprint", lambda s, f=jaccard.fingerprint: f(s) & 7)
+    for block in (512, 4):
+        got = jaccard.join(cases.frame(spark, DOCS), block=block, elements=block * 100)
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in got.collect()} == cases.jaccard(DOCS)
+
+
 def test_lists_cross_batches(spark):
     rows = [(k, f, 5, False) for k in range(40) for f in range(k % 4)] + [(99, f, 5, False) for f in range(3000)] * 2
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
