@@ -243,6 +243,19 @@ def test_lists_of_a_set_are_sent_once(spark):
     assert got.where("fp = 0 and size(mine) > 0").select("root", F.size("mine")).collect() == [(1, 1000)]
 
 
+def test_lists_of_the_same_sets_are_one(spark, monkeypatch):
+    pairs = [(1000 * i + k, s, 5, i, 2) for i in range(600) for k in range(3) for s in (i, i + 1)]  # sets i and i + 1 share three lists
+    monkeypatch.setattr(jaccard, "is_loose", lambda sets_, pairs, block: F.lit(True))
+    got = jaccard.groups_to_verify(spark.createDataFrame(pairs, "list long, fp long, n int, head long, length int"), 512)
+    assert sorted((r["root"], r["fp"]) for r in got.collect()) == [(1000 * i, s) for i in range(600) for s in (i, i + 1)]
+
+
+def test_large_sets_in_many_lists_are_not_sent_with_each(spark):
+    star = [(i, s, 5 if s else 500, 0, 2) for i in range(1, 1001) for s in (0, i)]  # set 0, a hundred times as large, is in all lists
+    got = jaccard.groups_to_verify(spark.createDataFrame(star, "list long, fp long, n int, head long, length int"), 512)
+    assert got.where("mine is null").count() == got.count() == 1001
+
+
 def test_jaccard_list_by_list_with_equal_halves(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "is_loose", lambda sets_, pairs, block: F.lit(True))
     monkeypatch.setattr(jaccard, "fingerprint", lambda s, f=jaccard.fingerprint: f(s) & 7)
