@@ -251,6 +251,21 @@ def test_shortlist_counts_every_token(spark):
         assert got == {k: v for k, v in expected.items() if v}
 
 
+def test_shortlist_draws_its_ranges_once(spark, monkeypatch):
+    from bibspark.operators import blocking, resolve
+
+    drawn = []
+
+    def moving(rows, span):
+        drawn.append(100 + 37 * len(drawn))  # quantiles found anew may differ
+        return drawn[-1:], rows.withColumn("rng", (F.col("id") > drawn[-1]).cast("int"))
+
+    monkeypatch.setattr(blocking, "bordered", moving)
+    left = spark.createDataFrame([(1, ["a"])], "id long, tokens array<string>")
+    right = spark.range(300).select("id", F.array(F.lit("a")).alias("tokens"))
+    assert sorted(r["r"] for r in resolve.shortlist(left, right, 120).collect()) == list(range(120))
+
+
 def test_scores_match_plain_loops(spark):
     import difflib
 
