@@ -266,6 +266,43 @@ def test_shortlist_draws_its_ranges_once(spark, monkeypatch):
     assert sorted(r["r"] for r in resolve.shortlist(left, right, 120).collect()) == list(range(120))
 
 
+def test_lists_of_classes_match_plain_counts(spark, monkeypatch):
+    import random
+
+    from bibspark.operators import blocking, resolve
+
+    r = random.Random(9)
+    common, seen, plain = [f"c{i}" for i in range(4)], [], blocking.shortlist
+
+    def side(n, rare):
+        return [(i, sorted({r.choice(common) for _ in range(r.randrange(0, 3))} | {f"{rare}{r.randrange(60)}" for _ in range(r.randrange(0, 2))} | {f"w{r.randrange(40)}" for _ in range(r.randrange(0, 3))}), f"x{i}") for i in range(n)]
+
+    left, right = side(150, "l"), side(400, "r")
+    expected = {}
+    for i, ts, _ in left:
+        best = sorted((-len(set(ts) & set(other)), k, x) for k, other, x in right if set(ts) & set(other))[:30]
+        if best:
+            expected[i] = best
+
+    def counted(a, b, *more):
+        seen.append((a.count(), b.count()))
+        return plain(a, b, *more)
+
+    monkeypatch.setattr(blocking, "shortlist", counted)
+    frames = [spark.createDataFrame(x, "id long, tokens array<string>, " + n) for x, n in ((left, "own string"), (right, "x string"))]
+    for rare, listed in ((8, 100_000), (8, 0), (0, 100_000), (1000, 100_000)):
+        monkeypatch.setattr(resolve, "RARE", rare)
+        monkeypatch.setattr(resolve, "LISTED", listed)
+        got = {x["id"]: (x["own"], [tuple(f) for f in x["found"]]) for x in resolve.shortlists(*frames, 30).collect()}
+        assert got == {i: (f"x{i}", best) for i, best in expected.items()}
+    monkeypatch.setattr(resolve, "RARE", 8)
+    # copies: 500 references and 900 records of two titles are two classes, and of each class 30 records
+    copies = [spark.range(n).select("id", F.when(F.col("id") % 2 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a"), F.lit("c"))).alias("tokens")) for n in (500, 900)]
+    got = resolve.shortlists(*copies, 30).select("id", "found.id").collect()
+    assert seen[-1] == (2, 60)
+    assert len(got) == 500 and all(sorted(x[1]) == [k for k in range(x[0] % 2, 60, 2)] for x in got)
+
+
 def test_scores_match_plain_loops(spark):
     import difflib
 
