@@ -47,7 +47,9 @@ def read(spark: SparkSession, *paths: str, since: str | None = None) -> DataFram
     pieces = cut(placed.where(~edge).select("path", "part", "start", "source").unionByName(ends).where("source <> ''"))
     whole = _closed(pieces)
     numbers = whole.select("path").distinct().select("path", (F.row_number().over(Window.orderBy("path")) - 1).cast("long").alias("doc_id"))  # a row for each file
-    strings = pieces.where(F.col("source").rlike(r"(?i)^@string\b")).groupBy("path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "source"))), lambda x: x["source"]), "\n").alias("before"))
+    # a definition that a file repeats counts where it comes first, as a candidate, and last, as the chosen one: so the others are left out
+    defined = pieces.where(F.col("source").rlike(r"(?i)^@string\b")).groupBy("path", "source").agg(F.min("part").alias("first"), F.max("part").alias("last"))
+    strings = defined.select("path", "source", F.explode(F.array_distinct(F.array("first", "last"))).alias("part")).groupBy("path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "source"))), lambda x: x["source"]), "\n").alias("before"))
     named = whole.withColumn("uses", F.col("source").rlike(r"[=#]\s*[A-Za-z]"))
     known = named.join(strings.withColumn("uses", F.lit(True)), ["path", "uses"], "left")
     return known.join(numbers, "path").select("doc_id", "path", "part", "start", "source", F.when(~F.col("source").rlike(r"(?i)^@string\b"), F.col("before")).alias("before"))

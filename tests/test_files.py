@@ -93,3 +93,18 @@ def test_split_files_give_the_entries_of_whole_files(spark, tmp_path):
             spark.conf.unset("spark.sql.files.openCostInBytes")
         assert sorted((x["doc_id"], x["citation_key"], x["start"] + x["at"], x["end"] + x["at"], str([(f["name"], f["resolved"]) for f in x["fields"]])) for x in got) == sorted(expected), size
     assert pieces.read(spark, str(tmp_path), since="2999-01-01T00:00:00").count() == 0
+
+
+def test_repeated_definitions_are_given_twice_at_most(spark, tmp_path):
+    from bibspark.functions import lex
+    from bibspark.operators import parse
+    from bibspark.sources import pieces
+
+    texts = ["@string{m = {one}}\n", *["@string{m = {two}}\n@misc{k, title = m}\n"] * 200, "@string{m = {one}}\n@misc{last, title = m}\n"]
+    (tmp_path / "a.bib").write_text("".join(texts))
+    rows = pieces.read(spark, str(tmp_path))
+    assert max(len(r["before"] or "") for r in rows.collect()) < 100
+    found = parse.entries(parse.blocks(rows)).collect()
+    whole = [b for b in lex.parse("".join(texts)) if b["kind"] == "entry"]
+    assert len(found) == len(whole) == 201
+    assert {(f["fields"][0]["resolved"], tuple(f["fields"][0]["candidates"])) for f in found} == {(b["fields"][0]["resolved"], tuple(b["fields"][0]["candidates"])) for b in whole} == {("one", ("one", "two"))}
