@@ -579,3 +579,27 @@ def test_required_fields_broadcast_the_policy(spark):
     plan = found._jdf.queryExecution().sparkPlan().toString()
     assert "BuildRight" in plan and "BuildLeft" not in plan and "SortMergeJoin" not in plan
     assert [tuple(x) for x in found.collect()] == [(1, 0, "author, year")]
+
+
+def test_tasks_hold_a_bounded_number_of_blocks():
+    import pyarrow as pa
+
+    class Docs:
+        """Keeps the function that a task runs."""
+
+        columns = ("doc_id", "source")
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            return run
+
+    source = "".join(f"@misc{{k{i}, title = {{x}}}}\n" for i in range(20))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array([source] * 300)], ["doc_id", "source"])
+    out = list(parse.blocks(Docs())(iter([batch])))
+    assert max(b.num_rows for b in out) <= 1000
+    assert [b["block_idx"] for b in pa.Table.from_batches(out).select(["block_idx"]).to_pylist()][:2] == [0, 1]
+    entries = [r for b in out for r in b.select(["doc_id", "entry_idx", "kind"]).to_pylist() if r["kind"] == "entry"]
+    assert [(r["doc_id"], r["entry_idx"]) for r in entries] == [(d, i) for d in range(300) for i in range(20)]
+    assert [len(x) for x in parse.bounded(["a" * 600_000] * 3 + ["b"], len)] == [2, 2]
